@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from frameloom.llm import license_scan
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -18,5 +20,52 @@ FROM lines LEFT JOIN repeated r USING (key) GROUP BY doc_id
 """
 
 
+OP7 = """
+WITH usable AS (
+  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+_RUNS = ", ".join(
+    f"({n}, '{label}', {str(exact).lower()}, {j}, {len(w) - license_scan.K + 1}, '{w[j]}', '{w[j + 1]}', '{w[j + 2]}')"
+    for n, (text, label, exact) in enumerate(license_scan.TEMPLATES)
+    for w in [text.split()]
+    for j in range(len(w) - license_scan.K + 1)
+)
+OP9 = rf"""
+WITH split AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents
+), runs(template, label, exact, place, n_runs, t0, t1, t2) AS (VALUES {_RUNS}
+), words AS (
+  SELECT doc_id, i - 1 AS i, w[i] AS w0, w[i + 1] AS w1, w[i + 2] AS w2 FROM split, unnest(range(1, len(w) - 1)) AS u(i)
+), votes AS (
+  SELECT doc_id, template, label, exact, n_runs, i - place AS diagonal, count(DISTINCT place) AS n_votes
+  FROM words JOIN runs ON w0 = t0 AND w1 = t1 AND w2 = t2 GROUP BY ALL
+), gaps AS (
+  SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {license_scan.SLACK} THEN 1 ELSE 0 END AS gap FROM votes
+), bands AS (
+  SELECT *, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM gaps
+), merged AS (
+  SELECT doc_id, template, label, exact, min(diagonal) AS start, least(1.0::DOUBLE, sum(n_votes)::DOUBLE / n_runs) AS share
+  FROM bands GROUP BY doc_id, template, label, exact, n_runs, band
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+  FROM merged WHERE share >= CASE WHEN exact THEN 1.0 ELSE {license_scan.COVERAGE} END GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM split LEFT JOIN per_doc USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1}
+    return {"op1_line_dedup": OP1, "op7_topk_search": OP7, "op9_license_scan": OP9}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import line_dedup
+from frameloom.llm import license_scan, line_dedup, secret_scan, topk_search
 from frameloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup}
+    every = [op1_line_dedup, op7_topk_search, op8_secret_scan, op9_license_scan]
+    return {f.__name__: f for f in every}
