@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import license_scan, line_dedup, secret_scan, topk_search
+from frameloom.llm import license_scan, line_dedup, packed_ids, secret_scan, topk_search
 from frameloom.session import table
 
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer files of this machine are; every operator takes such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +24,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
 
 
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = packed_ids.write_corpus(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return packed_ids.corpus_report(shards)
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
 
@@ -29,5 +42,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op1_line_dedup, op7_topk_search, op8_secret_scan, op9_license_scan]
+    every = [op1_line_dedup, op4_packed_ids, op7_topk_search, op8_secret_scan, op9_license_scan]
     return {f.__name__: f for f in every}
