@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import license_scan, line_dedup, packed_ids, secret_scan, topk_search
+from frameloom.llm import license_scan, line_dedup, packed_ids, quality_fm, secret_scan, topk_search, toxicity
 from frameloom.session import table
 
 
@@ -24,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_out=2, threshold=0.3)
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = packed_ids.write_corpus(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return packed_ids.corpus_report(shards)
@@ -41,6 +45,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1, threshold=0.5)
+
+
 def queries() -> dict[str, Query]:
-    every = [op1_line_dedup, op4_packed_ids, op7_topk_search, op8_secret_scan, op9_license_scan]
+    every = [op1_line_dedup, op2_toxicity, op4_packed_ids, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm]
     return {f.__name__: f for f in every}

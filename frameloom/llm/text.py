@@ -101,7 +101,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-_SHINGLE = [U64((0xA0761D6478BD642F * (2 * k + 1) + 0xE7037ED1A0B428DB * k) % (1 << 64) | 1) for k in range(64)]
+_SHINGLE = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
