@@ -43,9 +43,8 @@ MAGIC = 0x3144495754584946
 GROUP = 64
 BLOCK = 4096
 SHARD_IDS = 1 << 20
-#: Distinct pieces and pre-tokens a worker remembers before it starts over.
-CACHE_PIECES = 600_000
-CACHE_PRE_TOKENS = 800_000
+#: Distinct pieces a worker remembers before it starts over.
+CACHE_PIECES = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -121,26 +120,37 @@ PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 HEAD = "\0"
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """A tokenizers file, with the ids of the pieces (between spaces) and pre-tokens seen so far.
+    """A tokenizers file, with the ids of the pieces (between spaces) seen so far.
 
-    Both memories start over at a fixed size, so a worker's memory is bounded. Pieces beyond Latin
-    letters are not cut here but by the library, whatever Unicode version either side knows.
+    A piece made of letters, or a pre-token of another piece, goes to the library's model; the ids of other
+    pieces are put together from those of their pre-tokens. The memory starts over at a fixed size, so a
+    worker's memory is bounded. Pieces beyond Latin letters are cut by the library itself, whatever
+    Unicode version either side knows.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         gc.freeze()
-        gc.disable()  # the memories hold millions of objects and no cycles
+        gc.disable()  # the memory holds very many objects and no cycles
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.vocabulary = self.model.get_vocab_size(with_added_tokens=True)
-        kind = json.loads(self.model.to_str())
+        self.tool = Tokenizer.from_file(path)
+        self.model = self.tool.model
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.vocabulary = self.tool.get_vocab_size(with_added_tokens=True)
+        kind = json.loads(self.tool.to_str())
         pre = kind["pre_tokenizer"] or {}
         self.cuts = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.known: dict[str, list[int]] = {}
+        self.letters = byte_letters()
+        self.space = self.letters[32]
         self.clear()
 
     def clear(self) -> None:
@@ -150,18 +160,42 @@ class Encoder:
         self.begin = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
 
+    def one(self, piece: str) -> list[int]:
+        """Ids of a piece that is one pre-token."""
+        if piece.isascii() and piece.isalpha():
+            return [t.id for t in self.model.tokenize(self.space + piece)]
+        text = piece[1:] if piece[:1] == HEAD else " " + piece
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+
     def learn(self, pieces: list[str]) -> None:
-        known = self.known
-        if len(known) > CACHE_PRE_TOKENS:
-            known.clear()
-        texts = [p[1:] if p[:1] == HEAD else " " + p for p in pieces]
-        cut = [PRE_TOKENS.findall(t) if t.isascii() or max(t) < "\u0250" else [t] for t in texts]
-        new = list({t for c in cut for t in c if t not in known})
-        known.update(zip(new, (e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False))))
-        made = [known[c[0]] if len(c) == 1 else [i for t in c for i in known[t]] for c in cut]
+        index, fresh = self.index, {}
+
+        def part(p: str) -> list[int]:
+            ids = fresh.get(p)
+            if ids is None:
+                at = index.get(p)
+                if at is not None:
+                    return self.flat[self.begin[at] : self.begin[at] + self.lengths[at]].tolist()
+                ids = fresh[p] = self.one(p)
+            return ids
+
+        for p in pieces:
+            if p in fresh:
+                continue
+            if not p.isascii() and max(p) >= "\u0250":
+                fresh[p] = self.tool.encode(p[1:] if p[:1] == HEAD else " " + p, add_special_tokens=False).ids
+            elif p.isalpha():
+                fresh[p] = self.one(p)
+            elif p[-1:] in (",", ".") and p[:-1].isalpha():
+                fresh[p] = part(p[:-1]) + part(HEAD + p[-1])
+            else:
+                cut = PRE_TOKENS.findall(p[1:] if p[:1] == HEAD else " " + p)
+                cut = [t[1:] if t[0] == " " and len(t) > 1 else HEAD + t for t in cut]
+                fresh[p] = self.one(p) if cut == [p] else [i for t in cut for i in part(t)]
+        made = list(fresh.values())
         n = np.fromiter(map(len, made), np.int64, len(made))
-        have, total = len(self.index), int(n.sum())
-        while have + len(pieces) > len(self.lengths):
+        have, total = len(index), int(n.sum())
+        while have + len(made) > len(self.lengths):
             self.lengths, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.begin))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -169,7 +203,7 @@ class Encoder:
         self.begin[have : have + len(n)] = self.used + np.cumsum(n) - n
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
         self.used += total
-        self.index.update(zip(pieces, range(have, have + len(pieces))))
+        index.update(zip(fresh, range(have, have + len(made))))
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, number of ids of each)."""
@@ -205,7 +239,7 @@ class Encoder:
         parts, end = [], np.array([end_id], np.uint32)
         for i, (t, c) in enumerate(zip(texts, cut)):
             if c is None:
-                parts.append(np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32))
+                parts.append(np.array(self.tool.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
                 parts.append(flat[upto[i] : upto[i + 1]])
             parts.append(end)
