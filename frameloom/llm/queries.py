@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import license_scan, line_dedup, packed_ids, quality_fm, secret_scan, topk_search, toxicity
+from frameloom.llm import decontaminate, license_scan, line_dedup, packed_ids, pieces, quality_fm, secret_scan, topk_search, toxicity
 from frameloom.session import table
 
 
@@ -28,11 +28,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_out=2, threshold=0.3)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = packed_ids.write_corpus(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return packed_ids.corpus_report(shards)
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
 
@@ -50,5 +58,5 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op1_line_dedup, op2_toxicity, op4_packed_ids, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm]
+    every = [op1_line_dedup, op2_toxicity, op3_decontamination, op4_packed_ids, op6_pieces, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm]
     return {f.__name__: f for f in every}
