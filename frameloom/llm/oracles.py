@@ -20,6 +20,28 @@ FROM lines LEFT JOIN repeated r USING (key) GROUP BY doc_id
 """
 
 
+OP5 = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(s) AS h FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)] END) AS s FROM split)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL
+  ) p JOIN sizes s ON s.doc_id = p.a JOIN sizes t ON t.doc_id = p.b WHERE 100 * p.k >= 75 * (s.n + t.n - p.k)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON l.a = d.doc_id
+"""
+
 OP7 = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
@@ -68,4 +90,4 @@ FROM split LEFT JOIN per_doc USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op7_topk_search": OP7, "op9_license_scan": OP9}
+    return {"op1_line_dedup": OP1, "op5_jaccard_join": OP5, "op7_topk_search": OP7, "op9_license_scan": OP9}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import decontaminate, license_scan, line_dedup, packed_ids, pieces, quality_fm, secret_scan, topk_search, toxicity
+from frameloom.llm import decontaminate, jaccard_join, license_scan, line_dedup, packed_ids, pieces, quality_fm, secret_scan, topk_search, toxicity
 from frameloom.session import table
 
 
@@ -37,6 +37,10 @@ def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.corpus_report(shards)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(table(spark, sf_dir, "documents"), k=5, at_least=(3, 4))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -58,5 +62,5 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op1_line_dedup, op2_toxicity, op3_decontamination, op4_packed_ids, op6_pieces, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm]
+    every = [op1_line_dedup, op2_toxicity, op3_decontamination, op4_packed_ids, op5_jaccard_join, op6_pieces, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm]
     return {f.__name__: f for f in every}
