@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from frameloom.plans import boxes, ranking, relational, tracks
+
 Query = Callable[[SparkSession, str], DataFrame]
+FAMILIES = (ranking.QUERIES, boxes.QUERIES, tracks.QUERIES, relational.QUERIES)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for family in FAMILIES for name, (run, _) in family.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, (_, sql) in family.items() if sql}

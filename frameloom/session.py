@@ -40,12 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Cut the lineage: write df once as a table in the shared folder and read that back.
 
-    A lost executor then costs only the tasks that read the table, never the work before it.
+    A lost executor then costs only the tasks that read the table, never the work before it. A small
+    result of many tasks is dealt to a few files first, which spares the store and the readers.
     """
     spark = df.sparkSession
+    if small:
+        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
     path = f"{shared_dir(spark)}/frameloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
