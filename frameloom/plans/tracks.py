@@ -143,7 +143,7 @@ def association(spark, d):
 def anchored_sql() -> str:
     return f"""{T}, {SEG}, p AS (SELECT a.video, a.track_id, a.segment, a.frame AS run_start, b.frame AS seen, abs(b.cx - a.cx) > a.w / 2 OR abs(b.cy - a.cy) > a.h / 2 AS outside
       FROM seg a JOIN seg b ON a.video = b.video AND a.track_id = b.track_id AND a.segment = b.segment AND b.frame >= a.frame),
-      r AS (SELECT video, track_id, run_start, coalesce(min(seen) FILTER (outside), max(seen) + 1) - run_start AS run_frames FROM p GROUP BY ALL)
+      r AS (SELECT video, track_id, run_start, coalesce(min(seen) FILTER (outside), max(seen) + 1) - run_start AS run_frames FROM p GROUP BY video, track_id, run_start)
       SELECT video, track_id, run_frames, run_start FROM (SELECT *, row_number() OVER (PARTITION BY video, track_id ORDER BY run_frames DESC, run_start) AS k FROM r) WHERE k = 1"""
 
 
