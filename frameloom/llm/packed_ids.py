@@ -28,7 +28,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +41,11 @@ from frameloom.session import staged
 
 MAGIC = 0x3144495754584946
 GROUP = 64
+NATIVE = {8: "<u1", 16: "<u2", 32: "<u4"}
 BLOCK = 4096
 SHARD_IDS = 1 << 20
 #: Distinct pieces a worker remembers before it starts over.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_200_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -54,6 +55,10 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
     """Whole groups of `bits` 64-bit words; the last group is filled with zeros."""
     groups = -(-len(ids) // GROUP)
+    if bits in NATIVE:  # the same layout as numpy's own little-endian integers
+        out = np.zeros(groups * GROUP, NATIVE[bits])
+        out[: len(ids)] = ids
+        return out.view("<u8")
     lanes = np.zeros((groups, GROUP), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((groups, bits), np.uint64)
@@ -67,6 +72,8 @@ def pack(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def unpack(packed: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The first n ids."""
+    if bits in NATIVE:
+        return packed.view(NATIVE[bits])[:n].astype(np.uint32)
     groups = packed.reshape(-1, bits)
     out = np.empty((len(groups), GROUP), np.uint32)
     mask = np.uint64((1 << bits) - 1)
@@ -138,8 +145,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
-        gc.freeze()
-        gc.disable()  # the memory holds very many objects and no cycles
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
@@ -168,6 +173,13 @@ class Encoder:
         return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
 
     def learn(self, pieces: list[str]) -> None:
+        gc.disable()  # very many short lists, and no cycles
+        try:
+            self.add(pieces)
+        finally:
+            gc.enable()
+
+    def add(self, pieces: list[str]) -> None:
         index, fresh = self.index, {}
 
         def part(p: str) -> list[int]:
@@ -224,13 +236,11 @@ class Encoder:
                 cut.append(pieces)
         index = self.index
         pieces = list(chain.from_iterable(c for c in cut if c))
-        at = list(map(index.get, pieces))
-        missing = [i for i, x in enumerate(at) if x is None]
+        at = np.fromiter(map(index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
             self.learn(list(dict.fromkeys(pieces[i] for i in missing)))
-            for i in missing:
-                at[i] = index[pieces[i]]
-        at = np.array(at, np.int64)
+            at[missing] = [index[pieces[i]] for i in missing]
         n = self.lengths[at]
         ends = np.cumsum(n)
         flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + n, n)]
@@ -319,4 +329,5 @@ def corpus_report(shards: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(shard.starts, shard.starts[1:])]
                 yield record({"doc_id": pa.array(known, pa.int64(), mask=missing), "start": base + first + shard.starts[:-1], "n_tokens": np.diff(shard.starts), "ids_crc32": crcs}, names, types)
 
-    return shards.join(base, "part").select("base", "first", "doc_ids", "nulls", "image").mapInArrow(read, schema)
+    # one row per partition of the written table
+    return shards.join(F.broadcast(base), "part").select("base", "first", "doc_ids", "nulls", "image").mapInArrow(read, schema)
