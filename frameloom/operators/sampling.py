@@ -20,6 +20,20 @@ def deciles(df: DataFrame, value: str, parts: int = 10) -> Column:
     return F.array(*(F.lit(float(e)) for e in edges or []))
 
 
+def draw_rank(df: DataFrame, cell: Sequence[str], seed: int, keys: Sequence[str], name: str = "_rank") -> DataFrame:
+    """df with each row's place in its cell's draw order; rows without a cell are left out.
+
+    Cells are few and may hold most rows, so a cell is ranked in 256 parts by the first byte of the hash,
+    and the sizes of the parts before are added.
+    """
+    rows = df.withColumn("_key", draw_key(seed, *map(F.col, keys))).withColumn("_part", F.substring("_key", 1, 2))
+    earlier = Window.partitionBy(*cell).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*cell, "_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(*cell, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    order = Window.partitionBy(*cell, "_part").orderBy("_key", *keys)
+    return rows.join(sizes, [*cell, "_part"]).withColumn(name, F.col("_before") + F.row_number().over(order)).drop("_key", "_part", "_before")
+
+
 def stratified(pool: DataFrame, wanted: DataFrame, cell: Sequence[str], ratio: float, seeds: Sequence[int], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(draws, cells): per seed and cell, ratio times the wanted rows of the cell, without replacement.
 
@@ -32,18 +46,18 @@ def stratified(pool: DataFrame, wanted: DataFrame, cell: Sequence[str], ratio: f
     cells = cells.withColumns({"drawn": F.least("quota", "available"), "shortfall": F.greatest(F.col("quota") - F.col("available"), F.lit(0))})
     draws = None
     for seed in seeds:
-        order = Window.partitionBy(*cell).orderBy(draw_key(seed, *map(F.col, keys)), *keys)
-        part = pool.join(quota.drop("n_wanted"), list(cell)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("quota")).drop("rank", "quota").withColumn("seed", F.lit(seed))
+        rows = draw_rank(pool.join(quota.drop("n_wanted"), list(cell)), cell, seed, keys)
+        part = rows.where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota").withColumn("seed", F.lit(seed))
         draws = part if draws is None else draws.unionByName(part)
     return draws, cells
 
 
 def share_of_each(df: DataFrame, group: Sequence[str], fraction: float, seed: int, keys: Sequence[str]) -> DataFrame:
     """A fixed share of every group, at least one row."""
-    order = Window.partitionBy(*group).orderBy(draw_key(seed, *map(F.col, keys)), *keys)
-    n = F.count("*").over(Window.partitionBy(*group))
-    take = F.greatest(F.lit(1), F.least(F.bround(n * fraction, 0), n))
-    return df.withColumns({"_rank": F.row_number().over(order), "_take": take}).where("_rank <= _take").drop("_rank", "_take")
+    n = F.col("_of")
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_of"))
+    rows = draw_rank(df, group, seed, keys).join(sizes, list(group))
+    return rows.where(F.col("_rank") <= F.greatest(F.lit(1), F.least(F.bround(n * fraction, 0), n))).drop("_rank", "_of")
 
 
 def capped(df: DataFrame, group: Sequence[str], member: str, per_group: int, seed: int, keys: Sequence[str], per_member: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ def duck_rows(sql: str, sf: str) -> tuple[list[str], list[tuple]]:
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    table = con.execute(sql).to_arrow_table() if hasattr(con.execute("SELECT 1"), "to_arrow_table") else con.sql(sql).to_arrow_table()
+    table = con.sql(sql).to_arrow_table()
     return table.column_names, [tuple(r.values()) for r in table.to_pylist()]
 
 
