@@ -69,15 +69,15 @@ def components(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
     and the edges follow; this at least halves the nodes that still have edges. What fits goes to one
     task of bounded size. Self-loops and repeated edges are allowed; an empty table gives no rows.
     """
-    graph = staged(local_forests(edges), "graph")
+    graph = staged(local_forests(edges), "graph", small=True)
     moves: list[DataFrame] = []
     while graph.count() > limit:
         ways = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = staged(ways.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "moves")
+        moved = staged(ways.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "moves", small=True)
         moves.append(moved)
         to = lambda end: moved.select(F.col("node").alias(end), F.col("label").alias(f"{end}_to"))  # noqa: E731, B023
         followed = graph.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct()
-        graph = staged(local_forests(followed), "graph")
+        graph = staged(local_forests(followed), "graph", small=True)
     labels = local_forests(graph.coalesce(1), ("node", "label"))
     for moved in reversed(moves):
         last = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))

@@ -295,7 +295,7 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shown = blocks_of_tokens(one_each, k, at_least, n_buckets)
     counted = shown.groupBy("bucket").applyInArrow(count_sets, "block long, members binary, tokens binary, sets binary, meta binary")
     kept = counted.groupBy("block").applyInArrow(lambda t: prefixes(t, at_least), "node binary, n long, tokens array<long>")
-    may = staged(kept, "prefixes")
+    may = staged(kept, "prefixes", small=True)
 
     shared = may.select("node", F.explode("tokens").alias("token"))
     least = shared.groupBy("token").agg(F.min("node").alias("least"), F.count("*").alias("sets")).where("sets > 1")
@@ -303,7 +303,7 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = components(edges)
 
     weight = F.greatest(F.col("n"), F.lit(-(-class_tokens // CLASS_MEMBERS)))
-    members = staged(classes.join(reps, "node").withColumn("weight", weight), "members")
+    members = staged(classes.join(reps, "node").withColumn("weight", weight), "members", small=True)
     n_blocks = members.groupBy("label").agg(F.sum("weight").alias("weight"), F.count("*").alias("members")).where("members > 1")
     n_blocks = n_blocks.select("label", F.ceil(F.col("weight") / class_tokens).cast("int").alias("n_blocks"))
     placed = members.drop("weight").join(n_blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
@@ -318,7 +318,7 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = over_batches(found, with_sets, "tokens binary, label binary, node binary, copies long, own int, n_blocks int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     paired = sets.withColumn("other", other).select("tokens", "label", "node", "copies", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
-    links = staged(paired.groupBy("label", "first", "second").applyInArrow(lambda t: group_links(t, at_least), "a binary, b binary, n_linked long"), "links")
+    links = staged(paired.groupBy("label", "first", "second").applyInArrow(lambda t: group_links(t, at_least), "a binary, b binary, n_linked long"), "links", small=True)
 
     labels = components(links.where("a <> b").select("a", "b"))
     named = labels.join(reps.select("node", "rep_id"), "node").groupBy("label").agg(F.min("rep_id").alias("component"))

@@ -110,7 +110,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if out:
             yield record(dict(zip(names, zip(*out))), names, types)
 
-    marks = staged(sorted_lines.mapInArrow(stream, MARKS), "line-marks")
+    marks = staged(sorted_lines.mapInArrow(stream, MARKS), "line-marks", small=True)
     repeated = marks.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     late = marks.where(F.col("kind") == OPEN).join(repeated, ["h1", "h2"], "left_semi")
     drops = marks.where(F.col("kind") == DROP).unionByName(late)
