@@ -24,7 +24,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,6 @@ class Pieces:
         import ahocorasick
         import sentencepiece
 
-        gc.freeze()
-        gc.disable()  # the memory holds very many objects and no cycles
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
@@ -108,7 +106,11 @@ class Pieces:
         return out[::-1]
 
     def learn(self, parts: list[str]) -> None:
-        made = [self.segment(MARK + p) for p in parts]
+        gc.disable()  # very many short lists, and no cycles
+        try:
+            made = [self.segment(MARK + p) for p in parts]
+        finally:
+            gc.enable()
         n = np.fromiter(map(len, made), np.int64, len(made))
         have, total = len(self.index), int(n.sum())
         while have + len(made) > len(self.lengths):
@@ -128,13 +130,11 @@ class Pieces:
         cut = [[] if not t else None if not self.cuts or t[0] == " " or "  " in t or MARK in t else t.split(" ") for t in texts]
         index = self.index
         parts = list(chain.from_iterable(c for c in cut if c))
-        at = list(map(index.get, parts))
-        missing = [i for i, x in enumerate(at) if x is None]
+        at = np.fromiter(map(index.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
             self.learn(list(dict.fromkeys(parts[i] for i in missing)))
-            for i in missing:
-                at[i] = index[parts[i]]
-        at = np.array(at, np.int64)
+            at[missing] = [index[parts[i]] for i in missing]
         n = self.lengths[at]
         ends = np.cumsum(n)
         flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + n, n)]
