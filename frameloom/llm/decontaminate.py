@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.frames import keyed_texts, over_batches
+from frameloom.llm.frames import keyed_texts, named, numbered, over_batches
 from frameloom.llm.text import LOWER, NON_ALNUM, _power_tables, chunks, mix, shingle_hashes, span_hashes, words
 from frameloom.session import staged
 
@@ -177,18 +177,18 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that cover no item, with all their columns."""
-    kept = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)))
-    kinds = ", ".join(f"in_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    at = docs.columns.index(text_col)
+    kept, at = numbered(docs)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+    place = docs.columns.index(text_col)
     for block in blocks(benchmark, item_id_col, item_text_col, min_match)[1]:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batch: pa.RecordBatch, shared=shared) -> dict:
             good = np.ones(batch.num_rows, bool)
-            for i, t in tokens(batch.column(at)):
+            for i, t in tokens(batch.column(place)):
                 good[i] = not shared.value.leaks(t, min_match, coverage)
             rows = batch.filter(pa.array(good))
             return {f"in_{i}": rows.column(i) for i in range(rows.num_columns)}
 
         kept = over_batches(kept, clean, kinds)
-    return kept.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return named(kept, at)

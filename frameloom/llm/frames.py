@@ -40,3 +40,14 @@ def record(columns: dict, names: list[str], types: list[pa.DataType]) -> pa.Reco
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names, so that other columns cannot clash."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns as in_0, in_1, ..., so that no operator's column can clash, and these by old name."""
+    at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in at.items())), at
+
+
+def named(df: DataFrame, at: dict[str, str]) -> DataFrame:
+    """The numbered columns under their old names."""
+    return df.select(*(F.col(n).alias(c) for c, n in at.items()))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.components import components
-from frameloom.llm.frames import arrow_types, keyed_texts, over_batches, record
+from frameloom.llm.frames import arrow_types, keyed_texts, named, numbered, over_batches, record
 from frameloom.llm.text import mix, sorted_unique, word_sets
 from frameloom.session import staged
 
@@ -341,8 +341,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that name their class: of each class the row with the smallest id; null ids stay only where no row of their class has one."""
     classes = staged(class_table(docs, id_col, text_col, **how), "classes")
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version"))
-    kept = keyed.join(keep.hint("shuffle_hash"), same, "left_semi").drop("_hash")
+    rows, at = numbered(docs)
+    keyed = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col(at[text_col]), F.lit(""))))
+    same = F.col(at[id_col]).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version"))
+    kept = keyed.join(keep.hint("shuffle_hash"), same, "left_semi")
     repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    return named(kept.dropDuplicates([at[id_col]]) if repeated else kept, at)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.frames import arrow_types, keyed_texts, over_batches, record
+from frameloom.llm.frames import arrow_types, keyed_texts, named, numbered, over_batches, record
 from frameloom.session import staged
 
 #: What both ends of a line lose before it is compared.
@@ -153,7 +153,7 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 
 
 def with_bitmaps(docs: DataFrame, id_col: str, text_col: str, **rule) -> DataFrame:
-    """docs with the columns version and bitmap (null: nothing goes); texts move once, bitmaps are the build side."""
+    """docs with the column _bitmap (null: nothing goes); texts move once, bitmaps are the build side."""
     bitmaps = drop_bitmaps(docs, id_col, text_col, **rule).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("bitmap").alias("_bitmap"))
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_version"))
@@ -163,8 +163,10 @@ def with_bitmaps(docs: DataFrame, id_col: str, text_col: str, **rule) -> DataFra
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """docs, each text without its dropped lines; all other columns as they were."""
     clean = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: x if y is None else kept_text(x, y)[2]), "string")
-    joined = with_bitmaps(docs, id_col, text_col, **rule)
-    return joined.withColumn(text_col, F.when(F.col("_bitmap").isNull(), F.col(f"`{text_col}`")).otherwise(clean(F.col(f"`{text_col}`"), F.col("_bitmap")))).select(*docs.columns)
+    rows, at = numbered(docs)
+    text = F.col(at[text_col])
+    joined = with_bitmaps(rows, at[id_col], at[text_col], **rule)
+    return named(joined.withColumn(at[text_col], F.when(F.col("_bitmap").isNull(), text).otherwise(clean(text, F.col("_bitmap")))), at)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from frameloom.llm import components, decontaminate, jaccard_join, license_scan, line_dedup, oracles, packed_ids, pieces, queries, secret_scan, topk_search
+from frameloom.llm import components, decontaminate, jaccard_join, license_scan, line_dedup, oracles, packed_ids, pieces, quality_fm, queries, secret_scan, topk_search
 from tests.comparing import same_rows
 from tests.llm.data import AWKWARD, docs_frame, lowered, shingles
 
@@ -62,6 +62,15 @@ def test_line_dedup_null_and_repeated_ids(spark):
     assert got == [(False, 1, 1), (False, 2, 1), (False, 2, 1), (True, 2, 1)]
 
 
+def test_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, " ".join("q%d" % i for i in range(20)))], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    df = docs_frame(spark, ["a\nb", "b\nc", "d e f g h", "x", None, ""]).selectExpr("*", "1 AS _bitmap", "2 AS _hash", "3 AS _doc", "4 AS in_0", "5 AS _version", "'b' AS bitmap", "6 AS predicted", "7 AS held_out")
+    for out in (line_dedup.dedup_lines(df, min_docs=2), jaccard_join.one_of_each(df), decontaminate.without_leaks(df, bench), quality_fm.keep_good(df, labels, threshold=0.0)):
+        assert out.columns == df.columns and out.count() == 6
+        assert {(r["_bitmap"], r["in_0"], r["predicted"]) for r in out.collect()} == {(1, 4, 6)}
+
+
 # ---- n-gram Jaccard join
 
 
