@@ -10,13 +10,47 @@ from pyspark.sql import functions as F
 from frameloom.functions.columns import log_bin, log_edge
 
 PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+#: Parts that a group's values are dealt over.
+PARTS = 64
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], parts: int = PARTS) -> DataFrame:
+    """Exact, linearly interpolated percentiles per group: columns by and p0, p1, ... in the order of points.
+
+    Nulls and NaNs do not count, and rows without a group are left out. Equal values are counted first, so
+    that a value which most rows share is one row. Approximate quantiles then cut a group's distinct values
+    into parts; the sizes of the parts tell which few of them hold the wanted ranks, and only these are
+    sorted. No task holds a group's values, unlike an exact percentile aggregate.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(*by, x.alias("_v"), F.lit(1).alias("_all")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    by = [*by, "_all"]
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    placed = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    inside = Window.partitionBy(*by)
+    earlier = inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "_n": F.sum("_size").over(inside)})
+    at = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at")) for i, p in enumerate(points)))
+    ranks = F.flatten(F.transform(at, lambda t: F.array(*(F.struct(t["i"].alias("i"), (t["at"] - F.floor(t["at"])).alias("share"), F.lit(k).alias("k"), F.least(F.floor(t["at"]) + k, F.col("_n") - 1).alias("rank")) for k in (0, 1)))))
+    here = F.filter(ranks, lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_size")))
+    wanted = sizes.select(*by, "_part", "_before", here.alias("_wanted")).where(F.size("_wanted") > 0)
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    sorted_parts = placed.join(wanted, [*by, "_part"]).withColumn("_upto", upto)
+    hits = sorted_parts.select(*by, "_v", F.explode(F.filter("_wanted", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c")))).alias("r"))
+    end = lambda i, k: F.max(F.when((F.col("r.i") == i) & (F.col("r.k") == k), F.col("_v")))
+    share = lambda i: F.max(F.when(F.col("r.i") == i, F.col("r.share")))
+    each = [(end(i, 0) + (end(i, 1) - end(i, 0)) * share(i)).alias(f"p{i}") for i in range(len(points))]
+    return hits.groupBy(*by).agg(*each).drop("_all")
 
 
 def summary(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float] = PERCENTILES) -> DataFrame:
-    """n, min, max and exact, linearly interpolated percentiles; nulls and NaNs do not count."""
+    """n, min, max and exact, linearly interpolated percentiles; nulls and NaNs do not count, nor rows without a group."""
     x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    rows = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*(F.lit(p) for p in points))).alias("_p"))
-    return rows.select(*by, "n", "min", "max", *(F.get("_p", F.lit(i)).alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)))
+    ends = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"))
+    rows = ends.join(percentiles(df, by, value, points), list(by), "left") if by else ends.crossJoin(F.broadcast(percentiles(df, by, value, points)))  # one row each
+    return rows.select(*by, "n", "min", "max", *(F.col(f"p{i}").alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)))
 
 
 def spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.aggregates import percentiles
+
 
 def draw_key(seed: int, *keys: Column) -> Column:
     """A hash of the seed and the row's keys; followed by the keys it is a total order."""
@@ -15,9 +17,8 @@ def draw_key(seed: int, *keys: Column) -> Column:
 
 def deciles(df: DataFrame, value: str, parts: int = 10) -> Column:
     """The inner edges that cut a column into equal parts, as a literal array (a fixed number of values)."""
-    points = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    edges = df.agg(F.percentile(F.col(value).cast("double"), points).alias("e")).first()["e"]
-    return F.array(*(F.lit(float(e)) for e in edges or []))
+    found = percentiles(df, [], value, [i / parts for i in range(1, parts)]).first()
+    return F.array(*(F.lit(float(e)) for e in found or [])).cast("array<double>")
 
 
 def draw_rank(df: DataFrame, cell: Sequence[str], seed: int, keys: Sequence[str], name: str = "_rank") -> DataFrame:
@@ -84,7 +85,6 @@ def borrowed(df: DataFrame, sizes: DataFrame, group: Sequence[str], seed: int, k
 
 def repeats(df: DataFrame, fraction: float, seed: int, keys: Sequence[str], name: str = "repeat_id", prefix: str = "R") -> DataFrame:
     """A tenth (or another share, at least one row) of all rows to be scored again, numbered in draw order."""
-    order = Window.orderBy("_key", *keys)
     n = max(1, round(df.count() * fraction))
-    picked = df.withColumn("_key", draw_key(seed, *map(F.col, keys))).orderBy("_key", *keys).limit(n)
-    return picked.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.row_number().over(order).cast("string"), 3, "0"))).drop("_key")
+    rows = draw_rank(df.withColumn("_cell", F.lit(1)), ["_cell"], seed, keys).where(F.col("_rank") <= n)
+    return rows.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_rank").cast("string"), 3, "0"))).drop("_rank", "_cell")

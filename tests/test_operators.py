@@ -190,6 +190,15 @@ def test_summary_equals_numpy(spark):
     assert (got["b"].n, got["b"].p99) == (1, 1.0)
 
 
+@FEW
+@given(st.lists(st.sampled_from([0.0, 1.0, 1.0, 2.5, -3.0, 7.0]), min_size=1, max_size=30), st.lists(st.floats(0, 1), min_size=1, max_size=3))
+def test_percentiles_with_ties(spark, values, points):
+    from frameloom.operators.aggregates import percentiles
+
+    got = percentiles(spark.createDataFrame([("g", v) for v in values], "g string, v double"), ["g"], "v", points, parts=4).first()
+    assert [got[f"p{i}"] for i in range(len(points))] == pytest.approx([np.percentile(values, p * 100) for p in points])
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "video string, frame long, cx double, cy double, w double, h double")
     assert Q.anchored_runs(empty, ["video"]).count() == Q.pairwise_runs(empty, ["video"]).count() == 0
