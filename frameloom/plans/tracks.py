@@ -154,6 +154,20 @@ def pairwise_cte(by: str, source: str) -> str:
       pairwise AS (SELECT {by}, run_frames, run_start FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY run_frames DESC, run_start) AS k FROM pw_len) WHERE k = 1)"""
 
 
+def association_sql() -> str:
+    gap = lambda i, j: f"sqrt((b.p[{i}].cx - w.p[{j}].cx) ** 2 + (b.p[{i}].cy - w.p[{j}].cy) ** 2)"
+    straight, crossed = f"({gap(1, 1)} + {gap(2, 2)})", f"({gap(1, 2)} + {gap(2, 1)})"
+    return f"""{T}, b AS (SELECT video, frame // 2 AS frame, list(struct_pack(idx := event_id, cx := cx, cy := cy) ORDER BY event_id) AS p FROM tracks GROUP BY ALL),
+      walk(video, frame, p, ids, fresh, ratio) AS (
+        SELECT video, frame, p, CASE WHEN len(p) = 1 THEN [0] ELSE [0, 1] END, len(p), NULL::DOUBLE FROM b WHERE frame = 0
+        UNION ALL
+        SELECT b.video, b.frame, b.p, CASE WHEN len(b.p) = 2 AND len(w.p) = 2 THEN CASE WHEN {straight} <= {crossed} THEN w.ids ELSE [w.ids[2], w.ids[1]] END
+            WHEN len(b.p) = 2 THEN [w.ids[1], w.fresh] WHEN len(w.p) = 2 AND {gap(1, 1)} > {gap(1, 2)} THEN [w.ids[2]] ELSE [w.ids[1]] END,
+          w.fresh + greatest(len(b.p) - len(w.p), 0), CASE WHEN len(b.p) = 2 AND len(w.p) = 2 AND least({straight}, {crossed}) > 0 THEN greatest({straight}, {crossed}) / least({straight}, {crossed}) END
+        FROM walk w JOIN b ON b.video = w.video AND b.frame = w.frame + 1)
+      SELECT video, frame, p[i].idx AS idx, p[i].cx AS cx, p[i].cy AS cy, CAST(ids[i] AS bigint) AS track_id, round(ratio, 6) AS ratio FROM walk, unnest(range(1, len(p) + 1)) AS u(i)"""
+
+
 CEIL = "ln(0.9::DOUBLE) / ln(1 - 1 / greatest(2 * greatest({n}, 1), 1)::DOUBLE)"
 QUERIES = {
     "gap_segments": (segments, f"{T}, {SEG} SELECT video, track_id, CAST(segment AS bigint) AS segment, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM seg GROUP BY ALL"),
@@ -184,5 +198,5 @@ QUERIES = {
     "frame_bands": (banded, f"""{T} SELECT CAST(len([e FOR e IN [1, 10, 25, 50] IF e <= frame]) - 1 AS int) AS band, count(*) AS n, round(median(cx), 6) AS median, min(frame) AS first_frame, arg_max(event_id, struct_pack(a := cx, b := event_id)) AS at_max FROM tracks GROUP BY band"""),
     "run_places": (run_places, f"""{T}, {pairwise_cte('video', 'tracks')}, n AS (SELECT video, count(*) AS n FROM tracks GROUP BY ALL) SELECT CASE WHEN run_frames <= 0 THEN 'none' WHEN run_start = 1 AND run_frames = n THEN 'whole' WHEN run_start = 1 THEN 'trail_cut'
       WHEN run_start - 1 + run_frames = n THEN 'lead_cut' ELSE 'both_cut' END AS place, count(*) AS n_videos FROM pairwise JOIN n USING (video) GROUP BY place"""),
-    "track_association": (association, None),
+    "track_association": (association, association_sql()),
 }
