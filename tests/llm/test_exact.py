@@ -315,3 +315,28 @@ def test_licenses(spark):
     n = len(AWKWARD)
     assert [got[n + i].labels for i in range(5)] == ["mit", "apache-2", "cc-by-nc", "", "mit"]
     assert not any(re.search("Python|Arrow|Pandas", p) for p in [license_scan.license_report(docs_frame(spark, texts))._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    text = "under the mit license token=abcdefgh1"
+    df = docs_frame(spark, [text, text, text + " under the mit license", None], [1, 1, 1, None])
+    got = sorted((r.n_words, r.n_base, r.last_word or 0) for r in license_scan.license_report(df).collect())
+    assert got == [(0, 0, 0), (6, 1, 0), (6, 1, 0), (10, 2, 6)]
+    assert sorted(r.n_assign for r in secret_scan.secret_report(df).collect()) == [0, 1, 1, 1]
+    for report in (license_scan.license_report, secret_scan.secret_report):
+        assert report(df.limit(0)).count() == 0
+    bench = spark.createDataFrame([(None, "one two three four five six")], "item_id long, text string")
+    leaks = decontaminate.leak_report(docs_frame(spark, ["One two, three four five six!"] * 2, [7, 7]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in leaks] == [(7, None, 1.0)] * 2
+
+
+def test_hot_line_is_counted_over_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = docs_frame(spark, [f"hot\nown {i}" for i in range(400)]).repartition(8)
+        got = line_dedup.line_report(df, min_docs=10).collect()
+        assert len(got) == 400 and all((r.n_lines, r.n_dropped) == (2, 1) for r in got)
+        few = line_dedup.line_report(df.where("doc_id < 9"), min_docs=10).collect()
+        assert all(r.n_dropped == 0 for r in few)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
