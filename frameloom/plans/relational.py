@@ -13,6 +13,9 @@ from frameloom.operators import joins as J
 from frameloom.operators.sinks import per_value
 from frameloom.plans.views import duck, view
 from frameloom.session import shared_dir, staged
+from frameloom.sources.frames import FrameSource
+from frameloom.streaming import background, windows
+from frameloom.streaming.tubelets import assembled
 
 R6 = lambda c: F.round(c, 6)
 B = duck("boxes", "gts", "blobs")
@@ -217,13 +220,11 @@ def written_and_read(spark, d):
 
 def rolling_stream(spark, d):
     """ST-2, ST-4: the rolling buffer as a stream over files, equal to window_totals."""
-    from frameloom.streaming.windows import rolling_stream as rolled
-
     rows = view(spark, d, "tracks").select(F.col("video").cast("string").alias("video"), "frame", F.col("event_id").cast("double").alias("value"))
     source = staged(rows, "stream-in")
     base, run = f"{shared_dir(spark)}/frameloom", uuid.uuid4().hex
     stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
-    done = rolled(stream, 8).writeStream.format("parquet").option("path", f"{base}/stream-out-{run}").option("checkpointLocation", f"{base}/stream-check-{run}").trigger(availableNow=True).start()
+    done = windows.rolling_stream(stream, 8).writeStream.format("parquet").option("path", f"{base}/stream-out-{run}").option("checkpointLocation", f"{base}/stream-check-{run}").trigger(availableNow=True).start()
     done.awaitTermination()
     out = spark.read.schema("video string, centre long, first_frame long, last_frame long, total double").parquet(f"{base}/stream-out-{run}")
     return out.select(F.col("video").cast("long").alias("video"), "centre", F.col("total").cast("long").alias("total"))
@@ -231,12 +232,18 @@ def rolling_stream(spark, d):
 
 def foreground(spark, d):
     """ST-1, K-2, K-4, SRC-16, SRC-19: components of a seeded moving square, per video."""
-    from frameloom.sources.frames import FrameSource
-    from frameloom.streaming.background import foreground as run
+    spark.dataSource.register(FrameSource)
+    frames = spark.read.format("frames").options(videos=4, frames=24, seed=7).load()
+    return background.foreground(frames, seed=20, low=0.002)
+
 
+def tubelets(spark, d):
+    """K-8, K-6, SRC-16: complete eight-frame clips around proposals in seeded frames; incomplete windows are left out."""
     spark.dataSource.register(FrameSource)
     frames = spark.read.format("frames").options(videos=4, frames=24, seed=7).load()
-    return run(frames, seed=20, low=0.002)
+    rows = spark.range(96).selectExpr("id AS proposal", "concat('v', id % 4) AS video", "id div 4 AS centre", "double(id % 7 * 9) AS x", "double(12) AS y", "double(8) AS w", "double(10) AS h")
+    clips = assembled(rows, frames, 8, 12, 0.5)
+    return clips.select("proposal", "video", "centre", "n", F.length("clip").cast("long").alias("bytes"))
 
 
 QUERIES = {
@@ -278,4 +285,5 @@ QUERIES = {
     "partitioned_write": (written_and_read, "SELECT 1 AS seed, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1"),
     "rolling_stream": (rolling_stream, f"""{duck('tracks')} SELECT video, frame AS centre, CAST(total AS bigint) AS total FROM (SELECT video, frame, sum(event_id) OVER w AS total, count(*) OVER w AS n FROM tracks WINDOW w AS (PARTITION BY video ORDER BY frame RANGE BETWEEN 3 PRECEDING AND 4 FOLLOWING)) WHERE n = 8"""),
     "foreground_components": (foreground, None),
+    "tubelets": (tubelets, "SELECT i AS proposal, 'v' || (i % 4) AS video, i // 4 AS centre, 8::BIGINT AS n, (8 * 144)::BIGINT AS bytes FROM range(96) AS t(i) WHERE i // 4 - 3 >= 0 AND i // 4 + 4 <= 23"),
 }
