@@ -48,7 +48,7 @@ def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     if small:
-        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
+        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/frameloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
