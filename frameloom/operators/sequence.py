@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,23 +54,67 @@ def pairwise_runs(df: DataFrame, by: list[str], frame: str = "frame") -> DataFra
     return _longest(runs, by)
 
 
-def anchored_runs(df: DataFrame, by: list[str], frame: str = "frame", longest: int = 4096) -> DataFrame:
+def longest_anchored(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, block: int = 256) -> tuple[int, int]:
+    """(length, start) of the longest stretch whose centres stay in the box of its first frame; the first of equals.
+
+    Starts that cannot beat the best any more are not tried, and a start looks ahead in blocks only until
+    it is left, so the work is about the length times a typical run.
+    """
+    n, best, at = len(x), 0, 0
+    for s in range(n):
+        if n - s <= best:
+            break
+        e = s + 1
+        while e < n:
+            part = slice(e, e + block)
+            out = (np.abs(x[part] - x[s]) > w[s] / 2) | (np.abs(y[part] - y[s]) > h[s] / 2)
+            first = int(out.argmax())
+            if out[first]:
+                e += first
+                break
+            e += len(out)
+        if e - s > best:
+            best, at = e - s, s
+    return best, at
+
+
+def anchored_runs(df: DataFrame, by: list[str], frame: str = "frame") -> DataFrame:
     """Per track: the longest run whose centres all lie inside the box of the run's first frame, earliest first.
 
-    A self-join within a segment finds the first frame that leaves each start's box. Segments end at gaps
-    and after `longest` frames at the latest, so the work per segment is bounded; a run longer than that is
-    reported in parts.
+    Each start has its own box, which no running aggregate can follow, and a self-join would be quadratic
+    in a segment. Tracks are dealt over tasks and sorted; a task streams through and holds one segment.
     """
-    rows = segments(df, by, frame)
-    order = Window.partitionBy(*by, "segment").orderBy(frame)
-    rows = rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / longest))
-    a = rows.select(*by, "segment", "part", F.col(frame).alias("start"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("w").alias("aw"), F.col("h").alias("ah"))
-    b = rows.select(*by, "segment", "part", F.col(frame).alias("at"), "cx", "cy")
-    outside = (F.abs(F.col("cx") - F.col("ax")) > F.col("aw") / 2) | (F.abs(F.col("cy") - F.col("ay")) > F.col("ah") / 2)
-    pairs = a.join(b, [*by, "segment", "part"]).where(F.col("at") >= F.col("start"))
-    each = pairs.groupBy(*by, "segment", "start").agg(F.min(F.when(outside, F.col("at"))).alias("left_at"), F.max("at").alias("last"))
-    runs = each.select(*by, F.col("start").alias("run_start"), (F.coalesce("left_at", F.col("last") + 1) - F.col("start")).alias("run_frames"))
-    return _longest(runs, by)
+    columns = ["cx", "cy", "w", "h"]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, best, rows = None, (0, 0), []
+
+        def close() -> tuple[int, int]:
+            if not rows:
+                return best
+            n, at = longest_anchored(*(np.array(c, float) for c in list(zip(*rows))[1:]))
+            return (n, rows[at][0]) if n > best[0] else best
+
+        for pdf in pdfs:
+            out = []
+            for r in pdf.itertuples(index=False, name=None):
+                this, f = r[: len(by)], r[len(by)]
+                if this != key:
+                    best = close()
+                    if key is not None:
+                        out.append((*key, *best))
+                    key, best, rows = this, (0, 0), []
+                elif f != rows[-1][0] + 1:
+                    best = close()
+                    rows = []
+                rows.append(r[len(by) :])
+            yield pd.DataFrame(out, columns=[*by, "run_frames", "run_start"])
+        if key is not None:
+            yield pd.DataFrame([(*key, *close())], columns=[*by, "run_frames", "run_start"])
+
+    ordered = df.select(*by, F.col(frame).cast("long"), *(F.col(c).cast("double") for c in columns)).repartition(*by).sortWithinPartitions(*by, frame)
+    return ordered.mapInPandas(run, f"{kinds}, run_frames long, run_start long")
 
 
 def _longest(runs: DataFrame, by: list[str]) -> DataFrame:
