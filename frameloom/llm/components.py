@@ -38,8 +38,9 @@ def forest(pairs: Iterable[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
 def local_forests(edges: DataFrame, names: tuple[str, str] = ("a", "b"), batch_edges: int = LIMIT) -> DataFrame:
     """A table with the same components: per partition, each node with the smallest node it reaches there.
 
-    A partition is taken in pieces of at most batch_edges edges, so memory is bounded; every piece's
-    stars join the next piece.
+    With names a and b, a partition is taken in pieces of about batch_edges edges, so memory is bounded; the
+    stars of the pieces together connect what the edges did. Labels need the whole partition, which the
+    caller bounds.
     """
     schema = EDGES if names == ("a", "b") else LABELS
     loops = schema == LABELS

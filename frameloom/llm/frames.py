@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def over_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """Apply rows to each Arrow batch; it gives columns (a dict of lists or arrays) in the order of schema."""
+#: Rows that an operator's function sees at once; what it makes of them is all that is held.
+ROWS_AT_ONCE = 1024
+
+
+def over_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """Apply rows to slices of the Arrow batches; it gives the columns of schema (a dict of lists or arrays)."""
     names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from _batches(rows(batch), names, types)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield record(rows(batch.slice(at, ROWS_AT_ONCE)), names, types)
 
     types = arrow_types(df, schema)
     return df.mapInArrow(run, schema)
@@ -28,13 +32,9 @@ def arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema.fields]
 
 
-def _batches(columns: dict, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    made = [pa.array(columns[n], t) if not isinstance(columns[n], pa.Array) else columns[n].cast(t) for n, t in zip(names, types)]
-    yield pa.RecordBatch.from_arrays(made, names)
-
-
 def record(columns: dict, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return next(_batches(columns, names, types))
+    made = [pa.array(columns[n], t) if not isinstance(columns[n], pa.Array) else columns[n].cast(t) for n, t in zip(names, types)]
+    return pa.RecordBatch.from_arrays(made, names)
 
 
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
