@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.frames import keyed_texts, named, numbered, over_batches
-from frameloom.llm.text import LOWER, NON_ALNUM, _power_tables, chunks, mix, shingle_hashes, span_hashes, words
+from frameloom.llm.text import LOWER, NON_ALNUM, chunks, mix, power_tables, shingle_hashes, span_hashes, words
 from frameloom.session import staged
 
 MIN_MATCH = 5
@@ -51,7 +51,7 @@ def windows(t: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.
     n = len(t) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(t))
+    power, inverse = power_tables(len(t))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t * power)])
     marked = np.concatenate([[0], np.cumsum(~free)])
     at = np.flatnonzero(marked[size:] == marked[:n])

@@ -28,7 +28,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
@@ -93,7 +93,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hashes of byte spans, from one running sum over the buffer."""
     if not len(start):
         return np.zeros(0, U64)
-    power, inverse = _power_tables(len(data))
+    power, inverse = power_tables(len(data))
     total = np.empty(len(data) + 1, U64)
     total[0] = 0
     np.cumsum((data.astype(U64) + U64(1)) * power, out=total[1:])
