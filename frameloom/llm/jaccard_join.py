@@ -281,7 +281,11 @@ def group_links(table: pa.Table, at_least: tuple[int, int]) -> pa.Table:
 
 
 def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, at_least: tuple[int, int] = AT_LEAST, class_tokens: int = CLASS_TOKENS) -> DataFrame:
-    """Per row of docs: doc_id, version, n_shingles, component_id, n_links (documents it links to)."""
+    """Per row of docs: doc_id, version, n_shingles, component_id, n_links (documents it links to), class.
+
+    class is one value for all rows of a class, whatever their ids; null for the empty set, of which each
+    row is a class of its own.
+    """
     texts = keyed_texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
     base = staged(set_table(texts, k), "sets")
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version"))
@@ -322,14 +326,14 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     labels = components(links.where("a <> b").select("a", "b"))
     named = labels.join(reps.select("node", "rep_id"), "node").groupBy("label").agg(F.min("rep_id").alias("component"))
-    component = labels.join(named, "label").select("node", "component")
+    component = labels.join(named, "label").select("node", "label", "component")
     n_linked = links.groupBy(F.col("a").alias("node")).agg(F.sum("n_linked").alias("n_linked"))
     info = reps.join(component, "node", "left").join(n_linked, "node", "left").select(
-        F.col("node").alias("of_node"), F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")
+        F.col("node").alias("of_node"), F.coalesce("label", "node").alias("class"), F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")
     )
     joined = base.join(info, F.col("node") == F.col("of_node"), "left")
     alone = F.col("node").isNull()
-    return joined.select("doc_id", "version", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return joined.select("doc_id", "version", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class")
 
 
 def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -338,12 +342,21 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that name their class: of each class the row with the smallest id; null ids stay only where no row of their class has one."""
+    """Of each class one row of docs, with the smallest id (null only where no row of the class has one), then of the smallest text hash.
+
+    Rows without words are classes of their own and all stay.
+    """
     classes = staged(class_table(docs, id_col, text_col, **how), "classes")
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
+    alone = F.col("class").isNull()
+    each = classes.groupBy("class", "doc_id", "version").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version", "n")).alias("first")
+    keep = each.groupBy("class", F.when(alone, F.col("doc_id")).alias("own_id"), F.when(alone, F.col("version")).alias("own_version")).agg(first)
+    again = ~alone & (F.col("first.n") > 1)
+    keep = staged(keep.select(F.col("first.doc_id").alias("_doc"), F.col("first.version").alias("_version"), again.alias("_again")), "keep")
     rows, at = numbered(docs)
     keyed = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col(at[text_col]), F.lit(""))))
     same = F.col(at[id_col]).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version"))
-    kept = keyed.join(keep.hint("shuffle_hash"), same, "left_semi")
-    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return named(kept.dropDuplicates([at[id_col]]) if repeated else kept, at)
+    kept = keyed.join(keep.hint("shuffle_hash"), same)
+    if keep.where("_again").limit(1).count():  # rows with words that share both id and text
+        kept = kept.where("NOT _again").unionByName(kept.where("_again").dropDuplicates(["_doc", "_version"]))
+    return named(kept, at)

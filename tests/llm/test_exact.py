@@ -122,6 +122,18 @@ def test_jaccard_join_odd_ids(spark):
     assert jaccard_join.join_report(df.limit(0)).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    copy, near = " ".join("a%d" % i for i in range(60)), " ".join("n%d" % i for i in range(60))
+    own = [" ".join("%s%d" % (c, i) for i in range(20)) for c in "pqrst"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, None), (None, " "), (None, " "), (7, own[2]), (7, own[3]), (7, ""), (7, ""), (7, own[3])]
+    rows += [(None, copy), (9, copy), (8, copy), (8, copy), (5, near + " x"), (5, near + " y"), (None, near), (None, own[4] + " x y z"), (None, own[4] + " x y")]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs_frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(5)).collect()]
+    fives, last = [x for x in kept if x[0] == 5], [x for x in kept if x[0] is None and (x[1] or "").startswith("t0")]
+    assert len(fives) == len(last) == 1
+    rest = [(None, own[0]), (None, own[1]), (None, None), (None, " "), (None, " "), (7, own[2]), (7, own[3]), (7, ""), (7, ""), (8, copy)]
+    assert sorted(kept, key=repr) == sorted(rest + fives + last, key=repr)
+
+
 def test_components_in_rounds(spark):
     rng = random.Random(3)
     edges = [(b"%03d" % rng.randrange(300), b"%03d" % rng.randrange(300)) for _ in range(200)] + [(b"n%03d" % i, b"n%03d" % (i + 1)) for i in range(40)]
