@@ -2,8 +2,9 @@
 
 The lexer reads source and configuration syntax - `name = "x"`, `"name": "x"`, `name: x`, `NAME=x` - into
 pairs of a name and a literal. A bare word on the right-hand side that is itself an assigned name is a
-constant reference and takes that name's literal (followed up to a few steps). A literal's score is the
-sensitivity of the names that reach it times how random the literal looks; from a threshold on its span
+constant reference and takes the literal of that name's latest assignment before it, or else of its first
+one after it (followed up to a few steps). Names and literals have no longest length. A literal's score is
+the sensitivity of the names that reach it times how random the literal looks; from a threshold on its span
 is reported as kind `lexed`, besides the pattern spans, which are always reported.
 
 Spans are in code points, the end exclusive. Each document is judged by itself, whole and in one pass of
@@ -18,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ STEMS = re.compile("|".join(SENSITIVE))
 #: Cheap tests before lexing a whole text: a part of every hint, then the hint.
 PARTS = ("passw", "secret", "token", "credential", "pwd", "key")
 HINT = re.compile(r"passw|secret|token|api.?key|access.?key|private.?key|credential|auth.?key|pwd", re.I | re.A)
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{0,63})["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!/))[\x20\t]*(?:"([^"\n]{1,512})"|'([^'\n]{1,512})'|([^\s"',;#(){}\[\]]{1,512}))""", re.A)
+PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!/))[\x20\t]*(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;#(){}\[\]]++))""", re.A)
 NAME = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?", re.A)
 LOW_RANDOMNESS = 0.5
 THRESHOLD = 0.5
@@ -62,12 +64,13 @@ def sensitivity(name: str) -> float:
 
 
 def randomness(literal: str) -> float:
-    """0 to 1: the literal's entropy against that of a random string of its length, halved for plain words."""
+    """0 to 1: the literal's entropy against that of a random string of its length, halved for several plain words."""
     n = len(literal)
     if n < 8:
         return 0.0
     h = -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) / math.log2(min(n, 64))
-    return h * (1.0 if any(c.isdigit() for c in literal) or any(c in "+/=_-." for c in literal) else LOW_RANDOMNESS)
+    one = not any(c.isspace() for c in literal)  # a name that is sensitive at all needs no digit in a single word
+    return h * (1.0 if one or any(c.isdigit() for c in literal) or any(c in "+/=_-." for c in literal) else LOW_RANDOMNESS)
 
 
 def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
@@ -84,7 +87,10 @@ def lexed_spans(text: str, low: str) -> list[tuple[int, int, int, float]]:
     if not any(x in low for x in PARTS) or not HINT.search(text):
         return []
     pairs = assignments(text)
-    literal_of = {name: (lit, a, b, quoted) for name, lit, a, b, quoted in pairs}
+    literals_of = defaultdict(list)
+    for name, *literal in pairs:
+        literals_of[name].append(literal)
+    starts_of = {name: [a for _, a, _, _ in x] for name, x in literals_of.items()}
     best: dict[tuple[int, int], float] = {}
     for name, lit, a, b, quoted in pairs:
         weight = sensitivity(name)
@@ -92,9 +98,13 @@ def lexed_spans(text: str, low: str) -> list[tuple[int, int, int, float]]:
             continue
         for _ in range(MAX_STEPS):
             ref = None if quoted else NAME.fullmatch(lit)
-            if not ref or ref[1] not in literal_of or literal_of[ref[1]][1] == a:
+            if not ref or ref[1] not in literals_of:
                 break
-            lit, a, b, quoted = literal_of[ref[1]]
+            before = bisect_left(starts_of[ref[1]], a)
+            others = literals_of[ref[1]][before - 1 : before] if before else [x for x in literals_of[ref[1]][:2] if x[1] > a][:1]
+            if not others:
+                break
+            lit, a, b, quoted = others[0]
         score = weight * randomness(lit)
         if score >= THRESHOLD:
             best[a, b] = max(score, best.get((a, b), 0.0))

@@ -310,6 +310,20 @@ def test_secrets(spark):
     assert not got[n + 6].spans
 
 
+def test_secrets_of_any_length_and_order(spark):
+    long = "".join("aZ3kQ9xW"[i * i % 7] + str(i) for i in range(300))
+    cases = [
+        (f'client_credential = "{long}"', {long}), (f"client_credential = '{long}'", {long}), (f"client_credential={long}, x=1", {long}), (f"{'n' * 70}_pwd: Zx81Qw72Er63", {"Zx81Qw72Er63"}),
+        ('pwd = "qwhzrtplmkvx"', {"qwhzrtplmkvx"}), ("auth_key: mnbvcxzlkjhg", {"mnbvcxzlkjhg"}), ('"credential": "horsebattery"', {"horsebattery"}), ("pwd = 'gh!kl@mn$p'", {"gh!kl@mn$p"}),
+        ('A = "q8Zr4Tn2Lw9Kd"\nauth_key = A\nA = "x"', {"q8Zr4Tn2Lw9Kd"}), ('A = "q8Zr4Tn2Lw9Kd"\nA = "Rt5Yu6Io7Pl8"\nauth_key = A', {"Rt5Yu6Io7Pl8"}), ('auth_key = A\nA = "q8Zr4Tn2Lw9Kd"\nA = "x"', {"q8Zr4Tn2Lw9Kd"}),
+        (f"A = '{long}'\nauth_key = A", {long}), ('pwd_label = "enter it here please"', set()), ("pwd = pwd", set()),
+    ]
+    got = {r.doc_id: r for r in secret_scan.secret_report(docs_frame(spark, [t for t, _ in cases])).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert {text[slice(*map(int, s.split(":")[1:]))] for s in got[i].spans.split(",") if s.startswith("lexed")} == want, text[:60]
+        assert got[i].n_lexed == len(want)
+
+
 # ---- licenses
 
 
