@@ -3,9 +3,10 @@
 Every run of k words of a text is hashed and joined to the places of the same run in the license
 templates. A hit at text word i and template word j votes for the diagonal i - j. A template that stands
 in the text unchanged collects all its votes on one diagonal; inserted or missing words move later votes
-to a neighbouring diagonal, so diagonals within `slack` of each other are merged before the share of the
-template that was found is taken. Hits compare the words themselves besides their hashes, so every
-counted vote is verified.
+to a neighbouring diagonal, so diagonals within `slack` of each other are merged. Hits compare the words
+themselves besides their hashes, so every counted vote is verified. Each band that has enough different
+places of a template is then checked in order: its share is that of the longest chain of hits whose places
+rise with the text's words and whose diagonals move by at most `slack` from hit to hit.
 
 The templates are a fixed list in this module (`TEMPLATES`, a few hundred word runs), which is why their
 side of the join can be broadcast. Votes are grouped by document and template, which are bounded by the
@@ -76,7 +77,7 @@ def template_runs(spark, templates: list[tuple[str, str, bool]], k: int) -> Data
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, k: int = K) -> DataFrame:
-    """(doc_id, version, template, label, exact, n_runs, diagonal, n_votes) of all diagonals with a verified hit."""
+    """(doc_id, version, template, label, exact, n_runs, diagonal, places) of all diagonals with a verified hit."""
     parts = keyed_texts(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), word_parts(F.col("text")).alias("parts"))
     words = parts.select("doc_id", "version", "parts", F.posexplode("parts").alias("i", "w0"))
     words = words.select("doc_id", "version", (F.col("i") - F.when(F.get("parts", F.lit(0)) == "", 1).otherwise(0)).alias("i"), "w0", *(F.get("parts", F.col("i") + n).alias(f"w{n}") for n in range(1, k)))
@@ -84,22 +85,40 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templ
     known = F.broadcast(template_runs(docs.sparkSession, templates or TEMPLATES, k))
     same = [keyed["key"] == known["key"], *(F.col(f"w{n}") == F.col(f"t{n}") for n in range(k))]
     hits = keyed.join(known, same).withColumn("diagonal", F.col("i") - F.col("place"))
-    return hits.groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "diagonal").agg(F.countDistinct("place").alias("n_votes"))
+    return hits.groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "diagonal").agg(F.collect_set("place").alias("places"))
+
+
+def in_order(parts: Column, n_runs: Column, slack: int) -> Column:
+    """Length of the longest chain of hits in the text's order; parts: an array of (diagonal, places)."""
+    hits = F.flatten(F.transform(parts, lambda p: F.transform(p["places"], lambda x: F.struct((p["diagonal"] + x).alias("i"), (-x).alias("back")))))
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.array().cast("array<struct<i:bigint,back:bigint,n:bigint>>").alias("recent"))
+
+    def step(a: Column, h: Column) -> Column:
+        before = F.filter(a["recent"], lambda r: (r["i"] < h["i"]) & (r["back"] > h["back"]) & (F.abs(h["i"] + h["back"] - r["i"] - r["back"]) <= slack))
+        n = F.coalesce(F.array_max(F.transform(before, lambda r: r["n"])), F.lit(0).cast("long")) + 1
+        # a hit further back than the template's length and the slack cannot be the one before
+        recent = F.filter(a["recent"], lambda r: h["i"] - r["i"] <= n_runs + slack)
+        return F.struct(F.greatest(a["best"], n).alias("best"), F.concat(recent, F.array(F.struct(h["i"].alias("i"), h["back"].alias("back"), n.alias("n")))).alias("recent"))
+
+    return F.aggregate(F.array_sort(hits), start, step, lambda a: a["best"])
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, k: int = K, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, version, template, label, exact, start, share): places of templates, neighbouring diagonals merged.
 
     Exact templates give one row per diagonal that has every vote; others one per merged band with at
-    least the share `coverage` of the template, starting at its first diagonal.
+    least the share `coverage` of the template in order, starting at its first diagonal.
     """
     each = votes(docs, id_col, text_col, templates, k)
     band = Window.partitionBy("doc_id", "version", "template").orderBy("diagonal")
     gap = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(band) > slack), 1).otherwise(0)
     bands = each.withColumn("gap", gap).withColumn("band", F.sum("gap").over(band.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = bands.groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "band").agg(F.min("diagonal").alias("start"), F.sum("n_votes").alias("n_votes"))
-    share = F.least(F.lit(1.0), F.col("n_votes") / F.col("n_runs"))
+    parts = F.collect_list(F.struct("diagonal", "places")).alias("parts")
+    merged = bands.groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "band").agg(F.min("diagonal").alias("start"), parts)
+    n_places = F.size(F.array_distinct(F.flatten(F.col("parts.places"))))
     needed = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(coverage))
+    checked = F.when(F.col("exact"), n_places).otherwise(in_order(F.col("parts"), F.col("n_runs"), slack))
+    share = F.when(n_places / F.col("n_runs") >= needed, checked / F.col("n_runs"))
     return merged.withColumn("share", share).where(F.col("share") >= needed).select("doc_id", "version", "template", "label", "exact", "start", "share")
 
 

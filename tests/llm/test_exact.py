@@ -343,6 +343,19 @@ def test_licenses(spark):
     assert not any(re.search("Python|Arrow|Pandas", p) for p in [license_scan.license_report(docs_frame(spark, texts))._jdf.queryExecution().executedPlan().toString()])
 
 
+def test_license_spans_stand_in_order(spark):
+    notice = license_scan.NOTICES[2][0]  # licensed under the apache license version 2 0
+    w = notice.split()
+    shifted = license_scan.NOTICES[0][0].split()
+    shifted = shifted[:8] + ["x", "y", "z"] + shifted[8:16] + ["x", "y", "z"] + shifted[16:]
+    runs = [" ".join(w[i : i + 3]) for i in (4, 3, 2, 1, 0)]
+    texts = ["apache license version " * 4, "apache license version " * 4 + notice, " ".join(runs), " ".join(shifted)]
+    got = {r.doc_id: (r.labels, round(r.score, 6)) for r in license_scan.license_report(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in (0, 1, 2)] == [("", 0.0), ("apache-2", 1.0), ("", 0.0)]
+    n = len(license_scan.NOTICES[0][0].split()) - 2
+    assert got[3] == ("mit", round((n - 4) / n, 6))
+
+
 def test_repeated_rows_and_empty_tables(spark):
     text = "under the mit license token=abcdefgh1"
     df = docs_frame(spark, [text, text, text + " under the mit license", None], [1, 1, 1, None])
