@@ -37,8 +37,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids of every document that is left."""
-    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+    """doc_id, n_pieces and ids of every document that is left, with the hash of the decoded ids and whether they give the text back."""
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), decoded=True)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", benchmark_leaks), ("pieces", coded)]

@@ -174,17 +174,24 @@ def _in_parts(batch: pa.RecordBatch, rows: int = 256):
         yield batch.column(1).slice(at, rows).to_pylist()
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces and ids of every row."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_pieces and ids of every row; with decoded also decoded_sha256 and round_trip, of the ids decoded again."""
 
     def run(batch: pa.RecordBatch) -> dict:
         tool = model(path)
         ids = [x for texts in _in_parts(batch) for x in tool.encode(texts)]
         n = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate(ids).astype(np.int32)
-        return {"doc_id": batch.column(0), "n_pieces": n, "ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), flat)}
+        out = {"doc_id": batch.column(0), "n_pieces": n, "ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), flat)}
+        if decoded:
+            out |= {"decoded_sha256": [], "round_trip": []}
+            for text, x in zip((t for texts in _in_parts(batch) for t in texts), ids):
+                back = tool.decode(x)
+                out["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
+                out["round_trip"].append(back == (text or ""))
+        return out
 
-    return over_batches(keyed_texts(docs, id_col, text_col), run, "doc_id long, n_pieces long, ids array<int>")
+    return over_batches(keyed_texts(docs, id_col, text_col), run, "doc_id long, n_pieces long, ids array<int>" + ", decoded_sha256 string, round_trip boolean" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline as P
 from frameloom.llm import decontaminate, jaccard_join, line_dedup, pieces, quality_fm, queries
 from frameloom.session import staged, table
+from tests.llm.data import docs_frame
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +53,11 @@ def test_each_stage_on_its_own_input(stages, spark):
     before, after = at["pieces"]
     path = queries.tokenizer_file("piece_bpe_32k.model")
     assert {r.doc_id: r.text for r in pieces.decode(after, path).collect()} == {r.doc_id: r.text for r in before.collect()}
+
+
+def test_last_stage_decodes(spark):
+    texts = ["a  plain text", "", None, "\u65e5\u672c\nlast", "mark \u2581 inside"]
+    got = {r.doc_id: r for r in P.coded(spark, docs_frame(spark, texts), "").collect()}
+    back = [(t or "").replace("\u2581", " ") for t in texts]
+    assert [got[i].decoded_sha256 for i in range(5)] == [hashlib.sha256(t.encode()).hexdigest() for t in back]
+    assert [got[i].round_trip for i in range(5)] == [True] * 4 + [False]
