@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.frames import keyed_texts
-
 
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text modulo folds; a null id counts as an empty text."""
@@ -14,12 +12,18 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
-    """(texts, labels, weight of a negative row against a positive one) from rows outside the held-out fold.
+    """(texts, labels, weight of a negative row against a positive one), as in `sample_with_lengths`."""
+    texts, _, found, weight = sample_with_lengths(docs, labels, label_col, folds, held_out, per_class, max_chars, id_col, text_col, "")
+    return texts, found, weight
+
+
+def sample_with_lengths(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, max_chars: int, id_col: str, text_col: str, length_col: str) -> tuple[list[str], list[float | None], list[int], float]:
+    """(texts, recorded lengths, labels, weight of a negative row against a positive one) from rows outside the held-out fold.
 
     At most per_class rows of each class, taken in the order of a hash of the id, whole texts, and no
     more rows once max_chars characters are reached. Rows whose label is neither 0 nor 1, and labels
-    without a document, are left out; of conflicting labels of one id the larger counts. The weight
-    restores the share of the classes among all labelled rows.
+    without a document, are left out; of conflicting labels of one id the larger counts, and so of the
+    recorded lengths of equal rows. The weight restores the share of the classes among all labelled rows.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).where(fold(F.col("doc_id"), folds) != held_out)
@@ -29,16 +33,20 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_
         part = known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class ids, so the join side has a fixed bound
-    rows = keyed_texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "text"])
+    length = F.col(f"`{length_col}`") if length_col in docs.columns else F.lit(None)
+    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), length.cast("double").alias("length"))
+    rows = keyed.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).agg(F.max("length").alias("length"))
     texts: list[str] = []
+    lengths: list[float | None] = []
     found: list[int] = []
     total = 0
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
         texts.append(r["text"])
+        lengths.append(r["length"])
         found.append(r["label"])
         total += len(r["text"])
         if total > max_chars:
             break
     n = [max(1, found.count(0)), max(1, found.count(1))]
     weight = (share.get(0, 1) / n[0]) / (share.get(1, 1) / n[1])
-    return texts, found, weight
+    return texts, lengths, found, weight

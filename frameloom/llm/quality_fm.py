@@ -10,7 +10,8 @@ The model has a fixed size, is fitted on a bounded sample of labelled rows (`lab
 to the tasks as one broadcast; every text is scored whole and nothing is shuffled.
 
 Defined results: null and empty texts score as texts whose statistics are all zero; a null or missing
-recorded length counts as right; equal rows get equal scores; without labelled rows of both classes
+recorded length counts as right; if all lengths of the sample are equally right, the recorded length adds
+nothing to any score; equal rows get equal scores; without labelled rows of both classes
 every score is the prior share. Only the id, the text, the recorded length and the labels' two columns
 are read.
 """
@@ -123,6 +124,8 @@ def fit(texts: list[str], recorded: np.ndarray, labels: list[int], negative_weig
         return model
     dense, rows, buckets, values = features(pa.array(texts, pa.string()), recorded)
     model["mean"], model["spread"] = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3) * 2
+    meta = slice(len(STATISTICS), N_DENSE)
+    v[meta][dense[:, meta].std(axis=0) == 0] = 0  # nothing to learn: it adds nothing to any score either
     x = (dense - model["mean"]) / model["spread"]
     scale = row_weight / row_weight.sum()
     state = {k: [np.zeros_like(model[k]), np.zeros_like(model[k])] for k in ("w", "v")}
@@ -153,10 +156,10 @@ def score_texts(model: dict, texts: pa.Array, recorded: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """The model from the labelled rows outside the held-out fold; their recorded lengths count as right."""
-    texts, found, weight = labelled.sample(docs, labels, label_col, folds, held_out, per_class, max_chars, id_col, text_col)
-    return fit(texts, np.full(len(texts), np.nan), found, weight)
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> dict:
+    """The model from the labelled rows outside the held-out fold, with their recorded lengths."""
+    texts, lengths, found, weight = labelled.sample_with_lengths(docs, labels, label_col, folds, held_out, per_class, max_chars, id_col, text_col, length_col)
+    return fit(texts, np.array(lengths, float), found, weight)
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -178,13 +181,13 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD, **how) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    model = train(docs, labels, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col, **how)
+    model = train(docs, labels, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col, length_col=length_col, **how)
     return scored(docs, model, id_col, text_col, length_col, folds, held_out, threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of docs that score at least threshold, with docs' columns."""
-    model = train(docs, labels, id_col=id_col, text_col=text_col, **how)
+    model = train(docs, labels, id_col=id_col, text_col=text_col, length_col=length_col, **how)
     carried, at = numbered(docs)
     rows = scored(carried, model, at[id_col], at[text_col], at.get(length_col, ""), threshold=threshold, carry=tuple(carried.columns))
     return named(rows.where(F.col("predicted") == 1), at)

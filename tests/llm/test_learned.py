@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from frameloom.llm import quality_fm, queries, toxicity
 from frameloom.session import table
@@ -63,6 +64,18 @@ def test_awkward_rows(spark, report, label):
     assert report(docs_frame(spark, []), labels).count() == 0
 
 
+def test_recorded_length_is_fitted(spark):
+    texts = [" ".join("w%d" % (i * j % 17) for j in range(30 + i % 7)) for i in range(60)]
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, quality int")
+    stale = docs.withColumn("n_chars", F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") * 5).otherwise(F.col("n_chars")))
+    at = len(quality_fm.STATISTICS)
+    assert quality_fm.train(stale, labels)["w"][at] < -0.1
+    right = quality_fm.train(docs, labels)
+    a, b = ({r.doc_id: r.score for r in quality_fm.scored(d, right).collect()} for d in (docs, stale))
+    assert a == pytest.approx(b)
+
+
 def test_keep_good(spark, big):
     docs = table(spark, big, "documents")
     kept = quality_fm.keep_good(docs, table(spark, big, "labels"))
