@@ -13,9 +13,9 @@ writer commits them, so lost or repeated tasks leave nothing half-written - and
 the shards as read back. Only one row per partition is needed to turn places within a partition into
 places in the corpus.
 
-Encoding: the pre-tokeniser never joins what stands before a single space to what follows it, so a text
-is cut there and each distinct piece is encoded by the tokenizers library once per worker. A text with
-two spaces in a row or an added token's string is given to the library whole.
+Encoding: texts are cut into the library's pre-tokens with numpy, a batch at once, and each distinct
+pre-token is encoded by the tokenizers library once per worker. Texts with characters whose kind depends on
+the version of Unicode, or with an added token's string, are given to the library whole.
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows that repeat an id
 are documents of their own, in order of their text hashes. Other columns are not read.
@@ -26,17 +26,18 @@ from __future__ import annotations
 import gc
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.frames import arrow_types, keyed_texts, record
+from frameloom.llm.text import CHUNK_BYTES, chunks, span_hashes
 from frameloom.session import staged
 
 MAGIC = 0x3144495754584946
@@ -44,8 +45,12 @@ GROUP = 64
 NATIVE = {8: "<u1", 16: "<u2", 32: "<u4"}
 BLOCK = 4096
 SHARD_IDS = 1 << 20
-#: Distinct pieces a worker remembers before it starts over.
+#: Distinct pieces, and characters of pieces, that a worker remembers before it starts over.
 CACHE_PIECES = 1_200_000
+CACHE_POINTS = 1 << 25
+#: Slots of the table of pieces, as a power of two; characters of the longest piece that is remembered.
+TABLE_BITS = 22
+LONG = 256
 
 
 def bits_for(vocabulary: int) -> int:
@@ -121,26 +126,101 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-# Fixed value: how byte-level pre-tokenisation cuts a text.
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Marks a text's first piece, which has no space before it.
-HEAD = "\0"
+#: Kinds of characters to a byte-level pre-tokeniser; FAR ones are left to the library.
+SPACES, LETTERS, NUMBERS, OTHERS, FAR = range(5)
+# Fixed value: the code points that are white space below U+10000.
+WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# What byte-level pre-tokenisation cuts off after an apostrophe.
+SHORTENED = ["s", "t", "m", "d", "re", "ve", "ll"]
 
 
-def byte_letters() -> dict[int, str]:
+def char_kinds() -> np.ndarray:
+    """The kind of each code point below U+10000.
+
+    Libraries know different versions of Unicode. A code point counts as far unless it has the same kind
+    in an early version and in this Python's, and so in those between.
+    """
+    kinds = np.full(1 << 16, FAR, np.uint8)
+    groups = {"L": LETTERS, "N": NUMBERS, "Z": SPACES}
+    for c in range(1 << 16):
+        now, early = (x.category(chr(c)) for x in (unicodedata, unicodedata.ucd_3_2_0))
+        if "C" not in (now[0], early[0]) or now == early == "Cc":
+            found = {SPACES if c in WHITE else groups.get(x[0], OTHERS) for x in (now, early)}
+            if len(found) == 1 and (found != {SPACES} or c in WHITE):
+                kinds[c] = found.pop()
+    return kinds
+
+
+def token_starts(points: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where byte-level pre-tokens begin; text i is points[bounds[i]:bounds[i + 1]].
+
+    A pre-token is a run of one kind, with the single space before it; of several white-space characters
+    in a row the last one is apart if something follows; an apostrophe that begins a pre-token takes one
+    of the shortened endings with it.
+    """
+    n = len(points)
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    first = edge[:n]
+    white = kinds == SPACES
+    start = first.copy()
+    start[1:] |= kinds[1:] != kinds[:-1]
+    led = np.zeros(n, bool)
+    led[1:] = points[:-1] == 32
+    start &= first | white | ~led
+    last = white & ~edge[1:]
+    last[:-1] &= ~white[1:]
+    start |= last
+    marks = np.flatnonzero(points == 39)
+    marks = marks[start[marks]]
+    if len(marks):
+        stop = bounds[np.searchsorted(bounds, marks, "right")]
+        for ending in SHORTENED:
+            here = marks + len(ending) < stop
+            for k, c in enumerate(ending, 1):
+                here[here] &= points[marks[here] + k] == ord(c)
+            start[marks[here] + 1] = False
+            after = marks[here] + 1 + len(ending)
+            start[after[after < stop[here]]] = True
+    return np.flatnonzero(start)
+
+
+def long_cuts(data: np.ndarray) -> np.ndarray:
+    """Offsets of parts of about CHUNK_BYTES of one text, cut where a space follows a visible ASCII character.
+
+    A pre-token begins there whatever stands around it, so the parts are encoded by themselves.
+    """
+    cuts = [0]
+    while len(data) - cuts[-1] > 2 * CHUNK_BYTES:
+        at = cuts[-1] + CHUNK_BYTES
+        while at < len(data):
+            part = data[at - 1 : at + CHUNK_BYTES]
+            found = np.flatnonzero((part[1:] == 32) & (part[:-1] > 32) & (part[:-1] < 127))
+            if len(found):
+                break
+            at += CHUNK_BYTES
+        if at >= len(data):
+            break
+        cuts.append(at + int(found[0]))
+    return np.array([*cuts, len(data)], np.int64)
+
+
+def byte_letters() -> np.ndarray:
     """Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+    letters = np.arange(256, dtype="<u4")
+    letters[hidden] = 256 + np.arange(len(hidden))
+    return letters
 
 
 class Encoder:
-    """A tokenizers file, with the ids of the pieces (between spaces) seen so far.
+    """A tokenizers file, with the ids of the pre-tokens seen so far.
 
-    A piece made of letters, or a pre-token of another piece, goes to the library's model; the ids of other
-    pieces are put together from those of their pre-tokens. The memory starts over at a fixed size, so a
-    worker's memory is bounded. Pieces beyond Latin letters are cut by the library itself, whatever
-    Unicode version either side knows.
+    A batch of texts is cut into pre-tokens by numpy passes over its code points. A pre-token is looked up
+    by hash in an open table and compared with what is stored there character by character; new ones
+    go to the library's model. Texts with far characters or an added token's string, and all texts of a
+    tokenizer with other rules, go to the library whole. The memory starts over at a fixed size.
     """
 
     def __init__(self, path: str):
@@ -153,106 +233,153 @@ class Encoder:
         self.vocabulary = self.tool.get_vocab_size(with_added_tokens=True)
         kind = json.loads(self.tool.to_str())
         pre = kind["pre_tokenizer"] or {}
-        self.cuts = kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.letters = byte_letters()
-        self.space = self.letters[32]
+        self.cuts = bool(kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
+        self.letters, self.kinds = byte_letters(), char_kinds()
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.used = 0
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-
-    def one(self, piece: str) -> list[int]:
-        """Ids of a piece that is one pre-token."""
-        if piece.isascii() and piece.isalpha():
-            return [t.id for t in self.model.tokenize(self.space + piece)]
-        text = piece[1:] if piece[:1] == HEAD else " " + piece
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-
-    def learn(self, pieces: list[str]) -> None:
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.slots = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.n_pieces = self.used = self.used_points = 0
+        self.lengths, self.begin = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.sizes, self.points_begin = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.flat, self.points = np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint32)
+
+    def room(self, name: str, n: int) -> np.ndarray:
+        """The array of that name, doubled until n values fit."""
+        x = getattr(self, name)
+        while len(x) < n:
+            x = np.concatenate([x, np.zeros_like(x)])
+        setattr(self, name, x)
+        return x
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece stored under each hash, or -1."""
+        at = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        found = self.slots[at]
+        more = np.flatnonzero((found >= 0) & (self.keys[at] != h))
+        while len(more):
+            at = (at[more] + 1) & (len(self.slots) - 1) if len(at) != len(more) else (at + 1) & (len(self.slots) - 1)
+            slot = self.slots[at]
+            found[more] = slot
+            wrong = (slot >= 0) & (self.keys[at] != h[more])
+            more, at = more[wrong], at[wrong]
+        return found
+
+    def keep(self, h: np.ndarray, pieces: np.ndarray) -> None:
+        """Store pieces under distinct hashes that are not in the table."""
+        at = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.slots[at[put]] = h[put], pieces[put]
+            rest = np.ones(len(h), bool)
+            rest[put] = False
+            h, pieces, at = h[rest], pieces[rest], (at[rest] + 1) & (len(self.slots) - 1)
+
+    def learn(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, the spans of points."""
+        size = end - start
+        upto = np.concatenate([[0], np.cumsum(size)])
+        own = points[np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)]
+        wide = 1 + (own >= 0x80) + (own >= 0x800) + (own >= 0x10000)
+        cut = np.concatenate([[0], np.cumsum(wide)])[upto].tolist()
+        raw = np.frombuffer(own.tobytes().decode("utf-32-le").encode(), np.uint8)
+        text = self.letters[raw].tobytes().decode("utf-32-le")
+        tokenize = self.model.tokenize
         gc.disable()  # very many short lists, and no cycles
         try:
-            self.add(pieces)
+            made = [[t.id for t in tokenize(text[a:b])] for a, b in zip(cut, cut[1:])]
         finally:
             gc.enable()
-
-    def add(self, pieces: list[str]) -> None:
-        index, fresh = self.index, {}
-
-        def part(p: str) -> list[int]:
-            ids = fresh.get(p)
-            if ids is None:
-                at = index.get(p)
-                if at is not None:
-                    return self.flat[self.begin[at] : self.begin[at] + self.lengths[at]].tolist()
-                ids = fresh[p] = self.one(p)
-            return ids
-
-        for p in pieces:
-            if p in fresh:
-                continue
-            if not p.isascii() and max(p) >= "\u0250":
-                fresh[p] = self.tool.encode(p[1:] if p[:1] == HEAD else " " + p, add_special_tokens=False).ids
-            elif p.isalpha():
-                fresh[p] = self.one(p)
-            elif p[-1:] in (",", ".") and p[:-1].isalpha():
-                fresh[p] = part(p[:-1]) + part(HEAD + p[-1])
-            else:
-                cut = PRE_TOKENS.findall(p[1:] if p[:1] == HEAD else " " + p)
-                cut = [t[1:] if t[0] == " " and len(t) > 1 else HEAD + t for t in cut]
-                fresh[p] = self.one(p) if cut == [p] else [i for t in cut for i in part(t)]
-        made = list(fresh.values())
         n = np.fromiter(map(len, made), np.int64, len(made))
-        have, total = len(index), int(n.sum())
-        while have + len(made) > len(self.lengths):
-            self.lengths, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.begin))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.lengths[have : have + len(n)] = n
-        self.begin[have : have + len(n)] = self.used + np.cumsum(n) - n
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
+        have, total = self.n_pieces, int(n.sum())
+        self.n_pieces += len(made)
+        for name, values in (("lengths", n), ("begin", self.used + np.cumsum(n) - n), ("sizes", size), ("points_begin", self.used_points + upto[:-1])):
+            self.room(name, self.n_pieces)[have : self.n_pieces] = values
+        self.room("flat", self.used + total)[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
+        self.room("points", self.used_points + len(own))[self.used_points : self.used_points + len(own)] = own
         self.used += total
-        index.update(zip(fresh, range(have, have + len(made))))
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts with the end id after each, number of ids of each)."""
-        if len(self.index) > CACHE_PIECES:
+        self.used_points += len(own)
+        return np.arange(have, self.n_pieces)
+
+    def pieces(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The piece number of every span; the spans follow each other without gaps."""
+        h = span_hashes(points, start, end)
+        at = self.find(h)
+        long = end - start > LONG
+        at[long] = -1
+        missing = np.flatnonzero((at < 0) & ~long)
+        if len(missing):
+            fresh, first, own = np.unique(h[missing], return_index=True, return_inverse=True)
+            made = self.learn(points, start[missing[first]], end[missing[first]])
+            self.keep(fresh, made)
+            at[missing] = made[own]
+        size = self.sizes[at].astype(np.int64)
+        right = (at >= 0) & (size == end - start)
+        where = np.flatnonzero(right)
+        size = size[where]
+        begin = np.cumsum(size) - size
+        every = np.arange(int(size.sum()))
+        same = self.points[every + np.repeat(self.points_begin[at[where]] - begin, size)] == points[every + np.repeat(start[where] - begin, size)]
+        if not same.all():  # two pieces of one hash
+            right[where[np.unique(np.searchsorted(begin, np.flatnonzero(~same), "right") - 1)]] = False
+        alone = np.flatnonzero(~right)
+        if len(alone):
+            at[alone] = self.learn(points, start[alone], end[alone])
+        return at
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a buffer."""
+        if self.n_pieces > CACHE_PIECES or self.used_points > CACHE_POINTS:
             self.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif not self.cuts or "  " in t or HEAD in t or any(a in t for a in self.added):
-                cut.append(None)
-            else:
-                pieces = t.split(" ")
-                if pieces[0]:
-                    pieces[0] = HEAD + pieces[0]
-                else:
-                    del pieces[0]
-                cut.append(pieces)
-        index = self.index
-        pieces = list(chain.from_iterable(c for c in cut if c))
-        at = np.fromiter(map(index.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self.learn(list(dict.fromkeys(pieces[i] for i in missing)))
-            at[missing] = [index[pieces[i]] for i in missing]
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + n, n)]
-        sizes = np.array([len(c) if c else 0 for c in cut], np.int64)
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        text = data.tobytes().decode()
+        bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        n = len(bounds) - 1
+        hard = np.full(n, not self.cuts)
+        for a in self.added:
+            at = text.find(a)
+            while at >= 0:
+                hard[np.searchsorted(bounds, at, "right") - 1] = True
+                at = text.find(a, at + 1)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        if not len(points):
+            return [np.zeros(0, np.uint32)] * n
+        kinds = self.kinds[np.minimum(points, 0xFFFF)]
+        far = np.flatnonzero(kinds == FAR)
+        hard[np.searchsorted(bounds, far, "right") - 1] = True
+        if hard.all():
+            start = np.zeros(0, np.int64)
+        else:
+            start = token_starts(points, kinds, bounds)
+        end = np.append(start[1:], len(points))[: len(start)]
+        own = np.searchsorted(start, bounds)
+        if hard.any():
+            easy = ~np.repeat(hard, np.diff(own))
+            start, end = start[easy], end[easy]
+            own = np.concatenate([[0], np.cumsum(np.where(hard, 0, np.diff(own)))])
+        at = self.pieces(points, start, end)
+        size = self.lengths[at].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.arange(upto[-1]) + np.repeat(self.begin[at] - upto[:-1], size)]
+        upto = upto[own]
+        return [self.whole(text[bounds[i] : bounds[i + 1]]) if hard[i] else flat[upto[i] : upto[i + 1]] for i in range(n)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the end id after each, number of ids of each)."""
         parts, end = [], np.array([end_id], np.uint32)
-        for i, (t, c) in enumerate(zip(texts, cut)):
-            if c is None:
-                parts.append(np.array(self.tool.encode(t, add_special_tokens=False).ids, np.uint32))
+        for _, data, offsets in chunks(texts):
+            if len(data) > 2 * CHUNK_BYTES and self.cuts and not any(a.encode() in data.tobytes() for a in self.added):
+                cuts = long_cuts(data)  # one text
+                rows = [np.concatenate([x for a, b in zip(cuts, cuts[1:]) for x in self.encode_rows(data[a:b], np.array([0, b - a]))])]
             else:
-                parts.append(flat[upto[i] : upto[i + 1]])
-            parts.append(end)
+                rows = self.encode_rows(data, offsets)
+            for ids in rows:
+                parts += ids, end
         counts = np.array([len(x) + 1 for x in parts[::2]], np.int64)
         return np.concatenate(parts) if parts else end[:0], counts
 
@@ -293,7 +420,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                got, n = tool.encode(rows.column(1).to_pylist(), end_id)
+                got, n = tool.encode(rows.column(1), end_id)
                 ids.append(got)
                 counts.append(n)
                 doc_ids.append(rows.column(0))
@@ -306,7 +433,9 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
             yield flush()
 
     texts = keyed_texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows of one id are dealt by their texts, and equal rows by where they come from
+    placed = texts.withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()})
+    ordered = placed.repartitionByRange("doc_id", "hash", "origin").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     return staged(ordered.mapInArrow(run, SHARDS), "packed-ids")
 
 
