@@ -1,17 +1,24 @@
 """Secret scans: fixed patterns, and literals judged by the names they are assigned to.
 
-The lexer reads source and configuration syntax - `name = "x"`, `"name": "x"`, `name: x`, `NAME=x` - into
-pairs of a name and a literal. A bare word on the right-hand side that is itself an assigned name is a
-constant reference and takes the literal of that name's latest assignment before it, or else of its first
-one after it (followed up to a few steps). Names and literals have no longest length. A literal's score is
-the sensitivity of the names that reach it times how random the literal looks; from a threshold on its span
-is reported as kind `lexed`, besides the pattern spans, which are always reported.
+The lexer cuts source and configuration text into names, strings (with escapes, triple quotes, backticks),
+operators and newlines; the parser reads assignments from them: `name = x`, `name := x`, `name: x`,
+`"name": x`, `name => x`, `table["name"] = x`, `name: Type = x`, YAML block scalars and `<name>x</name>`.
+A value is a string or a bare word, or several joined by `+`, `.`, a line's end with a backslash, or
+nothing. A bare word (or a string of `$word` alone) that is itself an assigned name is a constant
+reference: it stands for that name's latest assignment before it, or else for its first one after it.
 
-Spans are in code points, the end exclusive. Each document is judged by itself, whole and in one pass of
-an Arrow batch, so nothing is shuffled and no key can be hot.
+Sensitivity goes from names to what they are assigned: an assignment has the highest of its own name and of
+the names that reach it through references, however many steps away. A literal's score is that
+sensitivity times how random the literals of its assignment look together; from a threshold on its span is
+reported as kind `lexed`, besides the pattern spans, which are always reported. Names, literals and
+chains have no longest length, and the work grows with the text.
+
+Spans are in code points, the end exclusive, without quotes. Each document is judged by itself, whole and
+in one pass of an Arrow batch, so nothing is shuffled and no key can be hot.
 
 Defined results: null and empty texts have no spans; overlapping spans of different kinds are all
-reported; equal rows get equal results. Columns other than the named two are not read.
+reported; equal rows get equal results; a called or indexed name is no literal. Columns other than the
+named two are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,14 +45,32 @@ KINDS = ("assign", "access", "hex", "lexed")
 SENSITIVE = {"passw": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "authkey": 0.9, "pwd": 0.8}
 
 STEMS = re.compile("|".join(SENSITIVE))
-#: Cheap tests before lexing a whole text: a part of every hint, then the hint.
-PARTS = ("passw", "secret", "token", "credential", "pwd", "key")
-HINT = re.compile(r"passw|secret|token|api.?key|access.?key|private.?key|credential|auth.?key|pwd", re.I | re.A)
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!/))[\x20\t]*(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;#(){}\[\]]++))""", re.A)
+#: What may stand between the letters of a sensitive part of a name.
+SEPARATORS = b"0123456789_.-:"
+TOKEN = re.compile(
+    r"""(?P<string>(?:(?<!\w)[rRbBuUfFL@]{1,2}(?=["'])|(?<!\w)(?=')|(?=["`]))(?:\"{3}(?:[^\\"]|\\.|"(?!""))*+\"{3}|'{3}(?:[^\\']|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`))
+    |(?P<name>[A-Za-z_][\w.-]*+)
+    |(?P<assign>:=|=>|\?=|\+=|=(?![=~])|:(?![/:]))
+    |(?P<other>\\.|[=!<>]=+|=~|::|\w+|\S|\n)""",
+    re.X | re.A | re.S,
+)
+#: What may mark a string's kind, and its quotes.
+STRING = re.compile(r"""(?:[rRbBuUfFL@]{1,2}(?=["']))?(?P<quote>\"{3}|'{3}|["'`])""")
+BARE = re.compile(r"""[^\s"'`,;#(){}\[\]]++""")
 NAME = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?", re.A)
+SHELL = re.compile(r"\$\{?([A-Za-z_]\w*)\}?", re.A)
+_TYPE = r"""[A-Za-z_][\w.]*+(?:\[[^\n=:;"'{}]*\]|<[^\n=:;"'{}]*>)?\??"""
+ANNOTATION = re.compile(rf"[\x20\t]*{_TYPE}(?:[\x20\t]*\|[\x20\t]*{_TYPE})*[\x20\t]*=(?![=>~])[\x20\t]*", re.A)
+GAP = re.compile(r"[\x20\t]*(?:\\\r?\n[\x20\t]*)*")
+BLANKS = re.compile(r"\s*")
+JOINED = re.compile(r"""\s*(?:\+|\.{1,2})\s*(?=[rRbBuUfFL@]{0,2}["'`]|[A-Za-z_$])""")
+BLOCK = re.compile(r"[|>][+-]?\d?[\x20\t]*\r?\n")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>\s*+([^<>]*[^<>\s])\s*</\1\s*>", re.A)
+SPACES = re.compile(" *")
+ESCAPED = re.compile(r"\\(.)", re.S)
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 LOW_RANDOMNESS = 0.5
 THRESHOLD = 0.5
-MAX_STEPS = 8
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -73,41 +99,156 @@ def randomness(literal: str) -> float:
     return h * (1.0 if one or any(c.isdigit() for c in literal) or any(c in "+/=_-." for c in literal) else LOW_RANDOMNESS)
 
 
-def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of every pair in order."""
+class Assignment(NamedTuple):
+    """name at a place of the text; parts: literals (start, end, value) and references (name, start, end)."""
+
+    place: int
+    name: str
+    literals: list[tuple[int, int, str]]
+    references: list[tuple[str, int, int]]
+
+
+def string_at(text: str, at: int, strings: dict[int, int]) -> tuple[int, int, int] | None:
+    """(start, end, after) of the content of the string that begins at a place."""
+    m = STRING.match(text, at)
+    after = strings.get(at) if m else None
+    if after is None:
+        return None
+    n = 3 if after - m.start("quote") >= 6 and len(m["quote"]) == 3 else 1
+    return m.start("quote") + n, after - n, after
+
+
+def value_at(text: str, at: int, strings: dict[int, int]) -> tuple[list[tuple[int, int, str]], list[tuple[str, int, int]], int]:
+    """(literals, references, where reading goes on) of the expression that begins at a place."""
+    literals, references = [], []
+    at = GAP.match(text, at).end()
+    inside = text[at : at + 1] == "("
+    space = BLANKS if inside else GAP
+    if inside:
+        at = space.match(text, at + 1).end()
+    while True:
+        found = string_at(text, at, strings)
+        if found:
+            a, b, at = found
+            shell = SHELL.fullmatch(text, a, b)
+            if shell:
+                references.append((shell[1], a, b))
+            elif b > a:
+                literals.append((a, b, ESCAPED.sub(lambda m: ESCAPES.get(m[1], m[1]), text[a:b]) if "\\" in text[a:b] else text[a:b]))
+        else:
+            m = BARE.match(text, at)
+            if not m:
+                break
+            a, b = m.start(), m.end() - (m[0][-1] == ":")
+            at = b
+            name = NAME.fullmatch(text, a, b)
+            if name and text[b : b + 1] not in ("(", "["):
+                references.append((name[1], a, b))
+            elif not name and b > a:
+                literals.append((a, b, text[a:b]))
+                break
+        more = JOINED.match(text, at)
+        if more:
+            at = more.end()
+        elif found and string_at(text, space.match(text, at).end(), strings):
+            at = space.match(text, at).end()
+        else:
+            break
+    return literals, references, at
+
+
+def block_at(text: str, line: int, at: int) -> tuple[int, int, int]:
+    """(start, end, after) of the lines after a place that are indented deeper than the line that begins at `line`."""
+    indent = SPACES.match(text, line).end() - line
+    start = end = None
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        inner = text[at:stop].strip()
+        if inner:
+            first = at + len(text[at:stop]) - len(text[at:stop].lstrip())
+            if first - at <= indent:
+                break
+            start, end = first if start is None else start, first + len(inner)
+        at = stop + 1
+    return (start, end, min(at, len(text))) if start is not None else (at, at, at)
+
+
+def assignments(text: str) -> list[Assignment]:
+    """Every assignment in order of place."""
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+    strings = {a: b for kind, a, b in tokens if kind == "string"}
     found = []
-    for m in PAIR.finditer(text):
-        k = next(i for i in (2, 3, 4) if m[i] is not None)
-        found.append((m[1], m[k], m.start(k), m.end(k), k != 4))
+    skip = 0  # tokens that begin before this place belong to a value that was read
+    for i, (kind, a, b) in enumerate(tokens):
+        if kind != "assign" or a < skip or not i:
+            continue
+        t = i - 1
+        if t and text[tokens[t][1] : tokens[t][2]] == "]":
+            t -= 1
+        target, at, end = tokens[t]
+        if target == "string":
+            start, stop, _ = string_at(text, at, strings)
+            name = text[start:stop]
+        elif target == "name" and t == i - 1:
+            name = text[at:end]
+        else:
+            continue
+        if text[b - 1] == ":":
+            note = ANNOTATION.match(text, b)
+            if note:  # or two assignments in prose, so the inner one is read as well
+                literals, references, _ = value_at(text, note.end(), strings)
+                found += [Assignment(at, name, literals, references)] * bool(literals or references)
+                continue
+            m = BLOCK.match(text, GAP.match(text, b).end())
+            if m:
+                start, stop, skip = block_at(text, text.rfind("\n", 0, at) + 1, m.end())
+                if stop > start:
+                    found.append(Assignment(at, name, [(start, stop, text[start:stop])], []))
+                continue
+        literals, references, skip = value_at(text, b, strings)
+        if literals or references:
+            found.append(Assignment(at, name, literals, references))
+    if "</" in text:
+        found += [Assignment(m.start(1), m[1], [(m.start(2), m.end(2), m[2])], []) for m in ELEMENT.finditer(text)]
+        found.sort(key=lambda x: x.place)
     return found
 
 
 def lexed_spans(text: str, low: str) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, score) of literals that sensitive names reach, constants followed."""
-    if not any(x in low for x in PARTS) or not HINT.search(text):
+    flat = low.encode("utf-8", "surrogatepass").translate(None, SEPARATORS)
+    if not any(x.encode() in flat for x in SENSITIVE):
         return []
-    pairs = assignments(text)
-    literals_of = defaultdict(list)
-    for name, *literal in pairs:
-        literals_of[name].append(literal)
-    starts_of = {name: [a for _, a, _, _ in x] for name, x in literals_of.items()}
+    found = assignments(text)
+    of_name = defaultdict(list)
+    for i, x in enumerate(found):
+        of_name[x.name].append(i)
+    # the most sensitive first, so each assignment is reached once, at its highest weight
+    weights: dict[int, float] = {}
+    direct = sorted(((sensitivity(x.name), i) for i, x in enumerate(found)), key=lambda x: -x[0])
+    for weight, i in direct:
+        todo = [i] if weight and i not in weights else []
+        while todo:
+            i = todo.pop()
+            if i in weights:
+                continue
+            weights[i] = weight
+            for name, _, _ in found[i].references:
+                others = of_name.get(name, ())
+                k = bisect_left(others, i)
+                if k:
+                    todo.append(others[k - 1])
+                else:
+                    todo += [j for j in others[:2] if j != i][:1]
     best: dict[tuple[int, int], float] = {}
-    for name, lit, a, b, quoted in pairs:
-        weight = sensitivity(name)
-        if not weight:
-            continue
-        for _ in range(MAX_STEPS):
-            ref = None if quoted else NAME.fullmatch(lit)
-            if not ref or ref[1] not in literals_of:
-                break
-            before = bisect_left(starts_of[ref[1]], a)
-            others = literals_of[ref[1]][before - 1 : before] if before else [x for x in literals_of[ref[1]][:2] if x[1] > a][:1]
-            if not others:
-                break
-            lit, a, b, quoted = others[0]
-        score = weight * randomness(lit)
+    for i, weight in weights.items():
+        # a name that nothing assigns is a word of its own
+        parts = sorted([*found[i].literals, *((a, b, text[a:b]) for name, a, b in found[i].references if name not in of_name)])
+        score = weight * randomness("".join(value for _, _, value in parts))
         if score >= THRESHOLD:
-            best[a, b] = max(score, best.get((a, b), 0.0))
+            for a, b, _ in parts:
+                best[a, b] = max(score, best.get((a, b), 0.0))
     return [(a, 3, b, s) for (a, b), s in best.items()]
 
 
