@@ -373,8 +373,8 @@ class Encoder:
         """(ids of all texts with the end id after each, number of ids of each)."""
         parts, end = [], np.array([end_id], np.uint32)
         for _, data, offsets in chunks(texts):
-            if len(data) > 2 * CHUNK_BYTES and self.cuts and not any(a.encode() in data.tobytes() for a in self.added):
-                cuts = long_cuts(data)  # one text
+            if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES and self.cuts and not any(a.encode() in data.tobytes() for a in self.added):
+                cuts = long_cuts(data)
                 rows = [np.concatenate([x for a, b in zip(cuts, cuts[1:]) for x in self.encode_rows(data[a:b], np.array([0, b - a]))])]
             else:
                 rows = self.encode_rows(data, offsets)
