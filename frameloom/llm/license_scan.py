@@ -1,33 +1,41 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 Every run of k words of a text is hashed and joined to the places of the same run in the license
-templates. A hit at text word i and template word j votes for the diagonal i - j. A template that stands
-in the text unchanged collects all its votes on one diagonal; inserted or missing words move later votes
-to a neighbouring diagonal, so diagonals within `slack` of each other are merged. Hits compare the words
-themselves besides their hashes, so every counted vote is verified. Each band that has enough different
-places of a template is then checked in order: its share is that of the longest chain of hits whose places
-rise with the text's words and whose diagonals move by at most `slack` from hit to hit.
-
-The templates are a fixed list in this module (`TEMPLATES`, a few hundred word runs), which is why their
-side of the join can be broadcast. Votes are grouped by document and template, which are bounded by the
-text's own length, so no group grows with the corpus.
+templates; hits compare the words themselves besides their hashes. A hit at text word i and template word
+j votes for the diagonal i - j. A template that stands in the text unchanged collects all its votes on one
+diagonal; inserted or missing words move later votes to a neighbouring one, so votes are merged in bands of
+2 * `width` diagonals, of which each diagonal is in two: a place that drifts by up to `width` words lies
+whole in one of them. Each band with votes for enough different places of a template is verified in order:
+its share is that of the longest chain of hits whose places rise with the text's words and whose diagonals
+move by at most `slack` from hit to hit. A band holds at most 2 * width hits for each place, so no group
+grows with the corpus or with a text's length.
+
+Texts are scanned once: the hits, and one row for each text, are written to the shared folder, and all
+counting is done on those. Templates are the fixed list of this module or a table (text, label, exact), for
+instance of whole licenses. Their runs go out in blocks of at most `block_runs` rows, so the broadcast side
+of the join has a fixed bound; every further block is one more scan.
 
 Defined results: null and empty texts have no words, no labels and score 0; rows with the same id and the
-same text get the same result; rows with the same id and different texts are told apart; a template
-shorter than k words matches whole only. Columns other than the named two are not read.
+same text get the same result; rows with the same id and different texts are told apart; an empty
+template table finds nothing; a template of fewer than k words is an error. Columns other than the
+named ones are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.frames import keyed_texts
+from frameloom.session import staged
 
 K = 3
 #: A template counts as found from this share of its word runs on (phrases: all of them).
 COVERAGE = 0.6
-SLACK = 4
+#: Diagonals that a place may move by from hit to hit, and in all.
+SLACK, WIDTH = 4, 16
+#: Template runs that are broadcast at once.
+BLOCK_RUNS = 100_000
 
 # Phrases whose places are counted, and their labels.
 PHRASES = [
@@ -66,31 +74,56 @@ def word_count(parts: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
+def known_templates(spark: SparkSession) -> DataFrame:
+    """The module's templates as a table (text, label, exact)."""
+    rows = [F.struct(F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(exact).alias("exact")) for text, label, exact in TEMPLATES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
 
-def template_runs(spark, templates: list[tuple[str, str, bool]], k: int) -> DataFrame:
-    rows = []
-    for n, (text, label, exact) in enumerate(templates):
-        w = text.split()
-        rows += [(n, label, exact, j, len(w) - k + 1, *w[j : j + k]) for j in range(len(w) - k + 1)]
-    names = ["template", "label", "exact", "place", "n_runs", *(f"t{i}" for i in range(k))]
-    return spark.createDataFrame(rows, names).withColumn("key", F.xxhash64(*(f"t{i}" for i in range(k))))
+def template_runs(templates: DataFrame, k: int) -> DataFrame:
+    """(key, template, label, exact, place, n_runs, t0, t1, ...) of every run of k words; equal texts of one label are one template."""
+    words = F.filter(word_parts(F.col("text")), lambda w: w != "")
+    rows = templates.select("text", "label", "exact").distinct().select("label", "exact", F.xxhash64("text", "label", "exact").alias("template"), words.alias("w"))
+    short = F.raise_error(F.lit(f"a template has fewer than {k} words"))
+    rows = rows.withColumn("n_runs", F.when(F.size("w") >= k, F.size("w") - k + 1).otherwise(short.cast("int")))
+    placed = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n_runs") - 1)).alias("place"))
+    placed = placed.select("template", "label", "exact", "place", "n_runs", *(F.get("w", F.col("place") + n).alias(f"t{n}") for n in range(k)))
+    return placed.withColumn("key", F.xxhash64(*(f"t{n}" for n in range(k))))
 
 
-def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, k: int = K) -> DataFrame:
-    """(doc_id, version, template, label, exact, n_runs, diagonal, places) of all diagonals with a verified hit."""
+def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, k: int = K, block_runs: int = BLOCK_RUNS) -> DataFrame:
+    """The written table (doc_id, version, n_words, i, template, label, exact, n_runs, place) of all hits, and a row without a template for each row of docs."""
+    if templates is None:
+        runs, n = template_runs(known_templates(docs.sparkSession), k), 0
+    else:
+        runs = staged(template_runs(templates, k), "template-runs", small=True)
+        n = runs.count()
     parts = keyed_texts(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), word_parts(F.col("text")).alias("parts"))
-    words = parts.select("doc_id", "version", "parts", F.posexplode("parts").alias("i", "w0"))
-    words = words.select("doc_id", "version", (F.col("i") - F.when(F.get("parts", F.lit(0)) == "", 1).otherwise(0)).alias("i"), "w0", *(F.get("parts", F.col("i") + n).alias(f"w{n}") for n in range(1, k)))
-    keyed = words.where(F.col(f"w{k - 1}").isNotNull()).withColumn("key", F.xxhash64(*(f"w{n}" for n in range(k))))
-    known = F.broadcast(template_runs(docs.sparkSession, templates or TEMPLATES, k))
-    same = [keyed["key"] == known["key"], *(F.col(f"w{n}") == F.col(f"t{n}") for n in range(k))]
-    hits = keyed.join(known, same).withColumn("diagonal", F.col("i") - F.col("place"))
-    return hits.groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "diagonal").agg(F.collect_set("place").alias("places"))
-
-
-def in_order(parts: Column, n_runs: Column, slack: int) -> Column:
-    """Length of the longest chain of hits in the text's order; parts: an array of (diagonal, places)."""
-    hits = F.flatten(F.transform(parts, lambda p: F.transform(p["places"], lambda x: F.struct((p["diagonal"] + x).alias("i"), (-x).alias("back")))))
+    parts = parts.withColumn("n_words", word_count(F.col("parts")))
+    # the first element is no word but stands for the row itself
+    every = parts.select("doc_id", "version", "n_words", "parts", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("parts"))).alias("at", "w0"))
+    words = every.select("doc_id", "version", "n_words", "at", (F.col("at") - 1 - F.when(F.get("parts", F.lit(0)) == "", 1).otherwise(0)).alias("i"), "w0", *(F.get("parts", F.col("at") - 1 + j).alias(f"w{j}") for j in range(1, k)))
+    keyed = words.withColumn("key", F.when(F.col("at") > 0, F.xxhash64(*(f"w{j}" for j in range(k)))))
+    own = F.col("at") == 0
+    same = F.lit(True)
+    for j in range(k):
+        same = same & (F.col(f"w{j}") == F.col(f"t{j}"))
+    out = []
+    n_blocks = max(1, -(-n // block_runs))
+    for b in range(n_blocks):
+        block = runs if n_blocks == 1 else runs.where(F.pmod(F.xxhash64("template", "place"), F.lit(n_blocks)) == b)
+        # only the hash is a join key; the words are compared where it is equal
+        joined = keyed.join(F.broadcast(block), "key", "left").where(F.coalesce(same, F.lit(False)) | (own if b == 0 else F.lit(False)))
+        out.append(staged(joined.select("doc_id", "version", "n_words", "i", "template", "label", "exact", "n_runs", "place"), f"license-hits-{b}"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def in_order(hits: Column, n_runs: Column, slack: int) -> Column:
+    """Length of the longest chain of hits (i, place) in the text's order."""
+    turned = F.transform(hits, lambda h: F.struct(h["i"].cast("long").alias("i"), (-h["place"]).cast("long").alias("back")))
     start = F.struct(F.lit(0).cast("long").alias("best"), F.array().cast("array<struct<i:bigint,back:bigint,n:bigint>>").alias("recent"))
 
     def step(a: Column, h: Column) -> Column:
@@ -100,33 +133,37 @@ def in_order(parts: Column, n_runs: Column, slack: int) -> Column:
         recent = F.filter(a["recent"], lambda r: h["i"] - r["i"] <= n_runs + slack)
         return F.struct(F.greatest(a["best"], n).alias("best"), F.concat(recent, F.array(F.struct(h["i"].alias("i"), h["back"].alias("back"), n.alias("n")))).alias("recent"))
 
-    return F.aggregate(F.array_sort(hits), start, step, lambda a: a["best"])
+    return F.aggregate(F.array_sort(turned), start, step, lambda a: a["best"])
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, k: int = K, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, version, template, label, exact, start, share): places of templates, neighbouring diagonals merged.
+def found(scanned: DataFrame, slack: int = SLACK, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, version, template, label, exact, start, share): places of templates in a table of hits.
 
-    Exact templates give one row per diagonal that has every vote; others one per merged band with at
+    Exact templates give one row per diagonal that has every vote; others one per verified band with at
     least the share `coverage` of the template in order, starting at its first diagonal.
     """
-    each = votes(docs, id_col, text_col, templates, k)
-    band = Window.partitionBy("doc_id", "version", "template").orderBy("diagonal")
-    gap = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(band) > slack), 1).otherwise(0)
-    bands = each.withColumn("gap", gap).withColumn("band", F.sum("gap").over(band.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.collect_list(F.struct("diagonal", "places")).alias("parts")
-    merged = bands.groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "band").agg(F.min("diagonal").alias("start"), parts)
-    n_places = F.size(F.array_distinct(F.flatten(F.col("parts.places"))))
+    votes = scanned.where("template IS NOT NULL").withColumn("diagonal", F.col("i") - F.col("place"))
+    low = F.floor(F.col("diagonal") / width)
+    bands = F.when(F.col("exact"), F.array(F.col("diagonal").cast("long"))).otherwise(F.array(low - 1, low))
+    merged = votes.withColumn("band", F.explode(bands)).groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "band").agg(
+        F.min("diagonal").alias("start"), F.collect_set(F.struct("i", "place")).alias("hits")
+    )
+    n_places = F.size(F.array_distinct(F.transform("hits", lambda h: h["place"])))
     needed = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(coverage))
-    checked = F.when(F.col("exact"), n_places).otherwise(in_order(F.col("parts"), F.col("n_runs"), slack))
+    checked = F.when(F.col("exact"), n_places).otherwise(in_order(F.col("hits"), F.col("n_runs"), slack))
     share = F.when(n_places / F.col("n_runs") >= needed, checked / F.col("n_runs"))
     return merged.withColumn("share", share).where(F.col("share") >= needed).select("doc_id", "version", "template", "label", "exact", "start", "share")
 
 
-def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, k: int = K, block_runs: int = BLOCK_RUNS, **how) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Base columns count the exact templates.
+    """
+    scanned = hits(docs, id_col, text_col, templates, k, block_runs)
     exact = F.col("exact")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    per_doc = found(docs, id_col, text_col, **how).groupBy("doc_id", "version").agg(
+    per_doc = found(scanned, **how).groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(
         F.count_if(exact).alias("n_base"),
         F.min(F.when(exact, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(exact, F.col("start"))).cast("long").alias("last_word"),
@@ -134,9 +171,8 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         joined(F.col("label")).alias("labels"),
         F.max("share").alias("score"),
     )
-    rows = keyed_texts(docs, id_col, text_col).select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), word_count(word_parts(F.col("text"))).alias("n_words"))
-    same = F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("version"))
-    return rows.join(per_doc, same, "left").select(
-        F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
+    return scanned.where("template IS NULL").join(per_doc, same, "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -62,26 +62,36 @@ _RUNS = ", ".join(
     for j in range(len(w) - license_scan.K + 1)
 )
 OP9 = rf"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents
 ), runs(template, label, exact, place, n_runs, t0, t1, t2) AS (VALUES {_RUNS}
 ), words AS (
   SELECT doc_id, i - 1 AS i, w[i] AS w0, w[i + 1] AS w1, w[i + 2] AS w2 FROM split, unnest(range(1, len(w) - 1)) AS u(i)
-), votes AS (
-  SELECT doc_id, template, label, exact, n_runs, i - place AS diagonal, count(DISTINCT place) AS n_votes
-  FROM words JOIN runs ON w0 = t0 AND w1 = t1 AND w2 = t2 GROUP BY ALL
-), gaps AS (
-  SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {license_scan.SLACK} THEN 1 ELSE 0 END AS gap FROM votes
-), bands AS (
-  SELECT *, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM gaps
-), merged AS (
-  SELECT doc_id, template, label, exact, min(diagonal) AS start, least(1.0::DOUBLE, sum(n_votes)::DOUBLE / n_runs) AS share
-  FROM bands GROUP BY doc_id, template, label, exact, n_runs, band
+), hits AS (
+  SELECT doc_id, template, label, exact, n_runs, i, place FROM words JOIN runs ON w0 = t0 AND w1 = t1 AND w2 = t2
+), phrases AS (
+  SELECT doc_id, label, i - place AS start FROM hits WHERE exact GROUP BY doc_id, template, label, n_runs, i - place HAVING count(*) = n_runs
+), banded AS (
+  SELECT doc_id, template, label, n_runs, i, place, unnest([floor((i - place) / {license_scan.WIDTH}.0) - 1, floor((i - place) / {license_scan.WIDTH}.0)]) AS band FROM hits WHERE NOT exact
+), candidates AS (
+  SELECT doc_id, template, label, n_runs, i, place, band FROM banded
+  WHERE (doc_id, template, band) IN (SELECT (doc_id, template, band) FROM banded GROUP BY doc_id, template, band, n_runs HAVING count(DISTINCT place) >= {license_scan.COVERAGE} * n_runs)
+), chains(doc_id, template, label, n_runs, band, i, place, n) AS (
+  SELECT doc_id, template, label, n_runs, band, i, place, 1 FROM candidates
+  UNION
+  SELECT c.doc_id, c.template, c.label, c.n_runs, c.band, h.i, h.place, c.n + 1
+  FROM chains c JOIN candidates h ON h.doc_id = c.doc_id AND h.template = c.template AND h.band = c.band
+  WHERE h.i > c.i AND h.place > c.place AND abs((h.i - h.place) - (c.i - c.place)) <= {license_scan.SLACK}
+), notices AS (
+  SELECT doc_id, label, max(n)::DOUBLE / n_runs AS share FROM chains GROUP BY doc_id, template, label, n_runs, band HAVING max(n)::DOUBLE / n_runs >= {license_scan.COVERAGE}
+), every AS (
+  SELECT doc_id, label, start, true AS exact, 1.0::DOUBLE AS share FROM phrases
+  UNION ALL SELECT doc_id, label, NULL, false, share FROM notices
 ), per_doc AS (
-  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) AS first_word, max(start) AS last_word,
     array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
-  FROM merged WHERE share >= CASE WHEN exact THEN 1.0 ELSE {license_scan.COVERAGE} END GROUP BY doc_id
+  FROM every GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
