@@ -11,8 +11,9 @@ bound; with more than one block each block's result is written to the shared fol
 
 Defined results: rows with a null id, a null vector, or a vector with null or non-finite components take
 no part, neither as query nor as candidate; vectors of unequal lengths meet on their common components;
-rows that repeat an id are all candidates (of other queries), and the first of them in the order of their
-vectors is the query; ties go to the smaller id; with fewer than k candidates all are returned.
+every row is a query or candidate of its own, whatever ids repeat: a query's own row alone is left out of its
+candidates, and rows that repeat a query's id and vector each get their result; ties go to the smaller id;
+with fewer than k candidates all are returned. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -63,24 +64,30 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return scores
 
 
-def select(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores), ties to smaller ids; ids are ascending."""
+def select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, ties to smaller ids; ids are ascending."""
+    at = np.arange(len(ids))
     if len(ids) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         above = np.flatnonzero(scores > least)
         at = np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
-        ids, scores = ids[at], scores[at]
-    order = np.lexsort((ids, -scores))
-    return ids[order], scores[order]
+    return at[np.lexsort((ids[at], -scores[at]))]
+
+
+def vector_hash(terms: np.ndarray) -> bytes:
+    return np.trim_zeros(terms, "b").tobytes()
 
 
 def scan(rows: DataFrame, query_ids: np.ndarray, query_terms: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best candidates of each query in each partition of rows."""
-    schema = "query_id long, vec_id long, score long"
-    names, types = ["query_id", "vec_id", "score"], arrow_types(rows, schema)
+    """(query, vec_id, score, own): the k + 1 best rows of each query in each partition of rows.
+
+    query: the query's place in the block; own: the row has the query's id and vector.
+    """
+    schema = "query int, vec_id long, score long, own boolean"
+    names, types = ["query", "vec_id", "score", "own"], arrow_types(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2 for _ in query_ids]
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)) for _ in query_ids]
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
@@ -90,15 +97,18 @@ def scan(rows: DataFrame, query_ids: np.ndarray, query_terms: np.ndarray, k: int
                 for q in range(0, len(query_ids), 64):
                     scores = accumulate(query_terms[q : q + 64], block)
                     for i, s in enumerate(scores, q):
-                        own = np.searchsorted(ids, query_ids[i]), np.searchsorted(ids, query_ids[i], "right")
-                        here, s = (np.delete(ids, slice(*own)), np.delete(s, slice(*own))) if own[0] < own[1] else (ids, s)
-                        here, s = select(here, s, k)
-                        both = np.concatenate([best[i][0], here]), np.concatenate([best[i][1], s])
-                        order = np.lexsort((both[0], -both[1]))[:k]
-                        best[i] = both[0][order], both[1][order]
-        n = [len(x) for x, _ in best]
+                        at_best = select(ids, s, k + 1)
+                        here, s = ids[at_best], s[at_best]
+                        own = here == query_ids[i]
+                        if own.any():
+                            mine = vector_hash(query_terms[i])
+                            own &= np.array([vector_hash(block[j]) == mine for j in at_best])
+                        both = [np.concatenate(x) for x in zip(best[i], (here, s, own))]
+                        order = np.lexsort((~both[2], both[0], -both[1]))[: k + 1]
+                        best[i] = tuple(x[order] for x in both)
+        n = [len(x) for x, _, _ in best]
         if sum(n):
-            yield record({"query_id": np.repeat(query_ids, n), "vec_id": np.concatenate([x for x, _ in best]), "score": np.concatenate([x for _, x in best])}, names, types)
+            yield record({"query": np.repeat(np.arange(len(n)), n), "vec_id": np.concatenate([x[0] for x in best]), "score": np.concatenate([x[1] for x in best]), "own": np.concatenate([x[2] for x in best])}, names, types)
 
     return rows.mapInArrow(run, schema)
 
@@ -109,16 +119,30 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     is_query: a condition on the column `id` that states which rows are queries.
     """
     rows = scaled_vectors(df, id_col, vector_col, scale)
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("terms").alias("terms"))
+    queries = staged(rows.where(is_query(F.col("id"))).groupBy("id", "terms").agg(F.count("*").alias("copies")), "queries", small=True)
     n_blocks = max(1, -(-queries.count() // (block_queries // 2)))
     results = []
     for b in range(n_blocks):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else queries
-        own = block.orderBy("id").toArrow()
-        part = scan(rows, own.column("id").to_numpy(), dense(own.column("terms").combine_chunks()), k)
-        results.append(part if n_blocks == 1 else staged(part, f"top-{b}"))
-    found = results[0]
+        block = queries.where(F.pmod(F.xxhash64("id", "terms"), F.lit(n_blocks)) == b) if n_blocks > 1 else queries
+        own = block.orderBy("id", "terms").toArrow()
+        found = scan(rows, own.column("id").to_numpy(), dense(own.column("terms").combine_chunks()), k)
+        results.append(ranked(found, own, k) if n_blocks == 1 else staged(ranked(found, own, k), f"top-{b}"))
+    out = results[0]
     for more in results[1:]:
-        found = found.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = out.unionByName(more)
+    return out
+
+
+def ranked(found: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+    """The k best of all partitions but the query's own row, for each of the rows that are the query."""
+    order = [F.desc("score"), "vec_id", F.desc("own")]
+    every = Window.partitionBy("query").orderBy(*order)
+    first = found.withColumn("at", F.row_number().over(every)).where(F.col("at") <= k + 1)
+    # rows of one score and id are alike, so the first own row stands for the one that is left out
+    n_own = F.sum(F.col("own").cast("int")).over(every.rowsBetween(Window.unboundedPreceding, 0))
+    others = first.withColumn("n_own", n_own).where(~F.col("own") | (F.col("n_own") > 1))
+    numbered = others.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= k)
+    # as many rows as the block has queries
+    about = found.sparkSession.createDataFrame(list(enumerate(zip(*(queries.column(c).to_pylist() for c in ("id", "copies"))))), "query int, about struct<id: long, copies: long>")
+    joined = numbered.join(F.broadcast(about), "query").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("about.copies"))))
+    return joined.select(F.col("about.id").alias("query_id"), "rank", "vec_id", "score")
