@@ -7,12 +7,15 @@ tokens is left. An item counts as leaked if its tiles cover at least `coverage`
 order its passages stand in the document.
 
 The benchmark is cut into blocks of a bounded number of tokens; one block at a time goes to the tasks as
-a sorted table of seed hashes, and every document is read once per block. Nothing of the corpus is
-shuffled, and a passage that many documents share is work for each of them alone.
+a sorted table of seed hashes, and every document is read once per block. With more than one block each
+block's result is written to the shared folder and its broadcast removed before the next. Nothing of the
+corpus is shuffled, and a passage that many documents share is work for each of them alone.
 
 Defined results: tokens are runs of letters and digits in ASCII lower case; null and empty texts have
-none; items with fewer than min_match tokens never match; items with equal texts are all reported; rows
-that repeat a document id are each reported. Only the ids and texts are read.
+none; an item with fewer than min_match tokens matches only a document whose tokens are the item's, with
+coverage 1 in one tile; items without tokens never match; items with equal texts are all reported, rows that
+repeat an item's id and text once; rows that repeat a document id are each reported. Ids keep their types.
+Only the ids and texts are read.
 """
 
 from __future__ import annotations
@@ -109,6 +112,10 @@ class Block:
         self.ids = [r[0] for r in rows]
         self.items = [t for _, t in tokens(pa.array([r[1] for r in rows], pa.string()))] if rows else []
         seeds = [shingle_hashes(t, min_match) for t in self.items]
+        self.short: dict[bytes, list[int]] = {}
+        for i, t in enumerate(self.items):
+            if 0 < len(t) < min_match:
+                self.short.setdefault(t.tobytes(), []).append(i)
         self.owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         self.place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, np.int64)
         every = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
@@ -119,6 +126,8 @@ class Block:
 
     def leaks(self, text: np.ndarray, min_match: int, coverage: float) -> list[tuple]:
         """(item, coverage, tiles, longest tile) of the items that the document covers."""
+        if len(text) < min_match:
+            return [(self.ids[i], 1.0, 1, len(text)) for i in self.short.get(text.tobytes(), ())]
         h = shingle_hashes(text, min_match)
         h = h[self.first16[(h >> np.uint64(48)).astype(np.int64)]] if len(h) else h
         if not len(h) or not len(self.seeds):
@@ -147,48 +156,63 @@ class Block:
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block_tokens: int = BLOCK_TOKENS) -> tuple[int, Iterator[Block]]:
     """(number of blocks, the benchmark in blocks of about block_tokens tokens at most)."""
-    items = keyed_texts(benchmark, id_col, text_col).where(F.col("text").isNotNull())
+    items = keyed_texts(benchmark, id_col, text_col).where(F.col("text").isNotNull()).dropDuplicates()
+    items = staged(items, "benchmark-items", small=True)
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-chars // (3 * block_tokens)))
     part = lambda b: items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == b).collect()
     return n, (Block(sorted(((r[0], r[1]) for r in part(b)), key=repr), min_match) for b in range(n))
 
 
+def block_by_block(docs: DataFrame, n: int, each: Iterator[Block], step, name: str) -> Iterator[DataFrame]:
+    """step(block) for each block; with more than one, each result is written before the next block is sent."""
+    for block in each:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        made = step(shared)
+        if n > 1:
+            made = staged(made, name)
+            shared.destroy()
+        yield made
+
+
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest_tile) of every document and item it covers."""
-    parts = []
     n, each = blocks(benchmark, item_id_col, item_text_col, min_match, block_tokens)
-    for block in each:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, id_col), (benchmark, item_id_col)))
 
-        def report(batch: pa.RecordBatch, shared=shared) -> dict:
+    def step(shared) -> DataFrame:
+        def report(batch: pa.RecordBatch) -> dict:
             ids = batch.column(0).to_pylist()
             out = [(ids[i], *leak) for i, t in tokens(batch.column(1)) for leak in shared.value.leaks(t, min_match, coverage)]
             cols = list(zip(*out)) or [[]] * 5
             return dict(zip(("doc_id", "item_id", "coverage", "n_tiles", "longest_tile"), cols))
 
-        part = over_batches(keyed_texts(docs, id_col, text_col), report, "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int")
-        parts.append(part if n == 1 else staged(part, "leaks"))
+        return over_batches(keyed_texts(docs, id_col, text_col), report, f"doc_id {kind}, item_id {item_kind}, coverage double, n_tiles int, longest_tile int")
+
+    parts = list(block_by_block(docs, n, each, step, "leaks"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of docs that cover no item, with all their columns."""
     kept, at = numbered(docs)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
     place = docs.columns.index(text_col)
-    for block in blocks(benchmark, item_id_col, item_text_col, min_match)[1]:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    n, each = blocks(benchmark, item_id_col, item_text_col, min_match, block_tokens)
 
-        def clean(batch: pa.RecordBatch, shared=shared) -> dict:
+    def step(shared) -> DataFrame:
+        def clean(batch: pa.RecordBatch) -> dict:
             good = np.ones(batch.num_rows, bool)
             for i, t in tokens(batch.column(place)):
                 good[i] = not shared.value.leaks(t, min_match, coverage)
             rows = batch.filter(pa.array(good))
             return {f"in_{i}": rows.column(i) for i in range(rows.num_columns)}
 
-        kept = over_batches(kept, clean, kinds)
+        return over_batches(kept, clean, kinds)
+
+    for kept in block_by_block(docs, n, each, step, "clean"):  # each block reads what the ones before it left
+        pass
     return named(kept, at)
