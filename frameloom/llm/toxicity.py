@@ -8,7 +8,7 @@ few that matter. The model (a table of fixed size) is fitted on a bounded sample
 `labelled.sample`, and sent to the tasks; every text is scored whole, and nothing is shuffled.
 
 Defined results: null and empty texts get the score of a text without features; scores lie in 0 to 1;
-equal texts get equal scores; without labelled rows of both classes every score is the prior share. Only
+equal texts and equal rows get equal scores; without labelled rows of both classes every score is the prior share. Only
 the id, the text and the labels' two columns are read.
 """
 
@@ -28,8 +28,9 @@ from frameloom.llm.text import mix
 ORDERS = (3, 4, 5)
 BITS = 21
 N_FEATURES = 4096
-#: How surely an n-gram must separate the classes to keep a weight, in standard deviations.
-MIN_Z = 5.0
+#: Chosen by cross-validation in the training folds alone, see `choose_settings`: how surely an n-gram must
+#: separate the classes to keep a weight (in standard deviations), rounds of the fit, and its penalty.
+MIN_Z, ROUNDS, L2 = 3.0, 200, 1e-3
 #: Bound of the training sample: rows of each class, and characters in all.
 PER_CLASS = 3000
 MAX_CHARS = 30_000_000
@@ -75,7 +76,7 @@ def gram_buckets(texts: list[str | None], orders=ORDERS, bits: int = BITS, keep:
         first = last
 
 
-def fit(texts: list[str], labels: list[int], negative_weight: float, n_features: int = N_FEATURES, min_z: float = MIN_Z, rounds: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: list[int], negative_weight: float, n_features: int = N_FEATURES, min_z: float = MIN_Z, rounds: int = ROUNDS, l2: float = L2) -> tuple[np.ndarray, float]:
     """(weight of every bucket, bias)."""
     y = np.array(labels, float)
     row_weight = np.where(y == 1, 1.0, negative_weight)
@@ -127,8 +128,8 @@ def score_texts(texts: list[str | None], weights: np.ndarray, bias: float) -> np
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    texts, found, weight = labelled.sample(docs, labels, label_col, folds, held_out, per_class, max_chars, id_col, text_col)
-    weights, bias = fit(texts, found, weight)
+    found = labelled.sample(docs, labels, label_col, folds, held_out, per_class, max_chars, id_col, text_col)
+    weights, bias = fit(found.texts, found.labels, found.negative_weight)
     # the table has a fixed size, but only its few non-zero entries travel
     at = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))
