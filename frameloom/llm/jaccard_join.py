@@ -10,15 +10,21 @@ by hash. Where a set's unique tokens alone fill its prefix it has no partner and
 text, nearly all of it. Tokens travel as six-byte fingerprints in blocks of many documents; equal
 fingerprints of different tokens only make more candidates.
 
-What is left is split into classes that are connected by shared prefix tokens, a superset of the links. A
-class is cut into blocks of bounded size; each pair of its blocks is one task-sized group, in which the
-other two orders filter pairs and matrix products of set memberships verify them. A group sends one row
-per member - the smallest member it reaches and how many documents it links to - so no pair is ever a
-row. Equal sets are one member throughout, with the number of its copies.
+Counting does not gather the holders of a token: within a block, a token that several of its sets hold
+is sent as one row with a number, so a token of very many sets is one small entry per block.
+
+What is left is split into classes that are connected by shared prefix tokens of the first order. Classes
+that are too large for one task are split again by the prefix tokens of the second order, and these by the
+third; linked texts share one under every order, so they are never split. A class is cut into
+blocks of bounded size; each pair of its blocks is one task-sized group, in which a pair of members has to
+share a prefix token under all three orders before matrix products of set memberships verify it. A group
+sends one row per member - the smallest member it reaches and how many documents it links to - so no pair is
+ever a row. Equal sets are one member throughout, with the number of its copies.
 
 Defined results: words are between ASCII white space, in ASCII lower case; null texts and texts without
 words have the empty set and link with nothing; ids may be null or repeat, each row is a document; a
-class is named by the smallest id in it (null if all its ids are null). Other columns are not read.
+class is named by the smallest id in it (null if all its ids are null); ids are integers or cast to
+long. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,13 +50,19 @@ AT_LEAST = (3, 4)
 #: Tokens of a block of documents, of a group of fingerprints, and of a block of a class.
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
-CLASS_TOKENS = 150_000
-CLASS_MEMBERS = 256
+CLASS_TOKENS = 400_000
+#: Members of a block of a class, and of each side that is compared at once.
+CLASS_MEMBERS = 512
+TILE = 256
 #: Members up to which their keys are sent to all tasks.
 BROADCAST_ROWS = 500_000
 CHUNK = 8192
 
 
+META = [("node", "S16"), ("n", "<u4"), ("counted", "<u4")]
+HOLDERS = [("token", "<u8"), ("member", "<u4")]
+
+
 def prefix_length(n, at_least: tuple[int, int] = AT_LEAST):
     return n - -(-n * at_least[0] // at_least[1]) + 1
 
@@ -74,13 +86,15 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
 
 
 def blocks_of_tokens(sets: DataFrame, k: int, at_least: tuple[int, int], n_buckets: int) -> DataFrame:
-    """(bucket, block, members, tokens, meta): the tokens of the first order that each set has to show.
+    """(bucket, block, members, tokens, common, times, meta, holders): the tokens of the first order that each set has to show.
 
-    tokens: fingerprints of six bytes, members: the set's place in its block (two or four bytes). meta
-    goes with one row of each block: node, size, and number of tokens of the counted half of each member.
+    tokens: fingerprints of six bytes, members: the set's place in its block (two or four bytes), for tokens
+    that one set of the block holds. common: fingerprints that several hold, times: by how many. With one
+    row of each block go meta (node, size, and number of tokens of the counted half of each member) and
+    holders (members of the common tokens of the whole block, with the tokens).
     """
-    schema = "bucket int, block long, members binary, tokens binary, meta binary"
-    names, types = ["bucket", "block", "members", "tokens", "meta"], arrow_types(sets, schema)
+    schema = "bucket int, block long, members binary, tokens binary, common binary, times binary, meta binary, holders binary"
+    names, types = [x.split()[0] for x in schema.split(", ")], arrow_types(sets, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,22 +104,33 @@ def blocks_of_tokens(sets: DataFrame, k: int, at_least: tuple[int, int], n_bucke
         meta, shown = [], []
 
         def flush() -> pa.RecordBatch:
-            h = np.concatenate(shown)
+            six = np.concatenate(shown).astype("<u8").view(np.uint8).reshape(-1, 8)
+            six[:, :2] = 0
+            h = six.reshape(-1).view("<u8")
             member = np.repeat(np.arange(len(shown), dtype="<u4"), [len(x) for x in shown])
-            bucket = (h % U64(n_buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            h, member, bucket = h[order], member[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            turned = h << U64(1) | h >> U64(63)  # tokens of the counted half, nearly all, differ from the second bit on
+            order = np.argsort(turned)
+            h, member = h[order], member[order]
+            bucket = (turned[order] >> U64(65 - n_buckets.bit_length())).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            times = np.diff(np.append(first, len(h)))
+            several = np.repeat(times > 1, times)
+            one, many = np.flatnonzero(~several), first[times > 1]
+            buckets = np.arange(n_buckets + 1)
+            at, own = np.searchsorted(bucket[one], buckets), np.searchsorted(bucket[many], buckets)
             block = part << 24 | seq
-            six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-            small = member.astype("<u2") if len(shown) <= 65536 else member
-            used = sorted({*np.flatnonzero(np.diff(ends)).tolist(), block % n_buckets})
-            about = np.array(meta, dtype=[("node", "S16"), ("n", "<u4"), ("counted", "<u4")]).tobytes()
+            cut = lambda x, ends: [x[ends[b] : ends[b + 1]].tobytes() for b in used]
+            bare = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:]
+            small = member[one].astype("<u2") if len(shown) <= 65536 else member[one]
+            used = sorted({*np.flatnonzero(np.diff(at) + np.diff(own)).tolist(), block % n_buckets})
+            held = np.zeros(int(several.sum()), HOLDERS)
+            held["token"], held["member"] = h[several], member[several]
+            about = np.array(meta, dtype=META).tobytes()
+            here = [b == block % n_buckets for b in used]
             return record({
                 "bucket": used, "block": [block] * len(used),
-                "members": [small[ends[b] : ends[b + 1]].tobytes() for b in used],
-                "tokens": [six[ends[b] : ends[b + 1]].tobytes() for b in used],
-                "meta": [about if b == block % n_buckets else None for b in used],
+                "members": cut(small, at), "tokens": cut(bare(h[one]), at), "common": cut(bare(h[many]), own), "times": cut(times[times > 1].astype("<u4"), own),
+                "meta": [about if x else None for x in here], "holders": [held.tobytes() if x else None for x in here],
             }, names, types)
 
         last = None
@@ -139,31 +164,37 @@ def fingerprints(six: bytes) -> np.ndarray:
 
 
 def count_sets(table: pa.Table) -> pa.Table:
-    """Per row of a bucket: the members and tokens that occur in two sets or more, with the number of sets."""
-    tokens = [fingerprints(x) for x in table.column("tokens").to_pylist()]
-    members = table.column("members").to_pylist()
-    every = np.concatenate(tokens)
-    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    wide = [np.frombuffer(m, "<u2" if len(m) == 2 * len(t) else "<u4").astype("<u4") for m, t in zip(members, tokens)]
-    member = np.concatenate(wide) if wide else np.zeros(0, "<u4")
-    order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(ordered)))
-    sets = np.empty(len(every), "<u4")
-    sets[order] = np.repeat(times, times)
-    keep = np.flatnonzero(sets > 1)
-    bounds = np.searchsorted(row[keep], np.arange(len(tokens) + 1))
-    cut = lambda x: [x[keep[a:b]].tobytes() for a, b in zip(bounds, bounds[1:])]
-    return pa.table({"block": table.column("block"), "members": pa.array(cut(member), pa.binary()), "tokens": pa.array(cut(every.astype("<u8")), pa.binary()), "sets": pa.array(cut(sets), pa.binary()), "meta": table.column("meta")})
+    """Per row of a bucket: the tokens that occur in two sets or more, with the number of sets and, of those of one set, the member."""
+    one, common = ([fingerprints(x) for x in table.column(c).to_pylist()] for c in ("tokens", "common"))
+    wide = [np.frombuffer(m, "<u2" if len(m) == 2 * len(t) else "<u4").astype("<u4") for m, t in zip(table.column("members").to_pylist(), one)]
+    times = [np.frombuffer(x, "<u4") for x in table.column("times").to_pylist()]
+    every = np.concatenate(one + common)
+    weight = np.concatenate([np.ones(sum(map(len, one)), np.int64), *times]).astype(np.int64)
+    _, group = np.unique(every, return_inverse=True)
+    sets = np.bincount(group, weight).astype("<u4")[group]
+    n_one = sum(map(len, one))
+    row = np.repeat(np.arange(len(one)), [len(t) for t in one])
+    keep = np.flatnonzero(sets[:n_one] > 1)
+    bounds = np.searchsorted(row[keep], np.arange(len(one) + 1))
+    ends = n_one + np.cumsum([0, *map(len, common)])
+    member = np.concatenate(wide)
+    cut = lambda x: pa.array([x[keep[a:b]].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+    own = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+    return pa.table({"block": table.column("block"), "members": cut(member), "tokens": cut(every), "sets": cut(sets), "common": own(every), "common_sets": own(sets), "meta": table.column("meta"), "holders": table.column("holders")})
 
 
 def prefixes(table: pa.Table, at_least: tuple[int, int]) -> pa.Table:
     """(node, n, tokens) of the members of a block that may have partners: prefix tokens shared with other sets."""
-    meta = np.frombuffer(next(m for m in table.column("meta").to_pylist() if m is not None), dtype=[("node", "S16"), ("n", "<u4"), ("counted", "<u4")])
-    raw = np.frombuffer(meta.tobytes(), np.uint8).reshape(-1, 24)[:, :16]
+    the = lambda name, kind: np.frombuffer(next(m for m in table.column(name).to_pylist() if m is not None), kind)
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    member, token, sets = join("members", "<u4"), join("tokens", "<u8"), join("sets", "<u4")
+    meta, held = the("meta", META), the("holders", HOLDERS)
+    raw = np.frombuffer(meta.tobytes(), np.uint8).reshape(-1, 24)[:, :16]
+    common, common_sets = join("common", "<u8"), join("common_sets", "<u4")
+    order = np.argsort(common, kind="stable")
+    at = order[np.searchsorted(common[order], held["token"])] if len(held) else np.zeros(0, np.int64)
+    member = np.concatenate([join("members", "<u4"), held["member"]])
+    token = np.concatenate([join("tokens", "<u8"), held["token"]])
+    sets = np.concatenate([join("sets", "<u4"), common_sets[at]])
     late = token >> U64(63)
     order = np.lexsort((token, np.where(late == 0, sets, 0), late, member))
     member, token, late = member[order], token[order], late[order]
@@ -221,39 +252,59 @@ def order_prefix(s: np.ndarray, order: np.uint64, p: int) -> np.ndarray:
     return h if p >= len(h) else np.partition(h, p - 1)[:p]
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], at_least: tuple[int, int]) -> np.ndarray:
+Members = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def with_prefixes(tokens: bytes, first: list[int], at_least: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """A set, and its prefix tokens under each order; under the first one, those that other sets share."""
+    s = np.frombuffer(tokens, "<u8")
+    p = prefix_length(len(s), at_least)
+    return (s, np.array(first, np.int64).view(U64), *(order_prefix(s, o, p) for o in ORDERS[1:]))
+
+
+def linked(left: Members, right: Members, at_least: tuple[int, int]) -> np.ndarray:
     """Which pairs of sets reach the similarity; the orders' filters are intersected before verification."""
-    size_l, size_r = (np.array([len(s) for s in x], np.int64) for x in (left, right))
+    size_l, size_r = (np.array([len(x[0]) for x in side], np.int64) for side in (left, right))
     small, large = np.minimum(size_l[:, None], size_r), np.maximum(size_l[:, None], size_r)
     open_pairs = small * at_least[1] >= large * at_least[0]
-    for order in ORDERS[1:]:
+    for order in range(1, 1 + len(ORDERS)):
         if not open_pairs.any():
             return open_pairs
-        cut = lambda x: [order_prefix(s, order, prefix_length(len(s), at_least)) for s in x]  # noqa: E731, B023
-        open_pairs &= common(cut(left), cut(right)) > 0
+        open_pairs &= common([x[order] for x in left], [x[order] for x in right]) > 0
     out = np.zeros(open_pairs.shape, bool)
     rows, cols = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
     if len(rows):
-        both = common([left[i] for i in rows], [right[j] for j in cols]).astype(np.int64)
+        both = common([left[i][0] for i in rows], [right[j][0] for j in cols]).astype(np.int64)
         union = size_l[rows][:, None] + size_r[cols] - both
         out[np.ix_(rows, cols)] = (both * at_least[1] >= union * at_least[0]) & open_pairs[np.ix_(rows, cols)]
     return out
 
 
+def linked_in_tiles(left: Members, right: Members, same: bool, at_least: tuple[int, int]) -> np.ndarray:
+    """As `linked`, some members of each side at once; with same, left and right are one list."""
+    out = np.zeros((len(left), len(right)), bool)
+    for a in range(0, len(left), TILE):
+        for b in range(a if same else 0, len(right), TILE):
+            hit = linked(left[a : a + TILE], right[b : b + TILE], at_least)
+            out[a : a + TILE, b : b + TILE] = hit
+            if same:
+                out[b : b + TILE, a : a + TILE] = hit.T
+    return out
+
+
 def group_links(table: pa.Table, at_least: tuple[int, int]) -> pa.Table:
     """(node, root, n_linked) of the linked members of one pair of blocks of a class."""
     first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
     nodes, blocks = table.column("node").to_pylist(), np.array(table.column("own").to_pylist())
     order = sorted(range(len(nodes)), key=nodes.__getitem__)
-    order = [i for k, i in enumerate(order) if k == 0 or nodes[i] != nodes[order[k - 1]]]
     copies = np.array(table.column("copies").to_pylist(), np.int64)
-    sets = table.column("tokens").to_pylist()
+    sets, shown = table.column("tokens").to_pylist(), table.column("shown").to_pylist()
     part = [[i for i in order if blocks[i] == b] for b in (first, second)]
-    values = [[np.frombuffer(sets[i], "<u8") for i in p] for p in part]
+    values = [[with_prefixes(sets[i], shown[i], at_least) for i in p] for p in part]
     out_node, out_root, out_links = [], [], []
     if all(part):
         same = first == second
-        hit = linked(values[0], values[1], at_least)
+        hit = linked_in_tiles(values[0], values[1], same, at_least)
         if same:
             np.fill_diagonal(hit, False)
         members = part[0] if same else part[0] + part[1]
@@ -280,6 +331,25 @@ def group_links(table: pa.Table, at_least: tuple[int, int]) -> pa.Table:
     return pa.table({"a": pa.array(out_node, pa.binary()), "b": pa.array(out_root, pa.binary()), "n_linked": pa.array(out_links, pa.int64())})
 
 
+def connected(shared: DataFrame) -> DataFrame:
+    """(node, label): the nodes of each label's rows (label, node, token) that tokens connect, under new labels."""
+    least = shared.groupBy("label", "token").agg(F.min("node").alias("least"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    least = staged(least, "least")  # so that Spark can split the rows of a very frequent token in the join
+    edges = shared.join(least, ["label", "token"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return components(edges)
+
+
+def prefix_rows(sets: DataFrame, order: int, at_least: tuple[int, int]) -> DataFrame:
+    """(label, node, token): the prefix tokens of every member under one of the later orders."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        every = [np.frombuffer(x, "<u8") for x in batch.column(0).to_pylist()]
+        return {"label": batch.column(1), "node": batch.column(2), "tokens": [order_prefix(s, ORDERS[order], prefix_length(len(s), at_least)).view(np.int64) for s in every]}
+
+    rows = over_batches(sets.select("tokens", "label", "node"), run, "label binary, node binary, tokens array<long>")
+    return rows.select("label", "node", F.explode("tokens").alias("token"))
+
+
 def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, at_least: tuple[int, int] = AT_LEAST, class_tokens: int = CLASS_TOKENS) -> DataFrame:
     """Per row of docs: doc_id, version, n_shingles, component_id, n_links (documents it links to), class.
 
@@ -289,48 +359,59 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = keyed_texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
     base = staged(set_table(texts, k), "sets")
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version"))
-    reps = base.where("node IS NOT NULL").groupBy("node").agg(chosen.alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    reps = reps.select("node", "copies", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.version").alias("rep_version"))
+    each = base.where("node IS NOT NULL").groupBy("node", "doc_id", "version").agg(F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"))
+    reps = each.groupBy("node").agg(chosen.alias("rep"), F.sum("rows").alias("copies"), F.max("rows").alias("rows"), F.first("n_shingles").alias("n"))
+    reps = staged(reps.select("node", "copies", "rows", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.version").alias("rep_version")), "reps")
+    about = reps.agg(F.sum("n").alias("n"), F.max("rows").alias("rows")).first()
+    reps = reps.drop("rows")
+    if (about["rows"] or 0) > 1:  # rows that share id and text
+        texts = texts.dropDuplicates(["doc_id", "version"])
     keyed = lambda part: (F.col("doc_id").eqNullSafe(part["rep_id"])) & (F.col("version") == part["rep_version"])
 
-    total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
-    n_buckets = 1 << max(6, (total // BUCKET_TOKENS).bit_length())
+    n_buckets = 1 << max(6, ((about["n"] or 0) // BUCKET_TOKENS).bit_length())
+    counts = "block long, members binary, tokens binary, sets binary, common binary, common_sets binary, meta binary, holders binary"
     one_each = texts.join(reps.hint("shuffle_hash"), keyed(reps)).select("node", "text").sortWithinPartitions("node")
     shown = blocks_of_tokens(one_each, k, at_least, n_buckets)
-    counted = shown.groupBy("bucket").applyInArrow(count_sets, "block long, members binary, tokens binary, sets binary, meta binary")
+    counted = shown.groupBy("bucket").applyInArrow(count_sets, counts)
     kept = counted.groupBy("block").applyInArrow(lambda t: prefixes(t, at_least), "node binary, n long, tokens array<long>")
     may = staged(kept, "prefixes", small=True)
 
-    shared = may.select("node", F.explode("tokens").alias("token"))
-    least = shared.groupBy("token").agg(F.min("node").alias("least"), F.count("*").alias("sets")).where("sets > 1")
-    edges = shared.join(least, "token").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    classes = components(edges)
-
-    weight = F.greatest(F.col("n"), F.lit(-(-class_tokens // CLASS_MEMBERS)))
-    members = staged(classes.join(reps, "node").withColumn("weight", weight), "members", small=True)
-    n_blocks = members.groupBy("label").agg(F.sum("weight").alias("weight"), F.count("*").alias("members")).where("members > 1")
-    n_blocks = n_blocks.select("label", F.ceil(F.col("weight") / class_tokens).cast("int").alias("n_blocks"))
-    placed = members.drop("weight").join(n_blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    if members.count() <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-    found = texts.join(placed, keyed(placed)).select("text", "label", "node", "copies", "own", "n_blocks")
+    classes = staged(connected(may.select(F.lit(bytearray()).alias("label"), "node", F.explode("tokens").alias("token"))), "first-classes", small=True)
+    members = classes.select("node").join(reps.select("node", "rep_id", "rep_version"), "node")
+    if classes.count() <= BROADCAST_ROWS:  # of a fixed width
+        members = F.broadcast(members)
+    found = texts.join(members, keyed(members)).select("text", "node")
 
     def with_sets(batch: pa.RecordBatch) -> dict:
-        sets = [s.astype("<u8").tobytes() for _, s in word_sets(batch.column(0), k)]
-        return {"tokens": sets, **{n: batch.column(i) for i, n in enumerate(("label", "node", "copies", "own", "n_blocks"), 1)}}
-
-    sets = over_batches(found, with_sets, "tokens binary, label binary, node binary, copies long, own int, n_blocks int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    paired = sets.withColumn("other", other).select("tokens", "label", "node", "copies", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+        return {"tokens": [s.astype("<u8").tobytes() for _, s in word_sets(batch.column(0), k)], "node": batch.column(1)}
+
+    about_members = classes.join(may.withColumnRenamed("tokens", "shown"), "node").join(reps.select("node", "copies"), "node")
+    sets = staged(over_batches(found, with_sets, "tokens binary, node binary").join(about_members, "node"), "member-sets")
+    done = None
+    for order in (1, 2, None):
+        of_class = sets.groupBy("label").agg(F.sum(F.greatest("n", F.lit(-(-class_tokens // CLASS_MEMBERS)))).alias("weight"), F.count("*").alias("members")).where("members > 1")
+        n_blocks = staged(of_class.select("label", F.ceil(F.col("weight") / class_tokens).cast("int").alias("n_blocks")), "class-blocks", small=True)
+        placed = sets.join(n_blocks, "label")
+        if order is None or not n_blocks.where("n_blocks > 1").limit(1).count():
+            break
+        fits = placed.where("n_blocks = 1").drop("n_blocks")
+        done = fits if done is None else done.unionByName(fits)
+        large = staged(placed.where("n_blocks > 1").drop("n_blocks"), "large-classes")
+        split = connected(prefix_rows(large, order, at_least))
+        sets = staged(large.drop("label").join(split, "node"), "split-classes")
+    placed = placed if done is None else placed.unionByName(done.withColumn("n_blocks", F.lit(1)))
+    paired = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    paired = paired.select("tokens", "shown", "label", "node", "copies", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     links = staged(paired.groupBy("label", "first", "second").applyInArrow(lambda t: group_links(t, at_least), "a binary, b binary, n_linked long"), "links", small=True)
 
     labels = components(links.where("a <> b").select("a", "b"))
     named = labels.join(reps.select("node", "rep_id"), "node").groupBy("label").agg(F.min("rep_id").alias("component"))
     component = labels.join(named, "label").select("node", "label", "component")
     n_linked = links.groupBy(F.col("a").alias("node")).agg(F.sum("n_linked").alias("n_linked"))
-    info = reps.join(component, "node", "left").join(n_linked, "node", "left").select(
+    # written first, so that rows of one text meet it in a plain join, which Spark can split
+    info = staged(reps.join(component, "node", "left").join(n_linked, "node", "left").select(
         F.col("node").alias("of_node"), F.coalesce("label", "node").alias("class"), F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")
-    )
+    ), "classes-of-sets")
     joined = base.join(info, F.col("node") == F.col("of_node"), "left")
     alone = F.col("node").isNull()
     return joined.select("doc_id", "version", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class")
