@@ -1,17 +1,18 @@
 """Line deduplication across documents, by range-partitioned line hashes.
 
 Each document sends one row per distinct line key (128-bit hash, the positions of the key's lines);
-texts stay where they are. The rows are range-partitioned and sorted by key, document and position, so
+texts are not in these rows. The rows are range-partitioned and sorted by key, document and position, so
 one pass over a partition sees each key's documents in order. The pass needs to remember fewer rows than
 `min_docs`: a key's lines are held back until enough documents have been seen, and from then on stream
 straight out. The range also covers the document, so a key that a third of all documents share is dealt
 over many partitions; only the first and last key of a partition can go on in another one, and their
-document counts are added up afterwards. What comes back to a document is a compressed bitmap.
+document counts are added up afterwards. What comes back is a compressed bitmap of each document that loses
+lines; where texts are wanted, they move once to meet their bitmaps.
 
 Defined results: a null or empty text is one empty line; keys shorter than `min_chars` code points are
 never dropped; rows with the same id and the same text count as one document and get the same result;
 rows with the same id and different texts are different documents; null ids are allowed. An empty table
-gives an empty result. Columns other than the named two are not read.
+gives an empty result. Ids are integers or cast to long. Columns other than the named two are not read.
 """
 
 from __future__ import annotations

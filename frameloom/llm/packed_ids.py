@@ -18,7 +18,7 @@ pre-token is encoded by the tokenizers library once per worker. Texts with chara
 the version of Unicode, or with an added token's string, are given to the library whole.
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows that repeat an id
-are documents of their own, in order of their text hashes. Other columns are not read.
+are documents of their own, in order of their text hashes; ids are integers or cast to long. Other columns are not read.
 """
 
 from __future__ import annotations
