@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from frameloom.llm import components, decontaminate, jaccard_join, license_scan, line_dedup, oracles, packed_ids, pieces, quality_fm, queries, secret_scan, topk_search
 from tests.comparing import same_rows
@@ -114,6 +117,33 @@ def test_jaccard_join(spark):
     assert kept == {c for _, c, _ in want.values()}
 
 
+def test_large_chained_classes_are_split(spark):
+    """Texts that one rare passage chains together, in blocks of a few members, with repeated rows and null ids."""
+    rng = random.Random(12)
+    passage = " ".join("p%d" % i for i in range(12))
+    texts = near_copies(rng, 3, 60, 40)
+    texts += [passage + " " + " ".join("u%d" % rng.randrange(10**6) for _ in range(20)) for _ in range(80)] + texts[:2] * 3
+    want = joined_by_hand(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.class_table(docs_frame(spark, texts).repartition(6), class_tokens=500).collect()}
+    assert got == want
+    hot = docs_frame(spark, [texts[0]] * 500 + texts[:40], [None] * 500 + list(range(40))).repartition(6)
+    got = [(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.join_report(hot).collect()]
+    links = {i: sum(w for j, (w, t) in enumerate([(500, texts[0]), *((1, t) for t in texts[:40])]) if len(shingles(t) & shingles(texts[i])) * 4 >= 3 * len(shingles(t) | shingles(texts[i]))) - 1 for i in range(40)}
+    assert {i: n for i, _, n in got if i is not None} == links
+    assert {c for i, c, _ in got if i is None} == {0} and sum(i is None for i, _, _ in got) == 500
+
+
+def test_members_of_one_order_only_are_not_verified():
+    """Every one of the three filters can refuse a pair by itself."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(6)]
+    members = [(s, s[:11], *(jaccard_join.order_prefix(s, o, 11) for o in jaccard_join.ORDERS[1:])) for s in sets]
+    assert jaccard_join.linked(members, members, (3, 4)).trace() == 6
+    for order in (1, 2, 3):
+        other = [tuple(x + np.uint64(1) << np.uint64(1) if k == order else x for k, x in enumerate(m)) for m in members]
+        assert not jaccard_join.linked(members, other, (3, 4)).any()
+
+
 def test_jaccard_join_odd_ids(spark):
     same = "one two three four five six"
     df = docs_frame(spark, [same, same, same, None], [None, 5, 5, 9])
@@ -191,6 +221,15 @@ def test_leaks(spark):
     kept = decontaminate.without_leaks(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {n, n + 1}
     assert decontaminate.leak_report(df, bench.limit(0)).count() == 0
+    in_blocks = decontaminate.without_leaks(df, bench, block_tokens=10)
+    assert {r.doc_id for r in in_blocks.collect()} == set(range(len(texts))) - {n, n + 1}
+
+
+def test_short_repeated_and_named_items(spark):
+    bench = spark.createDataFrame([("a", "Too short."), ("a", "Too short."), ("b", "too SHORT"), ("c", ""), ("d", None), ("e", "one two three four five six")] * 3, "item_id string, text string")
+    df = docs_frame(spark, ["too short", "this is too short", "", None, "one two three four five six"]).withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in decontaminate.leak_report(df, bench).collect())
+    assert got == [("doc-0", "a", 1.0, 1), ("doc-0", "b", 1.0, 1), ("doc-4", "e", 1.0, 1)]
 
 
 # ---- packed ids
@@ -228,6 +267,59 @@ def test_encoding(spark):
     assert packed_ids.corpus_report(packed_ids.write_corpus(docs_frame(spark, []), path)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return packed_ids.Encoder(queries.tokenizer_file("byte_bpe_50k.json"))
+
+
+def assert_same_ids(encoder, texts):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()), 0)
+    ends = np.cumsum(counts)
+    for t, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == [*encoder.tool.encode(t, add_special_tokens=False).ids, 0], repr(t[:60])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "s", "t", "m", "ve", "ll", " ", "  ", "1", "!", "_", "'", "'s", "'re", "\n", "\t", "\x00", "\x1c", "\x85", "\xa0", "\u0301", "\xe9", "\u0434", "\u65e5", "\u180e", "\u200b", "\u2003", "\U0001f600", "<|endoftext|>"]), max_size=14).map("".join), min_size=1, max_size=20))
+def test_encoding_is_the_librarys(encoder, texts):
+    assert_same_ids(encoder, texts)
+
+
+def test_character_kinds_are_the_librarys(encoder):
+    split = encoder.tool.pre_tokenizer.pre_tokenize_str
+    want = {packed_ids.SPACES: [2, 2, 2], packed_ids.LETTERS: [1, 2, 2], packed_ids.NUMBERS: [2, 1, 2], packed_ids.OTHERS: [2, 2, 1]}
+    for c, kind in enumerate(encoder.kinds.tolist()):
+        if kind != packed_ids.FAR:
+            assert [len(split(x + chr(c))) for x in "a1!"] == want[kind], hex(c)
+
+
+def test_encoding_of_long_texts_and_equal_hashes(encoder, monkeypatch):
+    rng = random.Random(8)
+    words = ["w%d" % rng.randrange(3000) for _ in range(60_000)]
+    monkeypatch.setattr(packed_ids, "CHUNK_BYTES", 1 << 14)
+    for text in (" ".join(words), "x" * 70_000, "\n ".join(words[:9000]), "=" * 400 + " y"):
+        assert_same_ids(encoder, [text])
+    monkeypatch.setattr(packed_ids, "span_hashes", lambda points, start, end: (end - start).astype(np.uint64) << np.uint64(50))
+    encoder.clear()
+    assert_same_ids(encoder, ["one two six ten the for", "two one", " ".join(words[:500])])
+    encoder.clear()
+
+
+def test_hot_id_is_spread(spark):
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    df = docs_frame(spark, [f"text {i}" if i % 2 else None for i in range(10_000)], [5] * 10_000).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be put together again
+    try:
+        shards = packed_ids.write_corpus(df, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.select("part").distinct().count() > 2
+    got = packed_ids.corpus_report(shards).collect()
+    assert len(got) == 10_000 and {r.doc_id for r in got} == {5}
+    ends = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+
+
 # ---- SentencePiece
 
 
@@ -287,6 +379,20 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 3)]) for i in rng.integers(0, 12, 150) * 10]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            scored = sorted((-int(np.dot(np.array(v) * 256, np.array(u) * 256)), i) for other, (i, u) in enumerate(rows) if other != at)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    for block in (2048, 4):
+        got = topk_search.top_k(df.repartition(5), lambda i: i % 50 == 0, k=5, block_queries=block).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 # ---- secrets
 
 
@@ -324,6 +430,73 @@ def test_secrets_of_any_length_and_order(spark):
         assert got[i].n_lexed == len(want)
 
 
+LONG = "".join("aZ3kQ9xW"[i * i % 7] + str(i) for i in range(300))
+KEY, OTHER = "q8Zr4Tn2Lw9Kd", "Zx81Qw72Er63"
+SYNTAX = [
+    (f'client_secret_ref = "{LONG}"', [LONG]),
+    (f"private_key ={LONG}", [LONG]),
+    ("\n".join([f'a0="{KEY}"', *(f"a{i}=a{i - 1}" for i in range(1, 2000)), "credential=a1999"]), [KEY]),
+    (f'x = "{KEY}"; pw_secret_ref = x; x = "hello"', [KEY]),
+    (f'const apiKey: string = "{OTHER}"', [OTHER]),
+    (f'pwd: Dict[str, List[str]] = "{OTHER}"', [OTHER]),
+    ('password = "ab\\"c1X9kQ2w"', ['ab\\"c1X9kQ2w']),
+    ('credential = "q8Zk" + "3Lm9Xw2P"', ["q8Zk", "3Lm9Xw2P"]),
+    ('auth_key = ("q8Zr4Tn"\n    "2Lw9Kd")', ["q8Zr4Tn", "2Lw9Kd"]),
+    (f"<credential>{KEY}</credential>", [KEY]),
+    ("private_key: |\n  q8Zr4Tn2Lw9Kd\n  Rt5Yu6Io7Pl8\nother: 1", ["q8Zr4Tn2Lw9Kd\n  Rt5Yu6Io7Pl8"]),
+    (f"auth:\n  auth_key: {KEY}\n", [KEY]),
+    (f'K={KEY}\nexport DB_PWD="${{K}}"', [KEY]),
+    ('pwd = """q8Zr4\nTn2Lw9Kd"""', ["q8Zr4\nTn2Lw9Kd"]),
+    (f"os.environ['DB_PWD'] = '{KEY}'", [KEY]),
+    (f'{{"db": {{"credential": "{OTHER}", "n": 1}}}}', [OTHER]),
+    (f'connect(pwd="{OTHER}", user="bob")', [OTHER]),
+    (f"don't worry: credential = '{OTHER}' isn't", [OTHER]),
+    (f"private__key = '{OTHER}'", [OTHER]),
+    ('credential = get_credential_now("a")', []),
+    (f'if credential == "{KEY}":', []),
+    ("x = y\ny = x\ncredential = x", []),
+]
+
+
+def test_secret_syntax(spark):
+    got = {r.doc_id: r.spans for r in secret_scan.secret_report(docs_frame(spark, [t for t, _ in SYNTAX])).collect()}
+    for i, (text, want) in enumerate(SYNTAX):
+        at, spans = 0, []
+        for x in want:
+            at = text.index(x, at)
+            spans.append(f"lexed:{at}:{at + len(x)}")
+            at += len(x)
+        assert [s for s in got[i].split(",") if s.startswith("lexed")] == spans, text[:60]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "pwd", "credential"]), st.sampled_from(["a", "b", "c", "pwd", '"L"'])), max_size=12))
+def test_constants_are_followed(lines):
+    lines = [(name, f'"k{i}Zr4Tn2Lw9"' if value == '"L"' else value) for i, (name, value) in enumerate(lines)]
+    text = "\n".join(f"{name} = {value}" for name, value in lines)
+    want = set()
+    for start, (name, _) in enumerate(lines):
+        at, seen = start, set()
+        while secret_scan.sensitivity(name) and at not in seen:
+            seen.add(at)
+            value = lines[at][1]
+            if value[0] == '"':
+                want.add(value[1:-1])
+                break
+            same = [i for i, (n, _) in enumerate(lines) if n == value and i != at]
+            if not same:
+                break
+            at = max((i for i in same if i < at), default=same[0])
+    assert {text[a:b] for a, k, b in secret_scan.spans_of(text)[1] if k == 3} == want
+
+
+def test_long_odd_text_is_lexed_in_linear_time():
+    began = time.process_time()
+    for part in ('credential = "a', "pwd='", "`credential", "<pwd>", "pwd: a<", "credential=x+", "pwd: |\n a\n", "pwd = (", "pwd = pwd + 'a'\n", '"\\'):
+        secret_scan.spans_of(part * 20_000 + " pwd")
+    assert time.process_time() - began < 30
+
+
 # ---- licenses
 
 
@@ -349,13 +522,29 @@ def test_license_spans_stand_in_order(spark):
     shifted = license_scan.NOTICES[0][0].split()
     shifted = shifted[:8] + ["x", "y", "z"] + shifted[8:16] + ["x", "y", "z"] + shifted[16:]
     runs = [" ".join(w[i : i + 3]) for i in (4, 3, 2, 1, 0)]
-    texts = ["apache license version " * 4, "apache license version " * 4 + notice, " ".join(runs), " ".join(shifted)]
+    texts = ["apache license version " * 4, "apache license version " * 4 + notice, " ".join(runs), " ".join(shifted), "under the mit under the mit"]
     got = {r.doc_id: (r.labels, round(r.score, 6)) for r in license_scan.license_report(docs_frame(spark, texts)).collect()}
-    assert [got[i] for i in (0, 1, 2)] == [("", 0.0), ("apache-2", 1.0), ("", 0.0)]
+    assert [got[i] for i in (0, 1, 2, 4)] == [("", 0.0), ("apache-2", 1.0), ("", 0.0), ("", 0.0)]
     n = len(license_scan.NOTICES[0][0].split()) - 2
     assert got[3] == ("mit", round((n - 4) / n, 6))
 
 
+def test_license_templates_as_a_table(spark):
+    rng = random.Random(6)
+    whole = ["t%d" % rng.randrange(200) for _ in range(300)]
+    wide = " ".join(w + " x" * (i % 3 == 0) for i, w in enumerate(whole[:60]))  # drifts by 20 words in all
+    far = " ".join(w + " x" for w in whole)  # no run of three is left
+    templates = spark.createDataFrame([(" ".join(whole), "big", False), (" ".join(whole), "big", False), ("One two three!", "small", True)], "text string, label string, exact boolean")
+    texts = ["start " + " ".join(whole[:280]) + " end", "one, two; THREE one two three", wide, far, None]
+    want = [("big", 0), ("small", 2), ("", 0), ("", 0), ("", 0)]
+    for block in (100_000, 40):
+        got = {r.doc_id: (r.labels, r.n_base) for r in license_scan.license_report(docs_frame(spark, texts), templates=templates, block_runs=block).collect()}
+        assert [got[i] for i in range(5)] == want
+    assert all(r.labels == "" for r in license_scan.license_report(docs_frame(spark, texts), templates=templates.limit(0)).collect())
+    with pytest.raises(Exception, match="fewer than 3 words"):
+        license_scan.license_report(docs_frame(spark, texts), templates=templates.selectExpr("'a b' AS text", "label", "exact")).count()
+
+
 def test_repeated_rows_and_empty_tables(spark):
     text = "under the mit license token=abcdefgh1"
     df = docs_frame(spark, [text, text, text + " under the mit license", None], [1, 1, 1, None])

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import quality_fm, queries, toxicity
+from frameloom.llm import choose_settings, labelled, quality_fm, queries, toxicity
 from frameloom.session import table
 from tests.llm.data import AWKWARD, docs_frame
 
@@ -43,6 +43,132 @@ def test_square_identity():
         assert z[i] == pytest.approx(want)
 
 
+TEXTS = ["you idiot, you!", "a calm day", "idiot idiot moron", "calm and clean. It ends.", "what a moron you are", "a day in the sun", "", "moron, idiot"]
+LABELS = [1, 0, 1, 0, 1, 0, 0, 1]
+
+
+def adam(steps, rate, floor, w, grad_of):
+    """Plain Adam over a dict of parameters."""
+    m, v = ({k: 0.0 for k in w} for _ in range(2))
+    for t in range(1, steps + 1):
+        for k, g in grad_of(w).items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
+        for k in w:
+            w[k] -= (rate[k] if isinstance(rate, dict) else rate) * (m[k] / (1 - 0.9**t)) / ((v[k] / (1 - 0.99**t)) ** 0.5 + floor)
+    return w
+
+
+def test_toxicity_against_plain_python():
+    """Counts, ratios, selection, fit and scores over n-grams as strings."""
+    weight, min_z, rounds, l2 = 2.5, 1.2, 40, 1e-2
+    grams = [{t[i : i + n] for t in [x.lower()] for n in toxicity.ORDERS for i in range(len(t) - n + 1)} for x in TEXTS]
+    every = sorted(set().union(*grams))
+    size = 1 << toxicity.BITS
+    count = {c: {g: sum(g in x for x, y in zip(grams, LABELS) if y == c) for g in every} for c in (0, 1)}
+    total = {c: sum(count[c].values()) + size for c in (0, 1)}
+    ratio = {g: np.log((count[1][g] + 1) / total[1]) - np.log((count[0][g] + 1) / total[0]) for g in every}
+    share = {g: (count[0][g] + count[1][g]) / 8 for g in every}
+    z = {g: abs(count[1][g] / 4 - count[0][g] / 4) / (max(share[g] * (1 - share[g]), 1e-9) / 2) ** 0.5 for g in every}
+    chosen = [g for g in every if z[g] >= min_z]
+    assert 3 < len(chosen) < len(every)
+    scale = [(1.0 if y else weight) / (4 + 4 * weight) for y in LABELS]
+    prior = 4 / (4 + 4 * weight)
+
+    def margin(w, x):
+        return w["bias"] + sum(w[g] * ratio[g] for g in chosen if g in x)
+
+    def grad(w):
+        miss = [(1 / (1 + np.exp(-margin(w, x))) - y) * s for x, y, s in zip(grams, LABELS, scale)]
+        return {g: sum(m for m, x in zip(miss, grams) if g in x) * ratio[g] + l2 * w[g] for g in chosen} | {"bias": sum(miss)}
+
+    w = adam(rounds, 0.05, 1e-9, {g: 0.0 for g in chosen} | {"bias": float(np.log(prior / (1 - prior)))}, grad)
+    weights, bias = toxicity.fit(TEXTS, LABELS, weight, min_z=min_z, rounds=rounds, l2=l2)
+    assert bias == pytest.approx(w["bias"], abs=1e-6) and (weights != 0).sum() == len(chosen)
+    new = [*TEXTS, None, "IDIOT", "x" * 50]
+    want = [1 / (1 + np.exp(-margin(w, {t[i : i + n] for t in [(x or "").lower()] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}))) for x in new]
+    assert toxicity.score_texts(new, weights, bias) == pytest.approx(want, abs=1e-5)
+
+
+def test_quality_against_plain_python():
+    """Statistics by hand, and the fit of all pairwise interactions without the square identity."""
+    recorded = np.array([5.0, 10, 17, 24, np.nan, 16, 0, 12])
+    dense, rows, buckets, values = quality_fm.features(pa.array(TEXTS), recorded)
+    names = [*quality_fm.STATISTICS, *quality_fm.METADATA]
+    for i, t in enumerate(TEXTS):
+        w = t.split()
+        n = max(1, len(w))
+        want = {
+            "upper": sum(c.isupper() for c in t) / max(1, len(t)), "stop": sum(c in ".?" for c in t) / max(1, len(t)), "comma": sum(c in ",;:" for c in t) / max(1, len(t)),
+            "bang": t.count("!") / max(1, len(t)), "line": min(1 / n, 1.0), "word_length": sum(map(len, w)) / n / 10, "log_words": np.log1p(len(w)) / 10, "distinct": len({x.lower() for x in w}) / n,
+            "top_word": max((w.count(x) for x in w), default=0) / n, "short": sum(len(x) <= 3 for x in w) / n, "unpunctuated": sum(x[-1].isalnum() for x in w) / n,
+            "repeats_next": sum(a == b for a, b in zip(w, w[1:])) / n, "recorded_length": 0.0 if np.isnan(recorded[i]) else np.clip(np.log1p(recorded[i]) - np.log1p(len(t)), -3, 3),
+        }
+        for name, value in want.items():
+            assert dense[i, names.index(name)] == pytest.approx(value), (t, name)
+        own = sorted(values[rows == i])
+        assert own == pytest.approx(sorted((w.count(x) / n) ** 0.5 for x in set(w)))
+    rounds, l2, weight = 3, 1e-2, 2.0
+    model = quality_fm.fit(TEXTS, recorded, LABELS, weight, epochs=rounds, l2=l2)
+    x = (dense - dense.mean(axis=0)) / (np.maximum(dense.std(axis=0), 1e-3) * 2)
+    fields = [{j: x[i, j] for j in range(quality_fm.N_DENSE)} | {quality_fm.N_DENSE + b: v for r, b, v in zip(rows, buckets, values) if r == i} for i in range(8)]
+    used = sorted(set().union(*fields))
+    start = np.random.default_rng(7).normal(0, 0.02, (quality_fm.N_DENSE + (1 << quality_fm.BITS), quality_fm.FACTORS))
+    scale = [(1.0 if y else weight) / (4 + 4 * weight) for y in LABELS]
+    prior = 4 / (4 + 4 * weight)
+    params = {("w", j): 0.0 for j in used} | {("v", j, f): start[j, f] for j in used for f in range(quality_fm.FACTORS)} | {"bias": float(np.log(prior / (1 - prior)))}
+
+    def margin(p, x):
+        own = [(j, u, np.array([p["v", j, f] for f in range(quality_fm.FACTORS)])) for j, u in x.items()]
+        return p["bias"] + sum(p["w", j] * u for j, u, _ in own) + sum(a[2] @ b[2] * a[1] * b[1] for k, a in enumerate(own) for b in own[k + 1 :])
+
+    def grad(p):
+        g = {k: 0.0 if k == "bias" else l2 * v for k, v in p.items()}
+        for x, y, s in zip(fields, LABELS, scale):
+            miss = (1 / (1 + np.exp(-margin(p, x))) - y) * s
+            g["bias"] += miss
+            for j, u in x.items():
+                g["w", j] += miss * u
+                for f in range(quality_fm.FACTORS):
+                    g["v", j, f] += miss * u * sum(p["v", k, f] * o for k, o in x.items() if k != j)
+        return g
+
+    rate = {k: 0.01 if k[0] == "v" else 0.05 for k in params}
+    p = adam(rounds, rate, 1e-6, params, grad)
+    assert model["bias"] == pytest.approx(p["bias"], abs=1e-4)
+    assert [model["w"][j] for j in used] == pytest.approx([p["w", j] for j in used], abs=2e-3)
+    assert [model["v"][j, 0] for j in used] == pytest.approx([p["v", j, 0] for j in used], abs=2e-3)
+    assert quality_fm.score_texts(model, pa.array(TEXTS), recorded) == pytest.approx([1 / (1 + np.exp(-margin(p, x))) for x in fields], abs=2e-3)
+
+
+def test_labels_without_documents_and_giant_texts_take_no_place(spark):
+    docs = docs_frame(spark, ["text %d" % i for i in range(20)] + ["giant " * 2000], range(21))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(21)] + [(1000 + i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    found = labelled.sample(docs, labels, "toxic", 4, 2, per_class=20, max_chars=1000)
+    own = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(found.texts) == sorted("text %d" % i for i in own)
+    assert sorted(found.labels) == sorted(i % 2 for i in own)
+    assert labelled.sample(docs, labels, "toxic", 4, 2, per_class=2, max_chars=1000).labels.count(1) == 2
+    twice = labelled.sample(docs.unionByName(docs), labels, "toxic", 4, 2, per_class=20, max_chars=1000)
+    assert sorted(twice.texts) == sorted(found.texts)
+
+
+def test_settings_are_chosen_without_held_out_rows():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcd"), 30)) + (" idiot" if i % 2 else " a calm") for i in range(60)]
+    found = labelled.Sample(texts, [None] * 60, [i % 2 for i in range(60)], 1.0)
+    best = labelled.cross_validated(found, [{"min_z": 3.0, "rounds": 40, "l2": 1e-3}, {"min_z": 50.0, "rounds": 40, "l2": 1e-3}], choose_settings.toxicity_scores)
+    assert best[0][1]["min_z"] == 3.0 and best[0][0] < 0.3 < best[1][0]
+
+
+@pytest.mark.parametrize("report,label", [(toxicity.toxicity_report, "toxic"), (quality_fm.quality_report, "quality")])
+def test_repeated_rows_and_ties_score_alike(spark, report, label):
+    texts = ["you idiot moron " * 3] * 6 + ["a calm and clean text. It ends here."] * 6
+    docs = docs_frame(spark, texts * 2, [*range(12), *[3] * 6, *[None] * 6])
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)] * 2, f"doc_id long, {label} int")
+    got = report(docs, labels).collect()
+    assert len(got) == 24 and len({round(r.score, 12) for r in got}) == 2
+
+
 def test_gram_buckets_are_distinct_grams():
     texts = [None, "", "ab", "abc abc", "IDIOT idiot", "é日本"]
     seen: dict = {}
