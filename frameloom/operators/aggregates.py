@@ -8,24 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.columns import log_bin, log_edge
+from frameloom.session import staged
 
 PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 #: Parts that a group's values are dealt over.
 PARTS = 64
+#: Counted values up to which one aggregate takes them all.
+FEW = 1_000_000
 
 
-def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], parts: int = PARTS) -> DataFrame:
+def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], parts: int = PARTS, few: int = FEW) -> DataFrame:
     """Exact, linearly interpolated percentiles per group: columns by and p0, p1, ... in the order of points.
 
-    Nulls and NaNs do not count, and rows without a group are left out. Equal values are counted first, so
-    that a value which most rows share is one row. Approximate quantiles then cut a group's distinct values
-    into parts; the sizes of the parts tell which few of them hold the wanted ranks, and only these are
-    sorted. No task holds a group's values, unlike an exact percentile aggregate.
+    Nulls and NaNs do not count, and rows without a group are left out. Equal values are counted first and
+    written, so that a value which most rows share is one row and the input is read once. Few counts go to
+    the percentile aggregate. Otherwise approximate quantiles cut a group's distinct values into parts; the
+    sizes of the parts tell which few of them hold the wanted ranks, and only these are sorted, so no
+    task holds a group's values. Both ways are exact.
     """
     x = F.col(value).cast("double")
     rows = df.select(*by, x.alias("_v"), F.lit(1).alias("_all")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     by = [*by, "_all"]
-    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    known = rows
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    counts = staged(known.groupBy(*by, "_v").agg(F.count("*").alias("_c")), "value-counts")
+    if counts.count() <= few:
+        found = counts.groupBy(*by).agg(F.percentile("_v", F.array(*(F.lit(float(p)) for p in points)), F.col("_c")).alias("_p"))
+        return found.select(*by, *(F.get("_p", F.lit(i)).alias(f"p{i}") for i in range(len(points)))).drop("_all")
     cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
     placed = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     inside = Window.partitionBy(*by)

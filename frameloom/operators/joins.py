@@ -42,8 +42,9 @@ def only_in_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
 def last_of(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in the given order, as when later rows overwrite earlier ones."""
-    w = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    rest = [c for c in df.columns if c not in key]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select(*(c if c in key else F.col(f"_last.{c}").alias(c) for c in df.columns))
 
 
 def aligned(tables: dict[str, DataFrame], key: Sequence[str], value: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,26 +60,103 @@ def labelled(blobs: DataFrame, pairs: DataFrame, assigned: DataFrame, by: tuple[
     return out.select(*by, "blob", label.alias("label"), F.coalesce("gt", F.lit(-1)).cast("long").alias("gt"), best.alias("best"))
 
 
+def best_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column of each row, reduced costs) of a square assignment with the smallest total, by shortest augmenting paths."""
+    n = len(cost)
+    row_price, column_price = np.zeros(n), np.zeros(n)
+    row_of = np.full(n, -1)
+    for start in range(n):
+        reach, before, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+        row, column, far = start, -1, 0.0
+        while row >= 0:
+            ways = far + cost[row] - row_price[row] - column_price
+            shorter = ~done & (ways < reach)
+            reach[shorter], before[shorter] = ways[shorter], column
+            open_reach = np.where(done, np.inf, reach)
+            column = int(open_reach.argmin())
+            far = float(open_reach[column])
+            done[column] = True
+            row = row_of[column]
+        seen = done.copy()
+        seen[column] = False
+        row_price[start] += far
+        row_price[row_of[seen]] += far - reach[seen]
+        column_price[seen] -= far - reach[seen]
+        while column >= 0:
+            earlier = before[column]
+            row_of[column] = row_of[earlier] if earlier >= 0 else start
+            column = earlier
+    column_of = np.empty(n, int)
+    column_of[row_of] = np.arange(n)
+    return column_of, np.maximum(cost - row_price[:, None] - column_price, 0)
+
+
+def cheapest_cycles(reduced: np.ndarray, column_of: np.ndarray) -> np.ndarray:
+    """(i, k): the least that all totals grow by if row i takes the column of row k, and others move on in a ring."""
+    step = reduced[:, column_of]
+    way = step.copy()
+    np.fill_diagonal(way, 0)
+    for via in range(len(way)):
+        np.minimum(way, way[:, via, None] + way[via], out=way)
+    return step + way.T
+
+
 def associate(before: list[tuple[float, float]], now: list[tuple[float, float]]) -> tuple[dict[int, int], float | None]:
     """({place now: place before}, ratio of the second-best to the best total distance).
 
-    Equal numbers: the permutation with the smallest total, the first of equals. Unequal numbers: each
-    box now, in order, takes the nearest box before that is free. No ratio for a single box or a best of 0.
+    Equal numbers: the assignment with the smallest total; of equal ones the first, as lists of places
+    before. Any other assignment differs from the best one by rings of rows that pass their partners on,
+    so the second-best total is the best one plus the cheapest ring. Unequal numbers: each box now, in
+    order, takes the nearest box before that is free. No ratio for a single box or a best of 0.
     """
     if not before or not now:
         return {}, None
-    gap = [[math.hypot(a[0] - b[0], a[1] - b[1]) for b in before] for a in now]
-    if len(before) == len(now):
-        totals = [(sum(gap[i][j] for i, j in enumerate(p)), k, p) for k, p in enumerate(itertools.permutations(range(len(before))))]
-        totals.sort(key=lambda t: t[:2])
-        ratio = totals[1][0] / totals[0][0] if len(totals) > 1 and totals[0][0] > 0 else None
-        return dict(enumerate(totals[0][2])), ratio
-    free, out = set(range(len(before))), {}
-    for i, row in enumerate(gap):
-        if free:
-            out[i] = min(free, key=lambda j: (row[j], j))
-            free.discard(out[i])
-    return out, None
+    gap = np.hypot(*(np.subtract.outer([p[i] for p in now], [p[i] for p in before]) for i in (0, 1)))
+    if len(before) != len(now):
+        free, out = np.ones(len(before), bool), {}
+        for i, row in enumerate(gap[: len(before)]):
+            out[i] = int(np.where(free, row, np.inf).argmin())
+            free[out[i]] = False
+        return out, None
+    n = len(now)
+    column_of, reduced = best_assignment(gap)
+    if n == 1:
+        return {0: 0}, None
+    rings = cheapest_cycles(reduced, column_of)
+    np.fill_diagonal(rings, np.inf)
+    nearly = 1e-12 * max(1.0, float(gap.max()))
+    second = float(rings.min())
+    if second <= nearly:  # other assignments are as good
+        column_of = first_of_equals(reduced, column_of, nearly)
+    total = float(gap[np.arange(n), column_of].sum())
+    return dict(enumerate(column_of.tolist())), (total + second) / total if total > 0 else None
+
+
+def first_of_equals(reduced: np.ndarray, column_of: np.ndarray, nearly: float) -> np.ndarray:
+    """Of the best assignments the one whose list of columns comes first: row by row the least column that a free ring allows."""
+    column_of, n = column_of.copy(), len(column_of)
+    for i in range(n):
+        rows = np.arange(i, n)
+        for column in sorted(c for c in column_of[rows] if c < column_of[i] and reduced[i, c] <= nearly):
+            # a path over free steps from the row that has the column to the one that gives its own to it
+            came, todo = {int(np.flatnonzero(column_of == column)[0]): -1}, [int(np.flatnonzero(column_of == column)[0])]
+            while todo and i not in came:
+                k = todo.pop(0)
+                for other in rows:
+                    if other not in came and reduced[k, column_of[other]] <= nearly:
+                        came[int(other)] = k
+                        todo.append(int(other))
+            if i in came:
+                ring, k = [i], came[i]
+                while k >= 0:
+                    ring.append(k)
+                    k = came[k]
+                ring.reverse()  # from the row that has the column to row i
+                columns = [column_of[x] for x in ring]
+                for x, c in zip(ring, columns[1:] + columns[:1]):
+                    column_of[x] = c
+                break
+    return column_of
 
 
 def track_ids(boxes: DataFrame) -> DataFrame:

@@ -6,33 +6,21 @@ ties in score are broken by a key, because average precision depends on their or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.columns import digitize
+from frameloom.operators.ordinals import placed
 
-#: Parts that a group's ranking is dealt over.
-PARTS = 64
 
-
-def ranked(scored: DataFrame, by: list[str], score: str = "score", key: str = "doc_id", label: str = "label", parts: int = PARTS) -> DataFrame:
+def ranked(scored: DataFrame, by: list[str], score: str = "score", key: str = "doc_id", label: str = "label") -> DataFrame:
     """Rows that count, with rank, running tp and fp per group; rows without a group are left out.
 
-    Groups are few and may hold most rows, so none is ranked in one task: approximate quantiles cut each
-    group's scores into parts, every part is ranked by itself, and the counts of the parts before it are
-    added. The cuts only decide where the work is done, not the result.
+    Groups are few and may hold most rows, and most rows may share a score; see `placed`.
     """
     rows = scored.where(F.col(label) != "ignored").withColumn("hit", (F.col(label) == "positive").cast("int"))
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    rows = rows.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.sum("hit").alias("_hits"))
-    zero = F.lit(0)
-    sums = sums.select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), zero).alias("_rank_before"), F.coalesce(F.sum("_hits").over(earlier), zero).alias("_tp_before"))
-    order = Window.partitionBy(*by, "_part").orderBy(F.desc(score), key)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, [*by, "_part"]).withColumns({"rank": F.col("_rank_before") + F.row_number().over(order), "tp": F.col("_tp_before") + F.sum("hit").over(so_far)})
-    return rows.withColumn("fp", F.col("rank") - F.col("tp")).drop("_part", "_rank_before", "_tp_before")
+    rows = placed(rows, by, [F.desc(score), F.col(key)], "rank", {"tp": F.col("hit")})
+    return rows.withColumn("fp", F.col("rank") - F.col("tp"))
 
 
 def average_precision(scored: DataFrame, truth: DataFrame, by: list[str], score: str = "score", key: str = "doc_id", label: str = "label") -> DataFrame:

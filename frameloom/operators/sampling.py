@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.operators.aggregates import percentiles
+from frameloom.operators.ordinals import placed
 
 
-def draw_key(seed: int, *keys: Column) -> Column:
+def draw_key(seed: int | Column, *keys: Column) -> Column:
     """A hash of the seed and the row's keys; followed by the keys it is a total order."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    return F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *(k.cast("string") for k in keys)))
 
 
 def deciles(df: DataFrame, value: str, parts: int = 10) -> Column:
@@ -21,7 +22,7 @@ def deciles(df: DataFrame, value: str, parts: int = 10) -> Column:
     return F.array(*(F.lit(float(e)) for e in found or [])).cast("array<double>")
 
 
-def draw_rank(df: DataFrame, cell: Sequence[str], seed: int, keys: Sequence[str], name: str = "_rank") -> DataFrame:
+def draw_rank(df: DataFrame, cell: Sequence[str], seed: int | Column, keys: Sequence[str], name: str = "_rank") -> DataFrame:
     """df with each row's place in its cell's draw order; rows without a cell are left out.
 
     Cells are few and may hold most rows, so a cell is ranked in 256 parts by the first byte of the hash,
@@ -45,12 +46,9 @@ def stratified(pool: DataFrame, wanted: DataFrame, cell: Sequence[str], ratio: f
     have = pool.groupBy(*cell).agg(F.count("*").alias("available"))
     cells = quota.join(have, list(cell), "left").fillna(0, ["available"])
     cells = cells.withColumns({"drawn": F.least("quota", "available"), "shortfall": F.greatest(F.col("quota") - F.col("available"), F.lit(0))})
-    draws = None
-    for seed in seeds:
-        rows = draw_rank(pool.join(quota.drop("n_wanted"), list(cell)), cell, seed, keys)
-        part = rows.where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota").withColumn("seed", F.lit(seed))
-        draws = part if draws is None else draws.unionByName(part)
-    return draws, cells
+    rows = pool.join(quota.drop("n_wanted"), list(cell)).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    draws = draw_rank(rows, [*cell, "seed"], F.col("seed"), keys)
+    return draws.where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota"), cells
 
 
 def share_of_each(df: DataFrame, group: Sequence[str], fraction: float, seed: int, keys: Sequence[str]) -> DataFrame:
@@ -76,8 +74,7 @@ def uniform_between(low: Column, high: Column, seed: int, *keys: Column) -> Colu
 
 def borrowed(df: DataFrame, sizes: DataFrame, group: Sequence[str], seed: int, keys: Sequence[str], columns: Sequence[str], size_keys: Sequence[str]) -> DataFrame:
     """Every row with the columns of a size row drawn (with replacement) from its own group."""
-    order = Window.partitionBy(*group).orderBy(*size_keys)
-    numbered = sizes.select(*group, *columns, (F.row_number().over(order) - 1).alias("_at"))
+    numbered = placed(sizes, group, [F.col(c) for c in size_keys], "_place").select(*group, *columns, (F.col("_place") - 1).alias("_at"))
     count = sizes.groupBy(*group).agg(F.count("*").alias("_n"))
     rows = df.join(count, list(group)).withColumn("_at", uniform_between(F.lit(0), F.col("_n") - 1, seed, *map(F.col, keys)))
     return rows.join(numbered, [*group, "_at"]).drop("_at", "_n")

@@ -18,6 +18,28 @@ def export_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence
     df.select(*columns).orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+def written_columns(df: DataFrame, policy: str, listed: Sequence[str] = ()) -> DataFrame:
+    """df with the columns that a writer's policy keeps.
+
+    "first": the listed columns, and a further one is an error; "appended": the listed columns, then further
+    ones in their own order; "sorted": all columns of either side by name. Listed columns that df lacks are
+    null strings.
+    """
+    more = [c for c in df.columns if c not in listed]
+    if policy == "first" and more:
+        raise ValueError(f"columns {more} are not among {list(listed)}")
+    if policy not in ("first", "appended", "sorted"):
+        raise ValueError(f"unknown policy {policy}")
+    names = sorted({*listed, *more}) if policy == "sorted" else [*listed, *more]
+    return df.select(*(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in names))
+
+
+def log_epoch(spark: SparkSession, path: str, run: str, epoch: int, values: dict[str, float]) -> None:
+    """Append one epoch's values to a run's log; what was written before stays whatever happens to the run."""
+    row = spark.createDataFrame([(run, epoch, values)], "run string, epoch int, values map<string, double>")
+    row.write.mode("append").parquet(path)
+
+
 def run_record(df: DataFrame, parameters: dict[str, str], counts: dict) -> DataFrame:
     """One row of JSON: the parameters of a run and counts over its result."""
     row = df.agg(*(c.alias(n) for n, c in counts.items()))

@@ -8,7 +8,9 @@ from frameloom.functions import columns as C
 from frameloom.operators import aggregates as A
 from frameloom.operators import joins as J
 from frameloom.operators import matching as M
+from frameloom.operators import metrics as X
 from frameloom.plans.views import duck, view
+from frameloom.session import staged
 
 R6 = lambda c: F.round(c, 6)
 R12 = lambda c: F.round(c, 12)  # noqa: E731  finer than any tie that shares of small areas can make
@@ -42,7 +44,7 @@ def pairs(spark, d):
 
 
 def labels(spark, d):
-    p = pairs(spark, d)
+    p = staged(pairs(spark, d), "pairs")  # read by the assignment and by the labels
     return M.labelled(view(spark, d, "blobs"), p, M.greedy(p))
 
 
@@ -123,8 +125,12 @@ def label_counts(spark, d):
 
 
 def single_positive(spark, d):
-    """G-6: annotated boxes with more than one positive (none)."""
-    return labels(spark, d).where("label = 'positive'").groupBy("frame", "gt").agg(F.count("*").alias("n_positive")).where("n_positive > 1")
+    """G-6: annotated boxes with more than one positive, before the assignment (some) and after it (none)."""
+    p = staged(pairs(spark, d), "pairs")
+    before = p.where("coverage >= 0.3").select("frame", "gt", F.lit("positive").alias("label"))
+    after = M.labelled(view(spark, d, "blobs"), p, M.greedy(p))
+    found = lambda df, step: X.single_positive(df, ["frame", "gt"]).withColumn("step", F.lit(step))
+    return found(before, "before").unionByName(found(after, "after"))
 
 
 def nway(spark, d):
@@ -251,7 +257,7 @@ QUERIES = {
     "label_rollup": (label_counts, f"""{FULL}, f AS (SELECT DISTINCT frame, split FROM boxes), n AS (SELECT split, count(*) AS n_gt FROM gts GROUP BY ALL)
       SELECT split, positive, negative, ignored, n_gt, round(positive / n_gt, 6) AS recall FROM (SELECT split, count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'ignored') AS ignored
       FROM labelled JOIN f USING (frame) GROUP BY ALL) JOIN n USING (split)"""),
-    "single_positive": (single_positive, f"{FULL} SELECT frame, gt, count(*) AS n_positive FROM labelled WHERE label = 'positive' GROUP BY ALL HAVING count(*) > 1"),
+    "single_positive": (single_positive, f"{FULL} SELECT frame, gt, count(*) AS n_positive, 'before' AS step FROM covs WHERE coverage >= 0.3 GROUP BY frame, gt HAVING count(*) > 1 UNION ALL SELECT frame, gt, count(*), 'after' FROM labelled WHERE label = 'positive' GROUP BY frame, gt HAVING count(*) > 1"),
     "nway_align": (nway, f"""{FULL}, a AS (SELECT frame, gt, max(coverage) AS even FROM covs WHERE blob % 4 = 0 GROUP BY ALL), b AS (SELECT frame, gt, max(coverage) AS odd FROM covs WHERE blob % 4 = 2 GROUP BY ALL),
       c AS (SELECT frame, gt, max(coverage) AS late FROM covs WHERE blob > 2 GROUP BY ALL) SELECT frame, gt, round(even, 12) AS even, round(odd, 12) AS odd, round(late, 12) AS late FROM a JOIN b USING (frame, gt) JOIN c USING (frame, gt)"""),
     "method_overlap": (overlap, f"""{FULL}, h AS (SELECT covs.frame, gt, scene, bool_or(blob % 4 = 0 AND coverage >= 0.3) AS a, bool_or(blob % 4 = 2 AND coverage >= 0.3) AS b, bool_or(blob > 4 AND coverage >= 0.3) AS c

@@ -135,7 +135,7 @@ def frequency(spark, d):
 def paired_scores(spark, d):
     """J-11, PRJ-11, A-24: scores of both ends of a mapping, and the sign of their difference."""
     r = reviews(spark, d)
-    mapping = r.where("doc_id % 10 = 0").select(F.col("doc_id").alias("repeat_id"), (F.col("doc_id") + 1).alias("original_id"))
+    mapping = r.select(F.col("doc_id").alias("repeat_id"), (F.col("doc_id") + 1).alias("original_id"))
     p = J.paired(mapping, r, "repeat_id", "original_id", "doc_id", "score")
     sign = F.signum(C.score_rank(F.col("first_value")) - C.score_rank(F.col("second_value"))).cast("int")
     return p.select("repeat_id", "original_id", "first_value", "second_value", sign.alias("direction"))
@@ -144,7 +144,7 @@ def paired_scores(spark, d):
 def agreement(spark, d):
     """A-24: intra-rater agreement."""
     r = reviews(spark, d)
-    mapping = r.where("doc_id % 10 = 0").select(F.col("doc_id").alias("repeat_id"), (F.col("doc_id") + 4).alias("original_id"))
+    mapping = r.select(F.col("doc_id").alias("repeat_id"), (F.col("doc_id") + 4).alias("original_id"))
     return A.agreement(J.paired(mapping, r, "repeat_id", "original_id", "doc_id", "score"), "first_value", "second_value")
 
 
@@ -173,7 +173,7 @@ def twins(spark, d):
 
 def spread(spark, d):
     """A-4, A-36: spread of a score per group over an expected grid, missing runs counted."""
-    grid = view(spark, d, "documents").where("doc_id < 500").select("doc_id", "lang")
+    grid = view(spark, d, "documents").select("doc_id", "lang")
     runs = view(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("value"), F.lit(1.0).alias("ceiling"))
     c = A.collated(grid, runs, ["doc_id"], "lang", "value", "ceiling")
     return c.select("lang", "n_runs", "n_missing", *(R6(x).alias(x) for x in ("mean", "sd", "min", "max", "ceiling", "headroom")))
@@ -210,12 +210,12 @@ QUERIES = {
       CASE WHEN call = '' THEN 'unscored' WHEN known AND named <> '' AND named <> cue THEN 'conflict' WHEN known THEN 'recorded' WHEN cue = '' AND named <> '' THEN 'note' WHEN cue <> '' THEN 'unknown' WHEN call = 'background' THEN 'not_needed' ELSE 'missing' END AS provenance FROM k"""),
     "score_table": (frequency, f"""{REVIEW_SQL} SELECT lang, count(*) FILTER (score = 'cannot_tell') AS cannot_tell, count(*) FILTER (score = 'not_usable') AS not_usable, count(*) FILTER (score = 'degraded') AS degraded, count(*) FILTER (score = 'usable') AS usable, count(*) AS total FROM reviews GROUP BY lang"""),
     "paired_scores": (paired_scores, f"""{REVIEW_SQL}, o AS (SELECT doc_id, score, list_position(['cannot_tell', 'not_usable', 'degraded', 'usable'], score) AS k FROM reviews)
-      SELECT a.doc_id AS repeat_id, a.doc_id + 1 AS original_id, a.score AS first_value, b.score AS second_value, CAST(sign(a.k - b.k) AS int) AS direction FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 10 = 0"""),
-    "agreement": (agreement, f"{REVIEW_SQL} SELECT count(*) FILTER (b.score IS NOT NULL) AS n_pairs, count(*) FILTER (a.score = b.score) AS n_agree FROM reviews a LEFT JOIN reviews b ON b.doc_id = a.doc_id + 4 WHERE a.doc_id % 10 = 0"),
+      SELECT a.doc_id AS repeat_id, a.doc_id + 1 AS original_id, a.score AS first_value, b.score AS second_value, CAST(sign(a.k - b.k) AS int) AS direction FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id + 1"""),
+    "agreement": (agreement, f"{REVIEW_SQL} SELECT count(*) FILTER (b.score IS NOT NULL) AS n_pairs, count(*) FILTER (a.score = b.score) AS n_agree FROM reviews a LEFT JOIN reviews b ON b.doc_id = a.doc_id + 4"),
     "condition_cells": (condition_cells, f"{REVIEW_SQL}, p AS (SELECT lang, score, unnest(CASE WHEN condition = 'AB' THEN ['A', 'B'] ELSE [condition] END) AS part FROM reviews) SELECT lang, part, count(*) AS n, count(*) FILTER (score = 'usable') AS n_usable FROM p GROUP BY ALL"),
     "usable_yield": (yields, f"{REVIEW_SQL}, v AS (SELECT lang, CASE WHEN score = 'usable' THEN 8 WHEN score = 'degraded' THEN nullif(frames, 5) ELSE 0 END AS v FROM reviews) SELECT lang, count(v) AS n, round(avg(v), 6) AS mean_frames FROM v GROUP BY lang"),
     "unscored": (unscored, f"{REVIEW_SQL} SELECT doc_id, lang FROM reviews WHERE call = ''"),
     "twin_rows": (twins, f"{REVIEW_SQL} SELECT a.doc_id, min(b.doc_id) AS twin FROM reviews a JOIN reviews b ON a.lang = b.lang AND a.truth = b.truth AND a.score = b.score WHERE a.condition = 'A' AND b.condition = 'B' GROUP BY a.doc_id"),
     "run_collation": (spread, """SELECT lang, count(quality) AS n_runs, count(*) FILTER (quality IS NULL) AS n_missing, round(avg(quality), 6) AS mean, round(stddev_samp(quality), 6) AS sd, round(min(quality)::DOUBLE, 6) AS min, round(max(quality)::DOUBLE, 6) AS max, round(avg(CASE WHEN quality IS NOT NULL THEN 1.0::DOUBLE END), 6) AS ceiling,
-      round(avg(quality) / avg(CASE WHEN quality IS NOT NULL THEN 1.0::DOUBLE END), 6) AS headroom FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id < 500 GROUP BY lang"""),
+      round(avg(quality) / avg(CASE WHEN quality IS NOT NULL THEN 1.0::DOUBLE END), 6) AS headroom FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang"""),
 }

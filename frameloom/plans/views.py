@@ -39,7 +39,7 @@ VIEWS = {
     # ranked proposals: unlabelled ones are ignored
     "scored": """
         SELECT d.doc_id, d.lang AS grp, d.n_chars AS score, CASE WHEN l.quality = 1 THEN 'positive' WHEN l.quality = 0 THEN 'negative' ELSE 'ignored' END AS label
-        FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE d.n_chars >= 400""",
+        FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     # every annotated object, found or not
     "truth": "SELECT d.lang AS grp, d.doc_id, d.n_chars FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id WHERE l.quality = 1",
 }

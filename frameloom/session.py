@@ -31,24 +31,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset, as in local tests, a temporary folder is set for the session.
+    Where it is unset in a local session, as in tests, a temporary folder is set; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="frameloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, in this application's part of it."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/frameloom/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has staged; results that were not written or collected yet are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Cut the lineage: write df once as a table in the shared folder and read that back.
 
     A lost executor then costs only the tasks that read the table, never the work before it. A small
-    result of many tasks is dealt to a few files first, which spares the store and the readers.
+    result of many tasks is dealt to a few files first, which spares the store and the readers. The table
+    stays until `clear_scratch`.
     """
     spark = df.sparkSession
     if small:
         df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = f"{shared_dir(spark)}/frameloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

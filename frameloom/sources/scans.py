@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from frameloom.functions.columns import file_stem, file_suffix
+from frameloom.operators.governance import split_rows
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",") -> DataFrame:
@@ -17,13 +18,16 @@ def csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ","
 def commented_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
     """A CSV with blank lines and lines that begin with # after any blanks.
 
-    Lines of one file stay in order by their offset only within a split, so the header is found by its
-    text: the first column's name followed by the separator, or alone.
+    The header of a file is its first line whose text is the first column's name followed by the separator,
+    or alone; a later line like it is a row.
     """
-    lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.ltrim("value").startswith("#"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where((F.length(F.trim("value")) > 0) & ~F.ltrim("value").startswith("#"))
     if header:
         first = spark.createDataFrame([], schema).columns[0]
-        lines = lines.where(~(F.trim("value").startswith(first + sep) | (F.trim("value") == first)))
+        like = lines.where(F.trim("value").startswith(first + sep) | (F.trim("value") == first))
+        headers = like.groupBy("file").agg(F.min("place").alias("place"))
+        lines = lines.join(headers, ["file", "place"], "left_anti")
     row = F.from_csv("value", F.lit(schema), {"sep": sep, "mode": "FAILFAST"})
     return lines.select(row.alias("row")).select("row.*")
 
@@ -83,10 +87,24 @@ def paired_stems(files: DataFrame, first: str, second: str) -> DataFrame:
 
 def sniffed(spark: SparkSession, path: str, fields: int = 5) -> DataFrame:
     """(file, kind) by each file's first line: boxes, numbers, json, table, empty or text."""
-    first = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim(F.substring_index("value", "\n", 1)).alias("line"))
-    t = F.split("line", r"\s+")
-    numbers = F.col("line").rlike(r"^[-+0-9.eE\s]+$")
+    first = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), first_line(F.col("value")).alias("line"))
+    return first.select(file_stem(F.col("file")).alias("file"), line_kind(F.col("line"), fields).alias("kind"))
+
+
+def first_line(text: Column) -> Column:
+    return F.trim(F.substring_index(text, "\n", 1))
+
+
+def line_kind(line: Column, fields: int = 5) -> Column:
+    """What a file's first line tells of it."""
+    t = F.split(line, r"\s+")
+    numbers = line.rlike(r"^[-+0-9.eE\s]+$")
     n = F.try_to_number(F.get(t, F.lit(1)), F.lit("999999"))
-    boxes = F.coalesce(F.col("line").rlike(r"^\d+\s+\d+(\s|$)") & (F.size(t) == 2 + fields * n), F.lit(False))
-    kind = F.when(F.length("line") == 0, "empty").when(boxes, "boxes").when(numbers, "numbers").when(F.col("line").rlike(r"^[\[{]"), "json").when(F.col("line").contains(","), "table").otherwise("text")
-    return first.select(file_stem(F.col("file")).alias("file"), kind.alias("kind"))
+    boxes = F.coalesce(line.rlike(r"^\d+\s+\d+(\s|$)") & (F.size(t) == 2 + fields * n), F.lit(False))
+    return F.when(F.length(line) == 0, "empty").when(boxes, "boxes").when(numbers, "numbers").when(line.rlike(r"^[\[{]"), "json").when(line.contains(","), "table").otherwise("text")
+
+
+def proposals(spark: SparkSession, path: str, split: str, frames: DataFrame | None = None, allow_test: bool = False) -> DataFrame:
+    """The proposals of one split behind the guard of `split_rows`, and only those of the (video, frame) rows given."""
+    rows = split_rows(spark.read.parquet(path), [split], allow_test=allow_test)
+    return rows if frames is None else rows.join(frames.select("video", "frame").distinct(), ["video", "frame"], "left_semi")

@@ -19,8 +19,15 @@ GREY = (0.114, 0.587, 0.299)
 
 
 def to_grey(frame: np.ndarray) -> np.ndarray:
-    """Grey values, cut off rather than rounded; grey frames pass."""
-    return frame if frame.ndim == 2 else (frame.astype(np.float64) @ np.array(GREY)).astype(np.uint8)
+    """Grey values in single precision, blue first, cut off rather than rounded; grey frames pass."""
+    if frame.ndim == 2:
+        return frame
+    blue, green, red = (np.float32(weight) * frame[..., i] for i, weight in enumerate(GREY))
+    return (blue + green + red).astype(np.uint8)
+
+
+#: Steps to the eight neighbours of a pixel.
+AROUND = np.array([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
 
 
 class SampleModel:
@@ -32,9 +39,10 @@ class SampleModel:
         self.samples: np.ndarray | None = None
 
     def start(self, grey: np.ndarray) -> None:
-        """Samples of the first frame come from random neighbours, wrapping at the borders."""
-        moves = self.rng.integers(-1, 2, (self.n, 2))
-        self.samples = np.stack([np.roll(grey, tuple(m), (0, 1)) for m in moves])
+        """Every sample of every pixel is one of its eight neighbours in the first frame, wrapping at the borders."""
+        around = np.stack([np.roll(grey, tuple(step), (0, 1)) for step in AROUND])
+        which = self.rng.integers(0, len(AROUND), (self.n, *grey.shape))
+        self.samples = np.take_along_axis(around, which, axis=0)
 
     def apply(self, frame: np.ndarray) -> np.ndarray:
         """Foreground as 255; the first frame has none."""
@@ -50,12 +58,13 @@ class SampleModel:
 
     def replace(self, grey: np.ndarray, background: np.ndarray, neighbours: bool) -> None:
         y, x = np.nonzero(background & (self.rng.random(grey.shape) < 1 / self.phi))
-        which = self.rng.integers(0, self.n, len(y))
-        ty, tx = y, x
-        if neighbours:
-            dy, dx = self.rng.integers(-1, 2, (2, len(y)))
-            ty, tx = np.clip(y + dy, 0, grey.shape[0] - 1), np.clip(x + dx, 0, grey.shape[1] - 1)
-        self.samples[which, ty, tx] = grey[y, x]
+        values = grey[y, x]
+        if neighbours:  # a step out of the frame changes nothing
+            dy, dx = AROUND[self.rng.integers(0, len(AROUND), len(y))].T
+            y, x = y + dy, x + dx
+            inside = (y >= 0) & (y < grey.shape[0]) & (x >= 0) & (x < grey.shape[1])
+            y, x, values = y[inside], x[inside], values[inside]
+        self.samples[self.rng.integers(0, self.n, len(y)), y, x] = values
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -93,19 +102,58 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def crop(image: np.ndarray, cx: float, cy: float, side: float, size: int, replicate: bool = True) -> tuple[np.ndarray, float]:
-    """(square crop resized to size by nearest pixels, share of it outside the image).
+def area_weights(old: int, new: int) -> np.ndarray:
+    """(new, old): the share of each old pixel in each new one when a line of pixels shrinks."""
+    edge = np.arange(new + 1) * (old / new)
+    low, high = edge[:-1, None], edge[1:, None]
+    at = np.arange(old)
+    return np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None) * (new / old)
+
+
+def linear_weights(old: int, new: int) -> np.ndarray:
+    """(new, old): weights of linear interpolation between pixel centres, the borders repeated."""
+    centre = np.clip((np.arange(new) + 0.5) * (old / new) - 0.5, 0, old - 1)
+    left = np.minimum(centre.astype(int), max(old - 2, 0))
+    out = np.zeros((new, old))
+    out[np.arange(new), left] = 1 - (centre - left)
+    if old > 1:
+        out[np.arange(new), left + 1] += centre - left
+    return out
+
 
-    Outside pixels repeat the border or, without replicate, are zero; a crop wholly outside is all synthetic.
+def resized(image: np.ndarray, size: int, method: str = "linear") -> np.ndarray:
+    """A square image of size x size, rounded to whole values; "area" averages what a new pixel covers where it shrinks."""
+    if image.shape[0] == size:
+        return image.copy()
+    weights = area_weights if method == "area" and image.shape[0] > size else linear_weights
+    w = weights(image.shape[0], size)
+    out = np.tensordot(w, np.moveaxis(np.tensordot(w, image.astype(np.float64), (1, 0)), 1, 0), (1, 0))
+    return np.floor(np.moveaxis(out, 0, 1) + 0.5).astype(np.uint8)
+
+
+def square(image: np.ndarray, cx: float, cy: float, side: float, replicate: bool = True) -> tuple[np.ndarray, float]:
+    """(square crop in whole pixels, share of it outside the image).
+
+    Outside pixels repeat the border or, without replicate, are zero. A crop wholly outside is all synthetic
+    and, with replicate, has the value of the image's pixel nearest to the centre.
     """
-    grid = lambda c: np.floor(c - side / 2 + (np.arange(size) + 0.5) * side / size).astype(int)
-    x, y = grid(cx), grid(cy)
+    n = max(1, round(side))
+    x, y = round(cx - side / 2) + np.arange(n), round(cy - side / 2) + np.arange(n)
     in_x, in_y = (x >= 0) & (x < image.shape[1]), (y >= 0) & (y < image.shape[0])
+    share = 1 - float(in_x.sum() * in_y.sum()) / (n * n)
+    if share == 1 and replicate:
+        x, y = np.full(n, int(cx)), np.full(n, int(cy))
     out = image[np.clip(y, 0, image.shape[0] - 1)][:, np.clip(x, 0, image.shape[1] - 1)]
-    inside = in_y[:, None] & in_x
     if not replicate:
-        out = np.where(inside if image.ndim == 2 else inside[..., None], out, 0)
-    return out, float(1 - inside.mean())
+        inside = in_y[:, None] & in_x
+        out = np.where(inside if image.ndim == 2 else inside[..., None], out, 0).astype(image.dtype)
+    return out, share
+
+
+def crop(image: np.ndarray, cx: float, cy: float, side: float, size: int, replicate: bool = True, method: str = "linear") -> tuple[np.ndarray, float]:
+    """(square crop resized to size, share of it outside the image); see `square` and `resized`."""
+    out, share = square(image, cx, cy, side, replicate)
+    return resized(out, size, method), share
 
 
 def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:

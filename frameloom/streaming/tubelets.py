@@ -23,7 +23,7 @@ def wanted_frames(frames: DataFrame, proposals: DataFrame, length: int, frame: s
     return frames.join(need, ["video", frame], "left_semi")
 
 
-def assembled(proposals: DataFrame, frames: DataFrame, length: int, size: int, padding: float) -> DataFrame:
+def assembled(proposals: DataFrame, frames: DataFrame, length: int, size: int, padding: float, method: str = "linear") -> DataFrame:
     """(proposal, video, centre, n, synthetic, clip) of complete windows.
 
     proposals: (proposal, video, centre, x, y, w, h); frames: (video, frame, height, width, pixels).
@@ -39,7 +39,7 @@ def assembled(proposals: DataFrame, frames: DataFrame, length: int, size: int, p
             for r in pdf.itertuples(index=False):
                 image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)
                 side = max(r.w, r.h) * (1 + 2 * padding)
-                out, share = crop(image, r.x + r.w / 2, r.y + r.h / 2, side, size)
+                out, share = crop(image, r.x + r.w / 2, r.y + r.h / 2, side, size, method=method)
                 made.append((r.proposal, r.video, r.centre, r.frame, share, out.tobytes()))
             yield pd.DataFrame(made, columns=["proposal", "video", "centre", "frame", "synthetic", "part"])
 
@@ -55,15 +55,54 @@ def dropped(proposals: DataFrame, clips: DataFrame) -> DataFrame:
     return proposals.join(clips.select("proposal"), "proposal", "left_anti")
 
 
-def as_model_input(clips: pd.Series, length: int, size: int, layout: str, mean: float = 0.0, std: float = 1.0) -> np.ndarray:
-    """Normalised float clips in a layout: the centre frame alone, frames of channels, or channels of frames."""
-    x = np.stack([np.frombuffer(c, np.uint8).reshape(length, size, size) for c in clips]).astype(np.float32)
-    x = (x / 255 - mean) / std
+def fill_counts(proposals: DataFrame, clips: DataFrame) -> DataFrame:
+    """One row: clips requested, filled, and dropped because their window was not complete."""
+    requested, filled = (df.agg(F.count("*").alias(n)) for df, n in ((proposals, "requested"), (clips, "filled")))
+    return requested.crossJoin(F.broadcast(filled)).withColumn("dropped", F.col("requested") - F.col("filled"))  # one row each
+
+
+def rows_for_seed(manifest: DataFrame, seed: int, seeds: str = "seeds", label: str = "label") -> DataFrame:
+    """The clips of one run with a 0/1 target: all positives, and the negatives whose seeds (`1|3`) name the seed."""
+    positive = F.col(label) == "positive"
+    drawn = F.array_contains(F.split(F.coalesce(F.col(seeds).cast("string"), F.lit("")), r"\|"), str(seed))
+    return manifest.where(positive | drawn).withColumn("target", positive.cast("int"))
+
+
+def augmented(x: np.ndarray, keys: np.ndarray, seed: int, flip: float, brightness: tuple[float, float], contrast: tuple[float, float]) -> np.ndarray:
+    """Clips (clip, frame, height, width) in 0 to 1, each flipped, brightened and spread about its mean by its own draw.
+
+    A clip's draw depends on the seed and its key alone and holds for all its frames.
+    """
+    out = np.empty_like(x)
+    for i, key in enumerate(keys):
+        rng = np.random.default_rng([seed, int(key)])
+        clip = x[i, :, :, ::-1] if rng.random() < flip else x[i]
+        clip = clip * rng.uniform(*brightness)
+        mean = clip.mean()
+        out[i] = np.clip((clip - mean) * rng.uniform(*contrast) + mean, 0, 1)
+    return out
+
+
+def as_model_input(clips: pd.Series, length: int, size: int, layout: str, mean: float = 0.0, std: float = 1.0, augment: dict | None = None, keys: np.ndarray | None = None) -> np.ndarray:
+    """Normalised float clips in a layout: the centre frame alone, frames of channels, or channels of frames.
+
+    augment: seed, flip, brightness and contrast of `augmented`; then keys name the clips.
+    """
+    x = np.stack([np.frombuffer(c, np.uint8).reshape(length, size, size) for c in clips]).astype(np.float32) / 255
+    if augment is not None:
+        x = augmented(x, keys, **augment)
+    x = (x - mean) / std
     if layout == "centre":
         return x[:, (length - 1) // 2, None]
     return x[:, :, None] if layout == "tchw" else x[:, None]
 
 
+def score_arrays(scores: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Per video (or another small group) parallel arrays of the named columns in one order."""
+    rows = scores.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias("_rows"))
+    return rows.select(by, *(F.col(f"_rows.{c}").alias(c) for c in columns))
+
+
 def scored(clips: DataFrame, score: Callable[[np.ndarray], np.ndarray], length: int, size: int, layout: str = "centre", batch: int = 256) -> DataFrame:
     """(proposal, score) from a scorer over batches of at most `batch` clips."""
 

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "video string, centre long, first_frame long, last_frame long, total double"
 STATE = "frames array<long>, items array<double>"
+#: How long a video's buffer waits for its next frame.
+IDLE_MS = 24 * 3600 * 1000
 
 
 def completed(frames: list[int], items: list[float], length: int) -> tuple[list[tuple], list[int], list[float]]:
@@ -34,17 +36,28 @@ def completed(frames: list[int], items: list[float], length: int) -> tuple[list[
     return out, buffer_f, buffer_v
 
 
-def rolling_stream(stream: DataFrame, length: int, value: str = "value") -> DataFrame:
-    """Completed windows of a stream of (video, frame, value); frames of a video arrive in order across batches."""
+def rolling_stream(stream: DataFrame, length: int, value: str = "value", idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Completed windows of a stream of (video, frame, value); frames of a video arrive in order across batches.
+
+    A video without new frames for idle_ms loses its buffer, so state does not grow with the videos ever
+    seen; a frame that comes later starts a new buffer, as after a gap. Such timeouts keep a query awake, so one
+    that has to end by itself (trigger availableNow) takes None and keeps every buffer.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = state.get if state.exists else ((), ())
         rows = pd.concat(list(pdfs)).sort_values("frame")
         out, frames, items = completed([*old[0], *rows["frame"].tolist()], [*old[1], *rows[value].tolist()], length)
         state.update((frames, items))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *w) for w in out], columns=["video", "centre", "first_frame", "last_frame", "total"])
 
-    return stream.groupBy("video").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("video").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def micro_batches(df: DataFrame, score, columns: list[str], schema: str, size: int = 256) -> DataFrame:

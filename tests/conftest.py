@@ -12,11 +12,12 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 @pytest.fixture(scope="session")
 def spark():
-    from frameloom.session import local_session
+    from frameloom.session import clear_scratch, local_session
 
     session = local_session(cores=8, partitions=4, name="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -209,3 +210,50 @@ def test_permutation_ties():
     square = [(0.0, 0.0), (2.0, 0.0)]
     match, _ = M.associate(square, [(1.0, 0.0), (1.0, 0.0)])
     assert match == dict(enumerate(next(itertools.permutations(range(2)))))
+
+
+def permuted(before, now):
+    """The definition: the first permutation with the smallest total, and the second total against it."""
+    totals = sorted((round(sum(math.dist(now[i], before[j]) for i, j in enumerate(p)), 9), k, p) for k, p in enumerate(itertools.permutations(range(len(before)))))
+    return dict(enumerate(totals[0][2])), totals[1][0] / totals[0][0] if len(totals) > 1 and totals[0][0] > 0 else None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 6).flatmap(lambda n: st.tuples(*[st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), min_size=n, max_size=n)] * 2)))
+def test_association_is_the_best_permutation(boxes):
+    before, now = boxes
+    match, ratio = M.associate(before, now)
+    want, want_ratio = permuted(before, now)
+    assert match == want and (ratio is None) == (want_ratio is None) and (ratio is None or ratio == pytest.approx(want_ratio))
+
+
+def test_association_of_many_boxes():
+    rng = np.random.default_rng(5)
+    before = rng.random((50, 2)) * 100
+    order = rng.permutation(50)
+    now = before[order] + rng.random((50, 2)) * 0.01
+    began = time.process_time()
+    match, ratio = M.associate([tuple(p) for p in before], [tuple(p) for p in now])
+    assert match == dict(enumerate(order.tolist())) and ratio > 1 and time.process_time() - began < 0.5
+
+
+def test_a_shared_score_is_ranked_in_many_tasks(spark):
+    from frameloom.operators import metrics
+
+    rows = [(i, "g", 1.0 if i % 10 else float(i), "positive" if i % 3 == 0 else "negative") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, grp string, score double, label string")
+    got = {r.doc_id: (r["rank"], r.tp, r.fp) for r in metrics.ranked(df, ["grp"]).collect()}
+    tp, want = 0, {}
+    for rank, (i, _, _, label) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])), 1):
+        tp += label == "positive"
+        want[i] = (rank, tp, rank - tp)
+    assert got == want
+
+
+def test_percentiles_both_ways(spark):
+    from frameloom.operators.aggregates import percentiles
+
+    rows = [("a" if i % 3 else None, float(i % 50)) for i in range(600)] + [("b", 5.0)] * 300 + [("b", float("nan")), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    built_in, parts = (sorted(map(tuple, percentiles(df, ["g"], "v", [0.0, 0.1, 0.37, 0.9, 1.0], few=few).collect())) for few in (10**6, 0))
+    assert len(parts) == 2 and all(x == pytest.approx(y) for a, b in zip(built_in, parts) for x, y in zip(a[1:], b[1:]))

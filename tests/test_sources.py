@@ -95,12 +95,118 @@ def test_components():
 
 
 def test_crop():
-    image = np.arange(16, dtype=np.uint8).reshape(4, 4)
+    image = np.arange(16, dtype=np.uint8).reshape(4, 4) * 10
     full, share = B.crop(image, 2, 2, 4, 4)
     assert (full == image).all() and share == 0
-    assert B.crop(image, -50, 2, 4, 4)[1] == 1.0
+    assert B.crop(image, -50, 2, 4, 4)[1] == 1.0 and (B.crop(image, -50, 2, 4, 4)[0] == image[2, 0]).all()
     assert B.crop(image, 0, 2, 4, 4, replicate=False)[0][:, 0].sum() == 0
-    assert B.to_grey(np.full((2, 2, 3), 255, np.uint8)).max() in (254, 255)
+    left, share = B.square(image, 0, 2, 4)
+    assert share == 0.5 and left.tolist() == [[r[0], r[0], r[0], r[1]] for r in image.tolist()]
+
+
+def test_resizing():
+    image = np.array([[0, 0, 90, 90], [0, 0, 90, 90], [10, 20, 30, 40], [50, 60, 70, 81]], np.uint8)
+    assert B.resized(image, 2, "area").tolist() == [[0, 90], [35, 55]]
+    assert B.resized(image, 3, "area")[0].tolist() == [0, 45, 90]  # a pixel of 4/3 width: a third of it and one whole, halved between
+    assert B.resized(image[:2, :2] + np.array([[0, 100], [0, 100]], np.uint8), 4).tolist() == [[0, 25, 75, 100]] * 4
+    colour = np.stack([image] * 3, axis=2)
+    assert (B.resized(colour, 2, "area")[..., 1] == B.resized(image, 2, "area")).all() and (B.resized(image, 4) == image).all()
+    assert (B.area_weights(7, 3).sum(axis=1) == pytest.approx(1)) and (B.linear_weights(7, 3).sum(axis=1) == pytest.approx(1))
+
+
+def test_grey_values():
+    rng = np.random.default_rng(2)
+    bgr = rng.integers(0, 256, (40, 40, 3), dtype=np.uint8)
+    one = lambda p: int(np.float32(np.float32(np.float32(0.114) * np.float32(p[0])) + np.float32(np.float32(0.587) * np.float32(p[1]))) + np.float32(np.float32(0.299) * np.float32(p[2])))
+    assert B.to_grey(bgr).tolist() == [[one(p) for p in row] for row in bgr.tolist()]
+    pure = np.repeat(np.arange(256, dtype=np.uint8)[:, None, None], 3, axis=2)
+    assert B.to_grey(pure)[:, 0].tolist() == [one((v, v, v)) for v in range(256)]
+
+
+def test_samples_start_from_neighbours():
+    grey = np.arange(30, dtype=np.uint8).reshape(5, 6)
+    model = B.SampleModel(3, n=200)
+    model.start(grey)
+    for y in range(5):
+        for x in range(6):
+            around = {int(grey[(y + dy) % 5, (x + dx) % 6]) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
+            assert set(model.samples[:, y, x].tolist()) == around
+    steps = {int(model.samples[0, y, x]) - int(grey[y, x]) for y in range(1, 4) for x in range(1, 5)}
+    assert len(steps) > 2  # every pixel has its own draw
+
+
+def test_updates_stay_inside_and_never_hit_the_pixel_itself():
+    model = B.SampleModel(1, n=4, phi=1)
+    model.samples = np.zeros((4, 3, 3), np.uint8)
+    only = np.zeros((3, 3), bool)
+    only[0, 0] = True
+    for _ in range(200):
+        model.replace(np.full((3, 3), 9, np.uint8), only, neighbours=True)
+    touched = set(zip(*(c.tolist() for c in np.nonzero(model.samples.any(axis=0)))))
+    assert touched == {(0, 1), (1, 0), (1, 1)}
+    model.replace(np.full((3, 3), 9, np.uint8), only, neighbours=False)
+    assert model.samples[:, 0, 0].any()
+
+
+def test_a_second_seed_differs_slightly():
+    rng = np.random.default_rng(0)
+    scene = rng.integers(70, 120, (60, 60), dtype=np.uint8)
+    frames = []
+    for i in range(30):
+        f = scene.copy()
+        f[25:35, i : i + 10] = 240
+        frames.append(f)
+    a, b, c = ([m.apply(f) for f in frames] for m in (B.SampleModel(0), B.SampleModel(0), B.SampleModel(1)))
+    assert all((x == y).all() for x, y in zip(a, b)) and not a[0].any() and a[1].any()
+    assert 0 < np.mean([(x != y).mean() for x, y in zip(a, c)]) < 0.05
+
+
+def test_header_is_dropped_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("# note\n\nkey,n\n1,2\nkey,3\n")
+    (tmp_path / "b.csv").write_text("key,n\n  # x\n4,5\n")
+    got = sorted((r.key, r.n) for r in scans.commented_csv(spark, str(tmp_path), "key string, n int").collect())
+    assert got == [("1", 2), ("4", 5), ("key", 3)]
+
+
+def y4m(frames, width, height, rate="25:1", colour="C420", chroma=None):
+    chroma = 2 * ((width + 1) // 2) * ((height + 1) // 2) if chroma is None else chroma
+    return f"YUV4MPEG2 W{width} H{height} F{rate} {colour}\n".encode() + b"".join(b"FRAME\n" + f.tobytes() + b"\x80" * chroma for f in frames)
+
+
+def test_videos_decode(spark, tmp_path):
+    from frameloom.sources import video as V
+
+    frames = list(moving_square(5, 7, 11, 13, side=4))
+    root = tmp_path / "data"
+    (root / "videos").mkdir(parents=True)
+    (root / "cam").mkdir()
+    (root / "cam" / "a.y4m").write_bytes(y4m(frames, 13, 11))
+    (root / "videos" / "b.y4m").write_bytes(y4m(frames[:3], 13, 11, colour="Cmono", chroma=0)[:-5])  # cut off
+    (root / "videos" / "c.y4m").write_bytes(b"no video")
+    wanted = spark.createDataFrame([("cam/a.y4m",), ("cam/b.y4m",), ("c.y4m",), ("lost.y4m",)], "video string")
+    files = V.video_files(spark, str(root), wanted)
+    assert {r.video: r.path is not None for r in files.collect()} == {"cam/a.y4m": True, "cam/b.y4m": True, "c.y4m": True, "lost.y4m": False}
+    counts = V.decoded_counts(files)
+    got = {r.video: r for r in counts.collect()}
+    assert (got["cam/a.y4m"].decoded, got["cam/a.y4m"].said, got["cam/a.y4m"].rate) == (7, 7, "25/1")
+    assert got["cam/b.y4m"].decoded == 2 and "ValueError" in got["c.y4m"].error and got["lost.y4m"].error
+    assert {r.video for r in V.count_mismatches(counts).collect()} == {"c.y4m", "lost.y4m"}
+    rows = V.decoded(files.where("video <> 'c.y4m'")).collect()
+    assert len(rows) == 9 and all(np.array_equal(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width), frames[r.frame]) for r in rows)
+
+
+def test_augmented_clips():
+    from frameloom.streaming import tubelets as T
+
+    rng = np.random.default_rng(4)
+    clips = rng.random((5, 3, 4, 4)).astype(np.float32)
+    keys = np.arange(5)
+    how = {"seed": 1, "flip": 0.5, "brightness": (0.8, 1.2), "contrast": (0.8, 1.2)}
+    a, b = T.augmented(clips, keys, **how), T.augmented(clips[::-1], keys[::-1], **how)[::-1]
+    assert np.array_equal(a, b) and not np.array_equal(a, T.augmented(clips, keys, **(how | {"seed": 2})))
+    flipped = T.augmented(clips, keys, 1, 1.0, (1, 1), (1, 1))
+    assert flipped == pytest.approx(clips[..., ::-1], abs=1e-6) and a.min() >= 0 and a.max() <= 1
+
 
 
 def test_frame_source(spark):
