@@ -238,3 +238,15 @@ def collated(grid: DataFrame, runs: DataFrame, key: Sequence[str], group: str, v
     rows = grid.join(runs, list(key), "left")
     out = rows.groupBy(group).agg(F.count(value).alias("n_runs"), F.count_if(F.col(value).isNull()).alias("n_missing"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(ceiling).alias("ceiling"))
     return out.withColumn("headroom", F.try_divide("mean", "ceiling"))
+
+
+def run_table(runs: DataFrame, epochs: DataFrame, key: Sequence[str], subset: str, full: str, seconds: Sequence[str]) -> DataFrame:
+    """runs with the gap of the subset's value over the full pass's, their number of epochs and the sums of epoch times."""
+    spent = epochs.groupBy(*key).agg(F.count("*").alias("n_epochs"), *(F.sum(c).alias(c) for c in seconds))
+    return runs.join(spent, list(key), "left").withColumn("gap", F.col(subset) - F.col(full))
+
+
+def mean_by_scene(runs: DataFrame, arm: str, scene: str, value: str, ceiling: str) -> DataFrame:
+    """Per arm and scene: the mean over runs that have a value, the scene's ceiling, and how far the mean stays below it."""
+    out = runs.groupBy(arm, scene).agg(F.count(value).alias("n_runs"), F.avg(value).alias("mean"), F.max(ceiling).alias("ceiling"))
+    return out.withColumn("below", F.col("ceiling") - F.col("mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,14 @@ def log_access(spark: SparkSession, path: str, who: str, what: str, partitions:
     """Append a row to the access log."""
     row = spark.createDataFrame([(who, what, list(partitions))], "who string, what string, partitions array<string>")
     row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def text_report(df: DataFrame, title: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(place, line): a title, the columns' names, and a line for each row in order, cells padded to 16 characters.
+
+    For result tables, which are small; places are given by one sorted window.
+    """
+    cells = F.concat_ws("  ", *(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), 16, " ") for c in columns))
+    rows = df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("place"), cells.alias("line"))
+    names = "  ".join(c[:16].rjust(16) for c in columns)
+    return df.sparkSession.createDataFrame([(0, title), (1, names)], "place int, line string").unionByName(rows)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameloom.functions.columns import rational
+from frameloom.operators import aggregates as A
+from frameloom.operators import governance as G
 from frameloom.operators import sinks
+from frameloom.operators.observed import Throughput
 from frameloom.plans.views import duck, view
 from frameloom.session import scratch
-from frameloom.sources import scans
+from frameloom.sources import scans, video
+from frameloom.sources.frames import moving_square
 from frameloom.streaming import tubelets
 
 R6 = lambda c: F.round(c, 6)
@@ -125,7 +130,85 @@ def parallel_scores(spark, d):
     return a.select("frame", *(F.array_join(F.col(c).cast("array<string>"), ";").alias(c) for c in ("score", "label", "idx")))
 
 
+def run_gaps(spark, d):
+    """A-36: per arm the spread of the subset's gap over the full pass, and the sum of epoch times."""
+    runs = view(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("arm"), F.col("o_totalprice").alias("subset"), (F.col("o_totalprice") * 0.75 + F.col("o_custkey")).alias("full"))
+    epochs = view(spark, d, "lines").select(F.col("l_orderkey").alias("o_orderkey"), F.col("q").alias("train_s"), F.col("idx").alias("eval_s"))
+    t = A.run_table(runs, epochs, ["o_orderkey"], "subset", "full", ["train_s", "eval_s"])
+    return t.groupBy("arm").agg(F.count("*").alias("n_runs"), F.sum("n_epochs").alias("n_epochs"), F.round(F.avg("gap"), 4).alias("mean_gap"), F.round(F.stddev_samp("gap"), 3).alias("sd_gap"), F.round(F.min("gap"), 4).alias("least"), F.round(F.max("gap"), 4).alias("largest"), F.sum(F.col("train_s") + F.col("eval_s")).cast("long").alias("seconds"))
+
+
+def scene_means(spark, d):
+    """A-36: mean of the runs by arm and scene against the scene's ceiling."""
+    docs = view(spark, d, "documents").join(view(spark, d, "labels"), "doc_id", "left")
+    runs = docs.select(F.col("lang").alias("arm"), "source", F.col("quality").cast("double").alias("value"), F.lit(1.0).alias("ceiling"))
+    m = A.mean_by_scene(runs, "arm", "source", "value", "ceiling")
+    return m.select("arm", "source", "n_runs", R6("mean").alias("mean"), "ceiling", R6("below").alias("below"))
+
+
+def report_lines(spark, d):
+    """SNK-4: a text report of a small table as ordered lines."""
+    n = view(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return sinks.text_report(n, "CUSTOMERS", ["c_nationkey", "n"], ["c_nationkey"])
+
+
+def gates(spark, d):
+    """SNK-6, SRC-22, G-1, G-3: what is refused and what is written."""
+    o = view(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    keyed = G.check(o, "keyed", F.count_distinct("o_orderkey"), F.count("*"))
+    dear = G.check(o, "dear", F.count_if(F.col("o_totalprice") < 0), -1.0)
+
+    def written(*checks):
+        path = scratch(spark, "gated")
+        G.write_if_clean(o, G.all_checks(spark, list(checks)), path)
+        return spark.read.parquet(path).count()
+
+    def outcome(step):
+        try:
+            return step()
+        except (G.Violations, G.TestSetAccess, ValueError) as e:
+            return -1 if isinstance(e, G.Violations) else -2 if isinstance(e, G.TestSetAccess) else -3
+
+    steps = {"clean": lambda: written(keyed), "failing": lambda: written(keyed, dear), "test": lambda: G.split_rows(view(spark, d, "boxes"), ["test"]).count(), "columns": lambda: G.require_columns(o, ["o_orderkey", "lost"]).count()}
+    return spark.createDataFrame([(name, outcome(step)) for name, step in steps.items()], "step string, outcome long")
+
+
+def watched_rows(spark, d):
+    """A-39: rows counted while something else consumes them."""
+    t = Throughput()
+    t.watch(view(spark, d, "lineitem")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(int(t.rates()["frames"]),)], "frames long")
+
+
+def write_bytes(spark, path: str, content: bytes) -> None:
+    """A small file in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(content))
+    out.close()
+
+
+def decoded_videos(spark, d):
+    """SRC-14, SRC-15, SRC-16, ST-5: decoded frames against what the container says, path fallback, and the frames' pixels."""
+    root = f"{scratch(spark, 'videos')}/data"
+    for name, n in (("cam/a.y4m", 5), ("videos/b.y4m", 9)):
+        body = b"".join(b"FRAME\n" + f.tobytes() + b"\x80" * (2 * 12 * 16) for f in moving_square(1, n, 24, 32, noise=0.0))
+        write_bytes(spark, f"{root}/{name}", b"YUV4MPEG2 W32 H24 F30000:1001\n" + (body[:-3] if n == 9 else body))
+    files = video.video_files(spark, root, spark.createDataFrame([("cam/a.y4m",), ("cam/b.y4m",), ("cam/c.y4m",)], "video string"))
+    counts = video.decoded_counts(files.where("content IS NOT NULL"))
+    bright = video.decoded(files).groupBy("video").agg(F.count("*").alias("frames"), F.sum((F.length("pixels") == 24 * 32).cast("int")).alias("whole"))
+    out = counts.join(bright, "video").withColumn("fps", R6(rational(F.col("rate"))))
+    return out.select("video", "decoded", "said", "frames", "whole", "height", "width", "fps")
+
+
 QUERIES = {
+    "run_gaps": (run_gaps, f"""{duck('lines')}, e AS (SELECT l_orderkey, count(*) AS n, sum(q + idx) AS s FROM lines GROUP BY ALL), r AS (SELECT o_orderpriority AS arm, o_totalprice - (o_totalprice * 0.75 + o_custkey) AS gap, n, s FROM orders LEFT JOIN e ON l_orderkey = o_orderkey)
+      SELECT arm, count(*) AS n_runs, CAST(sum(n) AS bigint) AS n_epochs, round(avg(gap), 4) AS mean_gap, round(stddev_samp(gap), 3) AS sd_gap, round(min(gap), 4) AS least, round(max(gap), 4) AS largest, CAST(sum(s) AS bigint) AS seconds FROM r GROUP BY arm"""),
+    "scene_means": (scene_means, "SELECT lang AS arm, source, count(quality) AS n_runs, round(avg(quality), 6) AS mean, 1.0::DOUBLE AS ceiling, round(1 - avg(quality), 6) AS below FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL"),
+    "report_lines": (report_lines, "WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT 0 AS place, 'CUSTOMERS' AS line UNION ALL SELECT 1, lpad('c_nationkey', 16, ' ') || '  ' || lpad('n', 16, ' ') UNION ALL SELECT CAST(row_number() OVER (ORDER BY c_nationkey) + 1 AS int), lpad(CAST(c_nationkey AS varchar), 16, ' ') || '  ' || lpad(CAST(n AS varchar), 16, ' ') FROM n"),
+    "gates": (gates, "SELECT 'clean' AS step, count(*) AS outcome FROM orders UNION ALL SELECT unnest(['failing', 'test', 'columns']), unnest([-1, -2, -3])"),
+    "watched_rows": (watched_rows, "SELECT count(*) AS frames FROM lineitem"),
+    "decoded_videos": (decoded_videos, "SELECT unnest(['cam/a.y4m', 'cam/b.y4m']) AS video, unnest([5, 8])::BIGINT AS decoded, unnest([5, 8])::BIGINT AS said, unnest([5, 8])::BIGINT AS frames, unnest([5, 8])::BIGINT AS whole, 24 AS height, 32 AS width, round(30000 / 1001::DOUBLE, 6) AS fps"),
     "headered_csv": (headered_csv, "SELECT n_nationkey, n_name FROM nation"),
     "commented_lines": (commented_lines, "SELECT n_name AS key, n_nationkey AS nation FROM nation UNION ALL SELECT 'key', 77"),
     "partition_list": (partitions, f"{B} SELECT DISTINCT video, split FROM boxes"),
