@@ -334,7 +334,7 @@ def group_links(table: pa.Table, at_least: tuple[int, int]) -> pa.Table:
 def connected(shared: DataFrame) -> DataFrame:
     """(node, label): the nodes of each label's rows (label, node, token) that tokens connect, under new labels."""
     least = shared.groupBy("label", "token").agg(F.min("node").alias("least"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    least = staged(least, "least")  # so that Spark can split the rows of a very frequent token in the join
+    least = staged(least, "least", small=True)  # so that Spark can split the rows of a very frequent token in the join
     edges = shared.join(least, ["label", "token"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     return components(edges)
 
@@ -357,11 +357,11 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row is a class of its own.
     """
     texts = keyed_texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
-    base = staged(set_table(texts, k), "sets")
+    base = staged(set_table(texts, k), "sets", small=True)
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version"))
     each = base.where("node IS NOT NULL").groupBy("node", "doc_id", "version").agg(F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"))
     reps = each.groupBy("node").agg(chosen.alias("rep"), F.sum("rows").alias("copies"), F.max("rows").alias("rows"), F.first("n_shingles").alias("n"))
-    reps = staged(reps.select("node", "copies", "rows", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.version").alias("rep_version")), "reps")
+    reps = staged(reps.select("node", "copies", "rows", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.version").alias("rep_version")), "reps", small=True)
     about = reps.agg(F.sum("n").alias("n"), F.max("rows").alias("rows")).first()
     reps = reps.drop("rows")
     if (about["rows"] or 0) > 1:  # rows that share id and text
@@ -376,7 +376,7 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = counted.groupBy("block").applyInArrow(lambda t: prefixes(t, at_least), "node binary, n long, tokens array<long>")
     may = staged(kept, "prefixes", small=True)
 
-    classes = staged(connected(may.select(F.lit(bytearray()).alias("label"), "node", F.explode("tokens").alias("token"))), "first-classes", small=True)
+    classes = connected(may.select(F.lit(bytearray()).alias("label"), "node", F.explode("tokens").alias("token")))
     members = classes.select("node").join(reps.select("node", "rep_id", "rep_version"), "node")
     if classes.count() <= BROADCAST_ROWS:  # of a fixed width
         members = F.broadcast(members)
@@ -402,6 +402,8 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed if done is None else placed.unionByName(done.withColumn("n_blocks", F.lit(1)))
     paired = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     paired = paired.select("tokens", "shown", "label", "node", "copies", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    # by all three, or Spark would keep a class that is together by its label in one task
+    paired = paired.repartition("label", "first", "second")
     links = staged(paired.groupBy("label", "first", "second").applyInArrow(lambda t: group_links(t, at_least), "a binary, b binary, n_linked long"), "links", small=True)
 
     labels = components(links.where("a <> b").select("a", "b"))
@@ -411,7 +413,7 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # written first, so that rows of one text meet it in a plain join, which Spark can split
     info = staged(reps.join(component, "node", "left").join(n_linked, "node", "left").select(
         F.col("node").alias("of_node"), F.coalesce("label", "node").alias("class"), F.coalesce("component", "rep_id").alias("component"), (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links")
-    ), "classes-of-sets")
+    ), "classes-of-sets", small=True)
     joined = base.join(info, F.col("node") == F.col("of_node"), "left")
     alone = F.col("node").isNull()
     return joined.select("doc_id", "version", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class")
@@ -427,13 +429,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without words are classes of their own and all stay.
     """
-    classes = staged(class_table(docs, id_col, text_col, **how), "classes")
+    classes = staged(class_table(docs, id_col, text_col, **how), "classes", small=True)
     alone = F.col("class").isNull()
     each = classes.groupBy("class", "doc_id", "version").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "version", "n")).alias("first")
     keep = each.groupBy("class", F.when(alone, F.col("doc_id")).alias("own_id"), F.when(alone, F.col("version")).alias("own_version")).agg(first)
     again = ~alone & (F.col("first.n") > 1)
-    keep = staged(keep.select(F.col("first.doc_id").alias("_doc"), F.col("first.version").alias("_version"), again.alias("_again")), "keep")
+    keep = staged(keep.select(F.col("first.doc_id").alias("_doc"), F.col("first.version").alias("_version"), again.alias("_again")), "keep", small=True)
     rows, at = numbered(docs)
     keyed = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col(at[text_col]), F.lit(""))))
     same = F.col(at[id_col]).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version"))
