@@ -140,10 +140,10 @@ def fit(texts: list[str], recorded: np.ndarray, labels: list[int], negative_weig
     small = model | {"w": np.zeros(len(used)), "v": v}
     state = {k: [np.zeros_like(small[k]), np.zeros_like(small[k])] for k in ("w", "v")}
     bias_state = [0.0, 0.0]
-    parts = []
+    parts = []  # in half the width, since they are held until the end
     for first in range(0, len(y), batch):
         low, high = np.searchsorted(rows, [first, first + batch])
-        own, column, value = rows[low:high] - first, local[low:high], values[low:high]
+        own, column, value = (rows[low:high] - first).astype(np.int32), local[low:high].astype(np.int32), values[low:high].astype(np.float32)
         order = np.argsort(column, kind="stable")
         at = slice(first, first + batch)
         parts.append((at, dense[at], own, column, value, own[order], column[order], value[order], row_weight[at] / row_weight[at].sum()))
