@@ -50,9 +50,9 @@ AT_LEAST = (3, 4)
 #: Tokens of a block of documents, of a group of fingerprints, and of a block of a class.
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
-CLASS_TOKENS = 400_000
+CLASS_TOKENS = 200_000
 #: Members of a block of a class, and of each side that is compared at once.
-CLASS_MEMBERS = 512
+CLASS_MEMBERS = 256
 TILE = 256
 #: Members up to which their keys are sent to all tasks.
 BROADCAST_ROWS = 500_000
