@@ -98,6 +98,67 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM split LEFT JOIN per_doc USING (doc_id)
 """
 
+OP12 = rf"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS d, doc_id, text FROM documents
+), words AS (
+  SELECT d, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM numbered
+), postings AS (
+  SELECT d, t, count(*) AS tf FROM words GROUP BY d, t
+), lengths AS (
+  SELECT d, count(*) AS n FROM words GROUP BY d
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY t, docs
+), asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)
+), scored AS (
+  SELECT i, item_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (t) JOIN weights USING (t) JOIN lengths USING (d), whole GROUP BY i, item_id, d
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN numbered USING (d) WHERE score > 0)
+WHERE rank <= 10
+"""
+
+OP13 = r"""
+WITH RECURSIVE placed AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) AS place,
+    md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS content, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc(c, digits, i, x) AS (
+  SELECT DISTINCT c, CAST(c AS VARCHAR), 0, 4294967295::BIGINT FROM placed
+  UNION ALL
+  SELECT c, digits, i + 1, CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(x, ascii(digits[i // 8 + 1])::BIGINT) ELSE x END AS y FROM crc WHERE i < 8 * len(digits))
+), convs AS (
+  SELECT c, c - c % 20 AS base, xor(x, 4294967295::BIGINT) % 4 AS h, (SELECT count(*) FROM placed p WHERE p.c = crc.c - crc.c % 20) AS n_base
+  FROM crc WHERE i = 8 * len(digits)
+), steps AS (
+  SELECT v.c, place AS depth, content, words FROM convs v JOIN placed p ON p.c = v.base AND place <= h
+  UNION ALL SELECT v.c, place - h + least(h, n_base), content, words FROM convs v JOIN placed p ON p.c = v.c AND place > h
+), named AS (
+  SELECT c, depth, words, string_agg(content, '') OVER (PARTITION BY c ORDER BY depth) AS node,
+    coalesce(string_agg(content, '') OVER (PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS parent FROM steps
+  UNION ALL SELECT c, 0, 0, '', NULL FROM convs
+), nodes AS (
+  SELECT node, min(parent) AS parent, min(depth) AS depth, count(*) AS n_convs, min(c) AS conv_id, (count(*) - 1) * min(words) AS saved FROM named GROUP BY node
+), children AS (
+  SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT a.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(w.saved) AS saved
+  FROM nodes w LEFT JOIN children k ON k.node = w.node JOIN named a ON a.c = w.conv_id AND a.depth <= w.depth GROUP BY a.node
+), ends AS (
+  SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM (SELECT c, max_by(node, depth) AS node FROM named GROUP BY c) GROUP BY node
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN children k ON k.node = v.node JOIN below b ON b.node = v.node LEFT JOIN ends e ON e.node = v.node
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op5_jaccard_join": OP5, "op7_topk_search": OP7, "op9_license_scan": OP9}
+    return {"op1_line_dedup": OP1, "op5_jaccard_join": OP5, "op7_topk_search": OP7, "op9_license_scan": OP9, "op12_ranked_search": OP12, "op13_prefix_trie": OP13}

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the driver's tables, with production parameters."""
+"""The queries of the operators over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import decontaminate, jaccard_join, license_scan, line_dedup, packed_ids, pieces, quality_fm, secret_scan, topk_search, toxicity
+from frameloom.llm import decontaminate, jaccard_join, license_scan, line_dedup, packed_ids, personal_data, pieces, prefix_trie, quality_fm, ranked_search, secret_scan, topk_search, toxicity
 from frameloom.session import table
 
 
@@ -61,6 +61,18 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1, threshold=0.5)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_report(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    every = [op1_line_dedup, op2_toxicity, op3_decontamination, op4_packed_ids, op5_jaccard_join, op6_pieces, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm]
+    every = [op1_line_dedup, op2_toxicity, op3_decontamination, op4_packed_ids, op5_jaccard_join, op6_pieces, op7_topk_search, op8_secret_scan, op9_license_scan, op10_quality_fm, op11_personal_data, op12_ranked_search, op13_prefix_trie]
     return {f.__name__: f for f in every}
