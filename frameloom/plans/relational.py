@@ -12,9 +12,7 @@ from frameloom.operators.sinks import per_value
 from frameloom.plans.views import duck, view
 from frameloom.session import scratch
 from frameloom.sources import probes, scans
-from frameloom.sources.frames import FrameSource
-from frameloom.streaming import background, windows
-from frameloom.streaming.tubelets import assembled
+from frameloom.streaming import windows
 
 R6 = lambda c: F.round(c, 6)
 B = duck("boxes", "gts", "blobs")
@@ -239,30 +237,6 @@ def rolling_stream(spark, d):
     return out.select(F.col("video").cast("long").alias("video"), "centre", F.col("total").cast("long").alias("total"))
 
 
-def foreground(spark, d):
-    """ST-1, K-2, K-4, SRC-19, SNK-2: components of a moving square that enters an empty scene, per video."""
-    spark.dataSource.register(FrameSource)
-    frames = spark.read.format("frames").options(videos=4, frames=24, seed=7, noise=0, enters=1).load()
-    return background.foreground(frames, seed=20, low=0.002)
-
-
-def tubelets(spark, d):
-    """K-8, K-6, K-7: complete eight-frame clips around proposals in frames of a moving square; incomplete windows are left out.
-
-    Half of the clips are halved in size by area, so each new pixel is the mean of four.
-    """
-    spark.dataSource.register(FrameSource)
-    frames = spark.read.format("frames").options(videos=4, frames=24, seed=7, noise=0).load()
-    rows = spark.range(96).selectExpr("id AS proposal", "concat('v', id % 4) AS video", "id div 4 AS centre", "double(id % 7 * 9 - 3) AS x", "double(20) AS y", "double(8) AS w", "double(6) AS h")
-    total = F.aggregate(F.sequence(F.lit(1), F.length("clip")), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.hex(F.substring("clip", i, F.lit(1))), 16, 10).cast("long"))
-    out = None
-    for size in (16, 8):
-        clips = assembled(rows, frames, 8, size, 0.5, method="area")
-        part = clips.select("proposal", "video", "centre", "n", F.lit(size).alias("size"), R6("synthetic").alias("synthetic"), F.length("clip").cast("long").alias("bytes"), total.alias("total"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 QUERIES = {
     "nation_lookup": (nations, "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"),
     "lookup_default": (lookup_default, "SELECT n_nationkey, n_name, coalesce(n_suppliers, 0) AS n_suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier GROUP BY ALL) ON s_nationkey = n_nationkey"),
@@ -304,10 +278,4 @@ QUERIES = {
         WHEN regexp_matches(line, '^[\[{]') THEN 'json' WHEN contains(line, ',') THEN 'table' ELSE 'text' END AS kind, count(*) AS n FROM l GROUP BY ALL"""),
     "partitioned_write": (written_and_read, "SELECT CAST(o_orderkey % 3 AS int) AS seed, count(*) AS n, CAST(sum(o_orderkey) AS bigint) AS total FROM orders GROUP BY ALL"),
     "rolling_stream": (rolling_stream, f"""{duck('tracks')} SELECT video, frame AS centre, CAST(total AS bigint) AS total FROM (SELECT video, frame, sum(event_id) OVER w AS total, count(*) OVER w AS n FROM tracks WINDOW w AS (PARTITION BY video ORDER BY frame RANGE BETWEEN 3 PRECEDING AND 4 FOLLOWING)) WHERE n = 8"""),
-    "foreground_components": (foreground, "SELECT 'v' || v AS video, k AS frame, k AS x, 20::BIGINT AS y, 8::BIGINT AS w, 8::BIGINT AS h, 64::BIGINT AS area FROM range(4) a(v), range(1, 24) b(k)"),
-    "tubelets": (tubelets, """WITH p AS (SELECT i, i // 4 AS centre, i % 7 * 9 - 7 AS left_edge FROM range(96) AS t(i) WHERE i // 4 - 3 >= 0 AND i // 4 + 4 <= 23),
-      px AS (SELECT i, f, c // (16 // size) AS x, r // (16 // size) AS y, size, CASE WHEN greatest(least(left_edge + c, 63), 0) BETWEEN f % 56 AND f % 56 + 7 AND 15 + r BETWEEN 20 AND 27 THEN 220 ELSE 90 END AS v
-        FROM p, range(24) fr(f), range(16) cc(c), range(16) rr(r), (SELECT unnest([8, 16]) AS size) WHERE f BETWEEN centre - 3 AND centre + 4),
-      t AS (SELECT i, size, CAST(sum(v) AS bigint) AS total FROM (SELECT i, f, x, y, size, floor(avg(v) + 0.5) AS v FROM px GROUP BY ALL) GROUP BY ALL)
-      SELECT i AS proposal, 'v' || (i % 4) AS video, centre, 8::BIGINT AS n, CAST(size AS int) AS size, round(1 - (least(left_edge + 16, 64) - greatest(left_edge, 0)) / 16::DOUBLE, 6) AS synthetic, (8 * size * size)::BIGINT AS bytes, total FROM p JOIN t USING (i)"""),
 }

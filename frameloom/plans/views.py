@@ -36,6 +36,11 @@ VIEWS = {
           CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS frame,
           CAST(40 + event_id % 60 AS double) AS w, CAST(30 + event_id % 25 AS double) AS h
         FROM {events}""",
+    # one object in each frame of a video; frames count from 1, since frame 0 is empty
+    "scenes": """
+        SELECT event_id, concat('u', CAST(user_id AS string)) AS video, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS frame,
+          CAST(floor(value) AS bigint) % 40 AS x, (event_id * 7) % 24 AS y, 4 + event_id % 5 AS w, 3 + event_id % 4 AS h, event_id % 3 AS tint
+        FROM {events}""",
     # ranked proposals: unlabelled ones are ignored
     "scored": """
         SELECT d.doc_id, d.lang AS grp, d.n_chars AS score, CASE WHEN l.quality = 1 THEN 'positive' WHEN l.quality = 0 THEN 'negative' ELSE 'ignored' END AS label

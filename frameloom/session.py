@@ -23,6 +23,10 @@ def local_session(cores: int = 8, partitions: int = 8, name: str = "frameloom")
     )
 
 
+#: Folders made for local sessions that name none, by application.
+_MADE: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,15 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset in a local session, as in tests, a temporary folder is set; a cluster has to name one.
+    Where it is unset in a local session, as in tests, a temporary folder is made; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="frameloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _MADE:  # the setting itself cannot be changed in a running session
+            _MADE[app] = tempfile.mkdtemp(prefix="frameloom-")
+        found = _MADE[app]
     return found.rstrip("/")
 
 

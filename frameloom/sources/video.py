@@ -1,7 +1,7 @@
 """Video files as rows of frames: any store that Spark reads, any codec that a plug-in decodes.
 
 Files are read by Spark's binary source, so paths may be remote. A decoder is a function from a file's bytes
-to an iterator of (height, width, grey bytes); a header reader is one to a dict of rate, frames, height and
+to an iterator of (height, width, bytes of grey or of blue, green and red); a header reader is one to a dict of rate, frames, height and
 width. The ones built in read YUV4MPEG2, an uncompressed public format: a header line of space-separated
 fields, then for each frame a line that begins with FRAME and the planes of its picture.
 """
@@ -10,39 +10,79 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.sources.frames import SCHEMA
 
-#: Bytes of chroma for each byte of luma, by the header's colour space; 4:2:0 is the default.
-CHROMA = {"C420": 0.5, "C422": 1.0, "C444": 2.0, "Cmono": 0.0}
+# The steps between chroma samples down and across, by the header's colour space; 4:2:0 is the default.
+CHROMA = {"C420": (2, 2), "C422": (1, 2), "C444": (1, 1), "Cmono": None}
 
 
 def y4m_header(content: bytes) -> dict:
-    """rate (`25/1`), height, width, bytes of a picture's chroma, and where the frames begin."""
+    """rate (`25/1`), height, width, steps between chroma samples, bytes of a picture's chroma, and where the frames begin."""
     end = content.index(b"\n")
     fields = content[:end].decode("ascii").split(" ")
     if fields[0] != "YUV4MPEG2":
         raise ValueError("not a YUV4MPEG2 file")
     by = {f[0]: f[1:] for f in fields[1:] if f}
     width, height = int(by["W"]), int(by["H"])
-    share = next((s for c, s in CHROMA.items() if ("C" + by.get("C", "420")).startswith(c)), None)
-    if share is None:
+    space = next((c for c in CHROMA if ("C" + by.get("C", "420")).startswith(c)), None)
+    if space is None:
         raise ValueError(f"colour space {by['C']} is not known")
-    half = share == 0.5
-    chroma = 2 * ((width + 1) // 2) * ((height + 1) // 2) if half else int(width * height * share)
-    return {"rate": by.get("F", "0:0").replace(":", "/"), "height": height, "width": width, "chroma": chroma, "first": end + 1}
+    steps = CHROMA[space]
+    chroma = 2 * -(-height // steps[0]) * -(-width // steps[1]) if steps else 0
+    return {"rate": by.get("F", "0:0").replace(":", "/"), "height": height, "width": width, "steps": steps, "chroma": chroma, "first": end + 1}
 
 
-def y4m_frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """The luma of every whole frame; a file that ends within a frame ends before it."""
+def y4m_pictures(content: bytes) -> Iterator[tuple[dict, memoryview, memoryview]]:
+    """(header, luma, chroma) of every whole frame; a file that ends within a frame ends before it."""
     head = y4m_header(content)
+    view = memoryview(content)
     at, size = head["first"], head["width"] * head["height"]
     while (line := content.find(b"\n", at)) >= 0 and content.startswith(b"FRAME", at) and line + 1 + size + head["chroma"] <= len(content):
-        yield head["height"], head["width"], content[line + 1 : line + 1 + size]
         at = line + 1 + size + head["chroma"]
+        yield head, view[line + 1 : line + 1 + size], view[line + 1 + size : at]
+
+
+def y4m_frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """The luma of every frame."""
+    for head, luma, _ in y4m_pictures(content):
+        yield head["height"], head["width"], bytes(luma)
+
+
+# The public 8-bit integer form of BT.601 with luma from 16 to 235, in 256ths; rows are blue, green and red of
+# luma and both chroma values, and back.
+FROM_CHROMA = ((298, 516, 0), (298, -100, -208), (298, 0, 409))
+TO_CHROMA = ((25, 129, 66), (112, -74, -38), (-18, -94, 112))
+
+
+def to_bgr(planes: np.ndarray) -> np.ndarray:
+    """(height, width, 3) in blue, green and red of whole planes (3, height, width) of luma, blue and red chroma."""
+    centred = planes.astype(np.int32) - np.array([16, 128, 128])[:, None, None]
+    out = (np.tensordot(np.array(FROM_CHROMA), centred, 1) + 128) >> 8
+    return np.ascontiguousarray(np.moveaxis(np.clip(out, 0, 255).astype(np.uint8), 0, 2))
+
+
+def to_ycbcr(bgr: np.ndarray) -> np.ndarray:
+    """Planes (3, height, width) of a picture in blue, green and red."""
+    out = ((np.tensordot(np.array(TO_CHROMA), np.moveaxis(bgr.astype(np.int32), 2, 0), 1) + 128) >> 8) + np.array([16, 128, 128])[:, None, None]
+    return out.astype(np.uint8)
+
+
+def y4m_colour_frames(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Every frame in blue, green and red; a chroma sample holds for all pixels of its block, and mono frames have none."""
+    for head, luma, chroma in y4m_pictures(content):
+        height, width = head["height"], head["width"]
+        planes = np.full((3, height, width), 128, np.uint8)
+        planes[0] = np.frombuffer(luma, np.uint8).reshape(height, width)
+        if head["steps"]:
+            down, across = head["steps"]
+            small = np.frombuffer(chroma, np.uint8).reshape(2, -(-height // down), -(-width // across))
+            planes[1:] = small.repeat(down, axis=1)[:, :height].repeat(across, axis=2)[:, :, :width]
+        yield height, width, to_bgr(planes).tobytes()
 
 
 def y4m_probe(content: bytes) -> dict:

@@ -8,6 +8,7 @@ runs of foreground pixels and union-find over touching runs, in 8-connectivity.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,12 @@ from pyspark.sql import DataFrame
 GREY = (0.114, 0.587, 0.299)
 
 
+def image_of(pixels: bytes, height: int, width: int) -> np.ndarray:
+    """(height, width) of one byte a pixel, or (height, width, channels) of more."""
+    flat = np.frombuffer(pixels, np.uint8)
+    return flat.reshape(height, width) if len(flat) == height * width else flat.reshape(height, width, -1)
+
+
 def to_grey(frame: np.ndarray) -> np.ndarray:
     """Grey values in single precision, blue first, cut off rather than rounded; grey frames pass."""
     if frame.ndim == 2:
@@ -26,6 +33,10 @@ def to_grey(frame: np.ndarray) -> np.ndarray:
     return (blue + green + red).astype(np.uint8)
 
 
+def to_grey_value(colour: tuple[int, int, int]) -> int:
+    return int(to_grey(np.array([[colour]], np.uint8))[0, 0])
+
+
 #: Steps to the eight neighbours of a pixel.
 AROUND = np.array([(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
 
@@ -44,6 +55,14 @@ class SampleModel:
         which = self.rng.integers(0, len(AROUND), (self.n, *grey.shape))
         self.samples = np.take_along_axis(around, which, axis=0)
 
+    def saved(self) -> tuple[list[bytes], str]:
+        """(the planes of samples, the random generator's state) from which `restore` goes on."""
+        return [plane.tobytes() for plane in self.samples], json.dumps(self.rng.bit_generator.state)
+
+    def restore(self, planes: list[bytes], generator: str, height: int, width: int) -> None:
+        self.samples = np.stack([np.frombuffer(p, np.uint8).reshape(height, width) for p in planes])
+        self.rng.bit_generator.state = json.loads(generator)
+
     def apply(self, frame: np.ndarray) -> np.ndarray:
         """Foreground as 255; the first frame has none."""
         grey = to_grey(frame)
@@ -156,6 +175,15 @@ def crop(image: np.ndarray, cx: float, cy: float, side: float, size: int, replic
     return resized(out, size, method), share
 
 
+FOREGROUND = "video string, frame long, x long, y long, w long, h long, area long"
+
+
+def found_in(model: SampleModel, video: str, frame: int, image: np.ndarray, low: float, high: float) -> list[tuple]:
+    """Rows of FOREGROUND of the next frame's components within an area band, inclusive shares of the frame."""
+    area = image.shape[0] * image.shape[1]
+    return [(video, frame, *c) for c in components(model.apply(image)) if low * area <= c[4] <= high * area]
+
+
 def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """(video, frame, x, y, w, h, area) of every component within an area band, from a fresh model per video.
 
@@ -170,10 +198,8 @@ def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float
             for r in pdf.itertuples(index=False):
                 if model is None or r.video != video:
                     video, model = r.video, SampleModel(seed)
-                image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)
-                area = r.height * r.width
-                out += [(video, r.frame, *c) for c in components(model.apply(image)) if low * area <= c[4] <= high * area]
+                out += found_in(model, video, r.frame, image_of(r.pixels, r.height, r.width), low, high)
             yield pd.DataFrame(out, columns=["video", "frame", "x", "y", "w", "h", "area"])
 
     ordered = frames.select("video", "frame", "height", "width", "pixels").repartition("video").sortWithinPartitions("video", "frame")
-    return ordered.mapInPandas(run, "video string, frame long, x long, y long, w long, h long, area long")
+    return ordered.mapInPandas(run, FOREGROUND)

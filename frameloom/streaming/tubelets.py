@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.operators.joins import in_windows
-from frameloom.streaming.background import crop
+from frameloom.streaming.background import crop, image_of
+from frameloom.streaming.windows import micro_batches
 
 # Axis orders of a clip of (frames, height, width) as models take it.
 LAYOUTS = ("centre", "tchw", "cthw")
@@ -23,6 +24,9 @@ def wanted_frames(frames: DataFrame, proposals: DataFrame, length: int, frame: s
     return frames.join(need, ["video", frame], "left_semi")
 
 
+CLIPS = "proposal long, video string, centre long, n long, synthetic double, clip binary"
+
+
 def assembled(proposals: DataFrame, frames: DataFrame, length: int, size: int, padding: float, method: str = "linear") -> DataFrame:
     """(proposal, video, centre, n, synthetic, clip) of complete windows.
 
@@ -37,7 +41,7 @@ def assembled(proposals: DataFrame, frames: DataFrame, length: int, size: int, p
         for pdf in pdfs:
             made = []
             for r in pdf.itertuples(index=False):
-                image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)
+                image = image_of(r.pixels, r.height, r.width)
                 side = max(r.w, r.h) * (1 + 2 * padding)
                 out, share = crop(image, r.x + r.w / 2, r.y + r.h / 2, side, size, method=method)
                 made.append((r.proposal, r.video, r.centre, r.frame, share, out.tobytes()))
@@ -69,32 +73,33 @@ def rows_for_seed(manifest: DataFrame, seed: int, seeds: str = "seeds", label: s
 
 
 def augmented(x: np.ndarray, keys: np.ndarray, seed: int, flip: float, brightness: tuple[float, float], contrast: tuple[float, float]) -> np.ndarray:
-    """Clips (clip, frame, height, width) in 0 to 1, each flipped, brightened and spread about its mean by its own draw.
+    """Clips (clip, frame, height, width, ...) in 0 to 1, each mirrored, brightened and spread about its mean by its own draw.
 
     A clip's draw depends on the seed and its key alone and holds for all its frames.
     """
-    out = np.empty_like(x)
-    for i, key in enumerate(keys):
-        rng = np.random.default_rng([seed, int(key)])
-        clip = x[i, :, :, ::-1] if rng.random() < flip else x[i]
-        clip = clip * rng.uniform(*brightness)
-        mean = clip.mean()
-        out[i] = np.clip((clip - mean) * rng.uniform(*contrast) + mean, 0, 1)
-    return out
+    draws = np.array([np.random.default_rng([seed, int(key)]).random(3) for key in keys]).reshape(len(x), 3)
+    each = (-1,) + (1,) * (x.ndim - 1)
+    light, spread = (low + (high - low) * draws[:, i].reshape(each) for i, (low, high) in ((1, brightness), (2, contrast)))
+    mean = light * x.mean(axis=tuple(range(1, x.ndim)), dtype=np.float64, keepdims=True)
+    out = np.where(draws[:, 0].reshape(each) < flip, x[:, :, :, ::-1], x)
+    return np.clip(spread * (light * out - mean) + mean, 0, 1).astype(x.dtype)
 
 
-def as_model_input(clips: pd.Series, length: int, size: int, layout: str, mean: float = 0.0, std: float = 1.0, augment: dict | None = None, keys: np.ndarray | None = None) -> np.ndarray:
+def as_model_input(
+    clips: pd.Series, length: int, size: int, layout: str, mean: float | tuple[float, ...] = 0.0, std: float | tuple[float, ...] = 1.0, augment: dict | None = None, keys: np.ndarray | None = None
+) -> np.ndarray:
     """Normalised float clips in a layout: the centre frame alone, frames of channels, or channels of frames.
 
-    augment: seed, flip, brightness and contrast of `augmented`; then keys name the clips.
+    Clips have one value a pixel or several, told from their bytes; mean and std are one number or one for each
+    channel. augment: seed, flip, brightness and contrast of `augmented`; then keys name the clips.
     """
-    x = np.stack([np.frombuffer(c, np.uint8).reshape(length, size, size) for c in clips]).astype(np.float32) / 255
+    x = np.stack([np.frombuffer(c, np.uint8).reshape(length, size, size, -1) for c in clips]).astype(np.float32) / 255
     if augment is not None:
         x = augmented(x, keys, **augment)
-    x = (x - mean) / std
+    x = ((x - np.asarray(mean, np.float32)) / np.asarray(std, np.float32)).transpose(0, 1, 4, 2, 3)
     if layout == "centre":
-        return x[:, (length - 1) // 2, None]
-    return x[:, :, None] if layout == "tchw" else x[:, None]
+        return x[:, (length - 1) // 2]
+    return x if layout == "tchw" else x.swapaxes(1, 2)
 
 
 def score_arrays(scores: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -103,13 +108,12 @@ def score_arrays(scores: DataFrame, by: str, order: list[str], columns: list[str
     return rows.select(by, *(F.col(f"_rows.{c}").alias(c) for c in columns))
 
 
-def scored(clips: DataFrame, score: Callable[[np.ndarray], np.ndarray], length: int, size: int, layout: str = "centre", batch: int = 256) -> DataFrame:
-    """(proposal, score) from a scorer over batches of at most `batch` clips."""
+def scored(
+    clips: DataFrame, score: Callable[[np.ndarray], np.ndarray], length: int, size: int, layout: str = "centre", batch: int = 256, mean: float | tuple[float, ...] = 0.0, std: float | tuple[float, ...] = 1.0
+) -> DataFrame:
+    """(proposal, score) from a scorer over batches of `batch` clips, the last of a partition as many as are left."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                yield pd.DataFrame({"proposal": part["proposal"], "score": np.asarray(score(as_model_input(part["clip"], length, size, layout)), float)})
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"proposal": part["proposal"], "score": np.asarray(score(as_model_input(part["clip"], length, size, layout, mean, std)), float)})
 
-    return clips.select("proposal", "clip").mapInPandas(run, "proposal long, score double")
+    return micro_batches(clips, one, ["proposal", "clip"], "proposal long, score double", batch)

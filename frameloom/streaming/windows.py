@@ -60,12 +60,31 @@ def rolling_stream(stream: DataFrame, length: int, value: str = "value", idle_ms
     return stream.groupBy("video").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
+def full_batches(pdfs: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of exactly `size` rows, but for the last; the rest of one input goes before the next."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in pdfs:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= size:
+            rows = pd.concat(held) if len(held) > 1 else held[0]
+            whole = n - n % size
+            for at in range(0, whole, size):
+                yield rows.iloc[at : at + size]
+            held, n = [rows.iloc[whole:]], n - whole
+    if n:
+        yield pd.concat(held)
+
+
 def micro_batches(df: DataFrame, score, columns: list[str], schema: str, size: int = 256) -> DataFrame:
-    """Apply a scorer to batches of at most `size` rows; it takes and gives a pandas frame. The last batch may be short."""
+    """Apply a scorer to batches of `size` rows; it takes and gives a pandas frame.
+
+    Only the last batch of a partition may be short, whatever the size of the Arrow batches that the rows come in.
+    """
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for at in range(0, len(pdf), size):
-                yield score(pdf.iloc[at : at + size])
+        for batch in full_batches(pdfs, size):
+            yield score(batch)
 
     return df.select(*columns).mapInPandas(run, schema)
