@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.plans import boxes, files, frames, ranking, relational, tracks
+from frameloom.plans import boxes, containers, files, frames, ranking, relational, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (ranking.QUERIES, boxes.QUERIES, tracks.QUERIES, relational.QUERIES, files.QUERIES, frames.QUERIES)
+FAMILIES = (ranking.QUERIES, boxes.QUERIES, tracks.QUERIES, relational.QUERIES, files.QUERIES, frames.QUERIES, containers.QUERIES)
 
 
 def queries() -> dict[str, Query]:

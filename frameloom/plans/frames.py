@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameloom.functions.columns import rational
 from frameloom.plans.views import duck, view
 from frameloom.session import scratch
+from frameloom.sources import tensors, video
 from frameloom.sources.painted import painted
 from frameloom.sources.video_stream import VideoStream, write_videos
 from frameloom.streaming import background, stateful
@@ -79,6 +81,40 @@ def scored_clips(spark, d):
     return rows.select("proposal", F.round(F.col("score") * 4).cast("long").alias("quarters"))
 
 
+def decoded_videos(spark, d):
+    """SRC-14, SRC-15, SRC-16, ST-5: video files found by base name, their decoded frames against what the container says."""
+    root = f"{scratch(spark, 'videos')}/data"
+    write_videos(scene_frames(spark, d, colour=True), f"{root}/videos")
+    names = view(spark, d, "scenes").select(F.concat(F.lit("cam/"), "video", F.lit(".y4m")).alias("video")).distinct()
+    files = video.video_files(spark, root, names)
+    counts = video.decoded_counts(files, video.y4m_colour_frames)
+    whole = video.decoded(files, video.y4m_colour_frames).groupBy("video").agg(F.count("*").alias("frames"), F.sum((F.length("pixels") == 3 * HEIGHT * WIDTH).cast("int")).alias("whole"))
+    out = counts.join(whole, "video").withColumn("fps", rational(F.col("rate")))
+    return out.select("video", "decoded", "said", "frames", "whole", "height", "width", "fps")
+
+
+def colour_pictures(spark, d):
+    """SRC-16, K-3: files of 6 x 5 pictures with a chroma sample for every four pixels, one for each customer, decoded into blue, green and red."""
+    at = lambda expr: f"transform(sequence(0, {{}}), k -> lpad(hex({expr}), 2, '0'))"
+    luma = at("(3 * o_orderkey + 7 * (k div 6) + 5 * (k % 6)) % 256").format(29)
+    blue, red = (at(f"({key} + 11 * (k div 3) + 3 * (k % 3)) % 256").format(8) for key in ("o_custkey", "2 * o_orderkey"))
+    picture = f"unhex(concat('4652414D450A', array_join(concat({luma}, {blue}, {red}), '')))"
+    pictures = view(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", f"{picture} AS picture")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "picture"))), lambda p: F.hex(p["picture"]))  # a customer's orders
+    body = F.unhex(F.concat(F.hex(F.lit("YUV4MPEG2 W6 H5 F30000:1001 Ip C420jpeg\n")), F.array_join(each, "")))
+    files = pictures.groupBy(F.col("o_custkey").cast("string").alias("video")).agg(body.alias("content"))
+    return video.decoded(files, video.y4m_colour_frames).select("video", "frame", F.md5(F.hex("pixels")).alias("pixels_md5"))
+
+
+def tensor_store(spark, d):
+    """SRC-18, SNK-7: clips written into a store of equally large records, all of them read, and ranges and lists of ids by their places."""
+    path = scratch(spark, "tensors")
+    tensors.write_tensors(assembled(scene_proposals(spark, d), scene_frames(spark, d, colour=False), 8, 8, 0.5), path, 512, "proposal", "clip")
+    every = tensors.read_tensors(spark, path).select("id", F.md5(F.hex("data")).alias("clip_md5"))
+    some = tensors.read_tensors(spark, path, "id >= 100 AND id < 2000").unionByName(tensors.read_tensors(spark, path, "id IN (7, 8, 2500, -3)"))
+    return every.join(some.select("id", F.md5(F.hex("data")).alias("again_md5")), "id", "left").withColumnRenamed("id", "proposal")
+
+
 def clip_pixels(back: str, shades: list[str]) -> str:
     """SQL for one row per proposal, frame and pixel of its clip: the bytes in hex, and what the pixel holds."""
     shade = "CASE tint " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(shades)) + " END"
@@ -110,5 +146,11 @@ QUERIES = {
     "foreground_stream": (foreground_stream, FOREGROUND_SQL),
     "tubelets": (tubelets, clips_sql(*COLOUR_CLIPS)),
     "clip_stream": (clip_stream, clips_sql(*GREY_CLIPS)),
+    "tensor_store": (tensor_store, f"""WITH c AS ({clips_sql(*GREY_CLIPS)}) SELECT proposal, clip_md5, CASE WHEN proposal BETWEEN 100 AND 1999 OR proposal IN (7, 8, 2500) THEN clip_md5 END AS again_md5 FROM c"""),
+    "decoded_videos": (decoded_videos, f"""{duck('scenes')} SELECT 'cam/' || video || '.y4m' AS video, count(*) + 1 AS decoded, count(*) + 1 AS said, count(*) + 1 AS frames, count(*) + 1 AS whole, {HEIGHT} AS height, {WIDTH} AS width, 25.0::DOUBLE AS fps FROM scenes GROUP BY video"""),
+    "colour_pictures": (colour_pictures, """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame FROM orders),
+      c AS (SELECT o_custkey, frame, r, c, 298 * ((3 * o_orderkey + 7 * r + 5 * c) % 256 - 16) AS y, (o_custkey + 11 * (r // 2) + 3 * (c // 2)) % 256 - 128 AS u, (2 * o_orderkey + 11 * (r // 2) + 3 * (c // 2)) % 256 - 128 AS v FROM o, range(5) rr(r), range(6) cc(c)),
+      p AS (SELECT o_custkey, frame, r, c, [CAST(greatest(0, least(255, floor((s + 128) / 256.0))) AS int) FOR s IN [y + 516 * u, y - 100 * u - 208 * v, y + 409 * v]] AS bgr FROM c)
+      SELECT CAST(o_custkey AS varchar) AS video, frame, md5(string_agg(printf('%02X%02X%02X', bgr[1], bgr[2], bgr[3]), '' ORDER BY r, c)) AS pixels_md5 FROM p GROUP BY o_custkey, frame"""),
     "scored_clips": (scored_clips, f"""{clip_pixels(*COLOUR_CLIPS)} SELECT event_id AS proposal, CAST(sum(CASE WHEN hit THEN CASE tint WHEN 0 THEN {ADDS[0]} WHEN 1 THEN {ADDS[1]} ELSE {ADDS[2]} END ELSE 0 END) AS bigint) AS quarters FROM bytes GROUP BY event_id"""),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.columns import or_else, rational
 
-PROBED = "path string, rate string, frames long, height int, width int, duration double, error string"
+PROBED = "path string, rate string, frames long, height int, width int, duration double, created timestamp, error string"
 
 
 def probed(files: DataFrame, probe: Callable[[str], dict], path: str = "path") -> DataFrame:
