@@ -6,11 +6,15 @@ ties in score are broken by a key, because average precision depends on their or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from frameloom.functions.columns import digitize
 from frameloom.operators.ordinals import placed
+from frameloom.session import staged
 
 
 def ranked(scored: DataFrame, by: list[str], score: str = "score", key: str = "doc_id", label: str = "label") -> DataFrame:
@@ -28,6 +32,11 @@ def average_precision(scored: DataFrame, truth: DataFrame, by: list[str], score:
     each = ranked(scored, by, score, key, label).groupBy(*by).agg(
         F.sum("hit").alias("matched"), F.count("*").alias("n_scored"), F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("rank"))).alias("gain")
     )
+    return against(truth, each, by)
+
+
+def against(truth: DataFrame, each: DataFrame, by: list[str]) -> DataFrame:
+    """Matched, scored and summed precision per group over the full count."""
     both = truth.groupBy(*by).agg(F.count("*").alias("n_gt")).join(each, by, "full_outer")
     n_gt, zero = F.coalesce("n_gt", F.lit(0)), F.lit(0)
     return both.select(
@@ -36,6 +45,33 @@ def average_precision(scored: DataFrame, truth: DataFrame, by: list[str], score:
     )
 
 
+@F.pandas_udf(DoubleType())
+def partial_gain(score: pd.Series, key: pd.Series, hit: pd.Series, rows_before: pd.Series, hits_before: pd.Series) -> float:
+    """What a chunk of the ranking adds to the sum of precisions at hits, given what stands before it."""
+    order = pd.DataFrame({"score": score, "key": key, "hit": hit}).sort_values(["score", "key"], ascending=[False, True], kind="stable")["hit"].to_numpy()
+    tp = hits_before.iloc[0] + np.cumsum(order)
+    rank = rows_before.iloc[0] + np.arange(1, len(order) + 1)
+    return float((tp / rank)[order == 1].sum())
+
+
+def merged_precision(scored: DataFrame, truth: DataFrame, by: list[str], score: str = "score", key: str = "doc_id", label: str = "label") -> DataFrame:
+    """`average_precision` as an aggregate: each chunk of a group's ranking gives a part of its curve, and the parts are merged.
+
+    Chunks are ranges of group, score and key, so none holds a large group, and a chunk needs of those before
+    it only how many rows and hits they have.
+    """
+    rows = scored.where(F.col(label) != "ignored").select(*by, F.col(score).alias("_score"), F.col(key).alias("_key"), (F.col(label) == "positive").cast("int").alias("_hit"))
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
+    chunks = staged(rows.repartitionByRange(*by, F.desc("_score"), F.col("_key")).withColumn("_chunk", F.spark_partition_id()), "chunks")
+    sizes = chunks.groupBy(*by, "_chunk").agg(F.count("*").alias("n"), F.sum("_hit").alias("hits"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("n", "hits")})
+    parts = chunks.join(sizes, [*by, "_chunk"]).groupBy(*by, "_chunk").agg(partial_gain("_score", "_key", "_hit", "n_before", "hits_before").alias("gain"))
+    whole = sizes.groupBy(*by).agg(F.sum("hits").alias("matched"), F.sum("n").alias("n_scored"))
+    return against(truth, whole.join(parts.groupBy(*by).agg(F.sum("gain").alias("gain")), by), by)
+
+
 def curve(scored: DataFrame, truth: DataFrame, by: list[str], **names) -> DataFrame:
     """Precision and recall after every rank."""
     n = truth.groupBy(*by).agg(F.count("*").alias("n_gt"))

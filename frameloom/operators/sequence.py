@@ -54,28 +54,35 @@ def pairwise_runs(df: DataFrame, by: list[str], frame: str = "frame") -> DataFra
     return _longest(runs, by)
 
 
-def longest_anchored(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, block: int = 256) -> tuple[int, int]:
-    """(length, start) of the longest stretch whose centres stay in the box of its first frame; the first of equals.
+def reached(v: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """For each start the first later place whose value is further than `half` away, or the end.
 
-    Starts that cannot beat the best any more are not tried, and a start looks ahead in blocks only until
-    it is left, so the work is about the length times a typical run.
+    Level k of a table holds the least and greatest of 2**k values from each place on. All starts gallop at once
+    from the longest step to the shortest, taking each step whose values stay near, so a start costs a
+    logarithm and the table that many numbers a place. Values that are not numbers are near to all.
     """
-    n, best, at = len(x), 0, 0
-    for s in range(n):
-        if n - s <= best:
-            break
-        e = s + 1
-        while e < n:
-            part = slice(e, e + block)
-            out = (np.abs(x[part] - x[s]) > w[s] / 2) | (np.abs(y[part] - y[s]) > h[s] / 2)
-            first = int(out.argmax())
-            if out[first]:
-                e += first
-                break
-            e += len(out)
-        if e - s > best:
-            best, at = e - s, s
-    return best, at
+    n = len(v)
+    low, high = [v], [v]
+    while 2 ** len(low) <= n:
+        step = 2 ** (len(low) - 1)
+        low.append(np.fmin(low[-1][:-step], low[-1][step:]))
+        high.append(np.fmax(high[-1][:-step], high[-1][step:]))
+    at = np.arange(n)
+    for k in range(len(low) - 1, -1, -1):
+        start = np.flatnonzero(at + 2**k <= n)
+        to = at[start]
+        far = (high[k][to] - v[start] > half[start]) | (v[start] - low[k][to] > half[start])
+        at[start[~far]] += 2**k
+    return at
+
+
+def longest_anchored(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[int, int]:
+    """(length, start) of the longest stretch whose centres stay in the box of its first frame; the first of equals."""
+    if not len(x):
+        return 0, 0
+    start = np.arange(len(x))
+    stays = np.maximum(np.minimum(reached(x, w / 2), reached(y, h / 2)), start + 1) - start
+    return int(stays.max()), int(stays.argmax())
 
 
 def anchored_runs(df: DataFrame, by: list[str], frame: str = "frame") -> DataFrame:

@@ -53,6 +53,22 @@ def label_file_lines(spark, d):
     return b.groupBy("frame").agg(F.count("*").alias("n"), *(F.sum(c).cast("long").alias(c) for c in "xywh"), F.min("kind").alias("kind"))
 
 
+def single_box_lines(spark, d):
+    """SRC-9, SRC-10: label files with one box a line and decimal numbers, a file for each split, read back as boxes and as counts."""
+    path = scratch(spark, "single-boxes")
+    g = view(spark, d, "gts")
+    line = F.concat_ws(" ", F.concat("frame", F.lit(".0")), *(F.concat(c, F.lit(".5")) for c in "xy"), F.concat("w", F.lit("e0")), "h", F.when(F.col("idx") % 4 == 1, F.lit("drone extra")))
+    g.select("split", line.alias("value")).write.partitionBy("split").text(path)
+    out = None
+    for split in ("train", "val", "test"):
+        frames = scans.label_frames(spark, f"{path}/split={split}", fmt=scans.ONE_BOX)
+        counts = scans.box_counts(frames).agg(*(F.sum(c).cast("long").alias(c) for c in ("n_boxes", "annotated_frames", "empty_frames")))
+        boxes = scans.boxes_of(frames).agg(*(F.sum(c).alias(c) for c in "xywh"), F.count("kind").alias("n_kinds"), F.sum(F.col("frame") * F.col("w")).alias("weighted"))
+        part = counts.crossJoin(boxes).withColumn("split", F.lit(split))  # one row each
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def label_counts(spark, d):
     """SRC-10: boxes, frames with and frames without a box, over label lines of all orders."""
     path = scratch(spark, "label-counts")
@@ -189,6 +205,8 @@ QUERIES = {
     "commented_lines": (commented_lines, "SELECT n_name AS key, n_nationkey AS nation FROM nation UNION ALL SELECT 'key', 77"),
     "partition_list": (partitions, f"{B} SELECT DISTINCT video, split FROM boxes"),
     "label_file_lines": (label_file_lines, f"{B} SELECT frame, count(*) AS n, CAST(sum(x) AS bigint) AS x, CAST(sum(y) AS bigint) AS y, CAST(sum(w) AS bigint) AS w, CAST(sum(h) AS bigint) AS h, 'drone' AS kind FROM gts GROUP BY frame"),
+    "single_box_lines": (single_box_lines, f"""{B} SELECT split, count(*) AS n_boxes, count(DISTINCT frame) AS annotated_frames, 0::BIGINT AS empty_frames, sum(x + 0.5::DOUBLE) AS x, sum(y + 0.5::DOUBLE) AS y, CAST(sum(w) AS double) AS w, CAST(sum(h) AS double) AS h,
+      count(*) FILTER (idx % 4 = 1) AS n_kinds, CAST(sum(frame * w) AS double) AS weighted FROM gts GROUP BY split"""),
     "label_file_counts": (label_counts, f"{B} SELECT (SELECT count(*) FROM gts) AS n_boxes, (SELECT count(DISTINCT frame) FROM gts) AS annotated_frames, (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT frame FROM boxes GROUP BY frame HAVING count(*) FILTER (kind = 'gt') = 0)) AS empty_frames"),
     "file_listing": (listed, "SELECT '.parquet' AS suffix, count(DISTINCT o_orderstatus) AS n, true AS all_filled FROM orders"),
     "run_records": (run_logs, "SELECT '3' AS seed, 'a' AS arm, count(*) AS n, CAST(sum(o_custkey) AS bigint) AS total FROM orders"),

@@ -10,7 +10,7 @@ from frameloom.session import scratch
 from frameloom.sources import tensors, video
 from frameloom.sources.painted import painted
 from frameloom.sources.video_stream import VideoStream, write_videos
-from frameloom.streaming import background, stateful
+from frameloom.streaming import background, stateful, table_functions
 from frameloom.streaming.tubelets import assembled, scored
 
 HEIGHT, WIDTH = 32, 48
@@ -51,6 +51,12 @@ def foreground(spark, d):
     return background.foreground(scene_frames(spark, d, colour=True), low=LOW, high=HIGH)
 
 
+def frame_components(spark, d):
+    """K-2, K-4: the same components by a table function of SQL over a table of frames."""
+    table_functions.register(spark, low=LOW, high=HIGH)
+    return spark.sql("SELECT * FROM frame_components(TABLE({frames}) PARTITION BY video ORDER BY frame)", frames=scene_frames(spark, d, colour=True))
+
+
 def foreground_stream(spark, d):
     """ST-1, SRC-16: the same components from a stream over video files, the model kept as state between micro-batches."""
     stream = scene_stream(spark, scene_frames(spark, d, colour=False), 60)
@@ -143,6 +149,7 @@ ADDS = [sum(round((v - 90) * w) for v, w in zip(s, (4, 2, 1))) for s in SHADES]
 
 QUERIES = {
     "foreground_components": (foreground, FOREGROUND_SQL),
+    "frame_components": (frame_components, FOREGROUND_SQL),
     "foreground_stream": (foreground_stream, FOREGROUND_SQL),
     "tubelets": (tubelets, clips_sql(*COLOUR_CLIPS)),
     "clip_stream": (clip_stream, clips_sql(*GREY_CLIPS)),

@@ -23,6 +23,12 @@ def ap_by_group(spark, d):
     return a.select("grp", "n_gt", "matched", "n_scored", R6("ceiling").alias("ceiling"), R6("ap").alias("ap"))
 
 
+def merged_ap(spark, d):
+    """A-19: the same from an aggregate over chunks of the ranking whose curves are merged."""
+    a = X.merged_precision(view(spark, d, "scored"), view(spark, d, "truth"), ["grp"])
+    return a.select("grp", "n_gt", "matched", "n_scored", R6("ceiling").alias("ceiling"), R6("ap").alias("ap"))
+
+
 def pr_curve(spark, d):
     """W-7: running precision and recall."""
     c = X.curve(view(spark, d, "scored"), view(spark, d, "truth"), ["grp"])
@@ -182,9 +188,12 @@ def spread(spark, d):
 CELLS = """docs AS (SELECT d.doc_id, lang, toxic, CAST(len([e FOR e IN [500, 1000, 2000, 4000] IF e <= n_chars]) AS int) AS band FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
   wanted AS (SELECT lang, band, count(*) AS n_wanted FROM docs WHERE toxic = 1 GROUP BY ALL)"""
 HASH = "md5(concat_ws('|', '{seed}', CAST(doc_id AS varchar)))"
+AP = f"""{D}, {RANKED}, r AS (SELECT grp, CAST(sum(hit) AS bigint) AS matched, count(*) AS n_scored, sum(CASE WHEN hit = 1 THEN tp / rank END) AS gain FROM ranked GROUP BY grp), t AS (SELECT grp, count(*) AS n_gt FROM truth GROUP BY grp)
+      SELECT coalesce(t.grp, r.grp) AS grp, coalesce(n_gt, 0) AS n_gt, coalesce(matched, 0) AS matched, coalesce(n_scored, 0) AS n_scored, round(coalesce(matched, 0) / nullif(n_gt, 0), 6) AS ceiling, round(coalesce(gain, 0) / nullif(n_gt, 0), 6) AS ap FROM t FULL JOIN r ON t.grp = r.grp"""
+
 QUERIES = {
-    "ap_by_group": (ap_by_group, f"""{D}, {RANKED}, r AS (SELECT grp, CAST(sum(hit) AS bigint) AS matched, count(*) AS n_scored, sum(CASE WHEN hit = 1 THEN tp / rank END) AS gain FROM ranked GROUP BY grp), t AS (SELECT grp, count(*) AS n_gt FROM truth GROUP BY grp)
-      SELECT coalesce(t.grp, r.grp) AS grp, coalesce(n_gt, 0) AS n_gt, coalesce(matched, 0) AS matched, coalesce(n_scored, 0) AS n_scored, round(coalesce(matched, 0) / nullif(n_gt, 0), 6) AS ceiling, round(coalesce(gain, 0) / nullif(n_gt, 0), 6) AS ap FROM t FULL JOIN r ON t.grp = r.grp"""),
+    "ap_by_group": (ap_by_group, AP),
+    "merged_ap": (merged_ap, AP),
     "pr_curve": (pr_curve, f"""{D}, {RANKED}, t AS (SELECT grp, count(*) AS n_gt FROM truth GROUP BY grp) SELECT grp, rank, CAST(tp AS bigint) AS tp, CAST(rank - tp AS bigint) AS fp, round(tp / rank, 6) AS precision, round(tp / n_gt, 6) AS recall FROM ranked JOIN t USING (grp)"""),
     "recall_at_score": (thresholds, f"""{D}, t AS (SELECT grp, count(*) AS n_gt FROM truth GROUP BY grp), s AS (SELECT grp, threshold, count(*) FILTER (score >= threshold) AS n_selected, count(*) FILTER (score >= threshold AND label = 'positive') AS tp
       FROM scored, (SELECT unnest([500, 1000, 2000, 4000]) AS threshold) WHERE label <> 'ignored' GROUP BY ALL) SELECT grp, threshold, n_selected, tp, n_gt, n_selected - tp AS fp, round(tp / n_gt, 6) AS recall, round(tp / greatest(n_selected, 1), 6) AS precision FROM s JOIN t USING (grp)"""),

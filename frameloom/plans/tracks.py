@@ -10,6 +10,8 @@ from frameloom.operators import joins as J
 from frameloom.operators import matching as M
 from frameloom.operators import sequence as Q
 from frameloom.plans.views import duck, view
+from frameloom.session import scratch
+from frameloom.streaming import epochs
 
 R6 = lambda c: F.round(c, 6)
 BY = ["video", "track_id"]
@@ -97,6 +99,18 @@ def early_stopping(spark, d):
     return e.select("video", "frame", R6("best").alias("best"), "epochs_since_best", "stopped")
 
 
+def epoch_stream(spark, d):
+    """SNK-10, W-11: the same as a log that a stream keeps, in micro-batches that are cut at frames 15 and 40 and by video."""
+    source, path = scratch(spark, "epochs-in"), scratch(spark, "epochs")
+    e = whole_video(spark, d).select("video", "frame", "cx")
+    for a, b in ((0, 15), (15, 40), (40, 1 << 62)):
+        e.where((F.col("frame") >= a) & (F.col("frame") < b)).repartition(2, "video").write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink = epochs.epoch_sink(path, "video", "frame", "cx", 5)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch(spark, "epochs-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return epochs.epoch_log(spark, path).select("video", "frame", R6("best").alias("best"), "epochs_since_best", "stopped")
+
+
 def cadence(spark, d):
     """W-12: gaps between consecutive times and slack against the former duration."""
     c = Q.cadence(whole_video(spark, d), ["video"], "ts", "w")
@@ -169,6 +183,10 @@ def association_sql() -> str:
 
 
 CEIL = "ln(0.9::DOUBLE) / ln(1 - 1 / greatest(2 * greatest({n}, 1), 1)::DOUBLE)"
+STOPS = f"""{T}, b AS (SELECT video, frame, cx, max(cx) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS best, max(cx) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM tracks),
+      s AS (SELECT *, frame - max(CASE WHEN prior IS NULL OR cx > prior THEN frame END) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS epochs_since_best FROM b)
+      SELECT video, frame, round(best, 6) AS best, epochs_since_best, bool_or(epochs_since_best >= 5) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS stopped FROM s"""
+
 QUERIES = {
     "gap_segments": (segments, f"{T}, {SEG} SELECT video, track_id, CAST(segment AS bigint) AS segment, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM seg GROUP BY ALL"),
     "anchored_runs": (anchored, anchored_sql()),
@@ -187,9 +205,8 @@ QUERIES = {
     "window_lists": (window_lists, f"{T} SELECT video, frame, array_to_string([frame + 2 * (i - 3) FOR i IN range(8)], ';') AS frames FROM tracks"),
     "valid_centres": (valid_centres, f"{T} SELECT video, decoded, count(*) AS valid_centres FROM (SELECT video, frame - 1 AS f, count(*) OVER (PARTITION BY video) AS decoded FROM tracks) WHERE f >= 5 AND f <= decoded - 5 GROUP BY ALL"),
     "sustained_low": (sustained, f"""{T} SELECT video, min(CASE WHEN low = 3 THEN start END) AS first_frame FROM (SELECT video, count(*) FILTER (cx < 20) OVER w AS low, min(frame) OVER w AS start FROM tracks WINDOW w AS (PARTITION BY video ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) GROUP BY video"""),
-    "early_stopping": (early_stopping, f"""{T}, b AS (SELECT video, frame, cx, max(cx) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS best, max(cx) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM tracks),
-      s AS (SELECT *, frame - max(CASE WHEN prior IS NULL OR cx > prior THEN frame END) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS epochs_since_best FROM b)
-      SELECT video, frame, round(best, 6) AS best, epochs_since_best, bool_or(epochs_since_best >= 5) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS stopped FROM s"""),
+    "early_stopping": (early_stopping, STOPS),
+    "epoch_stream": (epoch_stream, STOPS),
     "cadence": (cadence, f"""{T}, g AS (SELECT video, frame, (epoch_us(ts) - lag(epoch_us(ts)) OVER v) / 1e6 AS gap_s, lag(w) OVER v AS before FROM tracks WINDOW v AS (PARTITION BY video ORDER BY ts)) SELECT video, frame, round(gap_s, 6) AS gap_s, round(gap_s - before, 6) AS slack_s FROM g WHERE gap_s IS NOT NULL"""),
     "whole_tracks": (whole_tracks, f"{T} SELECT video, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM tracks GROUP BY video HAVING max(frame) - min(frame) = count(*) - 1 AND count(*) >= 60"),
     "ceiling_comparison": (ceilings, f"""{T}, {pairwise_cte('video, track_id', 'tracks')}, c AS (SELECT *, run_start >= 5 AS kept, run_frames <= {CEIL.format(n='run_start')} AS hit FROM pairwise)

@@ -38,20 +38,36 @@ def partition_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("video").alias("video"), F.lower(F.trim("split")).alias("split"))
 
 
-def label_frames(spark: SparkSession, path: str, fields: int = 5) -> DataFrame:
-    """(video, frame, n, values) of label files with lines `frame n (x y w h class)*n`.
+# Names of the two kinds of label lines.
+MULTIBOX, ONE_BOX = "multibox_per_line", "one_box_per_line"
 
-    A line of the wrong length is an error that names its file and text. Frames without boxes are kept;
-    of a frame that is written twice the last line counts.
+
+def label_frames(spark: SparkSession, path: str, fields: int = 5, fmt: str = MULTIBOX) -> DataFrame:
+    """(video, frame, n, values) of label files, with lines `frame n (x y w h class)*n` or `frame x y w h [class ...]`.
+
+    Numbers may be written as decimals; frames and counts are cut off to whole ones. A line of the wrong length or
+    without its numbers is an error that names its file and text. With several boxes a line, frames without boxes
+    are kept and of a frame that is written twice the last line counts; with one box a line, a frame has as many
+    boxes as lines, in their order, and a class or null.
     """
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value").where(F.length(F.trim("value")) > 0)
-    n = F.get("t", F.lit(1)).cast("int")
-    ok = F.coalesce(F.size("t") == 2 + fields * n, F.lit(False))
-    bad = F.raise_error(F.concat(F.lit("wrong number of fields in "), F.col("file"), F.lit(": "), F.col("value"))).cast("int")
-    out = rows.select(file_stem(F.col("file")).alias("video"), F.get("t", F.lit(0)).cast("long").alias("frame"), F.when(ok, n).otherwise(bad).alias("n"), "t", "line")
-    last = Window.partitionBy("video", "frame").orderBy(F.desc("line"))
-    out = out.withColumn("_rank", F.row_number().over(last)).where("_rank = 1")
-    return out.select("video", "frame", "n", F.slice("t", 3, F.size("t")).alias("values"))
+    if fmt not in (MULTIBOX, ONE_BOX):
+        raise ValueError(f"unknown label format {fmt}")
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(F.length("value") > 0)
+    rows = lines.withColumn("t", F.split("value", r"\s+"))
+    number = lambda i: F.get("t", F.lit(i)).try_cast("double").try_cast("long")
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what} in "), "file", F.lit(": "), "value"))
+    frame = F.coalesce(number(0), wrong("no frame number").cast("long"))
+    if fmt == MULTIBOX:
+        n = number(1)
+        ok = F.coalesce(F.size("t") == 2 + fields * n, F.lit(False))
+        out = rows.select(file_stem(F.col("file")).alias("video"), frame.alias("frame"), F.when(ok, n).otherwise(wrong("wrong number of fields").cast("long")).cast("int").alias("n"), "t", "line")
+        last = Window.partitionBy("video", "frame").orderBy(F.desc("line"))
+        out = out.withColumn("_rank", F.row_number().over(last)).where("_rank = 1")
+        return out.select("video", "frame", "n", F.slice("t", 3, F.size("t")).alias("values"))
+    box = F.when(F.size("t") >= fields, F.array(*(F.get("t", F.lit(i)) for i in range(1, fields + 1)))).otherwise(wrong("too few fields").cast("array<string>"))
+    out = rows.select(file_stem(F.col("file")).alias("video"), frame.alias("frame"), F.struct("line", box.alias("box")).alias("b")).groupBy("video", "frame")
+    boxes = F.array_sort(F.collect_list("b"))  # one frame's
+    return out.agg(F.count("*").cast("int").alias("n"), F.flatten(F.transform(boxes, lambda b: b["box"])).alias("values"))
 
 
 def boxes_of(frames: DataFrame, fields: int = 5) -> DataFrame:
