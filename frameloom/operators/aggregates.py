@@ -157,11 +157,18 @@ def two_denominators(df: DataFrame, kept: Column, hit: Column, by: Sequence[str]
 
 
 def concentration(df: DataFrame, group: Sequence[str], member: str, tops: Sequence[int] = (2, 5)) -> DataFrame:
-    """Per group: rows, members, and the shares of its largest members."""
+    """Per group: rows, members, and the shares of its largest members.
+
+    Members are ranked only as far as the largest of `tops`, which each task does before it sends its rows on.
+    """
     counts = df.groupBy(*group, member).agg(F.count("*").alias("n"))
+    whole = counts.groupBy(*group).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_members"))
     order = Window.partitionBy(*group).orderBy(F.desc("n"), member)
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked.groupBy(*group).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_members"), *((F.sum(F.when(F.col("rank") <= t, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"top{t}_share") for t in tops))
+    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(tops))
+    first = ranked.groupBy(*group).agg(*(F.sum(F.when(F.col("rank") <= t, F.col("n")).otherwise(0)).alias(f"top{t}") for t in tops))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    both = whole.alias("a").join(first.alias("b"), same)
+    return both.select(*(F.col(f"a.{g}").alias(g) for g in group), "n_rows", "n_members", *((F.col(f"top{t}") / F.col("n_rows")).alias(f"top{t}_share") for t in tops))
 
 
 def over_limit(df: DataFrame, limits: DataFrame, on: Sequence[str], area: str, limit: str, coverages: Sequence[float], coverage: str, by: Sequence[str] = ()) -> DataFrame:

@@ -14,25 +14,26 @@ from frameloom.functions.columns import overlap_1d
 TRACKED = ["video", "frame", "idx", "cx", "cy", "track_id", "ratio"]
 
 
-def coverages(blobs: DataFrame, gts: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """(by, blob, gt, coverage, blob_area): share of each annotated box that each detection of its frame covers.
+def coverages(blobs: DataFrame, gts: DataFrame, by: tuple[str, ...] = ("frame",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by, blob, gt, coverage, blob_area, keep): share of each annotated box that each detection of its frame covers.
 
-    An equi-join on the frame; the overlap is arithmetic. A box without area has coverage 0.
+    An equi-join on the frame; the overlap is arithmetic. A box without area has coverage 0. keep are columns of
+    the annotated boxes that go along, so that nothing has to be joined back.
     """
     a = blobs.select(*by, F.col("idx").alias("blob"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"))
-    b = gts.select(*by, F.col("idx").alias("gt"), "x", "y", "w", "h")
+    b = gts.select(*by, F.col("idx").alias("gt"), "x", "y", "w", "h", *keep)
     c = lambda name: F.col(name)
     both = overlap_1d(c("bx"), c("bx") + c("bw"), c("x"), c("x") + c("w")) * overlap_1d(c("by"), c("by") + c("bh"), c("y"), c("y") + c("h"))
     area = c("w") * c("h")
     share = F.when(area > 0, both / area).otherwise(F.lit(0.0))
-    return a.join(b, list(by)).select(*by, "blob", "gt", share.alias("coverage"), (c("bw") * c("bh")).alias("blob_area"))
+    return a.join(b, list(by)).select(*by, "blob", "gt", share.alias("coverage"), (c("bw") * c("bh")).alias("blob_area"), *keep)
 
 
-def best_per_gt(pairs: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """The best detection of each annotated box: highest coverage, then the first detection."""
+def best_per_gt(pairs: DataFrame, by: tuple[str, ...] = ("frame",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The best detection of each annotated box, with its kept columns: highest coverage, then the first detection."""
     best = F.min(F.struct((-F.col("coverage")).alias("order"), "blob", "blob_area"))
-    out = pairs.groupBy(*by, "gt").agg(best.alias("best"), F.count("*").alias("n_blobs"))
-    return out.select(*by, "gt", F.col("best.blob").alias("blob"), (-F.col("best.order")).alias("coverage"), F.col("best.blob_area").alias("blob_area"), "n_blobs")
+    out = pairs.groupBy(*by, "gt").agg(best.alias("best"), F.count("*").alias("n_blobs"), *(F.first(c).alias(c) for c in keep))
+    return out.select(*by, "gt", F.col("best.blob").alias("blob"), (-F.col("best.order")).alias("coverage"), F.col("best.blob_area").alias("blob_area"), "n_blobs", *keep)
 
 
 def greedy(pairs: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ("frame",)) -> DataFrame:

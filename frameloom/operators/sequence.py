@@ -31,17 +31,17 @@ def steps(df: DataFrame, by: list[str], frame: str = "frame", fps: float = 25.0)
 
 
 def window_drift(df: DataFrame, by: list[str], lengths: list[int], frame: str = "frame") -> DataFrame:
-    """Per track and window length: largest distance between the ends of an unbroken window, also over the first box's side."""
+    """Per track and window length: largest distance between the ends of an unbroken window, also over the first box's side.
+
+    All lengths look ahead from each frame in one pass over one order.
+    """
     order = _order(by, frame)
-    first = F.sqrt(F.first("w").over(order) * F.first("h").over(order))
-    out = None
-    for n in lengths:
-        ahead = lambda c: F.lead(c, n - 1).over(order)  # noqa: E731, B023
-        whole = ahead(frame) - F.col(frame) == n - 1
-        rows = df.withColumns({"far": F.when(whole, F.hypot(ahead("cx") - F.col("cx"), ahead("cy") - F.col("cy"))), "side": first})
-        part = rows.groupBy(*by).agg(F.max("far").alias("drift"), (F.max("far") / F.max("side")).alias("over_size")).withColumn("length", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ahead = lambda c, n: F.lead(c, n - 1).over(order)
+    far = {n: F.when(ahead(frame, n) - F.col(frame) == n - 1, F.hypot(ahead("cx", n) - F.col("cx"), ahead("cy", n) - F.col("cy"))) for n in lengths}
+    rows = df.select(*by, F.sqrt(F.first("w").over(order) * F.first("h").over(order)).alias("side"), *(c.alias(f"far_{n}") for n, c in far.items()))
+    each = rows.groupBy(*by).agg(F.max("side").alias("side"), *(F.max(f"far_{n}").alias(f"far_{n}") for n in lengths))
+    drift = F.explode(F.array(*(F.struct(F.lit(n).alias("length"), F.col(f"far_{n}").alias("drift")) for n in lengths))).alias("d")
+    return each.select(*by, "side", drift).select(*by, F.col("d.drift").alias("drift"), (F.col("d.drift") / F.col("side")).alias("over_size"), F.col("d.length").alias("length"))
 
 
 def pairwise_runs(df: DataFrame, by: list[str], frame: str = "frame") -> DataFrame:

@@ -43,15 +43,23 @@ def pairs(spark, d):
     return M.coverages(view(spark, d, "blobs"), view(spark, d, "gts"))
 
 
-def labels(spark, d):
-    p = staged(pairs(spark, d), "pairs")  # read by the assignment and by the labels
-    return M.labelled(view(spark, d, "blobs"), p, M.greedy(p))
+def boxes_once(spark, d):
+    """All boxes, then detections, then annotated boxes: derived once and written, since the steps of a query read them several times."""
+    boxes = staged(view(spark, d, "boxes"), "boxes")
+    return boxes, boxes.where("kind = 'blob'"), boxes.where("kind = 'gt'")
 
 
-def matched(spark, d):
+def labels(blobs, gts):
+    p = staged(M.coverages(blobs, gts), "pairs")  # read by the assignment and by the labels
+    return M.labelled(blobs, p, M.greedy(p))
+
+
+PROPERTIES = ("scene", "resolution", "video", "split")
+
+
+def matched(blobs, gts):
     """The best detection of each annotated box with its frame's properties."""
-    frames = view(spark, d, "gts").select("frame", F.col("idx").alias("gt"), "scene", "resolution", "video", "split")
-    return M.best_per_gt(pairs(spark, d)).join(frames, ["frame", "gt"])
+    return M.best_per_gt(M.coverages(blobs, gts, keep=PROPERTIES), keep=PROPERTIES)
 
 
 MATCHED = "matched AS (SELECT b.*, g.scene, g.resolution, g.video, g.split FROM best b JOIN gts g ON g.frame = b.frame AND g.idx = b.gt)"
@@ -91,7 +99,8 @@ def area_band(spark, d):
 
 def found_at(spark, d):
     """FLT-4: annotated boxes found at a least share of the frame and a least coverage."""
-    m = matched(spark, d).where((F.col("coverage") >= 0.3) & (F.col("blob_area") >= 0.05 * C.frame_area(F.col("resolution"))))
+    _, blobs, gts = boxes_once(spark, d)
+    m = matched(blobs, gts).where((F.col("coverage") >= 0.3) & (F.col("blob_area") >= 0.05 * C.frame_area(F.col("resolution"))))
     return m.select("frame", "gt", "blob", R12("coverage").alias("coverage"))
 
 
@@ -113,22 +122,25 @@ def greedy(spark, d):
 def three_way(spark, d):
     """J-8, PRJ-10: labels with the key of the annotated object."""
     key = C.track_key(F.concat(F.lit("v"), (F.col("frame") % 30).cast("string")), F.col("frame"), F.col("gt"), F.col("label"))
-    return labels(spark, d).select("frame", "blob", "label", "gt", R12("best").alias("best"), key.alias("track_key"))
+    _, blobs, gts = boxes_once(spark, d)
+    return labels(blobs, gts).select("frame", "blob", "label", "gt", R12("best").alias("best"), key.alias("track_key"))
 
 
 def label_counts(spark, d):
     """A-1, A-28: label counts per split and recall over all annotated boxes."""
-    frames = view(spark, d, "boxes").select("frame", "split").distinct()
-    gt = view(spark, d, "gts").groupBy("split").agg(F.count("*").alias("n_gt"))
-    rows = labels(spark, d).join(frames, "frame").groupBy("split").agg(*(F.count_if(F.col("label") == x).alias(x) for x in ("positive", "negative", "ignored")))
+    boxes, blobs, gts = boxes_once(spark, d)
+    frames = boxes.select("frame", "split").distinct()
+    gt = gts.groupBy("split").agg(F.count("*").alias("n_gt"))
+    rows = labels(blobs, gts).join(frames, "frame").groupBy("split").agg(*(F.count_if(F.col("label") == x).alias(x) for x in ("positive", "negative", "ignored")))
     return A.rolled_up(rows.join(gt, "split"), ["split"], ["positive", "negative", "ignored", "n_gt"], "positive", "n_gt")
 
 
 def single_positive(spark, d):
     """G-6: annotated boxes with more than one positive, before the assignment (some) and after it (none)."""
-    p = staged(pairs(spark, d), "pairs")
+    _, blobs, gts = boxes_once(spark, d)
+    p = staged(M.coverages(blobs, gts), "pairs")
     before = p.where("coverage >= 0.3").select("frame", "gt", F.lit("positive").alias("label"))
-    after = M.labelled(view(spark, d, "blobs"), p, M.greedy(p))
+    after = M.labelled(blobs, p, M.greedy(p))
     found = lambda df, step: X.single_positive(df, ["frame", "gt"]).withColumn("step", F.lit(step))
     return found(before, "before").unionByName(found(after, "after"))
 
@@ -144,7 +156,7 @@ def nway(spark, d):
 
 def overlap(spark, d):
     """A-13: three-set overlap of methods, per scene."""
-    p = pairs(spark, d).join(view(spark, d, "gts").select("frame", F.col("idx").alias("gt"), "scene"), ["frame", "gt"])
+    p = M.coverages(view(spark, d, "blobs"), view(spark, d, "gts"), keep=("scene",))
     hit = lambda cond: F.max((F.expr(cond) & (F.col("coverage") >= 0.3)).cast("int")) == 1
     rows = p.groupBy("frame", "gt", "scene").agg(hit("blob % 4 = 0").alias("a"), hit("blob % 4 = 2").alias("b"), hit("blob > 4").alias("c"))
     return A.overlap(rows, ["a", "b", "c"], ["scene"])
@@ -162,9 +174,9 @@ HIST = f"""hist AS (SELECT video, bin, exp(ln(largest) * bin / 40) AS bin_lo, ex
 FRAMES = "frames AS (SELECT video, count(DISTINCT frame) AS n_frames FROM boxes GROUP BY ALL)"
 
 
-def per_frame(spark, d, thresholds=(500.0, 900.0, 1200.0, 1600.0)):
-    h = A.area_histogram(view(spark, d, "blobs"), ["video"], F.col("w") * F.col("h"), C.frame_area(F.col("resolution")), 40)
-    frames = view(spark, d, "boxes").groupBy("video").agg(F.count_distinct("frame").alias("n_frames"))
+def per_frame(boxes, blobs, thresholds=(500.0, 900.0, 1200.0, 1600.0)):
+    h = A.area_histogram(blobs, ["video"], F.col("w") * F.col("h"), C.frame_area(F.col("resolution")), 40)
+    frames = boxes.groupBy("video").agg(F.count_distinct("frame").alias("n_frames"))
     return A.blobs_per_frame(h, frames, thresholds)
 
 
@@ -174,38 +186,44 @@ PER_FRAME = f"""{HIST}, {FRAMES}, per_frame AS (SELECT threshold, CAST(sum(CASE
 
 def suffix_curve(spark, d):
     """A-10: detections per frame above each area, from the histogram."""
-    return per_frame(spark, d).select("threshold", "n_blobs", "n_frames", R6("blobs_per_frame").alias("blobs_per_frame"))
+    boxes, blobs, _ = boxes_once(spark, d)
+    return per_frame(boxes, blobs).select("threshold", "n_blobs", "n_frames", R6("blobs_per_frame").alias("blobs_per_frame"))
 
 
 def recall_grid(spark, d):
     """A-11: recall over least area and coverage, per scene."""
-    g = A.recall_grid(matched(spark, d), [500, 900, 1200, 1600], [0.3, 0.5, 0.7], ["scene"])
+    _, blobs, gts = boxes_once(spark, d)
+    g = A.recall_grid(matched(blobs, gts), [500, 900, 1200, 1600], [0.3, 0.5, 0.7], ["scene"])
     return g.select("scene", "min_area", "min_coverage", "n_gt", "found", R6("recall").alias("recall"))
 
 
 def operating_curve(spark, d):
     """A-12: recall against cost per threshold."""
-    c = A.operating_curve(per_frame(spark, d), A.recall_grid(matched(spark, d), [500, 900, 1200, 1600], [0.5]), 0.17)
+    boxes, blobs, gts = boxes_once(spark, d)
+    c = A.operating_curve(per_frame(boxes, blobs), A.recall_grid(matched(blobs, gts), [500, 900, 1200, 1600], [0.5]), 0.17)
     return c.select("threshold", "min_coverage", R6("blobs_per_frame").alias("blobs_per_frame"), R6("recall").alias("recall"), R6("hours").alias("hours"))
 
 
 def upper_limit(spark, d):
     """A-31: what a per-resolution area limit costs, per scene and coverage."""
     limits = spark.createDataFrame([("160x120", 1400.0), ("320x240", 1800.0)], "resolution string, max_area double")
-    return A.over_limit(matched(spark, d), limits, ["resolution"], "blob_area", "max_area", [0.3, 0.5], "coverage", ["scene"])
+    _, blobs, gts = boxes_once(spark, d)
+    return A.over_limit(matched(blobs, gts), limits, ["resolution"], "blob_area", "max_area", [0.3, 0.5], "coverage", ["scene"])
 
 
 def anchors(spark, d):
     """A-32: area anchors from coverage and detection rate."""
-    m = matched(spark, d).withColumn("area_frac", F.col("blob_area") / C.frame_area(F.col("resolution")))
-    a = A.anchor(per_frame(spark, d), m, 1.05, 0.5)
+    boxes, blobs, gts = boxes_once(spark, d)
+    m = matched(blobs, gts).withColumn("area_frac", F.col("blob_area") / C.frame_area(F.col("resolution")))
+    a = A.anchor(per_frame(boxes, blobs), m, 1.05, 0.5)
     return a.select(R6("lower").alias("lower"), "upper", R6("middle").alias("middle"), "overlap")
 
 
 def storage(spark, d):
     """A-35: proposals, bytes and hours per split and threshold."""
-    splits = view(spark, d, "boxes").groupBy("split").agg(F.count_distinct("frame").alias("split_frames"))
-    s = A.storage(per_frame(spark, d), splits, 8 * 112 * 112 * 3, 0.17)
+    boxes, blobs, _ = boxes_once(spark, d)
+    splits = boxes.groupBy("split").agg(F.count_distinct("frame").alias("split_frames"))
+    s = A.storage(per_frame(boxes, blobs), splits, 8 * 112 * 112 * 3, 0.17)
     return s.select("split", "threshold", *(F.round(c, 4).alias(c) for c in ("n_proposals", "bytes", "hours")))
 
 
@@ -233,8 +251,9 @@ def size_bands(spark, d):
     """B-1, B-2, A-22: recall by deciles of box area."""
     from frameloom.operators.metrics import recall_by_band
 
-    gt = view(spark, d, "gts").withColumn("area", (F.col("w") * F.col("h")).cast("double"))
-    got = labels(spark, d).where("label = 'positive'").select("frame", F.col("gt").alias("idx"), "label").join(gt, ["frame", "idx"])
+    _, blobs, gts = boxes_once(spark, d)
+    gt = gts.withColumn("area", (F.col("w") * F.col("h")).cast("double"))
+    got = labels(blobs, gts).where("label = 'positive'").select("frame", F.col("gt").alias("idx"), "label").join(gt, ["frame", "idx"])
     return recall_by_band(got, gt, "area", [600.0, 900.0, 1200.0, 1800.0, 5000.0]).select("band", "n_gt", "matched", R6("recall").alias("recall"))
 
 
