@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 VIOLATIONS = "check_name string, measured double, expected double, diff double, severity string"
 
 
-class TestSetAccess(PermissionError):
-    """The test partition was asked for without saying so."""
+#: Partitions that nobody reads without saying so.
+HELD_OUT = frozenset({"test"})
 
-    __test__ = False
+
+class HeldOut(PermissionError):
+    """Held-out partitions were asked for without saying so."""
 
 
 class Violations(ValueError):
     """An output was refused because checks failed."""
 
 
-def split_rows(df: DataFrame, partitions: Sequence[str], allow_test: bool = False, column: str = "split", test: str = "test") -> DataFrame:
-    """Rows of the named partitions. The test partition needs allow_test; an empty partition is an error."""
-    wanted = [p.strip().lower() for p in partitions]
-    if test in wanted and not allow_test:
-        raise TestSetAccess(f"{test} needs allow_test")
-    out = df.where(F.lower(F.trim(column)).isin(*wanted))
-    found = {r[0] for r in out.select(F.lower(F.trim(column))).distinct().collect()}  # a handful of names
-    if lost := [p for p in wanted if p not in found]:
-        raise ValueError(f"no rows in {lost}")
-    return out
+def split_rows(df: DataFrame, partitions: Sequence[str], allow_test: bool = False, column: str = "split", held_out: frozenset[str] = HELD_OUT) -> DataFrame:
+    """Rows of the named partitions, whatever the case and blanks of names on either side.
+
+    Those held out need allow_test, else nothing is read at all; a partition without rows is an error.
+    """
+    asked = frozenset(map(str.lower, map(str.strip, partitions)))
+    if shut := asked & held_out - (held_out if allow_test else frozenset()):
+        raise HeldOut(f"{', '.join(sorted(shut))}: held out, to be read only with allow_test")
+    name = F.lower(F.trim(column))
+    rows = df.where(name.isin(*asked))
+    there = rows.agg(F.collect_set(name)).first()[0]  # as many names as were asked for, at most
+    if lost := asked.difference(there):
+        raise ValueError(f"no rows in {sorted(lost)}")
+    return rows
 
 
 def require_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:

@@ -160,7 +160,7 @@ def test_draw(spark):
 
 def test_guard(spark, tmp_path):
     df = spark.createDataFrame([("train",), (" Test",)], "split string")
-    with pytest.raises(G.TestSetAccess):
+    with pytest.raises(G.HeldOut):
         G.split_rows(df, ["test"])
     assert G.split_rows(df, ["TEST "], allow_test=True).count() == 1
     with pytest.raises(ValueError):
