@@ -2,13 +2,13 @@
 
 Every run of k words of a text is hashed and joined to the places of the same run in the license
 templates; hits compare the words themselves besides their hashes. A hit at text word i and template word
-j votes for the diagonal i - j. A template that stands in the text unchanged collects all its votes on one
-diagonal; inserted or missing words move later votes to a neighbouring one, so votes are merged in bands of
-2 * `width` diagonals, of which each diagonal is in two: a place that drifts by up to `width` words lies
-whole in one of them. Each band with votes for enough different places of a template is verified in order:
-its share is that of the longest chain of hits whose places rise with the text's words and whose diagonals
-move by at most `slack` from hit to hit. A band holds at most 2 * width hits for each place, so no group
-grows with the corpus or with a text's length.
+j votes for the diagonal i - j, and votes are counted per text, template and diagonal. A template that stands
+in the text unchanged has all its votes on one diagonal: that finds the exact phrases. Inserted or missing
+words move later votes to another diagonal, so diagonals of a text and template that follow one another by at most `slack`
+are merged. Merged diagonals with votes for enough different places are verified: the span is the longest chain of hits
+whose places rise with the text's words and whose diagonals move by at most `slack` from hit to hit (of equally
+long ones the first), and it counts from a share `coverage` of the template's runs on. A span of one label that lies inside a
+span of another label with a higher share is that license's wording, not a license of its own, and goes.
 
 Texts are scanned once: the hits, and one row for each text, are written to the shared folder, and all
 counting is done on those. Templates are the fixed list of this module or a table (text, label, exact), for
@@ -23,7 +23,7 @@ named ones are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.frames import keyed_texts
@@ -32,8 +32,8 @@ from frameloom.session import staged
 K = 3
 #: A template counts as found from this share of its word runs on (phrases: all of them).
 COVERAGE = 0.6
-#: Diagonals that a place may move by from hit to hit, and in all.
-SLACK, WIDTH = 4, 16
+#: Words that may be inserted or missing between one hit and the next.
+SLACK = 20
 #: Template runs that are broadcast at once.
 BLOCK_RUNS = 100_000
 
@@ -121,38 +121,65 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     return found
 
 
-def in_order(hits: Column, n_runs: Column, slack: int) -> Column:
-    """Length of the longest chain of hits (i, place) in the text's order."""
-    turned = F.transform(hits, lambda h: F.struct(h["i"].cast("long").alias("i"), (-h["place"]).cast("long").alias("back")))
-    start = F.struct(F.lit(0).cast("long").alias("best"), F.array().cast("array<struct<i:bigint,back:bigint,n:bigint>>").alias("recent"))
+def once(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def longest_chain(hits: Column, n_runs: Column, slack: int) -> Column:
+    """(n, first, last): the longest chain of hits (i, place) in the text's order, and the text words of its ends."""
+    chain = "struct<i:bigint,back:bigint,n:bigint,first:bigint>"
+    turned = F.array_sort(F.transform(hits, lambda h: F.struct(h["i"].cast("long").alias("i"), (-h["place"]).cast("long").alias("back"))))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.struct(none.alias("n"), none.alias("first"), none.alias("last")).alias("best"), F.array().cast(f"array<{chain}>").alias("recent"))
 
     def step(a: Column, h: Column) -> Column:
         before = F.filter(a["recent"], lambda r: (r["i"] < h["i"]) & (r["back"] > h["back"]) & (F.abs(h["i"] + h["back"] - r["i"] - r["back"]) <= slack))
-        n = F.coalesce(F.array_max(F.transform(before, lambda r: r["n"])), F.lit(0).cast("long")) + 1
+        most = F.array_max(F.transform(before, lambda r: F.struct(r["n"].alias("n"), (-r["first"]).alias("later"))))
+        end = once(most, lambda m: F.struct((F.coalesce(m["n"], none) + 1).alias("n"), F.coalesce(-m["later"], h["i"]).alias("first")))
         # a hit further back than the template's length and the slack cannot be the one before
         recent = F.filter(a["recent"], lambda r: h["i"] - r["i"] <= n_runs + slack)
-        return F.struct(F.greatest(a["best"], n).alias("best"), F.concat(recent, F.array(F.struct(h["i"].alias("i"), h["back"].alias("back"), n.alias("n")))).alias("recent"))
+        better = lambda e: (e["n"] > a["best"]["n"]) | ((e["n"] == a["best"]["n"]) & (e["first"] < a["best"]["first"]))
+        best = lambda e: F.when(better(e), F.struct(e["n"].alias("n"), e["first"].alias("first"), h["i"].alias("last"))).otherwise(a["best"])
+        here = lambda e: F.struct(h["i"].alias("i"), h["back"].alias("back"), e["n"].alias("n"), e["first"].alias("first"))
+        return once(end, lambda e: F.struct(best(e).alias("best"), F.concat(recent, F.array(here(e))).alias("recent")))
+
+    return F.aggregate(turned, start, step, lambda a: a["best"])
+
 
-    return F.aggregate(F.array_sort(turned), start, step, lambda a: a["best"])
+#: What tells the rows of one text and template.
+OF_TEMPLATE = ("doc_id", "version", "template", "label", "exact", "n_runs")
 
 
-def found(scanned: DataFrame, slack: int = SLACK, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, version, template, label, exact, start, share): places of templates in a table of hits.
+def diagonals(scanned: DataFrame) -> DataFrame:
+    """(OF_TEMPLATE, diagonal, hits, n_votes): the votes of each diagonal, one for each place, however often a row is repeated."""
+    votes = scanned.where("template IS NOT NULL").withColumn("diagonal", (F.col("i") - F.col("place")).cast("long"))
+    dealt = votes.repartition("doc_id", "version", "template")  # for this and the steps after it
+    return dealt.groupBy(*OF_TEMPLATE, "diagonal").agg(F.collect_set(F.struct("i", "place")).alias("hits")).withColumn("n_votes", F.size("hits"))
 
-    Exact templates give one row per diagonal that has every vote; others one per verified band with at
-    least the share `coverage` of the template in order, starting at its first diagonal.
+
+def found(scanned: DataFrame, slack: int = SLACK, coverage: float = COVERAGE, k: int = K) -> DataFrame:
+    """(doc_id, version, template, label, exact, start, stop, share): places of templates in a table of hits, the end exclusive.
+
+    Exact templates give one row per diagonal that has every vote; others one per merged diagonals whose
+    verified span has at least the share `coverage` of the template and is no part of another license.
     """
-    votes = scanned.where("template IS NOT NULL").withColumn("diagonal", F.col("i") - F.col("place"))
-    low = F.floor(F.col("diagonal") / width)
-    bands = F.when(F.col("exact"), F.array(F.col("diagonal").cast("long"))).otherwise(F.array(low - 1, low))
-    merged = votes.withColumn("band", F.explode(bands)).groupBy("doc_id", "version", "template", "label", "exact", "n_runs", "band").agg(
-        F.min("diagonal").alias("start"), F.collect_set(F.struct("i", "place")).alias("hits")
-    )
+    votes = diagonals(scanned)
+    whole = votes.where(F.col("exact") & (F.col("n_votes") == F.col("n_runs")))
+    phrases = whole.select("doc_id", "version", "template", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_runs") + k - 1).alias("stop"), F.lit(1.0).alias("share"))
+    order = Window.partitionBy("doc_id", "version", "template").orderBy("diagonal")
+    gap = F.col("diagonal") - F.lag("diagonal").over(order) > slack
+    near = votes.where(~F.col("exact")).withColumn("new", F.coalesce(gap.cast("int"), F.lit(0)))
+    merged = near.withColumn("cluster", F.sum("new").over(order)).groupBy(*OF_TEMPLATE, "cluster").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     n_places = F.size(F.array_distinct(F.transform("hits", lambda h: h["place"])))
-    needed = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(coverage))
-    checked = F.when(F.col("exact"), n_places).otherwise(in_order(F.col("hits"), F.col("n_runs"), slack))
-    share = F.when(n_places / F.col("n_runs") >= needed, checked / F.col("n_runs"))
-    return merged.withColumn("share", share).where(F.col("share") >= needed).select("doc_id", "version", "template", "label", "exact", "start", "share")
+    chain = F.when(n_places >= coverage * F.col("n_runs"), longest_chain(F.col("hits"), F.col("n_runs"), slack))
+    spans = merged.withColumn("chain", chain).withColumn("share", F.col("chain.n") / F.col("n_runs")).where(F.col("share") >= coverage)
+    spans = spans.select("doc_id", "version", "template", "label", "exact", F.col("chain.first").alias("start"), (F.col("chain.last") + k).alias("stop"), "share")
+    # the spans of one text, which are further apart than the slack if they are of one template
+    together = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("template", "label", "exact", "start", "stop", "share")).alias("s"))
+    part_of = lambda a, b: (a["label"] != b["label"]) & (a["share"] < b["share"]) & (a["start"] >= b["start"]) & (a["stop"] <= b["stop"])
+    kept = together.select("doc_id", "version", F.inline(F.filter("s", lambda a: ~F.exists("s", lambda b: part_of(a, b)))))
+    return phrases.unionByName(kept)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, k: int = K, block_runs: int = BLOCK_RUNS, **how) -> DataFrame:
@@ -163,7 +190,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = hits(docs, id_col, text_col, templates, k, block_runs)
     exact = F.col("exact")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    per_doc = found(scanned, **how).groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(
+    per_doc = found(scanned, k=k, **how).groupBy(F.col("doc_id").alias("of_doc"), F.col("version").alias("of_version")).agg(
         F.count_if(exact).alias("n_base"),
         F.min(F.when(exact, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(exact, F.col("start"))).cast("long").alias("last_word"),

@@ -71,19 +71,25 @@ WITH RECURSIVE split AS (
   SELECT doc_id, template, label, exact, n_runs, i, place FROM words JOIN runs ON w0 = t0 AND w1 = t1 AND w2 = t2
 ), phrases AS (
   SELECT doc_id, label, i - place AS start FROM hits WHERE exact GROUP BY doc_id, template, label, n_runs, i - place HAVING count(*) = n_runs
-), banded AS (
-  SELECT doc_id, template, label, n_runs, i, place, unnest([floor((i - place) / {license_scan.WIDTH}.0) - 1, floor((i - place) / {license_scan.WIDTH}.0)]) AS band FROM hits WHERE NOT exact
+), marked AS (
+  SELECT *, CASE WHEN i - place - lag(i - place) OVER (PARTITION BY doc_id, template ORDER BY i - place) > {license_scan.SLACK} THEN 1 ELSE 0 END AS new FROM hits WHERE NOT exact
+), merged AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY i - place) AS cluster FROM marked
 ), candidates AS (
-  SELECT doc_id, template, label, n_runs, i, place, band FROM banded
-  WHERE (doc_id, template, band) IN (SELECT (doc_id, template, band) FROM banded GROUP BY doc_id, template, band, n_runs HAVING count(DISTINCT place) >= {license_scan.COVERAGE} * n_runs)
-), chains(doc_id, template, label, n_runs, band, i, place, n) AS (
-  SELECT doc_id, template, label, n_runs, band, i, place, 1 FROM candidates
+  SELECT doc_id, template, label, n_runs, cluster, i, place FROM merged
+  WHERE (doc_id, template, cluster) IN (SELECT (doc_id, template, cluster) FROM merged GROUP BY doc_id, template, cluster, n_runs HAVING count(DISTINCT place) >= {license_scan.COVERAGE} * n_runs)
+), chains(doc_id, template, label, n_runs, cluster, i, place, n, first) AS (
+  SELECT doc_id, template, label, n_runs, cluster, i, place, 1, i FROM candidates
   UNION
-  SELECT c.doc_id, c.template, c.label, c.n_runs, c.band, h.i, h.place, c.n + 1
-  FROM chains c JOIN candidates h ON h.doc_id = c.doc_id AND h.template = c.template AND h.band = c.band
+  SELECT c.doc_id, c.template, c.label, c.n_runs, c.cluster, h.i, h.place, c.n + 1, c.first
+  FROM chains c JOIN candidates h ON h.doc_id = c.doc_id AND h.template = c.template AND h.cluster = c.cluster
   WHERE h.i > c.i AND h.place > c.place AND abs((h.i - h.place) - (c.i - c.place)) <= {license_scan.SLACK}
+), spans AS (
+  SELECT doc_id, template, label, n::DOUBLE / n_runs AS share, first AS start, i + {license_scan.K} AS stop
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, template, cluster ORDER BY n DESC, first, i) AS r FROM chains) WHERE r = 1 AND n::DOUBLE / n_runs >= {license_scan.COVERAGE}
 ), notices AS (
-  SELECT doc_id, label, max(n)::DOUBLE / n_runs AS share FROM chains GROUP BY doc_id, template, label, n_runs, band HAVING max(n)::DOUBLE / n_runs >= {license_scan.COVERAGE}
+  SELECT doc_id, label, share FROM spans a WHERE NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND b.label <> a.label AND b.share > a.share AND a.start >= b.start AND a.stop <= b.stop)
 ), every AS (
   SELECT doc_id, label, start, true AS exact, 1.0::DOUBLE AS share FROM phrases
   UNION ALL SELECT doc_id, label, NULL, false, share FROM notices
