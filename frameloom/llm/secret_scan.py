@@ -3,21 +3,23 @@
 The lexer cuts source and configuration text into names, strings (with escapes, triple quotes, backticks),
 operators and newlines; the parser reads assignments from them: `name = x`, `name := x`, `name: x`,
 `"name": x`, `name => x`, `table["name"] = x`, `name: Type = x`, YAML block scalars and `<name>x</name>`.
-A value is a string or a bare word, or several joined by `+`, `.`, a line's end with a backslash, or
-nothing. A bare word (or a string of `$word` alone) that is itself an assigned name is a constant
+A value is a string or a bare word, several joined by `+`, `.`, a line's end with a backslash, or
+nothing, the strings of a list or of a call's arguments, or both branches of `condition ? x : y`. A bare word (or a string of `$word` alone) that is itself an assigned name is a constant
 reference: it stands for that name's latest assignment before it, or else for its first one after it.
 
 Sensitivity goes from names to what they are assigned: an assignment has the highest of its own name and of
-the names that reach it through references, however many steps away. A literal's score is that
-sensitivity times how random the literals of its assignment look together; from a threshold on its span is
-reported as kind `lexed`, besides the pattern spans, which are always reported. Names, literals and
-chains have no longest length, and the work grows with the text.
+the names that reach it through references, however many steps away. A name is as sensitive as its most sensitive
+part: a stem anywhere in it, a word of its own, or a qualifier with a later `key`; the tables are parameters. A
+literal's score is that sensitivity times how much the literals of its assignment tell together, in bits of their own
+letters' distribution, which never falls as they get longer; from a threshold on its span is reported as kind
+`lexed`, besides the pattern spans, which are always reported. So is the password of a URL with a login that is
+assigned to any name. Names, literals and chains have no longest length, and the work grows with the text.
 
 Spans are in code points, the end exclusive, without quotes. Each document is judged by itself, whole and
 in one pass of an Arrow batch, so nothing is shuffled and no key can be hot.
 
 Defined results: null and empty texts have no spans; overlapping spans of different kinds are all
-reported; equal rows get equal results; a called or indexed name is no literal. Columns other than the
+reported; equal rows get equal results; a called or indexed name is no literal; ids are cast to long. Columns other than the
 named two are not read.
 """
 
@@ -32,6 +34,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from frameloom.llm.frames import keyed_texts, over_batches
 
@@ -41,10 +44,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of hex digits is one match, so the length can stand in the pattern
 # Kinds in the order of a report.
 KINDS = ("assign", "access", "hex", "lexed")
-# Parts of names, and how sensitive they make a literal.
-SENSITIVE = {"passw": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "authkey": 0.9, "pwd": 0.8}
 
-STEMS = re.compile("|".join(SENSITIVE))
+
+class Names(NamedTuple):
+    """How sensitive names make literals: stems anywhere in their letters, whole words, and qualifiers of a later key."""
+
+    stems: dict[str, float]
+    words: dict[str, float]
+    qualifiers: dict[str, float]
+
+
+NAMES = Names(
+    {"passw": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "authkey": 0.9, "pwd": 0.8},
+    {"pass": 0.8, "passphrase": 1.0, "passcode": 0.9, "bearer": 0.9, "cred": 0.8, "creds": 0.8, "jwt": 0.8, "hmac": 0.8},
+    {"api": 1.0, "access": 1.0, "private": 1.0, "encrypt": 0.9, "encryption": 0.9, "decrypt": 0.9, "sign": 0.9, "signing": 0.9, "auth": 0.9, "client": 0.8, "master": 0.9, "shared": 0.8, "session": 0.8, "service": 0.8, "ssh": 0.9, "webhook": 0.8, "account": 0.8, "deploy": 0.8},
+)
+#: One of these stands in the letters of every sensitive name.
+TRACES = ("passw", "pass", "secret", "token", "key", "cred", "pwd", "bearer", "jwt", "hmac")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
 #: What may stand between the letters of a sensitive part of a name.
 SEPARATORS = b"0123456789_.-:"
 TOKEN = re.compile(
@@ -64,12 +82,16 @@ ANNOTATION = re.compile(rf"[\x20\t]*{_TYPE}(?:[\x20\t]*\|[\x20\t]*{_TYPE})*[\x20
 GAP = re.compile(r"[\x20\t]*(?:\\\r?\n[\x20\t]*)*")
 BLANKS = re.compile(r"\s*")
 JOINED = re.compile(r"""\s*(?:\+|\.{1,2})\s*(?=[rRbBuUfFL@]{0,2}["'`]|[A-Za-z_$])""")
+ELSE = re.compile(r"[\x20\t]*:(?![:=])[\x20\t]*")
 BLOCK = re.compile(r"[|>][+-]?\d?[\x20\t]*\r?\n")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>\s*+([^<>]*[^<>\s])\s*</\1\s*>", re.A)
 SPACES = re.compile(" *")
 ESCAPED = re.compile(r"\\(.)", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
+LOGIN = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@"']*:([^\s/@"']+)@""")
 LOW_RANDOMNESS = 0.5
+#: Eight different letters tell this much.
+FULL_BITS = 24
 THRESHOLD = 0.5
 
 
@@ -84,28 +106,65 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def sensitivity(name: str) -> float:
-    flat = re.sub(r"[^a-z]", "", name.lower())
-    return max((SENSITIVE[m] for m in STEMS.findall(flat)), default=0.0)
+def sensitivity(name: str, names: Names = NAMES) -> float:
+    low = name.lower()
+    flat = re.sub(r"[^a-z]", "", low)
+    best = max((weight for stem, weight in names.stems.items() if stem in flat), default=0.0)
+    for parts in ([x.lower() for x in PARTS.findall(name)], re.findall("[a-z]+", low)):
+        best = max([best, *(names.words.get(x, 0.0) for x in parts)])
+        if "key" in parts or "keys" in parts:
+            last = max(i for i, x in enumerate(parts) if x in ("key", "keys"))
+            best = max([best, *(names.qualifiers.get(x, 0.0) for x in parts[:last])])
+    return best
 
 
 def randomness(literal: str) -> float:
-    """0 to 1: the literal's entropy against that of a random string of its length, halved for several plain words."""
+    """0 to 1: what the literal tells by its letters' distribution, in shares of FULL_BITS; halved for several plain words."""
     n = len(literal)
     if n < 8:
         return 0.0
-    h = -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) / math.log2(min(n, 64))
+    bits = n * math.log2(n) - sum(c * math.log2(c) for c in Counter(literal).values())
     one = not any(c.isspace() for c in literal)  # a name that is sensitive at all needs no digit in a single word
-    return h * (1.0 if one or any(c.isdigit() for c in literal) or any(c in "+/=_-." for c in literal) else LOW_RANDOMNESS)
+    return min(1.0, bits / FULL_BITS) * (1.0 if one or any(c.isdigit() for c in literal) or any(c in "+/=_-." for c in literal) else LOW_RANDOMNESS)
 
 
 class Assignment(NamedTuple):
-    """name at a place of the text; parts: literals (start, end, value) and references (name, start, end)."""
+    """name at a place of the text; parts: literals (start, end, value) and references (name, start, end), each a value of its own if apart."""
 
     place: int
     name: str
     literals: list[tuple[int, int, str]]
     references: list[tuple[str, int, int]]
+    apart: bool = False
+
+
+class Found(NamedTuple):
+    """What the lexer knows of a text: where strings begin and end, what strings stand right inside each bracket, and the places of `?` and of what ends an operand."""
+
+    strings: dict[int, int]
+    inside: dict[int, list[int]]
+    stops: list[int]
+    asks: set[int]
+
+
+def lexed(text: str) -> tuple[list[tuple[str, int, int]], Found]:
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+    strings, inside, stops, asks, open_at = {}, defaultdict(list), [], set(), []
+    for kind, a, b in tokens:
+        word = text[a:b] if b == a + 1 else ""
+        if kind == "string":
+            strings[a] = b
+            if open_at:
+                inside[open_at[-1]].append(a)
+        elif word and word in "([{":
+            open_at.append(a)
+        elif word and word in ")]}":
+            del open_at[-1:]
+        if kind == "assign" or (word and word in "\n;,{}?"):
+            stops.append(a)
+            if word == "?":
+                asks.add(a)
+    return tokens, Found(strings, inside, stops, asks)
 
 
 def string_at(text: str, at: int, strings: dict[int, int]) -> tuple[int, int, int] | None:
@@ -118,10 +177,40 @@ def string_at(text: str, at: int, strings: dict[int, int]) -> tuple[int, int, in
     return m.start("quote") + n, after - n, after
 
 
-def value_at(text: str, at: int, strings: dict[int, int]) -> tuple[list[tuple[int, int, str]], list[tuple[str, int, int]], int]:
-    """(literals, references, where reading goes on) of the expression that begins at a place."""
-    literals, references = [], []
+def contents(text: str, places: list[int], strings: dict[int, int]) -> list[tuple[int, int, str]]:
+    """The literals of strings that begin at some places."""
+    found = (string_at(text, p, strings) for p in places)
+    return [(a, b, unescaped(text[a:b])) for a, b, _ in found if b > a]
+
+
+def unescaped(literal: str) -> str:
+    return ESCAPED.sub(lambda m: ESCAPES.get(m[1], m[1]), literal) if "\\" in literal else literal
+
+
+#: Literals, references, where reading goes on, and whether they are values apart.
+Value = tuple[list[tuple[int, int, str]], list[tuple[str, int, int]], int, bool]
+
+
+def branches_at(text: str, at: int, known: Found) -> Value | None:
+    """The values of `? x : y` if what goes before, from a place on, is a condition that ends there."""
+    i = bisect_left(known.stops, at)
+    if i == len(known.stops) or known.stops[i] not in known.asks:
+        return None
+    literals, references, at, _ = value_at(text, known.stops[i] + 1, known, branch=True)
+    m = ELSE.match(text, at)
+    if not m or not (literals or references):
+        return None
+    more, others, at, _ = value_at(text, m.end(), known, branch=True)
+    return literals + more, references + others, at, True
+
+
+def value_at(text: str, at: int, known: Found, branch: bool = False) -> Value:
+    """The expression that begins at a place."""
+    strings = known.strings
+    literals, references, apart = [], [], False
     at = GAP.match(text, at).end()
+    if text[at : at + 1] == "[":
+        return contents(text, known.inside.get(at, []), strings), [], at + 1, True
     inside = text[at : at + 1] == "("
     space = BLANKS if inside else GAP
     if inside:
@@ -134,7 +223,7 @@ def value_at(text: str, at: int, strings: dict[int, int]) -> tuple[list[tuple[in
             if shell:
                 references.append((shell[1], a, b))
             elif b > a:
-                literals.append((a, b, ESCAPED.sub(lambda m: ESCAPES.get(m[1], m[1]), text[a:b]) if "\\" in text[a:b] else text[a:b]))
+                literals.append((a, b, unescaped(text[a:b])))
         else:
             m = BARE.match(text, at)
             if not m:
@@ -142,7 +231,13 @@ def value_at(text: str, at: int, strings: dict[int, int]) -> tuple[list[tuple[in
             a, b = m.start(), m.end() - (m[0][-1] == ":")
             at = b
             name = NAME.fullmatch(text, a, b)
-            if name and text[b : b + 1] not in ("(", "["):
+            if name and not branch and (found := branches_at(text, b, known)):
+                return found
+            if name and text[b : b + 1] == "(":
+                literals += contents(text, known.inside.get(b, []), strings)
+                apart = True
+                break
+            if name and text[b : b + 1] != "[":
                 references.append((name[1], a, b))
             elif not name and b > a:
                 literals.append((a, b, text[a:b]))
@@ -154,7 +249,7 @@ def value_at(text: str, at: int, strings: dict[int, int]) -> tuple[list[tuple[in
             at = space.match(text, at).end()
         else:
             break
-    return literals, references, at
+    return literals, references, at, apart
 
 
 def block_at(text: str, line: int, at: int) -> tuple[int, int, int]:
@@ -176,8 +271,8 @@ def block_at(text: str, line: int, at: int) -> tuple[int, int, int]:
 
 def assignments(text: str) -> list[Assignment]:
     """Every assignment in order of place."""
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
-    strings = {a: b for kind, a, b in tokens if kind == "string"}
+    tokens, known = lexed(text)
+    strings = known.strings
     found = []
     skip = 0  # tokens that begin before this place belong to a value that was read
     for i, (kind, a, b) in enumerate(tokens):
@@ -197,8 +292,8 @@ def assignments(text: str) -> list[Assignment]:
         if text[b - 1] == ":":
             note = ANNOTATION.match(text, b)
             if note:  # or two assignments in prose, so the inner one is read as well
-                literals, references, _ = value_at(text, note.end(), strings)
-                found += [Assignment(at, name, literals, references)] * bool(literals or references)
+                literals, references, _, apart = value_at(text, note.end(), known)
+                found += [Assignment(at, name, literals, references, apart)] * bool(literals or references)
                 continue
             m = BLOCK.match(text, GAP.match(text, b).end())
             if m:
@@ -206,19 +301,20 @@ def assignments(text: str) -> list[Assignment]:
                 if stop > start:
                     found.append(Assignment(at, name, [(start, stop, text[start:stop])], []))
                 continue
-        literals, references, skip = value_at(text, b, strings)
+        literals, references, skip, apart = value_at(text, b, known)
         if literals or references:
-            found.append(Assignment(at, name, literals, references))
+            found.append(Assignment(at, name, literals, references, apart))
     if "</" in text:
         found += [Assignment(m.start(1), m[1], [(m.start(2), m.end(2), m[2])], []) for m in ELEMENT.finditer(text)]
         found.sort(key=lambda x: x.place)
     return found
 
 
-def lexed_spans(text: str, low: str) -> list[tuple[int, int, int, float]]:
-    """(start, kind, end, score) of literals that sensitive names reach, constants followed."""
+def lexed_spans(text: str, low: str, names: Names = NAMES) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, score) of literals that sensitive names reach, constants followed, and of passwords in assigned URLs."""
     flat = low.encode("utf-8", "surrogatepass").translate(None, SEPARATORS)
-    if not any(x.encode() in flat for x in SENSITIVE):
+    login = "://" in text and "@" in text
+    if not login and not any(x.encode() in flat for x in (TRACES if names is NAMES else ("key", *names.stems, *names.words))):
         return []
     found = assignments(text)
     of_name = defaultdict(list)
@@ -226,7 +322,7 @@ def lexed_spans(text: str, low: str) -> list[tuple[int, int, int, float]]:
         of_name[x.name].append(i)
     # the most sensitive first, so each assignment is reached once, at its highest weight
     weights: dict[int, float] = {}
-    direct = sorted(((sensitivity(x.name), i) for i, x in enumerate(found)), key=lambda x: -x[0])
+    direct = sorted(((sensitivity(x.name, names), i) for i, x in enumerate(found)), key=lambda x: -x[0])
     for weight, i in direct:
         todo = [i] if weight and i not in weights else []
         while todo:
@@ -245,31 +341,36 @@ def lexed_spans(text: str, low: str) -> list[tuple[int, int, int, float]]:
     for i, weight in weights.items():
         # a name that nothing assigns is a word of its own
         parts = sorted([*found[i].literals, *((a, b, text[a:b]) for name, a, b in found[i].references if name not in of_name)])
-        score = weight * randomness("".join(value for _, _, value in parts))
-        if score >= THRESHOLD:
-            for a, b, _ in parts:
-                best[a, b] = max(score, best.get((a, b), 0.0))
+        for values in [[p] for p in parts] if found[i].apart else [parts]:
+            score = weight * randomness("".join(value for _, _, value in values))
+            if score >= THRESHOLD:
+                for a, b, _ in values:
+                    best[a, b] = max(score, best.get((a, b), 0.0))
+    for a, b, _ in (part for x in found if login for part in x.literals):
+        for m in LOGIN.finditer(text, a, b):
+            if (score := randomness(m[1])) >= THRESHOLD:
+                best[m.span(1)] = max(score, best.get(m.span(1), 0.0))
     return [(a, 3, b, s) for (a, b), s in best.items()]
 
 
-def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str, names: Names = NAMES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), both sorted by start, then kind."""
     low = text.lower()
     base = sorted(base_spans(text, low))
-    return base, sorted(base + [x[:3] for x in lexed_spans(text, low)])
+    return base, sorted(base + [x[:3] for x in lexed_spans(text, low, names)])
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: Names = NAMES) -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_lexed."""
 
     def report(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": batch.column(0), "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": [], "n_lexed": []}
         for text in batch.column(1).to_pylist():
-            base, every = spans_of(text or "")
+            base, every = spans_of(text or "", names)
             for k, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(s[1] == k for s in base))
             out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -277,4 +378,5 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out["n_lexed"].append(len(every) - len(base))
         return out
 
-    return over_batches(keyed_texts(docs, id_col, text_col), report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
+    read = keyed_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return over_batches(read, report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
