@@ -13,7 +13,9 @@ Defined results: rows with a null id, a null vector, or a vector with null or no
 no part, neither as query nor as candidate; vectors of unequal lengths meet on their common components;
 every row is a query or candidate of its own, whatever ids repeat: a query's own row alone is left out of its
 candidates, and rows that repeat a query's id and vector each get their result; ties go to the smaller id;
-with fewer than k candidates all are returned. Ids are cast to long.
+with fewer than k candidates all are returned. Ids are cast to long. Scores are 64-bit: a vector whose scaled
+components have a sum of squares of 2**61 or more is an error, and no product of two shorter ones can pass 2**62, in
+whole or in part.
 """
 
 from __future__ import annotations
@@ -37,7 +39,10 @@ def scaled_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """(id, terms): each component x as floor(scale * x) in double precision; unusable rows dropped."""
     x = F.col(f"`{vector_col}`")
     usable = F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")), F.lit(False)))
-    return df.where(usable).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("terms"))
+    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.pow(v.cast("double") * scale, F.lit(2.0)))
+    terms = F.transform(x, lambda v: F.floor(v.cast("double") * scale))
+    long = F.raise_error(F.concat(F.lit("scores of this vector may not fit 64 bits: "), F.col(f"`{id_col}`").cast("string"))).cast("array<bigint>")
+    return df.where(usable).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(square < 2.0**61, terms).otherwise(long).alias("terms"))
 
 
 def dense(column: pa.Array) -> np.ndarray:

@@ -393,6 +393,13 @@ def test_top_k_of_repeated_rows(spark):
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_top_k_scores_fit(spark):
+    far = spark.createDataFrame([(50, [2.0**21, 1.0]), (51, [2.0**21, -1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(far, lambda i: i % 50 == 0).collect()] == [(51, 2**58 - 2**16)]
+    with pytest.raises(Exception, match="may not fit 64 bits: 51"):
+        topk_search.top_k(far.withColumn("embedding", F.when(F.col("vec_id") == 51, F.array(F.lit(1e200))).otherwise(F.col("embedding"))), lambda i: i % 50 == 0).collect()
+
+
 # ---- secrets
 
 
