@@ -8,10 +8,11 @@ rest. Layout, little-endian: magic, bits, ids, documents, blocks (u8 each); offs
 the end (u8); first id of each document and the end (u8); the packed blocks.
 
 A corpus is range-partitioned by document id, sorted, and encoded partition by partition into shards of a
-bounded number of ids. The shards are written as a table of file images in the shared folder - Spark's
-writer commits them, so lost or repeated tasks leave nothing half-written - and the report is made from
-the shards as read back. Only one row per partition is needed to turn places within a partition into
-places in the corpus.
+bounded number of ids. Each shard is a file in the shared folder, written under a name of its own and moved to
+its place when it is whole; the index of the shards is a table that Spark's writer commits, so what lost or
+repeated tasks leave is in no index. The report and ranges of ids are read from the files by their block
+offsets, through Arrow's file systems; locally a shard can be mapped by numpy as well. Only one row per
+partition is needed to turn places within a partition into places in the corpus.
 
 Encoding: texts are cut into the library's pre-tokens with numpy, a batch at once, and each distinct
 pre-token is encoded by the tokenizers library once per worker. Texts with characters whose kind depends on
@@ -27,8 +28,10 @@ import gc
 import json
 import os
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -38,13 +41,16 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.frames import arrow_types, keyed_texts, record
 from frameloom.llm.text import CHUNK_BYTES, chunks, span_hashes
-from frameloom.session import staged
+from frameloom.session import scratch, staged
+from frameloom.sources.video_stream import store_of
 
 MAGIC = 0x3144495754584946
 GROUP = 64
 NATIVE = {8: "<u1", 16: "<u2", 32: "<u4"}
 BLOCK = 4096
 SHARD_IDS = 1 << 20
+#: Blocks that are read at once.
+RUN_BLOCKS = 64
 #: Distinct pieces, and characters of pieces, that a worker remembers before it starts over.
 CACHE_PIECES = 1_200_000
 CACHE_POINTS = 1 << 25
@@ -104,28 +110,58 @@ class Shard:
     """A reader over a file image (bytes or a memory map)."""
 
     def __init__(self, image):
-        head = np.frombuffer(image, "<u8", 5)
+        self.image = image
+        self.read_head()
+
+    def bytes_at(self, at: int, n: int):
+        return memoryview(self.image)[at : at + n]
+
+    def read_head(self) -> None:
+        head = np.frombuffer(self.bytes_at(0, 40), "<u8")
         if int(head[0]) != MAGIC:
             raise ValueError("not a shard of packed ids")
         self.bits, self.n_ids, self.n_docs, self.n_blocks = (int(x) for x in head[1:])
         at = 40
-        self.offsets = np.frombuffer(image, "<u8", self.n_blocks + 1, at).astype(np.int64)
-        at += 8 * (self.n_blocks + 1)
-        self.starts = np.frombuffer(image, "<u8", self.n_docs + 1, at).astype(np.int64)
-        self.image, self.at = image, at + 8 * (self.n_docs + 1)
+        self.offsets = np.frombuffer(self.bytes_at(at, 8 * (self.n_blocks + 1)), "<u8").astype(np.int64)
+        self.starts_at = at + 8 * (self.n_blocks + 1)
+        self.at = self.starts_at + 8 * (self.n_docs + 1)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self.bytes_at(self.starts_at, 8 * (self.n_docs + 1)), "<u8").astype(np.int64)
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """Ids first:last; only the blocks that hold them are read."""
         if last <= first:
             return np.zeros(0, np.uint32)
         a, b = first // BLOCK, -(-last // BLOCK)
-        packed = np.frombuffer(self.image, "<u8", int(self.offsets[b] - self.offsets[a]) // 8, self.at + int(self.offsets[a]))
+        packed = np.frombuffer(self.bytes_at(self.at + int(self.offsets[a]), int(self.offsets[b] - self.offsets[a])), "<u8")
         return unpack(packed, min(last, self.n_ids) - a * BLOCK, self.bits)[first - a * BLOCK :]
 
     def doc(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+class StoredShard(Shard):
+    """A reader over a file in whatever store its path names; it counts the bytes it has read."""
+
+    def __init__(self, path: str):
+        fs, inner = store_of(path)
+        self.file, self.read_bytes = fs.open_input_file(inner), 0
+        self.read_head()
+
+    def bytes_at(self, at: int, n: int):
+        self.file.seek(at)
+        self.read_bytes += n
+        return self.file.read(n)
+
+    def __enter__(self) -> StoredShard:
+        return self
+
+    def __exit__(self, *raised) -> None:
+        self.file.close()
+
+
 #: Kinds of characters to a byte-level pre-tokeniser; FAR ones are left to the library.
 SPACES, LETTERS, NUMBERS, OTHERS, FAR = range(5)
 # Fixed value: the code points that are white space below U+10000.
@@ -393,11 +429,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-SHARDS = "part long, shard long, first long, n_ids long, doc_ids binary, nulls binary, image binary"
+SHARDS = "part long, shard long, first long, n_ids long, doc_ids binary, nulls binary, path string"
+
+
+def put(path: str, image: bytes) -> None:
+    """Write a file beside its place and move it there, so that it is there whole or not at all."""
+    fs, inner = store_of(path)
+    folder, name = inner.rsplit("/", 1)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/.{name}") as out:
+        out.write(image)
+    fs.move(f"{folder}/.{name}", inner)
 
 
 def write_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
-    """The written table of shards: part and shard number, first id within the part, ids, documents, file image."""
+    """The index of the written shards: part and shard number, first id within the part, ids, documents, and the file's path."""
+    root = scratch(docs.sparkSession, "packed-ids-files")
     names, types = [x.split()[0] for x in SHARDS.split(", ")], arrow_types(docs, SHARDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,10 +459,11 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
             n = np.concatenate(counts)
             whole = np.concatenate(ids)
             known = pa.chunked_array(doc_ids)
-            image = write_shard(whole, np.concatenate([[0], np.cumsum(n)]), bits)
+            path = f"{root}/{part}-{shard}-{uuid.uuid4().hex}.ids"
+            put(path, write_shard(whole, np.concatenate([[0], np.cumsum(n)]), bits))
             numbers = known.fill_null(0).to_numpy().astype("<i8").tobytes()
             nulls = np.packbits(known.is_null().to_numpy()).tobytes() if known.null_count else b""
-            return record(dict(zip(names, ([x] for x in (part, shard, first, len(whole), numbers, nulls, image)))), names, types)
+            return record(dict(zip(names, ([x] for x in (part, shard, first, len(whole), numbers, nulls, path)))), names, types)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -436,27 +484,63 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
     # rows of one id are dealt by their texts, and equal rows by where they come from
     placed = texts.withColumns({"hash": F.xxhash64("text"), "origin": F.spark_partition_id()})
     ordered = placed.repartitionByRange("doc_id", "hash", "origin").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
-    return staged(ordered.mapInArrow(run, SHARDS), "packed-ids")
+    return staged(ordered.mapInArrow(run, SHARDS), "packed-ids-index")
 
 
-def corpus_report(shards: DataFrame) -> DataFrame:
-    """From the files: doc_id, start, n_tokens and ids_crc32 of every document."""
+def with_base(shards: DataFrame) -> DataFrame:
+    """The index with `start`, each shard's first id in the corpus."""
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("base"))
+    return shards.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("first"))  # one row per partition of the written index
+
+
+def doc_crcs(shard: Shard) -> list[int]:
+    """The checksum of each document's ids, read in runs of whole blocks."""
+    crcs, run_ids = [0] * shard.n_docs, RUN_BLOCKS * BLOCK
+    doc = 0
+    for a in range(0, shard.n_ids, run_ids):
+        ids = shard.ids(a, min(a + run_ids, shard.n_ids)).astype("<u4")
+        while doc < shard.n_docs and shard.starts[doc] < a + len(ids):
+            first, last = max(shard.starts[doc], a), min(shard.starts[doc + 1], a + len(ids))
+            crcs[doc] = zlib.crc32(ids[first - a : last - a], crcs[doc])
+            if shard.starts[doc + 1] > a + len(ids):
+                break
+            doc += 1
+    return crcs
+
+
+def corpus_report(shards: DataFrame) -> DataFrame:
+    """From the files: doc_id, start, n_tokens and ids_crc32 of every document."""
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     schema = ", ".join(f"{n} long" for n in names)
     types = arrow_types(shards, schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, first, doc_ids, nulls, image in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                shard = Shard(image)
-                ids = shard.ids(0, shard.n_ids).astype("<u4")
+            for start, doc_ids, nulls, path in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 known = np.frombuffer(doc_ids, "<i8")
                 missing = np.unpackbits(np.frombuffer(nulls, np.uint8))[: len(known)].astype(bool) if nulls else None
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(shard.starts, shard.starts[1:])]
-                yield record({"doc_id": pa.array(known, pa.int64(), mask=missing), "start": base + first + shard.starts[:-1], "n_tokens": np.diff(shard.starts), "ids_crc32": crcs}, names, types)
+                with StoredShard(path) as shard:
+                    yield record({"doc_id": pa.array(known, pa.int64(), mask=missing), "start": start + shard.starts[:-1], "n_tokens": np.diff(shard.starts), "ids_crc32": doc_crcs(shard)}, names, types)
 
-    # one row per partition of the written table
-    return shards.join(F.broadcast(base), "part").select("base", "first", "doc_ids", "nulls", "image").mapInArrow(read, schema)
+    # the files are what is large, not the index, so its rows are dealt out
+    return with_base(shards).select("start", "doc_ids", "nulls", "path").repartition("path").mapInArrow(read, schema)
+
+
+def id_range(shards: DataFrame, first: int, last: int) -> DataFrame:
+    """(start, ids) pieces of the ids first:last of the corpus; of each file only the blocks that hold them are read."""
+    schema = "start long, ids array<int>"
+    types = arrow_types(shards, schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with StoredShard(path) as shard:
+                    a, b = max(0, first - start), min(last - start, shard.n_ids)
+                    for at in range(a, b, RUN_BLOCKS * BLOCK):
+                        ids = shard.ids(at, min(at + RUN_BLOCKS * BLOCK, b)).astype(np.int32)
+                        yield record({"start": [start + at], "ids": pa.array([ids], pa.list_(pa.int32()))}, ["start", "ids"], types)
+
+    near = (F.col("start") < last) & (F.col("start") + F.col("n_ids") > first)
+    return with_base(shards).where(near).select("start", "path").mapInArrow(read, schema)
