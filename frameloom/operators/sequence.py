@@ -76,10 +76,22 @@ def reached(v: np.ndarray, half: np.ndarray) -> np.ndarray:
     return at
 
 
+#: Segments of fewer frames are walked rather than tabled.
+FEW = 12
+
+
 def longest_anchored(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[int, int]:
     """(length, start) of the longest stretch whose centres stay in the box of its first frame; the first of equals."""
-    if not len(x):
-        return 0, 0
+    if len(x) < 2:
+        return len(x), 0
+    if len(x) < FEW:
+        rows = list(zip(x.tolist(), y.tolist(), (w / 2).tolist(), (h / 2).tolist()))
+        best, at = 0, 0
+        for s, (cx, cy, dx, dy) in enumerate(rows):
+            e = next((e for e in range(s + 1, len(rows)) if abs(rows[e][0] - cx) > dx or abs(rows[e][1] - cy) > dy), len(rows))
+            if e - s > best:
+                best, at = e - s, s
+        return best, at
     start = np.arange(len(x))
     stays = np.maximum(np.minimum(reached(x, w / 2), reached(y, h / 2)), start + 1) - start
     return int(stays.max()), int(stays.argmax())
@@ -98,7 +110,7 @@ def anchored_runs(df: DataFrame, by: list[str], frame: str = "frame") -> DataFra
         key, best, rows = None, (0, 0), []
 
         def close() -> tuple[int, int]:
-            if not rows:
+            if len(rows) <= best[0]:  # no run of the segment can be longer
                 return best
             n, at = longest_anchored(*(np.array(c, float) for c in list(zip(*rows))[1:]))
             return (n, rows[at][0]) if n > best[0] else best
