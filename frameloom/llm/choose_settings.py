@@ -18,7 +18,8 @@ from frameloom.llm import labelled, quality_fm, toxicity
 from frameloom.session import local_session, table
 
 PER_CLASS = 800
-TOXICITY = [{"min_z": z, "rounds": n, "l2": l2} for z, n, l2 in product((3.0, 5.0, 8.0), (60, 200), (1e-3, 1e-2))]
+#: Calibration moves all scores along one curve, so candidates are compared without it.
+TOXICITY = [{"l2": l2, "smooth": n, "parts": 0} for l2, n in product((1e-5, 1e-4, 1e-3, 1e-2), (3.0, 10.0, 30.0, 100.0))]
 QUALITY = [{"epochs": n, "l2": l2} for n, l2 in product((4, 8, 16), (1e-4, 1e-3, 1e-2))]
 
 

@@ -1,20 +1,25 @@
 """Toxicity scores from a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct character n-grams it holds (hashed, ASCII lower case). Training counts,
-per class, in how many texts an n-gram occurs; the log of the ratio of these smoothed, normalised counts
-scales the feature, and a logistic regression is fitted on the scaled features. Only the n-grams that
-separate the classes best keep a weight, so scoring looks each n-gram up in one table and sorts out the
-few that matter. The model (a table of fixed size) is fitted on a bounded sample of labelled rows, see
-`labelled.sample`, and sent to the tasks; every text is scored whole, and nothing is shuffled.
+A text's features are the distinct character n-grams it holds (ASCII lower case, hashed to BITS bits).
+Training counts, per class, in how many texts an n-gram occurs; the log of the ratio of these smoothed,
+normalised counts scales the feature, and a logistic regression is fitted on the scaled features. Every
+n-gram of the training texts has a weight; none is selected. The objective is convex and is minimised to a
+small gradient, so there is no number of rounds to choose. The scores are calibrated for fixed thresholds:
+a slope and an offset are fitted on margins of training texts by models that have not seen them, and go
+into the weights. The model, a table of 2^BITS weights, is fitted on a bounded sample of labelled rows (see
+`labelled.sample`) and sent to the tasks; every text is scored whole, and nothing is shuffled.
 
 Defined results: null and empty texts get the score of a text without features; scores lie in 0 to 1;
-equal texts and equal rows get equal scores; without labelled rows of both classes every score is the prior share. Only
-the id, the text and the labels' two columns are read.
+equal texts and equal rows get equal scores; without labelled rows of both classes every score is the prior
+share; ids are cast to long, as the result holds them. Only the id, the text and the labels' two columns
+are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +28,28 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import labelled
 from frameloom.llm.frames import keyed_texts, over_batches
-from frameloom.llm.text import mix
+from frameloom.llm.text import mix, sorted_unique
 
 ORDERS = (3, 4, 5)
-BITS = 21
-N_FEATURES = 4096
-#: Chosen by cross-validation in the training folds alone, see `choose_settings`: how surely an n-gram must
-#: separate the classes to keep a weight (in standard deviations), rounds of the fit, and its penalty.
-MIN_Z, ROUNDS, L2 = 3.0, 200, 1e-3
+#: Width of the hash of an n-gram; n-grams that meet share a weight.
+BITS = 20
+#: Penalty of the fit, and what is added to an n-gram's count in the positive class (in the other, in proportion
+#: to its texts), which draws the ratios of rare n-grams to nothing. Chosen by cross-validation in the training
+#: folds alone, see `choose_settings`.
+L2, SMOOTH = 1e-4, 30.0
+#: Parts of the sample whose margins calibrate the scores.
+PARTS = 3
 #: Bound of the training sample: rows of each class, and characters in all.
-PER_CLASS = 3000
-MAX_CHARS = 30_000_000
+PER_CLASS = 2500
+MAX_CHARS = 12_000_000
 CHUNK_CHARS = 1 << 18
 THRESHOLD = 0.3
 
 _STEPS = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
-def gram_buckets(texts: list[str | None], orders=ORDERS, bits: int = BITS, keep: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, rows, buckets): distinct (row, bucket) pairs of the n-grams of rows first:last.
-
-    keep: a table of the buckets that count; others are left out before sorting.
-    """
+def gram_buckets(texts: list[str | None], orders=ORDERS, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, rows, buckets): distinct (row, bucket) pairs of the n-grams of rows first:last, ascending."""
     first = 0
     while first < len(texts):
         last, total = first, 0
@@ -65,80 +70,165 @@ def gram_buckets(texts: list[str | None], orders=ORDERS, bits: int = BITS, keep:
             if n not in orders:
                 continue
             bucket = (mix(h + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64)
-            inside = row[: len(bucket)] == row[n - 1 :]
-            if keep is not None:
-                inside &= keep[bucket]
-            at = np.flatnonzero(inside)
+            at = np.flatnonzero(row[: len(bucket)] == row[n - 1 :])
             rows.append(row[at])
             buckets.append(bucket[at])
-        pairs = np.unique(np.concatenate(rows) << bits | np.concatenate(buckets)) if rows else np.zeros(0, np.int64)
+        pairs = sorted_unique(np.concatenate(rows) << bits | np.concatenate(buckets)) if rows else np.zeros(0, np.int64)
         yield first, last, pairs >> bits, pairs & ((1 << bits) - 1)
         first = last
 
 
-def fit(texts: list[str], labels: list[int], negative_weight: float, n_features: int = N_FEATURES, min_z: float = MIN_Z, rounds: int = ROUNDS, l2: float = L2) -> tuple[np.ndarray, float]:
-    """(weight of every bucket, bias)."""
-    y = np.array(labels, float)
-    row_weight = np.where(y == 1, 1.0, negative_weight)
+class Grams:
+    """The distinct n-grams of texts: cols[bounds[i] : bounds[i + 1]] are the buckets of text i."""
+
+    def __init__(self, cols: np.ndarray, bounds: np.ndarray) -> None:
+        self.cols, self.bounds = cols, bounds
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Grams:
+        cols, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for first, last, rows, buckets in gram_buckets(texts):
+            cols.append(buckets.astype(np.int32))
+            sizes.append(np.bincount(rows - first, minlength=last - first))
+        return cls(np.concatenate(cols), np.cumsum(np.concatenate(sizes)))
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, columns, place of each column's text after first): about a million columns at once."""
+        first, n = 0, len(self.bounds) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(self.bounds, self.bounds[first] + (1 << 20), "right")) - 1)
+            own = self.bounds[first : last + 1]
+            yield first, last, self.cols[own[0] : own[-1]], np.repeat(np.arange(last - first), np.diff(own))
+            first = last
+
+    def some(self, at: np.ndarray) -> Grams:
+        parts = [self.cols[self.bounds[i] : self.bounds[i + 1]] for i in at]
+        return Grams(np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum([0, *map(len, parts)]))
+
+    def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        z = np.full(len(self.bounds) - 1, bias)
+        for first, last, cols, own in self.blocks():
+            z[first:last] += np.bincount(own, weights[cols], last - first)
+        return z
+
+    def totals(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Of each column below size, the sum of the values of the texts that hold it."""
+        out = np.zeros(size)
+        for first, last, cols, own in self.blocks():
+            out += np.bincount(cols, values[first:last][own], size)
+        return out
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, memory: int = 5, rounds: int = 200, flat: float = 1e-4) -> np.ndarray:
+    """x after limited-memory quasi-Newton steps, until the gradient's length is flat times the first one's."""
+    value, slope = loss(x)
+    enough = flat * np.linalg.norm(slope)
+    pairs: deque = deque(maxlen=memory)
+    for _ in range(rounds):
+        if np.linalg.norm(slope) <= enough:
+            break
+        way, used = slope.copy(), []
+        for s, y in reversed(pairs):
+            used.append((s @ way) / (s @ y))
+            way -= used[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            way *= (s @ y) / (y @ y)
+        else:
+            way /= max(1.0, np.linalg.norm(way))
+        for (s, y), a in zip(pairs, reversed(used)):
+            way += (a - (y @ way) / (s @ y)) * s
+        step, fall = 1.0, slope @ way
+        new_value, new_slope = loss(x - step * way)
+        while new_value > value - 1e-4 * step * fall and step > 1e-9:
+            step /= 2
+            new_value, new_slope = loss(x - step * way)
+        if new_value >= value:
+            break
+        moved, turned = -step * way, new_slope - slope
+        if moved @ turned > 0:
+            pairs.append((moved, turned))
+        x, value, slope = x + moved, new_value, new_slope
+    return x
+
+
+def fit_grams(grams: Grams, y: np.ndarray, row_weight: np.ndarray, l2: float, smooth: float) -> tuple[np.ndarray, float]:
+    """(weight of every bucket, bias), not calibrated."""
     prior = float(np.clip(np.average(y, weights=row_weight), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    weights, bias = np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior)))
+    weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return weights, bias
-    counts = np.zeros((2, 1 << BITS))
-    for _, _, rows, buckets in gram_buckets(texts):
-        for c in (0, 1):
-            counts[c] += np.bincount(buckets[y[rows] == c], minlength=1 << BITS)
-    p, q = (counts[c] + 1.0 for c in (1, 0))
+    counts = [grams.totals((y == c).astype(float), 1 << BITS) for c in (0, 1)]
+    p, q = counts[1] + smooth, counts[0] + smooth * (y == 0).sum() / (y == 1).sum()
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    pooled = counts.sum(axis=0) / len(y)
-    z = np.abs(counts[1] / n1 - counts[0] / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0))
-    chosen = np.argsort(-z, kind="stable")[:n_features]
-    chosen = np.sort(chosen[z[chosen] >= min_z])
-    if not len(chosen):
-        return weights, bias
-    keep = np.zeros(1 << BITS, bool)
-    keep[chosen] = True
-    slot = np.full(1 << BITS, -1)
-    slot[chosen] = np.arange(len(chosen))
-    found = [(r, slot[b]) for _, _, r, b in gram_buckets(texts, keep=keep)]
-    rows, cols = np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
-    r = ratio[chosen]
-    w, b = np.zeros(len(chosen)), bias
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    held = np.flatnonzero(counts[0] + counts[1])
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[held] = np.arange(len(held))
+    own, r = Grams(slot[grams.cols], grams.bounds), ratio[held]
     scale = row_weight / row_weight.sum()
-    for t in range(1, rounds + 1):
-        z = np.bincount(rows, (w * r)[cols], len(y)) + b
-        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * scale
-        grad = np.append(np.bincount(cols, miss[rows], len(w)) * r + l2 * w, miss.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    weights[chosen] = w * r
-    return weights, float(b)
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = x[:-1], x[-1]
+        z = own.margins(w * r, b)
+        miss = (sigmoid(z) - y) * scale
+        value = float(scale @ (np.logaddexp(0, z) - y * z)) + 0.5 * l2 * float(w @ w)
+        return value, np.append(own.totals(miss, len(held)) * r + l2 * w, miss.sum())
+
+    x = minimised(loss, np.append(np.zeros(len(held)), bias))
+    weights[held] = x[:-1] * r
+    return weights, float(x[-1])
+
+
+def calibration(z: np.ndarray, y: np.ndarray, row_weight: np.ndarray) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve through margins of unseen texts; the targets are smoothed by one text of each class."""
+    n = [max(1, int((y == c).sum())) for c in (0, 1)]
+    target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    scale = row_weight / row_weight.sum()
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        curve = x[0] * z + x[1]
+        miss = (sigmoid(curve) - target) * scale
+        return float(scale @ (np.logaddexp(0, curve) - target * curve)), np.array([miss @ z, miss.sum()])
+
+    a, b = minimised(loss, np.array([1.0, 0.0]), flat=1e-7)
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
+def fit(texts: list[str], labels: list[int], negative_weight: float, l2: float = L2, smooth: float = SMOOTH, parts: int = PARTS) -> tuple[np.ndarray, float]:
+    """(weight of every bucket, bias), calibrated on parts of the texts; equal texts are of one part. parts 0: not calibrated."""
+    y, grams = np.array(labels, float), Grams.of(texts)
+    row_weight = np.where(y == 1, 1.0, negative_weight)
+    weights, bias = fit_grams(grams, y, row_weight, l2, smooth)
+    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % max(parts, 1) for t in texts], int)
+    if parts < 2 or any(len(np.unique(y[part != p])) < 2 for p in range(parts)):
+        return weights.astype(np.float32), bias
+    z = np.zeros(len(y))
+    for p in range(parts):
+        left, used = np.flatnonzero(part == p), np.flatnonzero(part != p)
+        z[left] = grams.some(left).margins(*fit_grams(grams.some(used), y[used], row_weight[used], l2, smooth))
+    a, b = calibration(z, y, row_weight)
+    return (a * weights).astype(np.float32), a * bias + b
 
 
 def score_texts(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
-    keep = weights != 0
     z = np.full(len(texts), bias)
-    for first, last, rows, buckets in gram_buckets(texts, keep=keep):
+    for first, last, rows, buckets in gram_buckets(texts):
         z[first:last] += np.bincount(rows - first, weights[buckets], last - first)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return sigmoid(z)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     found = labelled.sample(docs, labels, label_col, folds, held_out, per_class, max_chars, id_col, text_col)
-    weights, bias = fit(found.texts, found.labels, found.negative_weight)
-    # the table has a fixed size, but only its few non-zero entries travel
-    at = np.flatnonzero(weights)
-    model = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))
+    # a table of a fixed size
+    model = docs.sparkSession.sparkContext.broadcast(fit(found.texts, found.labels, found.negative_weight))
 
     def score(batch: pa.RecordBatch) -> dict:
-        at, values, bias = model.value
-        table = np.zeros(1 << BITS, np.float32)
-        table[at] = values
-        s = score_texts(batch.column(1).to_pylist(), table, bias)
+        s = score_texts(batch.column(1).to_pylist(), *model.value)
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
     rows = keyed_texts(docs, id_col, text_col).withColumn("held_out", labelled.fold(F.col("doc_id"), folds) == held_out)

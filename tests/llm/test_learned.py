@@ -59,34 +59,58 @@ def adam(steps, rate, floor, w, grad_of):
 
 
 def test_toxicity_against_plain_python():
-    """Counts, ratios, selection, fit and scores over n-grams as strings."""
-    weight, min_z, rounds, l2 = 2.5, 1.2, 40, 1e-2
-    grams = [{t[i : i + n] for t in [x.lower()] for n in toxicity.ORDERS for i in range(len(t) - n + 1)} for x in TEXTS]
+    """Counts, ratios and scores over n-grams as strings; at the fit's minimum the plain gradient vanishes."""
+    weight, smooth, l2 = 2.5, 3.0, 1e-2
+    grams_of = lambda t: {x[i : i + n] for x in [(t or "").lower()] for n in toxicity.ORDERS for i in range(len(x) - n + 1)}
+    grams = [grams_of(t) for t in TEXTS]
     every = sorted(set().union(*grams))
+    bucket = {g: int(next(toxicity.gram_buckets([g], orders=(len(g),)))[3][0]) for g in every}
+    assert len(set(bucket.values())) == len(every)
     size = 1 << toxicity.BITS
     count = {c: {g: sum(g in x for x, y in zip(grams, LABELS) if y == c) for g in every} for c in (0, 1)}
-    total = {c: sum(count[c].values()) + size for c in (0, 1)}
-    ratio = {g: np.log((count[1][g] + 1) / total[1]) - np.log((count[0][g] + 1) / total[0]) for g in every}
-    share = {g: (count[0][g] + count[1][g]) / 8 for g in every}
-    z = {g: abs(count[1][g] / 4 - count[0][g] / 4) / (max(share[g] * (1 - share[g]), 1e-9) / 2) ** 0.5 for g in every}
-    chosen = [g for g in every if z[g] >= min_z]
-    assert 3 < len(chosen) < len(every)
+    total = {c: sum(count[c].values()) + smooth * size for c in (0, 1)}
+    ratio = {g: np.log((count[1][g] + smooth) / total[1]) - np.log((count[0][g] + smooth) / total[0]) for g in every}
+    weights, bias = toxicity.fit(TEXTS, LABELS, weight, l2=l2, smooth=smooth, parts=0)
+    assert set(np.flatnonzero(weights)) <= set(bucket.values())
+
+    def margin(t):
+        return bias + sum(float(weights[bucket[g]]) for g in grams_of(t) if g in bucket)
+
     scale = [(1.0 if y else weight) / (4 + 4 * weight) for y in LABELS]
-    prior = 4 / (4 + 4 * weight)
+    miss = [(1 / (1 + np.exp(-margin(t))) - y) * s for t, y, s in zip(TEXTS, LABELS, scale)]
+    first = [(0.5 - y) * s for y, s in zip(LABELS, scale)]
+    slope = lambda m, w: np.array([sum(a for a, x in zip(m, grams) if g in x) * ratio[g] + l2 * w(g) for g in every] + [sum(m)])
+    own = lambda g: float(weights[bucket[g]]) / ratio[g] if ratio[g] else 0.0
+    assert np.linalg.norm(slope(miss, own)) < 1e-3 * np.linalg.norm(slope(first, lambda g: 0.0))
+    new = [*TEXTS, None, "IDIOT", "x" * 50]
+    assert toxicity.score_texts(new, weights, bias) == pytest.approx([1 / (1 + np.exp(-margin(t))) for t in new], abs=1e-5)
 
-    def margin(w, x):
-        return w["bias"] + sum(w[g] * ratio[g] for g in chosen if g in x)
 
-    def grad(w):
-        miss = [(1 / (1 + np.exp(-margin(w, x))) - y) * s for x, y, s in zip(grams, LABELS, scale)]
-        return {g: sum(m for m, x in zip(miss, grams) if g in x) * ratio[g] + l2 * w[g] for g in chosen} | {"bias": sum(miss)}
+def test_every_ngram_of_training_has_a_weight():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop"), 400)) for _ in range(60)]
+    labels = [i % 3 == 0 for i in range(60)]
+    weights, _ = toxicity.fit(texts, labels, 1.0, smooth=1.0)
+    seen = {int(b) for _, _, _, buckets in toxicity.gram_buckets(texts) for b in buckets}
+    assert len(seen) > 20_000 and len(seen - set(np.flatnonzero(weights).tolist())) < 0.01 * len(seen)
 
-    w = adam(rounds, 0.05, 1e-9, {g: 0.0 for g in chosen} | {"bias": float(np.log(prior / (1 - prior)))}, grad)
-    weights, bias = toxicity.fit(TEXTS, LABELS, weight, min_z=min_z, rounds=rounds, l2=l2)
-    assert bias == pytest.approx(w["bias"], abs=1e-6) and (weights != 0).sum() == len(chosen)
-    new = [*TEXTS, None, "IDIOT", "x" * 50]
-    want = [1 / (1 + np.exp(-margin(w, {t[i : i + n] for t in [(x or "").lower()] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}))) for x in new]
-    assert toxicity.score_texts(new, weights, bias) == pytest.approx(want, abs=1e-5)
+
+def test_calibration_fits_unseen_margins():
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 3, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * z - 1)))).astype(float)
+    a, b = toxicity.calibration(z, y, np.ones(4000))
+    assert a == pytest.approx(0.5, abs=0.05) and b == pytest.approx(-1, abs=0.1)
+    assert toxicity.calibration(-z, y, np.ones(4000)) == (1.0, 0.0)  # a falling curve would turn the order round
+
+
+def test_minimum_of_a_quadratic():
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(30, 30))
+    m = m @ m.T + np.eye(30)
+    want = rng.normal(size=30)
+    got = toxicity.minimised(lambda x: (0.5 * (x - want) @ m @ (x - want), m @ (x - want)), np.zeros(30), flat=1e-9)
+    assert got == pytest.approx(want, abs=1e-5)
 
 
 def test_quality_against_plain_python():
@@ -156,8 +180,8 @@ def test_settings_are_chosen_without_held_out_rows():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcd"), 30)) + (" idiot" if i % 2 else " a calm") for i in range(60)]
     found = labelled.Sample(texts, [None] * 60, [i % 2 for i in range(60)], 1.0)
-    best = labelled.cross_validated(found, [{"min_z": 3.0, "rounds": 40, "l2": 1e-3}, {"min_z": 50.0, "rounds": 40, "l2": 1e-3}], choose_settings.toxicity_scores)
-    assert best[0][1]["min_z"] == 3.0 and best[0][0] < 0.3 < best[1][0]
+    best = labelled.cross_validated(found, [{"l2": 1e-3, "smooth": 3.0, "parts": 0}, {"l2": 1e3, "smooth": 3.0, "parts": 0}], choose_settings.toxicity_scores)
+    assert best[0][1]["l2"] == 1e-3 and best[0][0] < 0.3 < best[1][0]
 
 
 @pytest.mark.parametrize("report,label", [(toxicity.toxicity_report, "toxic"), (quality_fm.quality_report, "quality")])
