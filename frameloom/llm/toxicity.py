@@ -79,51 +79,43 @@ def gram_buckets(texts: list[str | None], orders=ORDERS, bits: int = BITS) -> It
 
 
 class Grams:
-    """The distinct n-grams of texts: cols[bounds[i] : bounds[i + 1]] are the buckets of text i."""
+    """The distinct n-grams of texts, by text and by n-gram; n-grams that no text holds have no column."""
 
-    def __init__(self, cols: np.ndarray, bounds: np.ndarray) -> None:
-        self.cols, self.bounds = cols, bounds
-
-    @classmethod
-    def of(cls, texts: list[str]) -> Grams:
-        cols, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for first, last, rows, buckets in gram_buckets(texts):
-            cols.append(buckets.astype(np.int32))
+    def __init__(self, texts: list[str]) -> None:
+        buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for first, last, rows, found in gram_buckets(texts):
+            buckets.append(found.astype(np.int32))
             sizes.append(np.bincount(rows - first, minlength=last - first))
-        return cls(np.concatenate(cols), np.cumsum(np.concatenate(sizes)))
-
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first, last, columns, place of each column's text after first): about a million columns at once."""
-        first, n = 0, len(self.bounds) - 1
-        while first < n:
-            last = max(first + 1, int(np.searchsorted(self.bounds, self.bounds[first] + (1 << 20), "right")) - 1)
-            own = self.bounds[first : last + 1]
-            yield first, last, self.cols[own[0] : own[-1]], np.repeat(np.arange(last - first), np.diff(own))
-            first = last
-
-    def some(self, at: np.ndarray) -> Grams:
-        parts = [self.cols[self.bounds[i] : self.bounds[i + 1]] for i in at]
-        return Grams(np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum([0, *map(len, parts)]))
+        self.n_texts, every, size = len(texts), np.concatenate(buckets), np.concatenate(sizes)
+        times = np.bincount(every, minlength=1 << BITS)
+        self.held = np.flatnonzero(times)
+        slot = np.zeros(1 << BITS, np.int32)
+        slot[self.held] = np.arange(len(self.held))
+        self.cols = slot[every]
+        self.full = np.flatnonzero(size)  # texts with n-grams
+        self.starts = (np.cumsum(size) - size)[self.full]
+        self.col_starts = np.cumsum(times[self.held]) - times[self.held]
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        self.rows = row[np.argsort(self.cols, kind="stable")]
+        self.room = np.empty(len(every))  # for one value of each entry
 
     def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        z = np.full(len(self.bounds) - 1, bias)
-        for first, last, cols, own in self.blocks():
-            z[first:last] += np.bincount(own, weights[cols], last - first)
+        """Of each text, bias and the sum of the weights of its columns."""
+        z = np.full(self.n_texts, bias)
+        if len(self.full):
+            z[self.full] += np.add.reduceat(weights.take(self.cols, out=self.room, mode="clip"), self.starts)
         return z
 
-    def totals(self, values: np.ndarray, size: int) -> np.ndarray:
-        """Of each column below size, the sum of the values of the texts that hold it."""
-        out = np.zeros(size)
-        for first, last, cols, own in self.blocks():
-            out += np.bincount(cols, values[first:last][own], size)
-        return out
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Of each column, the sum of the values of the texts that hold it."""
+        return np.add.reduceat(values.take(self.rows, out=self.room, mode="clip"), self.col_starts) if len(self.held) else np.zeros(0)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, memory: int = 5, rounds: int = 200, flat: float = 1e-4) -> np.ndarray:
+def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, memory: int = 5, rounds: int = 200, flat: float = 1e-3) -> np.ndarray:
     """x after limited-memory quasi-Newton steps, until the gradient's length is flat times the first one's."""
     value, slope = loss(x)
     enough = flat * np.linalg.norm(slope)
@@ -157,30 +149,23 @@ def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndar
 
 
 def fit_grams(grams: Grams, y: np.ndarray, row_weight: np.ndarray, l2: float, smooth: float) -> tuple[np.ndarray, float]:
-    """(weight of every bucket, bias), not calibrated."""
-    prior = float(np.clip(np.average(y, weights=row_weight), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
-    if not len(y) or y.min() == y.max():
-        return weights, bias
-    counts = [grams.totals((y == c).astype(float), 1 << BITS) for c in (0, 1)]
-    p, q = counts[1] + smooth, counts[0] + smooth * (y == 0).sum() / (y == 1).sum()
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    held = np.flatnonzero(counts[0] + counts[1])
-    slot = np.zeros(1 << BITS, np.int32)
-    slot[held] = np.arange(len(held))
-    own, r = Grams(slot[grams.cols], grams.bounds), ratio[held]
+    """(weight of every column, bias), not calibrated; texts of weight 0 take no part."""
+    prior = float(np.clip(np.average(y, weights=row_weight), 1e-3, 1 - 1e-3))
+    of = [((y == c) & (row_weight > 0)).astype(float) for c in (0, 1)]
+    p, q = grams.totals(of[1]) + smooth, grams.totals(of[0]) + smooth * of[0].sum() / of[1].sum()
+    unseen = (1 << BITS) - len(grams.held)
+    ratio = np.log(p / (p.sum() + unseen * smooth)) - np.log(q / (q.sum() + unseen * smooth * of[0].sum() / of[1].sum()))
     scale = row_weight / row_weight.sum()
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = x[:-1], x[-1]
-        z = own.margins(w * r, b)
+        z = grams.margins(w * ratio, b)
         miss = (sigmoid(z) - y) * scale
         value = float(scale @ (np.logaddexp(0, z) - y * z)) + 0.5 * l2 * float(w @ w)
-        return value, np.append(own.totals(miss, len(held)) * r + l2 * w, miss.sum())
+        return value, np.append(grams.totals(miss) * ratio + l2 * w, miss.sum())
 
-    x = minimised(loss, np.append(np.zeros(len(held)), bias))
-    weights[held] = x[:-1] * r
-    return weights, float(x[-1])
+    x = minimised(loss, np.append(np.zeros(len(grams.held)), np.log(prior / (1 - prior))))
+    return x[:-1] * ratio, float(x[-1])
 
 
 def calibration(z: np.ndarray, y: np.ndarray, row_weight: np.ndarray) -> tuple[float, float]:
@@ -200,18 +185,23 @@ def calibration(z: np.ndarray, y: np.ndarray, row_weight: np.ndarray) -> tuple[f
 
 def fit(texts: list[str], labels: list[int], negative_weight: float, l2: float = L2, smooth: float = SMOOTH, parts: int = PARTS) -> tuple[np.ndarray, float]:
     """(weight of every bucket, bias), calibrated on parts of the texts; equal texts are of one part. parts 0: not calibrated."""
-    y, grams = np.array(labels, float), Grams.of(texts)
+    y = np.array(labels, float)
     row_weight = np.where(y == 1, 1.0, negative_weight)
-    weights, bias = fit_grams(grams, y, row_weight, l2, smooth)
-    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % max(parts, 1) for t in texts], int)
-    if parts < 2 or any(len(np.unique(y[part != p])) < 2 for p in range(parts)):
-        return weights.astype(np.float32), bias
-    z = np.zeros(len(y))
-    for p in range(parts):
-        left, used = np.flatnonzero(part == p), np.flatnonzero(part != p)
-        z[left] = grams.some(left).margins(*fit_grams(grams.some(used), y[used], row_weight[used], l2, smooth))
-    a, b = calibration(z, y, row_weight)
-    return (a * weights).astype(np.float32), a * bias + b
+    weights = np.zeros(1 << BITS, np.float32)
+    if not len(y) or y.min() == y.max():
+        prior = float(np.clip(np.average(y, weights=row_weight), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+        return weights, float(np.log(prior / (1 - prior)))
+    grams = Grams(texts)
+    own, bias = fit_grams(grams, y, row_weight, l2, smooth)
+    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % max(parts, 1) for t in texts])
+    a, b = 1.0, 0.0
+    if parts > 1 and all(len(np.unique(y[part != p])) == 2 for p in range(parts)):
+        z = np.zeros(len(y))
+        for p in range(parts):
+            z[part == p] = grams.margins(*fit_grams(grams, y, np.where(part == p, 0.0, row_weight), l2, smooth))[part == p]
+        a, b = calibration(z, y, row_weight)
+    weights[grams.held] = a * own
+    return weights, a * bias + b
 
 
 def score_texts(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:

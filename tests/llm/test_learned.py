@@ -81,7 +81,7 @@ def test_toxicity_against_plain_python():
     first = [(0.5 - y) * s for y, s in zip(LABELS, scale)]
     slope = lambda m, w: np.array([sum(a for a, x in zip(m, grams) if g in x) * ratio[g] + l2 * w(g) for g in every] + [sum(m)])
     own = lambda g: float(weights[bucket[g]]) / ratio[g] if ratio[g] else 0.0
-    assert np.linalg.norm(slope(miss, own)) < 1e-3 * np.linalg.norm(slope(first, lambda g: 0.0))
+    assert np.linalg.norm(slope(miss, own)) < 2e-3 * np.linalg.norm(slope(first, lambda g: 0.0))
     new = [*TEXTS, None, "IDIOT", "x" * 50]
     assert toxicity.score_texts(new, weights, bias) == pytest.approx([1 / (1 + np.exp(-margin(t))) for t in new], abs=1e-5)
 
