@@ -11,6 +11,7 @@ from frameloom.sources import tensors, video
 from frameloom.sources.painted import painted
 from frameloom.sources.video_stream import VideoStream, write_videos
 from frameloom.streaming import background, stateful, table_functions
+from frameloom.streaming.mixture import MixtureModel, NeighbourModel
 from frameloom.streaming.tubelets import assembled, scored
 
 HEIGHT, WIDTH = 32, 48
@@ -51,6 +52,13 @@ def foreground(spark, d):
     return background.foreground(scene_frames(spark, d, colour=True), low=LOW, high=HIGH)
 
 
+def model_components(spark, d):
+    """K-1: the same components by a mixture of Gaussians that learns slowly, and by a model of neighbours over a long history."""
+    models = {"mixture": lambda: MixtureModel(rate=0.005), "neighbours": lambda: NeighbourModel(history=1_000_000)}
+    found = [background.foreground(scene_frames(spark, d, colour=True), low=LOW, high=HIGH, model_of=of).withColumn("model", F.lit(name)) for name, of in models.items()]
+    return found[0].unionByName(found[1])
+
+
 def frame_components(spark, d):
     """K-2, K-4: the same components by a table function of SQL over a table of frames."""
     table_functions.register(spark, low=LOW, high=HIGH)
@@ -149,6 +157,7 @@ ADDS = [sum(round((v - 90) * w) for v, w in zip(s, (4, 2, 1))) for s in SHADES]
 
 QUERIES = {
     "foreground_components": (foreground, FOREGROUND_SQL),
+    "model_components": (model_components, f"WITH f AS ({FOREGROUND_SQL}) SELECT f.*, model FROM f, (VALUES ('mixture'), ('neighbours')) m(model)"),
     "frame_components": (frame_components, FOREGROUND_SQL),
     "foreground_stream": (foreground_stream, FOREGROUND_SQL),
     "tubelets": (tubelets, clips_sql(*COLOUR_CLIPS)),

@@ -9,7 +9,7 @@ runs of foreground pixels and union-find over touching runs, in 8-connectivity.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,12 +184,14 @@ def found_in(model: SampleModel, video: str, frame: int, image: np.ndarray, low:
     return [(video, frame, *c) for c in components(model.apply(image)) if low * area <= c[4] <= high * area]
 
 
-def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float = 1.0, model_of: Callable[[], object] | None = None) -> DataFrame:
     """(video, frame, x, y, w, h, area) of every component within an area band, from a fresh model per video.
 
     frames: (video, frame, height, width, pixels). Videos are dealt over tasks and sorted by frame; a task
-    streams through its batches and holds one model at a time.
+    streams through its batches and holds one model at a time. model_of makes a model with a method `apply`
+    from frames to masks; by default one of samples, from the seed.
     """
+    fresh = model_of or (lambda: SampleModel(seed))
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, model = None, None
@@ -197,7 +199,7 @@ def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float
             out = []
             for r in pdf.itertuples(index=False):
                 if model is None or r.video != video:
-                    video, model = r.video, SampleModel(seed)
+                    video, model = r.video, fresh()
                 out += found_in(model, video, r.frame, image_of(r.pixels, r.height, r.width), low, high)
             yield pd.DataFrame(out, columns=["video", "frame", "x", "y", "w", "h", "area"])
 

@@ -14,22 +14,26 @@ from frameloom.streaming.background import to_grey
 
 
 class MixtureModel:
-    """Grey Gaussian mixture: `parts` components, history in frames, squared distance of a match in variances."""
+    """Grey Gaussian mixture: `parts` components, history in frames, squared distance of a match in variances.
 
-    def __init__(self, history: int = 500, parts: int = 4, match: float = 16.0, background_share: float = 0.9, variance: float = 15.0, floor: float = 4.0):
-        self.history, self.parts, self.match = history, parts, match
+    rate: a learning rate for every frame; by default one over the frames seen, at most the history.
+    """
+
+    def __init__(self, history: int = 500, parts: int = 4, match: float = 16.0, background_share: float = 0.9, variance: float = 15.0, floor: float = 4.0, rate: float | None = None):
+        self.history, self.parts, self.match, self.rate = history, parts, match, rate
         self.share, self.start_variance, self.floor = background_share, variance, floor
         self.seen = 0
         self.weight = self.mean = self.variance = None
 
     def apply(self, frame: np.ndarray, rate: float | None = None) -> np.ndarray:
-        """Foreground as 255. rate: learning rate; by default one over the frames seen, at most the history."""
+        """Foreground as 255. rate: learning rate of this frame instead of the model's."""
         grey = to_grey(frame).astype(np.float64)
         if self.weight is None:
             shape = (self.parts, *grey.shape)
             self.weight, self.mean, self.variance = np.zeros(shape), np.zeros(shape), np.full(shape, self.start_variance)
             self.weight[0], self.mean[0] = 1.0, grey
         self.seen += 1
+        rate = self.rate if rate is None else rate
         a = rate if rate is not None else 1 / min(2 * self.seen, self.history)
         apart = (grey - self.mean) ** 2
         fits = (apart < self.match * self.variance) & (self.weight > 0)

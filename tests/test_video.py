@@ -39,6 +39,58 @@ def test_models_find_the_square(make):
     assert found and any(abs(c[0] - 39) <= 10 for c in found)
 
 
+def plain_mixture(values, history, rate, parts=4, match=16.0, share=0.9, start=15.0, floor=4.0):
+    """Whether each value of one pixel is foreground, by the recursion written out for a single pixel."""
+    gaussians, out = [], []
+    for t, x in enumerate(values, 1):
+        if t == 1:
+            gaussians = [[1.0, float(x), start]] + [[0.0, 0.0, start] for _ in range(parts - 1)]
+        a = rate if rate is not None else 1 / min(2 * t, history)
+        fitting = [i for i, (w, m, v) in enumerate(gaussians) if w > 0 and (x - m) ** 2 < match * v]
+        covered, background = 0.0, set()
+        for i in sorted(range(parts), key=lambda i: -gaussians[i][0]):
+            if covered < share:
+                background.add(i)
+            covered += gaussians[i][0]
+        out.append(not background & set(fitting))
+        best = max(fitting, key=lambda i: (gaussians[i][0], -i)) if fitting else None
+        for i, g in enumerate(gaussians):
+            g[0] += a * ((i == best) - g[0])
+        if best is None:
+            gaussians[min(range(parts), key=lambda i: (gaussians[i][0], i))] = [a, float(x), start]
+        else:
+            w, m, v = gaussians[best]
+            k = a / max(w, a)
+            gaussians[best] = [w, m + k * (x - m), max(floor, v + k * ((x - m) ** 2 - v))]
+        total = sum(g[0] for g in gaussians)
+        for g in gaussians:
+            g[0] /= total
+    return out
+
+
+def plain_neighbours(values, history, samples=7, distance=20, least=2):
+    ring, out, every = [values[0]] * samples, [], max(1, history // samples)
+    for t, x in enumerate(values):
+        out.append(sum(abs(int(r) - int(x)) < distance for r in ring) < least)
+        if t % every == 0:
+            ring[t // every % samples] = x
+    return out
+
+
+@pytest.mark.parametrize("history,rate", [(500, None), (6, None), (500, 0.05)])
+def test_models_against_single_pixels(history, rate):
+    rng = np.random.default_rng(11)
+    modes = rng.choice([20, 24, 60, 90, 130, 180, 250], (120, 5, 7), p=[0.1, 0.1, 0.2, 0.35, 0.1, 0.1, 0.05])
+    frames = np.clip(modes + rng.integers(-5, 6, modes.shape), 0, 255).astype(np.uint8)
+    mixture, neighbours = MixtureModel(history, rate=rate), NeighbourModel(history)
+    got = [np.array([m.apply(f) for f in frames]) > 0 for m in (mixture, neighbours)]
+    assert all(0.05 < g.mean() < 0.95 for g in got[:1])
+    for y in range(5):
+        for x in range(7):
+            assert got[0][:, y, x].tolist() == plain_mixture(frames[:, y, x].astype(float).tolist(), history, rate)
+            assert got[1][:, y, x].tolist() == plain_neighbours(frames[:, y, x].tolist(), history)
+
+
 def test_mixture_learns_only_at_its_rate():
     still = list(moving_square(3, 60, still=True))
     empty = np.full_like(still[0], 90)
