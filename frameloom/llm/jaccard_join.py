@@ -15,8 +15,12 @@ is sent as one row with a number, so a token of very many sets is one small entr
 
 What is left is split into classes that are connected by shared prefix tokens of the first order. Classes
 that are too large for one task are split again by the prefix tokens of the second order, and these by the
-third; linked texts share one under every order, so they are never split. A class is cut into
-blocks of bounded size; each pair of its blocks is one task-sized group, in which a pair of members has to
+third; linked texts share one under every order, so they are never split. What is still too large is cut
+into blocks of bounded size, near copies together: by the smallest token of the second order, and a token of
+too many sets into several blocks. A member goes to another block only if it shares a prefix token with some
+member there under each of the three orders, so a class that common passages hold together sends its sets
+to few blocks. Tokens that every block of a class holds are one mark per member instead of a row per block.
+Each pair of blocks is one task-sized group, in which a pair of members has to
 share a prefix token under all three orders before matrix products of set memberships verify it. A group
 sends one row per member - the smallest member it reaches and how many documents it links to - so no pair is
 ever a row. Equal sets are one member throughout, with the number of its copies.
@@ -59,6 +63,8 @@ BROADCAST_ROWS = 500_000
 CHUNK = 8192
 
 
+#: Columns of a member that go to its groups.
+SENT = ("tokens", "shown", "label", "node", "copies")
 META = [("node", "S16"), ("n", "<u4"), ("counted", "<u4")]
 HOLDERS = [("token", "<u8"), ("member", "<u4")]
 
@@ -350,6 +356,59 @@ def prefix_rows(sets: DataFrame, order: int, at_least: tuple[int, int]) -> DataF
     return rows.select("label", "node", F.explode("tokens").alias("token"))
 
 
+def member_prefixes(large: DataFrame, at_least: tuple[int, int], class_tokens: int) -> DataFrame:
+    """(label, node, own, by_order): the block and the prefix tokens under each order of the members of large classes.
+
+    Members meet in a block by the smallest token of the second order, which texts of a similarity s share
+    with probability s. Keys over half of a block's tokens have blocks of their own, as many as they need;
+    these keys are no more than twice the blocks, and the others are light enough to be dealt by hash.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        every = [np.frombuffer(x, "<u8") for x in batch.column(0).to_pylist()]
+        later = [[order_prefix(s, o, prefix_length(len(s), at_least)) for o in ORDERS[1:]] for s in every]
+        return {
+            "label": batch.column(1), "node": batch.column(2), "n": batch.column(3), "n_blocks": batch.column(4),
+            "key": np.array([two.min() for two, _ in later], np.uint64).view(np.int64),
+            "by_order": [[one, *(x.view(np.int64) for x in more)] for one, more in zip(batch.column(5).to_pylist(), later)],
+        }
+
+    schema = "label binary, node binary, n long, n_blocks int, key long, by_order array<array<long>>"
+    members = staged(over_batches(large.select("tokens", "label", "node", "n", "n_blocks", "shown"), run, schema), "member-prefixes")
+    weight = F.sum(F.greatest("n", F.lit(-(-class_tokens // CLASS_MEMBERS))))
+    heavy = members.groupBy("label", "key").agg(weight.alias("weight")).where(F.col("weight") * 2 > class_tokens)
+    heavy = staged(heavy.select("label", "key", F.ceil(F.col("weight") / class_tokens).alias("parts")), "heavy-keys", small=True)
+    light = F.pmod(F.xxhash64("key"), F.col("n_blocks"))
+    own = F.when(F.col("parts").isNull(), light).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    return staged(members.join(heavy, ["label", "key"], "left").select("label", "node", own.alias("own"), "by_order"), "placed-members")
+
+
+def visits(members: DataFrame) -> DataFrame:
+    """(node, own, other): the blocks each member of `member_prefixes` has to be compared with, its own included.
+
+    A member goes to a block if under every order it has a prefix token that the block has.
+    """
+    tokens = members.select("label", "node", "own", F.posexplode("by_order").alias("order", "of_order")).select("label", "node", "own", "order", F.explode("of_order").alias("token"))
+    blocks = staged(members.select("label", "own").distinct(), "blocks", small=True)
+    n_own = blocks.groupBy("label").agg(F.count("*").alias("n_own"))
+    by_token = ["label", "order", "token"]
+    held = staged(tokens.select(*by_token, F.col("own").alias("other")).distinct(), "block-tokens")
+    spread = held.groupBy(by_token).agg(F.count("*").alias("n_held")).where("n_held > 1").join(n_own, "label")
+    spread = staged(spread.select(*by_token, (F.col("n_held") == F.col("n_own")).alias("everywhere")), "spread-tokens")
+
+    bit = F.expr("shiftleft(1, order)")
+    every = (1 << len(ORDERS)) - 1
+    marks = tokens.join(spread.where("everywhere"), by_token).groupBy("node").agg(F.bit_or(bit).alias("marks"))
+    marks = staged(marks, "marks", small=True)
+    all_blocks = members.select("label", "node", "own").join(marks.where(F.col("marks") == every), "node").join(blocks.withColumnRenamed("own", "other"), "label")
+    rest = tokens.join(marks, "node", "left").withColumn("marks", F.coalesce("marks", F.lit(0))).where(F.col("marks").bitwiseAND(bit) == 0)
+    some = held.join(spread.where("NOT everywhere"), by_token).drop("everywhere")
+    found = rest.join(some, by_token).groupBy("node", "own", "other").agg(F.bit_or(bit.bitwiseOR(F.col("marks"))).alias("orders"))
+    found = found.where((F.col("orders") == every) & (F.col("own") != F.col("other"))).select("node", "own", "other")
+    own = members.select("node", "own", F.col("own").alias("other"))
+    return own.unionByName(all_blocks.where("own <> other").select("node", "own", "other")).unionByName(found)
+
+
 def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, at_least: tuple[int, int] = AT_LEAST, class_tokens: int = CLASS_TOKENS) -> DataFrame:
     """Per row of docs: doc_id, version, n_shingles, component_id, n_links (documents it links to), class.
 
@@ -399,9 +458,14 @@ def class_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         large = staged(placed.where("n_blocks > 1").drop("n_blocks"), "large-classes")
         split = connected(prefix_rows(large, order, at_least))
         sets = staged(large.drop("label").join(split, "node"), "split-classes")
-    placed = placed if done is None else placed.unionByName(done.withColumn("n_blocks", F.lit(1)))
-    paired = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    paired = paired.select("tokens", "shown", "label", "node", "copies", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    large = placed.where("n_blocks > 1")
+    placed = placed.where("n_blocks = 1") if done is None else placed.where("n_blocks = 1").unionByName(done.withColumn("n_blocks", F.lit(1)))
+    one_block = F.lit(0).cast("long")
+    paired = placed.select(*SENT, one_block.alias("own"), one_block.alias("first"), one_block.alias("second"))
+    if large.limit(1).count():
+        met = staged(visits(member_prefixes(large, at_least, class_tokens)), "visits")
+        met = large.select(*SENT).join(met, "node").select(*SENT, "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+        paired = paired.unionByName(met)
     # by all three, or Spark would keep a class that is together by its label in one task
     paired = paired.repartition("label", "first", "second")
     links = staged(paired.groupBy("label", "first", "second").applyInArrow(lambda t: group_links(t, at_least), "a binary, b binary, n_linked long"), "links", small=True)
