@@ -388,7 +388,8 @@ def visits(members: DataFrame) -> DataFrame:
 
     A member goes to a block if under every order it has a prefix token that the block has.
     """
-    tokens = members.select("label", "node", "own", F.posexplode("by_order").alias("order", "of_order")).select("label", "node", "own", "order", F.explode("of_order").alias("token"))
+    orders = lambda rows, *more: rows.select("label", "node", "own", *more, F.posexplode("by_order").alias("order", "of_order"))
+    tokens = orders(members).select("label", "node", "own", "order", F.explode("of_order").alias("token"))
     blocks = staged(members.select("label", "own").distinct(), "blocks", small=True)
     n_own = blocks.groupBy("label").agg(F.count("*").alias("n_own"))
     by_token = ["label", "order", "token"]
@@ -401,7 +402,9 @@ def visits(members: DataFrame) -> DataFrame:
     marks = tokens.join(spread.where("everywhere"), by_token).groupBy("node").agg(F.bit_or(bit).alias("marks"))
     marks = staged(marks, "marks", small=True)
     all_blocks = members.select("label", "node", "own").join(marks.where(F.col("marks") == every), "node").join(blocks.withColumnRenamed("own", "other"), "label")
-    rest = tokens.join(marks, "node", "left").withColumn("marks", F.coalesce("marks", F.lit(0))).where(F.col("marks").bitwiseAND(bit) == 0)
+    # marks meet members, not their tokens; the tokens of a marked order are not looked up
+    rest = orders(members.join(marks, "node", "left"), F.coalesce("marks", F.lit(0)).alias("marks")).where(F.col("marks").bitwiseAND(bit) == 0)
+    rest = rest.select("label", "node", "own", "marks", "order", F.explode("of_order").alias("token"))
     some = held.join(spread.where("NOT everywhere"), by_token).drop("everywhere")
     found = rest.join(some, by_token).groupBy("node", "own", "other").agg(F.bit_or(bit.bitwiseOR(F.col("marks"))).alias("orders"))
     found = found.where((F.col("orders") == every) & (F.col("own") != F.col("other"))).select("node", "own", "other")
