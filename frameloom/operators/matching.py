@@ -102,17 +102,20 @@ def cheapest_cycles(reduced: np.ndarray, column_of: np.ndarray) -> np.ndarray:
     return step + way.T
 
 
-def associate(before: list[tuple[float, float]], now: list[tuple[float, float]]) -> tuple[dict[int, int], float | None]:
+def associate(before: list[tuple[float, float]], now: list[tuple[float, float]], slack: float = 1e-12) -> tuple[dict[int, int], float | None]:
     """({place now: place before}, ratio of the second-best to the best total distance).
 
     Equal numbers: the assignment with the smallest total; of equal ones the first, as lists of places
     before. Any other assignment differs from the best one by rings of rows that pass their partners on,
     so the second-best total is the best one plus the cheapest ring. Unequal numbers: each box now, in
     order, takes the nearest box before that is free. No ratio for a single box or a best of 0.
+
+    Totals are equal within slack times the largest distance (at least 1). With 0 the two totals of two boxes are
+    compared as they add up in doubles, as SQL compares them: boxes on one line differ there by their last bit.
     """
     if not before or not now:
         return {}, None
-    gap = np.hypot(*(np.subtract.outer([p[i] for p in now], [p[i] for p in before]) for i in (0, 1)))
+    gap = np.sqrt(sum(np.subtract.outer([p[i] for p in now], [p[i] for p in before]) ** 2 for i in (0, 1)))
     if len(before) != len(now):
         free, out = np.ones(len(before), bool), {}
         for i, row in enumerate(gap[: len(before)]):
@@ -120,12 +123,16 @@ def associate(before: list[tuple[float, float]], now: list[tuple[float, float]])
             free[out[i]] = False
         return out, None
     n = len(now)
-    column_of, reduced = best_assignment(gap)
     if n == 1:
         return {0: 0}, None
+    nearly = slack * max(1.0, float(gap.max()))
+    if n == 2:
+        straight, crossed = float(gap[0, 0] + gap[1, 1]), float(gap[0, 1] + gap[1, 0])
+        best, other = min(straight, crossed), max(straight, crossed)
+        return {0: 0, 1: 1} if straight <= crossed + nearly else {0: 1, 1: 0}, other / best if best > 0 else None
+    column_of, reduced = best_assignment(gap)
     rings = cheapest_cycles(reduced, column_of)
     np.fill_diagonal(rings, np.inf)
-    nearly = 1e-12 * max(1.0, float(gap.max()))
     second = float(rings.min())
     if second <= nearly:  # other assignments are as good
         column_of = first_of_equals(reduced, column_of, nearly)
@@ -160,8 +167,8 @@ def first_of_equals(reduced: np.ndarray, column_of: np.ndarray, nearly: float) -
     return column_of
 
 
-def track_ids(boxes: DataFrame) -> DataFrame:
-    """(video, frame, idx, cx, cy, track_id, ratio) from boxes with (video, frame, idx, cx, cy).
+def track_ids(boxes: DataFrame, slack: float = 1e-12) -> DataFrame:
+    """(video, frame, idx, cx, cy, track_id, ratio) from boxes with (video, frame, idx, cx, cy); slack as in `associate`.
 
     Identities pass from frame to frame by `associate`; a gap, an empty frame or an unmatched box starts
     new ones. The fold needs a video's frames in order: videos are dealt over tasks and sorted, and a task
@@ -175,7 +182,7 @@ def track_ids(boxes: DataFrame) -> DataFrame:
         def close() -> list[tuple]:
             nonlocal ids, points, last, fresh
             frame, now = held[0][1], [(r[3], r[4]) for r in held]
-            match, ratio = associate(points, now) if last is not None and frame == last + 1 else ({}, None)
+            match, ratio = associate(points, now, slack) if last is not None and frame == last + 1 else ({}, None)
             new = []
             for i in range(len(now)):
                 new.append(ids[match[i]] if i in match else fresh)
