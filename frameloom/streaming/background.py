@@ -69,8 +69,8 @@ class SampleModel:
         if self.samples is None:
             self.start(grey)
             return np.zeros_like(grey)
-        near = np.abs(self.samples.astype(np.int16) - grey) < self.radius
-        background = near.sum(axis=0) >= self.least
+        near = np.maximum(self.samples, grey) - np.minimum(self.samples, grey) < self.radius
+        background = np.add.reduce(near, axis=0, dtype=np.uint8 if self.n < 256 else np.int64) >= self.least
         self.replace(grey, background, neighbours=False)
         self.replace(grey, background, neighbours=True)
         return np.where(background, 0, 255).astype(np.uint8)
@@ -88,10 +88,13 @@ class SampleModel:
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(x, y, w, h, area) of the 8-connected parts of a mask, ordered by their first pixel."""
-    on = np.pad(mask != 0, ((0, 0), (1, 1)))
-    edge = np.diff(on.astype(np.int8), axis=1)
-    row, start = np.nonzero(edge == 1)
-    end = np.nonzero(edge == -1)[1]
+    on = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    on[:, 1:-1] = mask != 0
+    edge = np.flatnonzero(on[:, 1:] != on[:, :-1])  # starts and ends of runs alternate
+    if not len(edge):
+        return []
+    line, at = np.divmod(edge, mask.shape[1] + 1)
+    row, start, end = line[::2].tolist(), at[::2].tolist(), at[1::2].tolist()
     parent = list(range(len(row)))
 
     def root(i: int) -> int:
@@ -100,24 +103,22 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
             i = parent[i]
         return i
 
-    bounds = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    for y in range(1, mask.shape[0]):
-        i, j = bounds[y - 1], bounds[y]
-        while i < bounds[y] and j < bounds[y + 1]:
-            if start[i] <= end[j] and start[j] <= end[i]:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-            if end[i] < end[j]:
-                i += 1
-            else:
-                j += 1
+    i = 0  # the first run that may touch run j from the line above
+    for j in range(len(row)):
+        while row[i] < row[j] - 1 or (row[i] == row[j] - 1 and end[i] < start[j]):
+            i += 1
+        k = i
+        while row[k] == row[j] - 1 and start[k] <= end[j]:
+            a, b = root(k), root(j)
+            parent[max(a, b)] = min(a, b)
+            k += 1
     parts: dict[int, list[int]] = {}
     for i in range(len(row)):
         parts.setdefault(root(i), []).append(i)
     out = []
     for runs in parts.values():
-        x, y = min(start[i] for i in runs), min(row[i] for i in runs)
-        out.append((int(x), int(y), int(max(end[i] for i in runs) - x), int(max(row[i] for i in runs) - y + 1), int(sum(end[i] - start[i] for i in runs))))
+        x, y = min(start[i] for i in runs), row[runs[0]]
+        out.append((x, y, max(end[i] for i in runs) - x, row[runs[-1]] - y + 1, sum(end[i] - start[i] for i in runs)))
     return out
 
 
@@ -184,12 +185,12 @@ def found_in(model: SampleModel, video: str, frame: int, image: np.ndarray, low:
     return [(video, frame, *c) for c in components(model.apply(image)) if low * area <= c[4] <= high * area]
 
 
-def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float = 1.0, model_of: Callable[[], object] | None = None) -> DataFrame:
+def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float = 1.0, model_of: Callable[[], object] | None = None, in_order: bool = False) -> DataFrame:
     """(video, frame, x, y, w, h, area) of every component within an area band, from a fresh model per video.
 
-    frames: (video, frame, height, width, pixels). Videos are dealt over tasks and sorted by frame; a task
-    streams through its batches and holds one model at a time. model_of makes a model with a method `apply`
-    from frames to masks; by default one of samples, from the seed.
+    frames: (video, frame, height, width, pixels). Videos are dealt over tasks and sorted by frame, unless they
+    come in_order (see `sources.painted`); a task streams through its batches and holds one model at a time.
+    model_of makes a model with a method `apply` from frames to masks; by default one of samples, from the seed.
     """
     fresh = model_of or (lambda: SampleModel(seed))
 
@@ -203,5 +204,9 @@ def foreground(frames: DataFrame, seed: int = 20, low: float = 0.0, high: float
                 out += found_in(model, video, r.frame, image_of(r.pixels, r.height, r.width), low, high)
             yield pd.DataFrame(out, columns=["video", "frame", "x", "y", "w", "h", "area"])
 
-    ordered = frames.select("video", "frame", "height", "width", "pixels").repartition("video").sortWithinPartitions("video", "frame")
-    return ordered.mapInPandas(run, FOREGROUND)
+    return by_video(frames.select("video", "frame", "height", "width", "pixels"), in_order).mapInPandas(run, FOREGROUND)
+
+
+def by_video(rows: DataFrame, in_order: bool = False) -> DataFrame:
+    """Rows with each video in one task, in order of frame; rows that come so already are left as they are."""
+    return rows if in_order else rows.repartition("video").sortWithinPartitions("video", "frame")
