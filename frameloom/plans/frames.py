@@ -12,7 +12,7 @@ from frameloom.sources.painted import painted
 from frameloom.sources.video_stream import VideoStream, write_videos
 from frameloom.streaming import background, stateful, table_functions
 from frameloom.streaming.mixture import MixtureModel, NeighbourModel
-from frameloom.streaming.tubelets import assembled, scored
+from frameloom.streaming.tubelets import clips_of, scored, wanted_by
 
 HEIGHT, WIDTH = 32, 48
 # blue, green and red by tint; the third one is as bright as the background and so is never foreground
@@ -22,22 +22,28 @@ SHADES = ((200, 40, 60), (30, 220, 200), (20, 20, 250))
 LOW, HIGH = 15 / 1536, 40 / 1536
 
 
-def scene_frames(spark, d, colour: bool):
-    """A frame for each row of `scenes` and an empty frame 0 for each video."""
+def scene_frames(spark, d, colour: bool, in_order: bool = False, wanted=None):
+    """A frame for each row of `scenes` and an empty frame 0 for each video; in_order and wanted as in `painted`."""
     shades = SHADES if colour else [(background.to_grey_value(s),) for s in SHADES]
     back = BACK if colour else (background.to_grey_value(BACK),)
     s = view(spark, d, "scenes")
     shade = F.element_at(F.array(*(F.array(*(F.lit(v) for v in c)) for c in shades)), (F.col("tint") + 1).cast("int"))
     rows = s.select("video", "frame", *(F.col(c).cast("int").alias(c) for c in "xywh"), shade.alias("shade"))
     empty = s.select("video").distinct().withColumn("frame", F.lit(0).cast("long"))
-    return painted(rows.unionByName(empty, allowMissingColumns=True), HEIGHT, WIDTH, back)
+    return painted(rows.unionByName(empty, allowMissingColumns=True), HEIGHT, WIDTH, back, in_order, wanted)
+
+
+def scene_clips(spark, d, colour: bool):
+    """Complete eight-frame clips around the proposals, cut where the frames are painted."""
+    wanted = wanted_by(scene_proposals(spark, d), 8)
+    return clips_of(scene_frames(spark, d, colour, in_order=True, wanted=wanted), 8, 8, 0.5)
 
 
 def scene_stream(spark, frames, batch: int):
     """The frames as a stream over video files, at most `batch` of each video at a time."""
     spark.dataSource.register(VideoStream)
     root = scratch(spark, "video-stream")
-    write_videos(frames, f"{root}/files")
+    write_videos(frames, f"{root}/files", in_order=True)
     return spark.readStream.format("video_stream").options(path=f"{root}/files", progress=f"{root}/progress", frames_per_batch=batch).load()
 
 
@@ -49,13 +55,13 @@ def scene_proposals(spark, d):
 
 def foreground(spark, d):
     """ST-1, K-2, K-3, K-4, SNK-2: components of colour frames with one object each, within an area band."""
-    return background.foreground(scene_frames(spark, d, colour=True), low=LOW, high=HIGH)
+    return background.foreground(scene_frames(spark, d, colour=True, in_order=True), low=LOW, high=HIGH, in_order=True)
 
 
 def model_components(spark, d):
     """K-1: the same components by a mixture of Gaussians that learns slowly, and by a model of neighbours over a long history."""
     models = {"mixture": lambda: MixtureModel(rate=0.005), "neighbours": lambda: NeighbourModel(history=1_000_000)}
-    found = [background.foreground(scene_frames(spark, d, colour=True), low=LOW, high=HIGH, model_of=of).withColumn("model", F.lit(name)) for name, of in models.items()]
+    found = [background.foreground(scene_frames(spark, d, colour=True, in_order=True), low=LOW, high=HIGH, model_of=of, in_order=True).withColumn("model", F.lit(name)) for name, of in models.items()]
     return found[0].unionByName(found[1])
 
 
@@ -67,7 +73,7 @@ def frame_components(spark, d):
 
 def foreground_stream(spark, d):
     """ST-1, SRC-16: the same components from a stream over video files, the model kept as state between micro-batches."""
-    stream = scene_stream(spark, scene_frames(spark, d, colour=False), 60)
+    stream = scene_stream(spark, scene_frames(spark, d, colour=False, in_order=True), 60)
     return stateful.drained(stateful.foreground_stream(stream, low=LOW, high=HIGH, idle_ms=None), "foreground")
 
 
@@ -77,19 +83,19 @@ def clip_bytes(clips):
 
 def tubelets(spark, d):
     """K-8, K-6: complete eight-frame clips in colour around proposals, the border repeated outside; others are left out."""
-    return clip_bytes(assembled(scene_proposals(spark, d), scene_frames(spark, d, colour=True), 8, 8, 0.5))
+    return clip_bytes(scene_clips(spark, d, colour=True))
 
 
 def clip_stream(spark, d):
     """ST-2: clips around proposals from a stream of frames, each video's last seven kept as state."""
-    stream = scene_stream(spark, scene_frames(spark, d, colour=False), 60)
+    stream = scene_stream(spark, scene_frames(spark, d, colour=False, in_order=True), 60)
     clips = stateful.clip_stream(scene_proposals(spark, d), stream, 8, 8, 0.5, idle_ms=None)
     return clip_bytes(stateful.drained(clips, "clips"))
 
 
 def scored_clips(spark, d):
     """ST-3, K-9: full batches of clips, normalised by channel, whatever the size of the Arrow batches they come in."""
-    clips = assembled(scene_proposals(spark, d), scene_frames(spark, d, colour=True), 8, 8, 0.5)
+    clips = scene_clips(spark, d, colour=True)
     mean, std = (90 / 255, 90 / 255, 90 / 255), (1 / 255, 2 / 255, 4 / 255)
     rows = scored(clips, lambda x: x.sum(axis=(1, 2, 3, 4), dtype=float), 8, 8, "tchw", 96, mean, std)
     return rows.select("proposal", F.round(F.col("score") * 4).cast("long").alias("quarters"))
@@ -98,7 +104,7 @@ def scored_clips(spark, d):
 def decoded_videos(spark, d):
     """SRC-14, SRC-15, SRC-16, ST-5: video files found by base name, their decoded frames against what the container says."""
     root = f"{scratch(spark, 'videos')}/data"
-    write_videos(scene_frames(spark, d, colour=True), f"{root}/videos")
+    write_videos(scene_frames(spark, d, colour=True, in_order=True), f"{root}/videos", in_order=True, packed=True)
     names = view(spark, d, "scenes").select(F.concat(F.lit("cam/"), "video", F.lit(".y4m")).alias("video")).distinct()
     files = video.video_files(spark, root, names)
     counts = video.decoded_counts(files, video.y4m_colour_frames)
@@ -109,10 +115,11 @@ def decoded_videos(spark, d):
 
 def colour_pictures(spark, d):
     """SRC-16, K-3: files of 6 x 5 pictures with a chroma sample for every four pixels, one for each customer, decoded into blue, green and red."""
-    at = lambda expr: f"transform(sequence(0, {{}}), k -> lpad(hex({expr}), 2, '0'))"
-    luma = at("(3 * o_orderkey + 7 * (k div 6) + 5 * (k % 6)) % 256").format(29)
-    blue, red = (at(f"({key} + 11 * (k div 3) + 3 * (k % 3)) % 256").format(8) for key in ("o_custkey", "2 * o_orderkey"))
-    picture = f"unhex(concat('4652414D450A', array_join(concat({luma}, {blue}, {red}), '')))"
+    # a plane repeats for keys that are equal modulo 256, so there are 256 of each kind
+    plane = lambda down, right, n, w: "array(" + ", ".join("X'" + in_hex((v + down * (k // w) + right * (k % w)) % 256 for k in range(n)) + "'" for v in range(256)) + ")"
+    luma, chroma = plane(7, 5, 30, 6), plane(11, 3, 9, 3)
+    at = lambda planes, key: f"element_at({planes}, CAST(pmod({key}, 256) AS int) + 1)"
+    picture = f"concat(X'4652414D450A', {at(luma, '3 * o_orderkey')}, {at(chroma, 'o_custkey')}, {at(chroma, '2 * o_orderkey')})"
     pictures = view(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", f"{picture} AS picture")
     each = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "picture"))), lambda p: F.hex(p["picture"]))  # a customer's orders
     body = F.unhex(F.concat(F.hex(F.lit("YUV4MPEG2 W6 H5 F30000:1001 Ip C420jpeg\n")), F.array_join(each, "")))
@@ -123,7 +130,7 @@ def colour_pictures(spark, d):
 def tensor_store(spark, d):
     """SRC-18, SNK-7: clips written into a store of equally large records, all of them read, and ranges and lists of ids by their places."""
     path = scratch(spark, "tensors")
-    tensors.write_tensors(assembled(scene_proposals(spark, d), scene_frames(spark, d, colour=False), 8, 8, 0.5), path, 512, "proposal", "clip")
+    tensors.write_tensors(scene_clips(spark, d, colour=False), path, 512, "proposal", "clip")
     every = tensors.read_tensors(spark, path).select("id", F.md5(F.hex("data")).alias("clip_md5"))
     some = tensors.read_tensors(spark, path, "id >= 100 AND id < 2000").unionByName(tensors.read_tensors(spark, path, "id IN (7, 8, 2500, -3)"))
     return every.join(some.select("id", F.md5(F.hex("data")).alias("again_md5")), "id", "left").withColumnRenamed("id", "proposal")

@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from frameloom.sources.frames import SCHEMA
 from frameloom.sources.video import to_bgr, to_ycbcr, y4m_header
-from frameloom.streaming.background import image_of
+from frameloom.streaming.background import by_video, image_of
 
 #: The longest header line that is looked for.
 HEAD_BYTES = 4096
@@ -46,11 +46,13 @@ def header(height: int, width: int, channels: int, rate: str = "25:1") -> bytes:
     return f"YUV4MPEG2 W{width} H{height} F{rate} {'Cmono' if channels == 1 else 'C444'}\n".encode()
 
 
-def write_videos(frames: DataFrame, path: str) -> None:
+def write_videos(frames: DataFrame, path: str, in_order: bool = False, packed: bool = False) -> None:
     """Write each video of (video, frame, height, width, pixels) to `path`/video.y4m, its frames in order of their number.
 
     A task streams a video into a file of its own and moves it to its name at the end, over an older one: readers
-    see whole files only, and a task that is repeated leaves the same.
+    see whole files only, and a task that is repeated leaves the same. in_order: each video comes from one task
+    and in order already. packed: files are written through gzip; `sources.video` reads them frame by frame, a
+    stream, which looks for places in a file, does not.
     """
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,13 +70,13 @@ def write_videos(frames: DataFrame, path: str) -> None:
                 if r.video != video:
                     done()
                     video, part = r.video, f"{root}/.{r.video}.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(part)
+                    out = fs.open_output_stream(part, compression="gzip" if packed else None)
                     out.write(header(r.height, r.width, len(r.pixels) // (r.height * r.width)))
                 out.write(encoded(r.height, r.width, r.pixels))
         done()
         yield pd.DataFrame({"video": [] if video is None else [video]})
 
-    ordered = frames.select("video", "frame", "height", "width", "pixels").repartition("video").sortWithinPartitions("video", "frame")
+    ordered = by_video(frames.select("video", "frame", "height", "width", "pixels"), in_order)
     ordered.mapInPandas(run, "video string").write.format("noop").mode("overwrite").save()
 
 
@@ -111,18 +113,23 @@ class VideoStream(DataSource):
         return VideoStreamReader(self.options)
 
 
-class Range(InputPartition):
-    """Frames `start` to `stop` of a video."""
+#: Frames that a task reads at least, if there are as many, and the most tasks of a micro-batch but for one.
+TASK_FRAMES, TASKS = 1024, 128
 
-    def __init__(self, video: str, start: int, stop: int):
-        super().__init__((video, start, stop))
-        self.video, self.start, self.stop = video, start, stop
+
+class Ranges(InputPartition):
+    """(video, start, stop): frames `start` to `stop` of each of some videos."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(tuple(ranges))
+        self.ranges = ranges
 
 
 class VideoStreamReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.progress = options["path"], options["progress"]
         self.limit = int(options.get("frames_per_batch", 0))
+        self.layouts: dict[str, Layout] = {}  # files grow, their headers stay
 
     def initialOffset(self) -> dict:
         return {}
@@ -155,8 +162,10 @@ class VideoStreamReader(DataSourceStreamReader):
         for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
             if f.base_name.endswith(".y4m") and not f.base_name.startswith("."):
                 video = f.base_name.removesuffix(".y4m")
-                with fs.open_input_file(f.path) as whole:
-                    there = layout_of(whole.read(HEAD_BYTES))
+                if video not in self.layouts:
+                    with fs.open_input_file(f.path) as whole:
+                        self.layouts[video] = layout_of(whole.read(HEAD_BYTES))
+                there = self.layouts[video]
                 have = max(0, (f.size - there.first) // there.size)
                 start = at.get(video, 0)
                 upto[video] = max(start, min(have, start + self.limit) if self.limit else have)
@@ -166,19 +175,33 @@ class VideoStreamReader(DataSourceStreamReader):
         return upto
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Range(v, start.get(v, 0), n) for v, n in end.items() if n > start.get(v, 0)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
+        """Ranges of many videos share a task: the number of tasks does not grow with the videos."""
+        new = [(v, start.get(v, 0), n) for v, n in end.items() if n > start.get(v, 0)]
+        each = max(TASK_FRAMES, sum(n - a for _, a, n in new) // TASKS)
+        parts, room = [], 0
+        for r in new:
+            if room <= 0:
+                parts.append([])
+                room = each
+            parts[-1].append(r)
+            room -= r[2] - r[1]
+        return [Ranges(p) for p in parts]
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for video, start, stop in partition.ranges:
+            yield from self.frames(video, start, stop)
+
+    def frames(self, video: str, start: int, stop: int) -> Iterator[tuple]:
         fs, root = store_of(self.path)
-        with fs.open_input_file(f"{root}/{partition.video}.y4m") as whole:
+        with fs.open_input_file(f"{root}/{video}.y4m") as whole:
             there = layout_of(whole.read(HEAD_BYTES))
-            whole.seek(there.first + partition.start * there.size)
-            for k in range(partition.start, partition.stop):
+            whole.seek(there.first + start * there.size)
+            for k in range(start, stop):
                 body = whole.read(there.size)[len(MARK) :]
                 if there.channels == 3:
                     planes = np.frombuffer(body, np.uint8).reshape(3, there.height, there.width)
                     body = to_bgr(planes).tobytes()
-                yield partition.video, k, there.height, there.width, body
+                yield video, k, there.height, there.width, body
 
     def commit(self, end: dict) -> None:
         pass

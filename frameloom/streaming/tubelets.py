@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.operators.joins import in_windows
-from frameloom.streaming.background import crop, image_of
+from frameloom.streaming.background import by_video, crop, image_of, resized
 from frameloom.streaming.windows import micro_batches
 
 # Axis orders of a clip of (frames, height, width) as models take it.
@@ -27,31 +26,104 @@ def wanted_frames(frames: DataFrame, proposals: DataFrame, length: int, frame: s
 CLIPS = "proposal long, video string, centre long, n long, synthetic double, clip binary"
 
 
+def wanted_by(proposals: DataFrame, length: int) -> DataFrame:
+    """(video, frame, wanted): the proposals whose window a frame completes, the one (length - 1) - (length - 1) // 2 after their centre."""
+    trail = length - 1 - (length - 1) // 2
+    box = F.struct(F.col("proposal").cast("long").alias("proposal"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
+    return proposals.groupBy("video", (F.col("centre") + trail).alias("frame")).agg(F.sort_array(F.collect_list(box)).alias("wanted"))
+
+
 def assembled(proposals: DataFrame, frames: DataFrame, length: int, size: int, padding: float, method: str = "linear") -> DataFrame:
     """(proposal, video, centre, n, synthetic, clip) of complete windows.
 
     proposals: (proposal, video, centre, x, y, w, h); frames: (video, frame, height, width, pixels).
-    Crops are cut where the frames are and only crops of size x size bytes travel to be put together.
-    Windows that run past either end of a video are left out; see `dropped`.
+    Windows that run past either end of a video, or that lack a frame or have one twice, are left out; see `dropped`.
+    """
+    rows = frames.join(wanted_by(proposals, length), ["video", "frame"], "left").select("video", "frame", "height", "width", "pixels", "wanted")
+    return clips_of(by_video(rows), length, size, padding, method)
+
+
+def clips_of(rows: DataFrame, length: int, size: int, padding: float, method: str = "linear") -> DataFrame:
+    """The clips of frames that carry the proposals of `wanted_by`, each video in one task and in order.
+
+    A frame goes through a task once, whatever the number of windows that it lies in: clips are cut where the frames
+    are, from those of one batch and the few before it, and nothing has to be put together afterwards.
     """
-    lead = (length - 1) // 2
-    near = in_windows(proposals, frames, ["video"], lead, length - 1 - lead)
 
     def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in pdfs:
-            made = []
-            for r in pdf.itertuples(index=False):
-                image = image_of(r.pixels, r.height, r.width)
-                side = max(r.w, r.h) * (1 + 2 * padding)
-                out, share = crop(image, r.x + r.w / 2, r.y + r.h / 2, side, size, method=method)
-                made.append((r.proposal, r.video, r.centre, r.frame, share, out.tobytes()))
-            yield pd.DataFrame(made, columns=["proposal", "video", "centre", "frame", "synthetic", "part"])
-
-    parts = near.mapInPandas(cut, "proposal long, video string, centre long, frame long, synthetic double, part binary")
-    each = parts.groupBy("proposal", "video", "centre").agg(F.count("*").alias("n"), F.max("synthetic").alias("synthetic"), F.array_sort(F.collect_list(F.struct("frame", "part"))).alias("parts"))
-    whole = each.where(F.col("n") == length)
-    clip = F.concat(*(F.get("parts", F.lit(i))["part"] for i in range(length)))
-    return whole.select("proposal", "video", "centre", "n", "synthetic", clip.alias("clip"))
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            done = 0 if held is None else len(held) - 1
+            if len(rows):  # the last row waits: the next may be the same frame again
+                yield from cut_rows(rows, done, len(rows) - 1, length, size, padding, method)
+                held = rows.iloc[max(0, len(rows) - length - 1) :].reset_index(drop=True)
+        if held is not None:
+            yield from cut_rows(held, len(held) - 1, len(held), length, size, padding, method)
+
+    return rows.mapInPandas(cut, CLIPS)
+
+
+#: Clips that are cut at once.
+CUT_CLIPS = 2048
+
+
+def cut_rows(rows: pd.DataFrame, first: int, last: int, length: int, size: int, padding: float, method: str) -> Iterator[pd.DataFrame]:
+    """The clips that rows `first` to `last` of ordered frames complete; the row after the last is there if it is the same frame again."""
+    video, frame = rows["video"].to_numpy(), rows["frame"].to_numpy()
+    follows = np.zeros(len(rows), bool)
+    same = video[1:] == video[:-1]
+    follows[1:] = same & (frame[1:] == frame[:-1] + 1)
+    twice = np.zeros(len(rows), bool)
+    twice[1:] = same & (frame[1:] == frame[:-1])
+    twice[:-1] |= twice[1:]
+    run = np.arange(len(rows)) - np.maximum.accumulate(np.where(follows, -1, np.arange(len(rows))))
+    broken = np.concatenate([[0], np.cumsum(twice)])
+    at = np.arange(len(rows))
+    whole = (run >= length - 1) & (broken[at + 1] == broken[np.maximum(at - length + 1, 0)])
+    wanted = rows["wanted"].to_numpy()
+    found = [(i, p) for i in range(first, last) if whole[i] and wanted[i] is not None for p in wanted[i]]
+    shape = list(zip(rows["height"], rows["width"], map(len, rows["pixels"])))
+    for a in range(0, len(found), CUT_CLIPS):
+        some = found[a : a + CUT_CLIPS]
+        ends = np.array([i for i, _ in some])
+        x, y, w, h = (np.array([p[c] for _, p in some], float) for c in "xywh")
+        if not np.isfinite([x, y, w, h]).all():
+            raise ValueError("a proposal without a place")
+        side = np.maximum(w, h) * (1 + 2 * padding)
+        frames_at = ends[:, None] + np.arange(1 - length, 1)
+        parts, shares = crops(rows["pixels"], shape, frames_at, x + w / 2, y + h / 2, side, size, method)
+        centre = frame[ends] - (length - 1 - (length - 1) // 2)
+        yield pd.DataFrame({"proposal": [p["proposal"] for _, p in some], "video": video[ends], "centre": centre, "n": length, "synthetic": shares.max(axis=1), "clip": parts})
+
+
+def crops(pixels: pd.Series, shape: list[tuple], at: np.ndarray, cx: np.ndarray, cy: np.ndarray, side: np.ndarray, size: int, method: str) -> tuple[list[bytes], np.ndarray]:
+    """(clips, shares outside) of crops (clip, frame) as `background.crop` makes them one by one; frames of one form and crops of one side go together."""
+    kinds: dict[tuple, list[int]] = {}
+    for i in range(len(at)):
+        kinds.setdefault((max(1, round(side[i])), tuple(shape[k] for k in at[i])), []).append(i)
+    clips: list[bytes] = [b""] * len(at)
+    shares = np.zeros(at.shape)
+    for (n, forms), clip in kinds.items():
+        clip = np.array(clip)
+        if len(set(forms)) > 1:  # frames of several sizes
+            for i in clip:
+                made = [crop(image_of(pixels[k], *shape[k][:2]), cx[i], cy[i], side[i], size, method=method) for k in at[i]]
+                clips[i], shares[i] = b"".join(part.tobytes() for part, _ in made), [share for _, share in made]
+            continue
+        height, width, _ = forms[0]
+        used, place = np.unique(at[clip], return_inverse=True)
+        images = np.frombuffer(b"".join(pixels[k] for k in used), np.uint8).reshape(len(used), height, width, -1)
+        x, y = (np.rint(c[clip] - side[clip] / 2).astype(int)[:, None] + np.arange(n) for c in (cx, cy))
+        share = 1 - ((x >= 0) & (x < width)).sum(axis=1) * ((y >= 0) & (y < height)).sum(axis=1) / (n * n)
+        out = share == 1
+        x[out], y[out] = cx[clip][out].astype(int)[:, None], cy[clip][out].astype(int)[:, None]
+        y, x = np.clip(y, 0, height - 1), np.clip(x, 0, width - 1)
+        cuts = images[place.reshape(at[clip].shape)[:, :, None, None], y[:, None, :, None], x[:, None, None, :]]
+        shares[clip] = share[:, None]
+        for j, i in enumerate(clip):
+            clips[i] = cuts[j].tobytes() if n == size else b"".join(resized(part, size, method).tobytes() for part in cuts[j])
+    return clips, shares
 
 
 def dropped(proposals: DataFrame, clips: DataFrame) -> DataFrame:
