@@ -35,7 +35,7 @@ from frameloom.llm.frames import keyed_texts, over_batches
 MARK = "▁"
 PENALTY = 10.0
 #: Distinct parts a worker remembers before it starts over.
-CACHE_PARTS = 800_000
+CACHE_PARTS = 250_000
 
 
 class Pieces:
