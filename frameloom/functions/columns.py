@@ -167,7 +167,8 @@ def padded_id(prefix: str, n: Column, width: int = 3) -> Column:
 
 
 def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+    """The last part of a path without its suffix; the folders are cut off first, since the pattern would be tried from each of their letters."""
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"([^/]*?)(\.[^./]*)?$", 1)
 
 
 def file_suffix(path: Column) -> Column:

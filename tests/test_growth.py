@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from frameloom.functions.columns import file_stem
 from frameloom.operators import matching as M
 from frameloom.plans import catalog
 from frameloom.sources import video
@@ -105,3 +108,14 @@ def test_listing_of_values_with_several_files_and_none(spark, sf, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/written")
     (tmp_path / "orders.parquet").symlink_to(next((tmp_path / "written").glob("*.parquet")))
     same_rows(catalog.queries()["file_listing"](spark, str(tmp_path)), catalog.oracle_sql()["file_listing"], str(tmp_path))
+
+
+def test_stems_of_long_paths(spark):
+    paths = ["", "/", "a", "a/", "a/b", "/x.y/b", "x/b.txt", "x/.hidden", "x/b.tar.gz", "x/b.", "x/..", "file:///p/q-1/part-00000-c000.txt", "http://h.org", "a.b/c\n", "a/\n", "a\n/b.c", "a/b.c\r\n", "é/ü.txt", None]
+    odd = spark.createDataFrame(list(enumerate(paths)), "i int, p string")
+    whole = F.regexp_extract("p", r"([^/]*?)(\.[^./]*)?$", 1)  # what a stem is, tried from every letter of the path
+    assert odd.where(~file_stem(F.col("p")).eqNullSafe(whole)).collect() == [] and odd.count() == len(paths)
+    long = spark.range(20).select(F.concat(F.lit("/" + "d" * 30_000 + "/v"), "id", F.lit(".txt")).alias("p"))
+    began = time.time()
+    assert sorted(r[0] for r in long.select(file_stem(F.col("p"))).collect()) == sorted(f"v{i}" for i in range(20))
+    assert time.time() - began < 5
