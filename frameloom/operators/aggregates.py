@@ -172,8 +172,11 @@ def concentration(df: DataFrame, group: Sequence[str], member: str, tops: Sequen
 
 
 def over_limit(df: DataFrame, limits: DataFrame, on: Sequence[str], area: str, limit: str, coverages: Sequence[float], coverage: str, by: Sequence[str] = ()) -> DataFrame:
-    """What an upper area limit costs: found boxes at each coverage, and how many of them lie above the limit."""
-    rows = df.join(limits, list(on)).withColumn("min_coverage", F.explode(F.array(*(F.lit(float(c)) for c in coverages))))
+    """What an upper area limit costs: found boxes at each coverage, and how many of them lie above the limit.
+
+    limits, a row per value of on, goes out to every task: dealt by so few values, all boxes would lie in as few tasks.
+    """
+    rows = df.join(F.broadcast(limits), list(on)).withColumn("min_coverage", F.explode(F.array(*(F.lit(float(c)) for c in coverages))))
     hit = F.col(coverage) >= F.col("min_coverage")
     return rows.groupBy(*by, "min_coverage").agg(F.count_if(hit).alias("found"), F.count_if(hit & (F.col(area) > F.col(limit))).alias("lost"))
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.columns import overlap_1d
@@ -23,12 +23,30 @@ def coverages(blobs: DataFrame, gts: DataFrame, by: tuple[str, ...] = ("frame",)
     a = blobs.select(*by, F.col("idx").alias("blob"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"))
     b = gts.select(*by, F.col("idx").alias("gt"), "x", "y", "w", "h", *keep)
     c = lambda name: F.col(name)
-    both = overlap_1d(c("bx"), c("bx") + c("bw"), c("x"), c("x") + c("w")) * overlap_1d(c("by"), c("by") + c("bh"), c("y"), c("y") + c("h"))
-    area = c("w") * c("h")
-    share = F.when(area > 0, both / area).otherwise(F.lit(0.0))
+    share = covered(c("bx"), c("by"), c("bw"), c("bh"))
     return a.join(b, list(by)).select(*by, "blob", "gt", share.alias("coverage"), (c("bw") * c("bh")).alias("blob_area"), *keep)
 
 
+def covered(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Share of the box in columns x, y, w and h that the box given covers; 0 where it has no area."""
+    c = lambda name: F.col(name)
+    both = overlap_1d(x, x + w, c("x"), c("x") + c("w")) * overlap_1d(y, y + h, c("y"), c("y") + c("h"))
+    area = c("w") * c("h")
+    return F.when(area > 0, both / area).otherwise(F.lit(0.0))
+
+
+def best_in_frame(blobs: DataFrame, gts: DataFrame, by: tuple[str, ...] = ("frame",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """What `best_per_gt` gives for the `coverages` of annotated boxes that differ in (by, idx).
+
+    A frame's few detections meet each of its annotated boxes as one list, so that no task sorts a row per pair.
+    """
+    found = blobs.groupBy(*by).agg(F.collect_list(F.struct("idx", "x", "y", "w", "h")).alias("blobs"))
+    order = lambda b: F.struct((-covered(b["x"], b["y"], b["w"], b["h"])).alias("order"), b["idx"].alias("blob"), (b["w"] * b["h"]).alias("blob_area"))
+    rows = gts.select(*by, F.col("idx").alias("gt"), "x", "y", "w", "h", *keep).join(found, list(by))
+    out = rows.select(*by, "gt", F.array_min(F.transform("blobs", order)).alias("best"), F.size("blobs").cast("long").alias("n_blobs"), *keep)
+    return out.select(*by, "gt", F.col("best.blob").alias("blob"), (-F.col("best.order")).alias("coverage"), F.col("best.blob_area").alias("blob_area"), "n_blobs", *keep)
+
+
 def best_per_gt(pairs: DataFrame, by: tuple[str, ...] = ("frame",), keep: tuple[str, ...] = ()) -> DataFrame:
     """The best detection of each annotated box, with its kept columns: highest coverage, then the first detection."""
     best = F.min(F.struct((-F.col("coverage")).alias("order"), "blob", "blob_area"))

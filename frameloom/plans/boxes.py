@@ -59,7 +59,7 @@ PROPERTIES = ("scene", "resolution", "video", "split")
 
 def matched(blobs, gts):
     """The best detection of each annotated box with its frame's properties."""
-    return M.best_per_gt(M.coverages(blobs, gts, keep=PROPERTIES), keep=PROPERTIES)
+    return M.best_in_frame(blobs, gts, keep=PROPERTIES)
 
 
 MATCHED = "matched AS (SELECT b.*, g.scene, g.resolution, g.video, g.split FROM best b JOIN gts g ON g.frame = b.frame AND g.idx = b.gt)"

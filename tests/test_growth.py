@@ -119,3 +119,22 @@ def test_stems_of_long_paths(spark):
     began = time.time()
     assert sorted(r[0] for r in long.select(file_stem(F.col("p"))).collect()) == sorted(f"v{i}" for i in range(20))
     assert time.time() - began < 5
+
+
+def test_few_limits_do_not_gather_the_boxes(spark, sf):
+    plan = catalog.queries()["upper_limit_cost"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(frame" in plan and "hashpartitioning(resolution" not in plan
+
+
+def test_best_of_a_list_is_the_best_of_the_pairs(spark):
+    rng = np.random.default_rng(5)
+    schema = "frame long, idx long, x long, y long, w long, h long, scene string"
+    odd = lambda v, k: None if k % 23 == 0 else int(v)
+    rows = [(None if k % 31 == 0 else k // 9, k, odd(x, k), int(y), int(w), int(h), f"s{k % 3}" if k % 5 else None) for k, (x, y, w, h) in enumerate(rng.integers(-2, 9, (900, 4)))]
+    boxes = spark.createDataFrame(rows, schema).repartition(5)
+    blobs, gts = boxes.where("idx % 3 > 0 AND coalesce(frame, 0) % 7 > 0"), boxes.where("idx % 3 = 0")
+    order = ["frame", "gt", "blob", "coverage", "blob_area", "n_blobs", "scene"]
+    same = lambda df: sorted((tuple(r) for r in df.select(order).collect()), key=repr)
+    want = M.best_per_gt(M.coverages(blobs, gts, keep=("scene",)), keep=("scene",))
+    got = M.best_in_frame(blobs, gts, keep=("scene",))
+    assert same(got) == same(want) and got.count() > 200 and got.select(order).dtypes == want.select(order).dtypes
